@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.sources import load
 
-from . import line_dedup, packing
+from . import decontamination, edit_embedding, language_id, line_dedup, minhash_dedup, packing, toxicity
 
 
 def digest(column: str = "text"):
@@ -29,8 +29,34 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"), tokenizer_path()).drop("ids")
 
 
+def op5_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_embedding.neighbours(load(spark, sf_dir, "documents"))
+
+
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(load(spark, sf_dir, "documents"), k=4, percent=80)
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(load(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_hits(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES = {
     "op3_line_dedup": op3_line_dedup,
+    "op5_edit_embedding": op5_edit_embedding,
+    "op6_minhash_dedup": op6_minhash_dedup,
+    "op7_language_id": op7_language_id,
+    "op8_decontamination": op8_decontamination,
+    "op10_toxicity": op10_toxicity,
     "op9_packing": op9_packing,
 }
 
