@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.sources import load
 
-from . import decontamination, edit_embedding, language_id, line_dedup, minhash_dedup, packing, toxicity
+from . import decontamination, edit_embedding, language_id, line_dedup, minhash_dedup, packing, quote_links, sentence_spans, suffix_dedup, toxicity
 
 
 def digest(column: str = "text"):
@@ -20,6 +20,17 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quote_links.reply_order(load(spark, sf_dir, "conversations"))
+    path = F.array_join(F.transform("reply_path", lambda x: x.cast("string")), "/")
+    return out.select("conv_id", "turn", "role", "text", "n_quotes", "n_linked", "parent_turn", "branch_depth", path.alias("reply_path"))
+
+
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(load(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(load(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", digest().alias("kept_sha256"))
@@ -29,6 +40,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"), tokenizer_path()).drop("ids")
 
 
+def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sentence_spans.drop_repeated_spans(load(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_sentences", "n_removed", "n_spans", digest().alias("kept_sha256"))
+
+
 def op5_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_embedding.neighbours(load(spark, sf_dir, "documents"))
 
@@ -51,7 +67,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quote_links": op1_quote_links,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_line_dedup": op3_line_dedup,
+    "op4_sentence_spans": op4_sentence_spans,
     "op5_edit_embedding": op5_edit_embedding,
     "op6_minhash_dedup": op6_minhash_dedup,
     "op7_language_id": op7_language_id,
