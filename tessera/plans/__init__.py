@@ -1,5 +1,6 @@
 """Registered queries and their DuckDB counterparts."""
 
-from .registry import ORACLE, QUERIES
+from . import evidence, graphs, ranges, texts, workflow
+from .registry import COVERS, ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES"]
+__all__ = ["COVERS", "ORACLE", "QUERIES", "evidence", "graphs", "ranges", "texts", "workflow"]
