@@ -43,32 +43,52 @@ def features(text: str) -> set[str]:
     return out
 
 
-def induced_patterns(found: list[set[str]], labels: np.ndarray, most: int = 60, support: int = 4) -> list[str]:
+class Found:
+    """Features of the training texts as numbers: compact, since a few thousand texts have millions of them."""
+
+    def __init__(self, texts: list[str]):
+        self.number: dict[str, int] = {}
+        parts = [np.fromiter((self.number.setdefault(f, len(self.number)) for f in sorted(features(t))), np.int32) for t in texts]
+        self.rows = np.repeat(np.arange(len(texts), dtype=np.int32), [len(p) for p in parts])
+        self.flat = np.concatenate([np.zeros(0, np.int32), *parts])
+        self.names = list(self.number)
+
+    def counts(self, weights: np.ndarray) -> np.ndarray:
+        """Weighted number of texts that hold each feature."""
+        return np.bincount(self.flat, weights[self.rows], len(self.names)) if len(self.names) else np.zeros(0)
+
+    def matrix(self, chosen: list[str]) -> np.ndarray:
+        place = np.full(len(self.names) + 1, -1)
+        for j, f in enumerate(chosen):
+            if f in self.number:
+                place[self.number[f]] = j
+        out = np.zeros((int(self.rows[-1]) + 1 if len(self.rows) else 0, len(chosen)), np.float32)
+        at = place[self.flat]
+        out[self.rows[at >= 0], at[at >= 0]] = 1
+        return out
+
+
+def induced_patterns(found: Found, labels: np.ndarray, most: int = 60, support: int = 4) -> list[str]:
     """Words and stems that training rows of label 1 hold far more often than those of label 0."""
-    count: dict[str, list[int]] = {}
-    for own, y in zip(found, labels):
-        for f in own:
-            count.setdefault(f, [0, 0])[y] += 1
+    bad, good = found.counts((labels == 1).astype(float)), found.counts((labels == 0).astype(float))
     n = np.bincount(labels, minlength=2) + 1.0
-    scored = []
-    for f, (a, b) in count.items():
-        odds = math.log(((b + 0.5) / n[1]) / ((a + 0.5) / n[0]))
-        if b >= support and odds > 2:
-            scored.append((-odds * math.sqrt(b), f))
-    return [f for _, f in sorted(scored)[:most]]
+    odds = np.log(((bad + 0.5) / n[1]) / ((good + 0.5) / n[0]))
+    kept = np.flatnonzero((bad >= support) & (odds > 2))
+    ranked = sorted((-odds[i] * math.sqrt(bad[i]), found.names[i]) for i in kept)
+    return [f for _, f in ranked[:most]]
 
 
-def votes(texts: list[str], found: list[set[str]], patterns: list[str]) -> np.ndarray:
+def votes(texts: list[str], found: Found, patterns: list[str]) -> np.ndarray:
     """Rows of votes: 1 toxic, -1 clean, 0 abstains."""
     words = [*LEXICON, *[p for p in patterns if p not in LEXICON]]
     out = np.zeros((len(texts), len(words) + 3), np.int8)
-    for i, (text, own) in enumerate(zip(texts, found)):
-        hit = [w in own for w in words]
-        out[i, : len(words)] = hit
+    hits = found.matrix(words)
+    out[: len(hits), : len(words)] = hits
+    for i, text in enumerate(texts):
         out[i, -3] = 1 if "!!" in text else 0
-        letters = sum(c.isalpha() for c in text)
-        out[i, -2] = 1 if letters > 20 and sum(c.isupper() for c in text) > 0.5 * letters else 0
-        out[i, -1] = 0 if any(hit) else -1
+        letters = sum(map(str.isalpha, text))
+        out[i, -2] = 1 if letters > 20 and sum(map(str.isupper, text)) > 0.5 * letters else 0
+    out[:, -1] = np.where(out[:, : len(words)].any(axis=1), 0, -1)
     return out
 
 
@@ -77,23 +97,28 @@ def label_model(vote: np.ndarray, gold: np.ndarray, prior: float, rounds: int =
     known = gold >= 0
     all_votes = np.concatenate([vote, np.where(known, 2 * gold - 1, 0).astype(np.int8)[:, None]], axis=1)
     n, m = all_votes.shape
+    anchored = int(known.sum()) >= 20
     posterior = np.where(known, 0.05 + 0.9 * (gold == 1), np.where(vote.max(axis=1, initial=0) > 0, 0.8, 0.2))
     weight = np.ones(m)
-    start = np.array([0.5, 2.0, 0.6]), np.array([1.0, 2.0, 0.1])  # clean, abstain, toxic pseudo-counts by label 1, 0
+    pseudo = np.array([0.5, 2.0, 0.6]), np.array([1.0, 2.0, 0.1])  # clean, abstain, toxic counts given label 1, 0
+    value = np.array([-1.0, 0.0, 1.0])
     onehot = np.stack([all_votes == v for v in (-1, 0, 1)], axis=2).astype(np.float64)
     for step in range(rounds):
-        table = np.stack([np.einsum("i,ijv->jv", p, onehot) + s for p, s in ((posterior, start[0]), (1 - posterior, start[1]))])
+        # Where enough rows have gold labels, they alone set the first tables and later weigh as much as the rest.
+        counted = np.ones(n)
+        if anchored:
+            counted = np.where(known, max(1.0, (~known).sum() / known.sum()), 1.0 if step else 0.0)
+        table = np.stack([np.einsum("i,ijv->jv", p * counted, onehot) + s for p, s in ((posterior, pseudo[0]), (1 - posterior, pseudo[1]))])
         table /= table.sum(axis=2, keepdims=True)
         table[0, -1], table[1, -1] = (0.02, 0.0, 0.98), (0.98, 0.0, 0.02)  # the gold voter's stated accuracy
         table = np.maximum(table, 1e-9)
         table[:, -1, 1] = 1.0
-        if step == rounds // 2 and n > 10:
+        if step == (0 if anchored else rounds // 2) and n > 10:
             # What the label leaves unexplained of two voters' votes is their correlation.
-            value = np.array([-1.0, 0.0, 1.0])
-            mean = posterior[:, None] * (table[0] @ value) + (1 - posterior[:, None]) * (table[1] @ value)
-            rest = all_votes - mean
-            rest /= np.maximum(rest.std(axis=0), 1e-6)
-            corr = np.clip(rest.T @ rest / n, 0, 1)
+            rest = all_votes - posterior[:, None] * (table[0] @ value) - (1 - posterior[:, None]) * (table[1] @ value)
+            rest = rest[counted > 0]
+            rest = (rest - rest.mean(axis=0)) / np.maximum(rest.std(axis=0), 1e-6)
+            corr = np.clip(rest.T @ rest / len(rest), 0, 1)
             np.fill_diagonal(corr, 0)
             weight = 1 / (1 + np.where(corr > 0.1, corr, 0).sum(axis=1))
             weight[-1] = 1.0
@@ -124,32 +149,25 @@ def train(texts: list[str], labels: list[int], prior: float, most: int = 1000) -
         return {w: 6.0 for w in LEXICON}, -4.0
     gold = np.array(labels, np.int64)
     prior = min(max(prior, 1e-4), 1 - 1e-4)
-    found = [features(t) for t in texts]
-    patterns = induced_patterns(found, gold)
+    found = Found(texts)
     share = min(max(float(gold.mean()), 1e-3), 1 - 1e-3)
-    posterior = label_model(votes(texts, found, patterns), gold, share)
+    posterior = label_model(votes(texts, found, induced_patterns(found, gold)), gold, share)
     # Features by how far their posterior-weighted shares differ.
-    count: dict[str, list[float]] = {}
-    for own, p in zip(found, posterior):
-        for f in own:
-            c = count.setdefault(f, [0.0, 0.0])
-            c[0] += 1 - p
-            c[1] += p
-    total = max(float(posterior.sum()), 1.0), max(float((1 - posterior).sum()), 1.0)
-    ranked = sorted(
-        ((-abs(c[1] / total[0] - c[0] / total[1]) / math.sqrt((sum(c) + 5) / len(texts)), f) for f, c in count.items() if sum(c) >= 3)
-    )[:most]
-    names = [f for _, f in ranked] + [w for w in LEXICON if w not in {f for _, f in ranked}]
-    place = {f: i for i, f in enumerate(names)}
+    bad, good = found.counts(posterior), found.counts(1 - posterior)
+    gap = np.abs(bad / max(float(posterior.sum()), 1.0) - good / max(float((1 - posterior).sum()), 1.0))
+    gap /= np.sqrt((bad + good + 5) / len(texts))
+    ranked = sorted((-gap[i], found.names[i]) for i in np.flatnonzero(bad + good >= 3))[:most]
+    names = [f for _, f in ranked]
+    names += [w for w in LEXICON if w not in set(names)]
     x = np.zeros((len(texts), len(names)), np.float32)
-    for i, own in enumerate(found):
-        x[i, [place[f] for f in own if f in place]] = 1
+    held = found.matrix(names)
+    x[: len(held)] = held
     w, b = linear_classifier(x, posterior.astype(np.float32), np.ones(len(texts)))
     b += math.log(prior / (1 - prior)) - math.log(share / (1 - share))
     return {f: float(v) for f, v in zip(names, w) if abs(v) > 1e-4}, float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_label: int = 3000, parts: int = 5, held: int = 0) -> tuple[dict[str, float], float]:
+def fit(docs: DataFrame, labels: DataFrame, per_label: int = 2500, parts: int = 5, held: int = 0) -> tuple[dict[str, float], float]:
     """Learn from at most per_label labelled rows of each label outside the held-out fold."""
     use = labels.select("doc_id", F.col("toxic").cast("long").alias("toxic")).where((fold("doc_id", parts) != held) & F.col("toxic").isin(0, 1))
     sample = bounded_sample(use, "doc_id", "toxic", per_label)
@@ -183,7 +201,7 @@ def score(docs: DataFrame, model: tuple[dict[str, float], float]) -> DataFrame:
     return arrow_map(docs, run, outputs, keep=without(docs, ["score", "predicted"]))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, per_label: int = 3000) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, per_label: int = 2500) -> DataFrame:
     """docs with held_out, score and predicted."""
     prepare(docs.sparkSession)
     out = score(docs.select(*without(docs, ["held_out"])), fit(docs, labels, per_label))
