@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -13,27 +12,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.session import ship_package
+from tessera.staging import shared_dir, unstage
 
 #: Rows and characters that one call of a text function gets at most (a single longer text stands alone).
-CHUNK_ROWS, CHUNK_CHARS = 2000, 4_000_000
+CHUNK_ROWS, CHUNK_CHARS = 2000, 1_000_000
+
+
+#: Allocator settings of the workers: free memory goes back to the system, so idle workers stay small.
+WORKER_ENV = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_TRIM_THRESHOLD_": "1000000", "MALLOC_MMAP_THRESHOLD_": "4000000", "MALLOC_ARENA_MAX": "2"}
 
 
 def prepare(spark: SparkSession) -> None:
-    """Make workers able to import this package and keep Arrow batches small."""
+    """Make workers able to import this package and keep their Arrow batches small."""
     ship_package(spark)
+    for name, value in WORKER_ENV.items():
+        spark.sparkContext.environment.setdefault(name, value)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def stage(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -52,16 +47,6 @@ def stage(df: DataFrame, label: str, partition_by: list[str] | None = None) -> D
     return out
 
 
-def unstage(df: DataFrame | None) -> None:
-    """Delete a staged table that no later step reads."""
-    path = getattr(df, "_tessera_path", None)
-    if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(conf).delete(target, True)
-
-
 def free_shuffles(spark: SparkSession) -> None:
     """Ask the driver to drop shuffle files of data frames that are no longer referenced."""
     import gc

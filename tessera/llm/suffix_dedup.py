@@ -35,7 +35,7 @@ LEFT = LENGTH - GRAM
 #: Depth in 8-byte characters, past the common gram, to which multikey quicksort goes.
 SHALLOW = 3
 #: Bytes of text that one vectorised pass holds.
-PASS_BYTES = 600_000
+PASS_BYTES = 300_000
 TEXT_KEY = ["t1", "t2"]
 
 
@@ -363,7 +363,7 @@ def repeated_spans(named: DataFrame, hot: int = 20_000) -> DataFrame:
                 if held and held[0][3] != row[3]:
                     close()
                 held.append(row)
-            if len(made[0]) > 5000:
+            if len(made[0]) > 2000:
                 yield take()
         close()
         yield take()
