@@ -9,9 +9,11 @@ with a chance of about 1e-12.
 
 Links are exact: documents of equal sets form classes, and each candidate pair of classes is confirmed on full
 sets. A bucket first links its members to its most central member (a star). Buckets that still span several
-components then compare members of different components, except pairs that cannot reach the threshold: a
-shingle held by no other candidate cannot be shared, so with c = min(shared-able shingles) the similarity is at
-most c / (|a| + |b| - c). Nothing is capped; a pair inside one component needs no look.
+components then compare members of different components, in two exact parts. Pairs that share a shingle held by
+2 to `RARE` candidates are found by joining on those shingles, which costs at most RARE rows a shingle. Other
+pairs can only share shingles held by more candidates; with c the smaller number of those, their similarity is
+at most c / (|a| + |b| - c), and bucket mates below the threshold by that bound are not paired. Nothing is
+capped; a pair inside one component needs no look.
 
 Defined results: null, empty and blank texts have an empty set and link with nothing; a text of fewer words
 than a shingle is one shingle; rows that repeat a doc_id belong to one component; rows without a doc_id link
@@ -25,13 +27,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import arrow_map, components, prepare, same, stage, text_bytes, unstage
 
 T_BINS, ROWS = 120, 3
+#: A shingle held by at most so many candidates is joined on directly.
+RARE = 32
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
@@ -81,7 +85,7 @@ def sketch(items: np.ndarray) -> np.ndarray:
         if out.max() != np.iinfo(np.uint64).max:
             return out
     for b in np.flatnonzero(out == np.iinfo(np.uint64).max):
-        h = mix(items + np.uint64(t + int(b) + 1) * np.uint64(0x9E3779B97F4A7C15))
+        h = mix(items + np.array([t + int(b) + 1], np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         out[b] = (np.uint64(t) << np.uint64(56)) | (h.min() >> np.uint64(8))
     return out
 
@@ -160,6 +164,27 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, schema)
 
 
+def _can_reach(n: str, c: str, m: str, d: str, percent: int) -> Column:
+    """Whether sets of n and m shingles, of which at most c and d can be shared, may reach the threshold."""
+    both = F.least(c, d)
+    return 100 * both >= percent * (F.col(n) + F.col(m) - both)
+
+
+def _across(rows: DataFrame, key: str, shared: str, percent: int, first_of: str | None = None) -> DataFrame:
+    """Pairs (a, b) of rows of equal key in different components that may reach the threshold.
+
+    With `first_of`, an array of each row's keys, a pair is made only at the least key that both have.
+    """
+    names = ["rep", "n", shared, "comp", *([first_of] if first_of else [])]
+    left = rows.select(key, *[F.col(c).alias(f"a_{c}") for c in names])
+    right = rows.select(key, *[F.col(c).alias(f"b_{c}") for c in names])
+    apart = (F.col("a_rep") < F.col("b_rep")) & (F.col("a_comp") != F.col("b_comp"))
+    wanted = apart & _can_reach("a_n", f"a_{shared}", "b_n", f"b_{shared}", percent)
+    if first_of:
+        wanted = wanted & (F.array_min(F.array_intersect(f"a_{first_of}", f"b_{first_of}")) == F.col(key))
+    return left.join(right, key).where(wanted).select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
+
+
 def link_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles, rep) of every document, and (rep, component) of the linked class representatives."""
     prepare(docs.sparkSession)
@@ -174,43 +199,47 @@ def link_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFr
     cells = stage(cells.join(shared, "cell"), "cells")
 
     sets = stage(candidate_sets(docs, cells.select("rep").distinct(), k).dropDuplicates(["rep"]), "sets")
-    # Shingles that another candidate holds too; the others cannot be shared.
+    # Shingles by the number of candidates that hold them: alone, a few, or more.
     tokens = sets.select("rep", F.explode("items").alias("item"))
-    alone = tokens.groupBy("item").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("rep")).where("m = 1")
-    lonely = alone.groupBy("rep").agg(F.count(F.lit(1)).alias("u"))
-    sizes = stage(sets.select("rep", "n").join(lonely, "rep", "left").select("rep", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("c")), "sizes")
+    held = tokens.groupBy("item").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("only")).where(F.col("m") <= RARE)
+    held = stage(held, "held")
+    lonely = held.where("m = 1").groupBy(F.col("only").alias("rep")).agg(F.count(F.lit(1)).alias("u"))
+    few = stage(tokens.join(held.where("m > 1").select("item"), "item"), "few")
+    fewer = few.groupBy("rep").agg(F.count(F.lit(1)).alias("w"))
+    zero = F.lit(0).cast("long")
+    sizes = sets.select("rep", "n").join(lonely, "rep", "left").join(fewer, "rep", "left")
+    # c: shingles that some other candidate holds; g: those that more than a few hold.
+    sizes = sizes.select("rep", "n", (F.col("n") - F.coalesce("u", zero)).alias("c"), (F.col("n") - F.coalesce("u", zero) - F.coalesce("w", zero)).alias("g"))
+    sizes = stage(sizes, "sizes")
     able = F.col("c") * 100 >= F.col("n") * percent
-    cells_sized = cells.join(sizes.where(able), "rep").select("cell", "rep", "n", "c")
+    cells_sized = cells.join(sizes.where(able), "rep").select("cell", "rep", "n", "c", "g")
 
     # Star: the bucket's most central member, by its share of sharable shingles.
     centre = cells_sized.groupBy("cell").agg(F.max(F.struct((F.col("c") / F.col("n")).alias("share"), (-F.col("rep")).alias("id"), "n", "c")).alias("top"))
     centre = centre.select("cell", (-F.col("top.id")).alias("pivot"), F.col("top.n").alias("pn"), F.col("top.c").alias("pc"))
-    ceiling = lambda n, c, pn, pc: 100 * F.least(c, pc) >= percent * (n + pn - F.least(c, pc))
     star = (
         cells_sized.join(centre, "cell")
-        .where((F.col("rep") != F.col("pivot")) & ceiling(F.col("n"), F.col("c"), F.col("pn"), F.col("pc")))
+        .where((F.col("rep") != F.col("pivot")) & _can_reach("n", "c", "pn", "pc", percent))
         .select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
         .distinct()
     )
     links = stage(confirm(star, sets, percent), "links")
     found = stage(components(links), "comp")
 
-    # Members of different components in one bucket that could still reach the threshold.
-    labelled = cells_sized.join(found, cells_sized["rep"] == found["id"], "left").select("cell", "rep", "n", "c", F.coalesce("component", "rep").alias("comp"))
+    # Members of different components that could still reach the threshold.
+    label = F.coalesce("component", "rep").alias("comp")
+    comp = sizes.where(able).join(found, sizes["rep"] == found["id"], "left").select("rep", "n", "c", "g", label)
+    comp = stage(comp, "labels")
+    labelled = cells.join(comp.where(F.col("g") * 100 >= F.col("n") * percent), "rep")
     mixed = labelled.groupBy("cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("cell")
-    open_cells = stage(labelled.join(mixed, "cell"), "open")
-    left = open_cells.select("cell", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("c").alias("ac"), F.col("comp").alias("acomp"))
-    right = open_cells.select("cell", F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("c").alias("bc"), F.col("comp").alias("bcomp"))
-    rest = (
-        left.join(right, "cell")
-        .where((F.col("a") < F.col("b")) & (F.col("acomp") != F.col("bcomp")) & ceiling(F.col("an"), F.col("ac"), F.col("bn"), F.col("bc")))
-        .select("a", "b")
-        .distinct()
-    )
+    open_cells = stage(labelled.join(mixed, "cell").join(reps, "rep").select("cell", "rep", "n", "g", "comp", "bands"), "open")
+    mates = _across(open_cells, "cell", "g", percent, first_of="bands")
+    sharers = _across(few.join(comp, "rep").select("item", "rep", "n", "c", "comp"), "item", "c", percent)
+    rest = mates.union(sharers).distinct()
     more = stage(confirm(rest, sets, percent), "links")
     joined = links.select("a", "b").union(more.select("a", "b"))
     final = stage(components(joined), "comp")
-    for table in (cells, sets, sizes, links, found, open_cells, more):
+    for table in (cells, sets, held, few, sizes, links, found, comp, open_cells, more):
         unstage(table)
     return members, final.select(F.col("id").alias("rep"), "component")
 
