@@ -9,8 +9,8 @@ gives the common extension to the left. Occurrences x, y with l bytes of common
 common right context share the r + l bytes around the anchor, which is a repeat if r + l >= LENGTH.
 
 Equal texts are one class: its bytes are all covered if it has a copy, and one member stands for it among the
-sorted suffixes. An anchor held by more than `hot` classes is not sorted in one task: its members are keyed by
-every string that holds the anchor, counted with partial aggregation, and joined back.
+sorted suffixes. An anchor with more than `hot` members (some 60 MB of contexts) is not sorted in one task: its
+members are keyed by every string whose anchor it is, counted with partial aggregation, and joined back.
 
 Defined results: null and short texts lose nothing; strings never cross documents; rows that repeat a doc_id
 are separate documents; operator columns replace input columns of the same name; an empty table gives an empty
@@ -65,9 +65,10 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def anchors(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(positions, gram hashes) of the anchors of each text."""
-    none = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+def anchors(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(positions, gram hashes, first starts, starts) of the anchors of each text: an anchor is that of the
+    strings at a run of consecutive starts."""
+    none = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     out = [none] * len(texts)
     todo: list[int] = []
 
@@ -79,8 +80,8 @@ def anchors(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
         key = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
         low = sliding_min(key, LENGTH - GRAM + 1)
         for i, a, b in zip(rows, ends - sizes, ends):
-            at = np.unique((low[a : b - LENGTH + 1] & np.uint64(0xFFFFFFFF)).astype(np.int64))
-            out[i] = at - a, h[at]
+            at, first, starts = np.unique((low[a : b - LENGTH + 1] & np.uint64(0xFFFFFFFF)).astype(np.int64), return_index=True, return_counts=True)
+            out[i] = at - a, h[at], first, starts
 
     held = 0
     for i, text in enumerate(texts):
@@ -283,18 +284,18 @@ def text_anchors(docs: DataFrame) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         made = anchors(text_bytes(batch.column(1)))
-        counts = [len(p) for p, _ in made]
+        counts = [len(m[0]) for m in made]
         rows = np.repeat(np.arange(len(made)), counts)
         return {
-            "h": pa.array(np.concatenate([h for _, h in made]).view(np.int64) if made else np.zeros(0, np.int64)),
+            "h": pa.array(np.concatenate([m[1] for m in made]).view(np.int64) if made else np.zeros(0, np.int64)),
             "t1": batch.column(0).take(pa.array(rows)),
-            "pos": pa.array(np.concatenate([p for p, _ in made]) if made else np.zeros(0, np.int64), pa.int64()),
+            "pos": pa.array(np.concatenate([m[0] for m in made]) if made else np.zeros(0, np.int64), pa.int64()),
         }
 
     return arrow_flat(docs.select("t1", "text"), run, T.StructType(longs("h", "t1", "pos")))
 
 
-def repeated_spans(named: DataFrame, hot: int = 20_000) -> DataFrame:
+def repeated_spans(named: DataFrame, hot: int = 50_000) -> DataFrame:
     """(t1, t2, start, end): byte ranges of texts that are covered by repeated strings."""
     classes = stage(
         named.where(F.col("n_bytes") >= LENGTH)
@@ -321,19 +322,26 @@ def repeated_spans(named: DataFrame, hot: int = 20_000) -> DataFrame:
     )
 
     def contexts(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        rows, columns = [], ([], [], [], [])
+        rows, columns = [], ([], [], [], [], [], [])
         places, grams, hots = (batch.column(c).to_pylist() for c in (3, 4, 5))
         for i, text in enumerate(text_bytes(batch.column(6))):
+            runs = {}
+            if any(hots[i]):
+                at, _, first, starts = anchors([text])[0]
+                runs = dict(zip(at.tolist(), zip(first.tolist(), starts.tolist())))
             for p, h, is_hot in zip(places[i], grams[i], hots[i]):
                 rows.append(i)
-                for column, value in zip(columns, (h, p, is_hot, text[max(0, p - LEFT) : p + LENGTH])):
+                for column, value in zip(columns, (h, p, is_hot, *runs.get(p, (0, 0)), text[max(0, p - LEFT) : p + LENGTH])):
                     column.append(value)
         rows = pa.array(rows, pa.int64())
         made = {n: batch.column(k).take(rows) for k, n in enumerate(("t1", "t2", "multi"))}
-        return made | {n: pa.array(c, t) for n, c, t in zip(("h", "pos", "hot", "body"), columns, (pa.int64(), pa.int64(), pa.bool_(), pa.binary()))}
+        return made | {n: pa.array(c, t) for n, c, t in zip(("h", "pos", "hot", "first", "starts", "body"), columns, (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()))}
 
-    fields = [*longs("t1", "t2"), T.StructField("multi", T.BooleanType()), *longs("h", "pos"), T.StructField("hot", T.BooleanType()), T.StructField("body", T.BinaryType())]
-    around = arrow_flat(texts, contexts, T.StructType(fields))
+    fields = [*longs("t1", "t2"), T.StructField("multi", T.BooleanType()), *longs("h", "pos"), T.StructField("hot", T.BooleanType()), *longs("first", "starts"), T.StructField("body", T.BinaryType())]
+    around = stage(arrow_flat(texts, contexts, T.StructType(fields)), "contexts")
+    del lead, texts
+    unstage(wanted)
+    free_shuffles(spark)
 
     def sort_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: tuple[list, list, list, list] = ([], [], [], [])
@@ -373,14 +381,15 @@ def repeated_spans(named: DataFrame, hot: int = 20_000) -> DataFrame:
     calm = around.where(~F.col("hot")).select("t1", "t2", "multi", "h", "pos", "body")
     sorted_spans = calm.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(sort_groups, span)
     out = [sorted_spans]
-    if wanted.where(F.exists("at", lambda a: a["hot"])).limit(1).count():
+    if around.where("hot").limit(1).count():
         out.append(hot_spans(around.where("hot")))
     whole = classes.where("copies > 1").select("t1", "t2", F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end"))
     result = whole
     for part in out:
         result = result.union(part)
     result = stage(result, "spans")
-    for table in (classes, wanted):
+    del sorted_spans, out, calm
+    for table in (classes, around):
         unstage(table)
     free_shuffles(spark)
     return result
@@ -390,25 +399,23 @@ def hot_spans(around: DataFrame) -> DataFrame:
     """Spans of anchors with very many members: count every string around the anchor, join the counts back."""
 
     def strings(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        rows, starts, first = [], [], []
-        for i, (p, body) in enumerate(zip(batch.column(4).to_pylist(), batch.column(6).to_pylist())):
-            c = min(p, LEFT)
-            for s in range(max(0, c + GRAM - LENGTH), min(c, len(body) - LENGTH) + 1):
-                rows.append(i), starts.append(p - c + s), first.append(xxhash.xxh3_128_digest(body[s : s + LENGTH]))
-        pair = np.frombuffer(b"".join(first), np.int64).reshape(-1, 2)
+        rows, starts, names = [], [], []
+        for i, (p, first, n, body) in enumerate(zip(*(batch.column(k).to_pylist() for k in (3, 4, 5, 6)))):
+            shift = p - min(p, LEFT)
+            for s in range(first, first + n):
+                rows.append(i), starts.append(s), names.append(xxhash.xxh3_128_digest(body[s - shift : s - shift + LENGTH]))
+        pair = np.frombuffer(b"".join(names), np.int64).reshape(-1, 2)
         index = pa.array(rows, pa.int64())
         made = {n: batch.column(k).take(index) for k, n in enumerate(("t1", "t2", "multi"))}
         return made | {"start": pa.array(starts, pa.int64()), "w1": pa.array(pair[:, 0]), "w2": pa.array(pair[:, 1])}
 
     fields = [*longs("t1", "t2"), T.StructField("multi", T.BooleanType()), *longs("start", "w1", "w2")]
-    rows = arrow_flat(around.select("t1", "t2", "multi", "h", "pos", "hot", "body"), strings, T.StructType(fields), text="body")
-    # One start of a text may be reached from several anchors: count places, not rows.
-    places = stage(rows.distinct(), "hot")
+    places = arrow_flat(around.select("t1", "t2", "multi", "pos", "first", "starts", "body"), strings, T.StructType(fields), text="body")
     counts = places.groupBy("w1", "w2").agg(F.sum(F.when(F.col("multi"), 2).otherwise(1)).alias("n")).where("n > 1").select("w1", "w2")
     return places.where(~F.col("multi")).join(counts, ["w1", "w2"]).select("t1", "t2", "start", (F.col("start") + LENGTH).alias("end"))
 
 
-def remove_repeats(docs: DataFrame, hot: int = 20_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, hot: int = 50_000) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans and kept (binary): the bytes that no repeated string covers."""
     prepare(docs.sparkSession)
     made = ["n_bytes", "n_removed", "n_spans", "kept"]
