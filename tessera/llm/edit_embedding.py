@@ -23,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -125,9 +126,9 @@ def _char_bits() -> np.ndarray:
     return np.random.default_rng(77).integers(0, 2, (256, 64), dtype=np.uint8)
 
 
-def sample_bits(end: int, text: np.ndarray, steps: np.ndarray) -> np.ndarray:
+def sample_bits(end: int, text: np.ndarray, steps: np.ndarray, level: int | None = None) -> np.ndarray:
     """The sampled bits of a walk that has its characters at `steps`; positions from `end` on are 0."""
-    p = positions(level_of(end))
+    p = positions(level_of(end) if level is None else level)
     out = np.zeros(SAMPLES, np.uint8)
     inside = p < end
     q = p[inside]
@@ -296,20 +297,27 @@ def edit_distance_within(a: str, b: str, most: int) -> bool:
     return False
 
 
-def near_documents(docs: DataFrame, bands: int = 32, distance: float = 0.05) -> DataFrame:
-    """(doc_id, component): documents linked through texts within `distance` edits per character.
+def band_cells(docs: DataFrame, bands: int, distance: float) -> DataFrame:
+    """(doc_id, n_chars, cells): hashed bands of the sampled bits; a walk that a few edits could carry over the
+    next power of two is banded at both levels."""
+    prepare(docs.sparkSession)
 
-    Bands of sampled bits (with the walk's level) name buckets; every member of a bucket is compared with the
-    bucket's smallest document only, so a bucket costs as many comparisons as it has members. Texts are never
-    paired all with all; a link between two members that are both far from the bucket's first is found in
-    another band or not at all: banding is a probabilistic filter.
-    """
-    prints = stage(fingerprints(docs), "prints")
-    width = SAMPLES // bands // 4
-    keys = F.array(*[F.xxhash64(F.lit(b), F.substring("fingerprint", 9 + b * width, width)) for b in range(bands)])
-    cells = prints.select("doc_id", F.explode(keys).alias("cell"))
-    low = cells.groupBy("cell").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    pairs = cells.join(low, "cell").where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
+    def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        texts, cells = [t or "" for t in batch.column(1).to_pylist()], []
+        for end, _, own, steps in embed_texts(texts):
+            found = []
+            for level in sorted({level_of(end), level_of(int(end * (1 + 4 * distance)) + 1)}):
+                parts = np.packbits(sample_bits(end, own, steps, level)).reshape(bands, -1)
+                found += [xxhash.xxh3_64_intdigest(b"%d %d " % (level, b) + part.tobytes()) - (1 << 63) for b, part in enumerate(parts)]
+            cells.append(found)
+        return {"n_chars": pa.array([len(t) for t in texts], pa.int64()), "cells": pa.array(cells, pa.list_(pa.int64()))}
+
+    outputs = T.StructType([T.StructField("n_chars", T.LongType()), T.StructField("cells", T.ArrayType(T.LongType()))])
+    return arrow_map(docs.select("doc_id", "text"), run, outputs, keep=["doc_id"])
+
+
+def verified(docs: DataFrame, pairs: DataFrame, distance: float) -> DataFrame:
+    """The pairs (a, b) whose texts are within `distance` edits per character of the longer."""
     texts = docs.select("doc_id", "text")
     both = (
         pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("_one")), "a")
@@ -322,9 +330,32 @@ def near_documents(docs: DataFrame, bands: int = 32, distance: float = 0.05) ->
         for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
             x, y = x or "", y or ""
             out.append(x == y or edit_distance_within(x, y, int(distance * max(len(x), len(y)))))
-        return {"near": pa.array(out)}
+        return {"near": pa.array(out, pa.bool_())}
+
+    outputs = T.StructType([T.StructField("near", T.BooleanType())])
+    return stage(arrow_map(both, verify, outputs, keep=["a", "b"]).where("near").select("a", "b"), "near")
+
 
-    linked = arrow_map(both, verify, T.StructType([T.StructField("near", T.BooleanType())]), keep=["a", "b"]).where("near")
-    found = components(linked.select("a", "b"))
+def near_documents(docs: DataFrame, bands: int = 32, distance: float = 0.02) -> DataFrame:
+    """(doc_id, component): documents linked through texts within `distance` edits per character.
+
+    Bands of sampled bits name buckets. Every member is first compared with its bucket's smallest document;
+    then members of one bucket that are still in different components and of like length are compared, each
+    pair once. Two near texts that share no band are missed: in 60 trials each at 2 random edits in 100 characters,
+    32 bands of 16 bits joined all pairs of 300 and 59 of 60 pairs of 2,000 characters.
+    """
+    rows = stage(band_cells(docs, bands, distance).where("doc_id is not null"), "bands")
+    cells = rows.select("doc_id", "n_chars", "cells", F.explode("cells").alias("cell"))
+    low = cells.groupBy("cell").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("cell", "a")
+    links = verified(docs, cells.join(low, "cell").where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct(), distance)
+    found = stage(components(links), "comp")
+    marked = cells.join(low.select("cell"), "cell").join(found, F.col("doc_id") == F.col("id"), "left")
+    marked = stage(marked.select("cell", "doc_id", "n_chars", "cells", F.coalesce("component", "doc_id").alias("comp")), "marked")
+    left, right = (marked.select("cell", *[F.col(c).alias(f"{side}_{c}") for c in ("doc_id", "n_chars", "cells", "comp")]) for side in "ab")
+    apart = (F.col("a_doc_id") < F.col("b_doc_id")) & (F.col("a_comp") != F.col("b_comp"))
+    alike = F.abs(F.col("a_n_chars") - F.col("b_n_chars")) <= distance * F.greatest("a_n_chars", "b_n_chars")
+    once = F.array_min(F.array_intersect("a_cells", "b_cells")) == F.col("cell")
+    rest = left.join(right, "cell").where(apart & alike & once).select(F.col("a_doc_id").alias("a"), F.col("b_doc_id").alias("b")).distinct()
+    found = components(links.union(verified(docs, rest, distance)))
     out = docs.select("doc_id").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return out.select("doc_id", F.coalesce("component", "doc_id").alias("component"))
