@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -19,12 +20,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    parts = partition_by or []
+    df.write.partitionBy(*parts).parquet(path)
+    # Partition columns come last when read back.
+    schema = T.StructType([f for f in df.schema if f.name not in parts] + [df.schema[c] for c in parts])
+    out = spark.read.schema(schema).parquet(path)
     out._tessera_path = path
     return out
 
