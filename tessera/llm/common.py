@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.session import ship_package
-from tessera.staging import shared_dir, unstage
+from tessera.staging import stage, unstage
 
 #: Rows and characters that one call of a text function gets at most (a single longer text stands alone).
 CHUNK_ROWS, CHUNK_CHARS = 2000, 1_000_000
@@ -31,26 +31,8 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
-def stage(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera-{label}-{uuid.uuid4().hex}"
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    schema = df.schema if not partition_by else T.StructType(
-        [f for f in df.schema if f.name not in partition_by] + [df.schema[c] for c in partition_by]
-    )
-    out = spark.read.schema(schema).parquet(path)
-    out._tessera_path = path
-    return out
-
-
 def free_shuffles(spark: SparkSession) -> None:
     """Ask the driver to drop shuffle files of data frames that are no longer referenced."""
-    import gc
-
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
