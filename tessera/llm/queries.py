@@ -41,7 +41,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sentence_spans.drop_repeated_spans(load(spark, sf_dir, "documents"))
+    out = sentence_spans.drop_repeated_spans(load(spark, sf_dir, "documents"), lengthen=True)
     return out.select("doc_id", "n_sentences", "n_removed", "n_spans", digest().alias("kept_sha256"))
 
 

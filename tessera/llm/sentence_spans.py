@@ -1,12 +1,17 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences (after . ! ? and white space, and at line ends); every run of `span` consecutive
-sentences with at least `min_words` words in all is hashed over its words in lower case. Runs are joined
-globally by hash: the run at the smallest (doc_id, sentence) is the first, and every sentence covered by any
-other run of the same hash is removed. Runs are judged on the input, not on what is left.
-
-Defined results: null and empty texts have no sentence; a text with fewer sentences than a span, or shorter
-ones, loses nothing; rows that repeat a doc_id count as the same document at the same places, so each keeps
+A text is cut into sentences (after . ! ? and white space, and at line ends); runs of consecutive sentences with
+at least `min_words` words in all are hashed over their words in lower case. Runs are joined globally by hash:
+the run at the smallest (doc_id, sentence) is the first, and every sentence covered by any other run of the same
+hash is removed. Runs are judged on the input, not on what is left.
+
+With `lengthen`, as the registered query has it, the runs are the shortest of `span` sentences or more that reach
+min_words from each first sentence, and those that reach it back from each last sentence. Any repeated stretch of
+at least span sentences and min_words words is covered by such runs inside it, so all of it is found, however
+short its sentences are. Without it only runs of exactly `span` sentences are hashed.
+
+Defined results: null and empty texts have no sentence; a text with fewer sentences than a span, or fewer words
+than min_words, loses nothing; rows that repeat a doc_id count as the same document at the same places, so each keeps
 its first runs; rows without a doc_id come before all others; operator columns replace input columns of the
 same name; an empty table gives an empty result.
 """
@@ -14,6 +19,7 @@ same name; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -39,32 +45,47 @@ def sentences(text: str) -> list[str]:
     return out
 
 
-def span_hashes(parts: list[str], span: int, min_words: int) -> list[tuple[int, bytes]]:
-    """(first sentence, 128-bit hash) of each span that is long enough."""
-    if len(parts) < span:
-        return []
+def runs(sizes: list[int], span: int, min_words: int, lengthen: bool) -> list[tuple[int, int]]:
+    """(first sentence, sentence after the last) of the runs to hash, in order; sizes are words a sentence."""
+    ends = list(accumulate(sizes, initial=0))
+    n = len(sizes)
+    if not lengthen:
+        return [(i, i + span) for i in range(n - span + 1) if ends[i + span] - ends[i] >= min_words]
+    found = set()
+    j = 0
+    for i in range(n - span + 1):
+        j = max(j, i + span)
+        while j <= n and ends[j] - ends[i] < min_words:
+            j += 1
+        if j > n:
+            break
+        found.add((i, j))
+    i = 0
+    for j in range(span, n + 1):
+        while i + 1 + span <= j and ends[j] - ends[i + 1] >= min_words:
+            i += 1
+        if ends[j] - ends[i] >= min_words:
+            found.add((i, j))
+    return sorted(found)
+
+
+def span_hashes(parts: list[str], span: int, min_words: int, lengthen: bool = False) -> list[tuple[int, int, bytes]]:
+    """(first sentence, sentences, 128-bit hash) of each run that is long enough."""
     words = [p.lower().split() for p in parts]
-    sizes = [len(w) for w in words]
     bodies = [" ".join(w).encode() for w in words]
-    out = []
-    total = sum(sizes[: span - 1])
-    for i in range(len(parts) - span + 1):
-        total += sizes[i + span - 1]
-        if total >= min_words:
-            out.append((i, xxhash.xxh3_128_digest(b"\n".join(bodies[i : i + span]))))
-        total -= sizes[i]
-    return out
+    found = runs([len(w) for w in words], span, min_words, lengthen)
+    return [(i, j - i, xxhash.xxh3_128_digest(b"\n".join(bodies[i:j]))) for i, j in found]
 
 
-def document_spans(docs: DataFrame, span: int, min_words: int) -> DataFrame:
-    """(h1, h2, doc_id, pos, again): every run; again: the document holds it at an earlier place too."""
+def document_spans(docs: DataFrame, span: int, min_words: int, lengthen: bool = False) -> DataFrame:
+    """(h1, h2, doc_id, pos, size, again): every run; again: the document holds it at an earlier place too."""
 
     def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        rows, places, found, again = [], [], [], []
+        rows, places, counts, found, again = [], [], [], [], []
         for i, text in enumerate(batch.column(1).to_pylist()):
             seen: set[bytes] = set()
-            for pos, key in span_hashes(sentences(text), span, min_words) if text else ():
-                rows.append(i), places.append(pos), found.append(key), again.append(key in seen)
+            for pos, size, key in span_hashes(sentences(text), span, min_words, lengthen) if text else ():
+                rows.append(i), places.append(pos), counts.append(size), found.append(key), again.append(key in seen)
                 seen.add(key)
         pair = np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
         return {
@@ -72,17 +93,18 @@ def document_spans(docs: DataFrame, span: int, min_words: int) -> DataFrame:
             "h2": pa.array(pair[:, 1]),
             "doc_id": batch.column(0).take(pa.array(rows, pa.int64())),
             "pos": pa.array(places, pa.int32()),
+            "size": pa.array(counts, pa.int32()),
             "again": pa.array(again, pa.bool_()),
         }
 
-    outputs = T.StructType([T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), docs.schema["doc_id"], T.StructField("pos", T.IntegerType()), T.StructField("again", T.BooleanType())])
+    outputs = T.StructType([T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), docs.schema["doc_id"], T.StructField("pos", T.IntegerType()), T.StructField("size", T.IntegerType()), T.StructField("again", T.BooleanType())])
     return arrow_flat(docs.select("doc_id", "text"), run, outputs)
 
 
-def drop_repeated_spans(docs: DataFrame, span: int = 2, min_words: int = 12) -> DataFrame:
+def drop_repeated_spans(docs: DataFrame, span: int = 2, min_words: int = 12, lengthen: bool = False) -> DataFrame:
     """docs with repeated sentences gone from text, and n_sentences, n_removed, n_spans."""
     prepare(docs.sparkSession)
-    spans = document_spans(docs, span, min_words)
+    spans = document_spans(docs, span, min_words, lengthen)
     # A null doc_id comes first: min() skips nulls, so their number is counted too.
     first = spans.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"), F.count("doc_id").alias("numbered"))
     first = first.where("n > 1").select(*KEY, F.when(F.col("numbered") == F.col("n"), F.col("low")).alias("first"))
@@ -90,7 +112,7 @@ def drop_repeated_spans(docs: DataFrame, span: int = 2, min_words: int = 12) ->
         spans.join(first, KEY)
         .where(F.col("again") | ~same(F.col("doc_id"), F.col("first")))
         .groupBy("doc_id")
-        .agg(F.collect_set("pos").alias("_gone"))
+        .agg(F.collect_set(F.struct("pos", "size")).alias("_gone"))
         .select(F.col("doc_id").alias("_gone_id"), "_gone")
     )
     made = ["text", "n_sentences", "n_removed", "n_spans"]
@@ -106,7 +128,7 @@ def drop_repeated_spans(docs: DataFrame, span: int = 2, min_words: int = 12) ->
             if not starts:
                 texts.append(text), removed.append(0), runs.append(0)
                 continue
-            drop = {i + k for i in starts for k in range(span)}
+            drop = {i for run in starts for i in range(run["pos"], run["pos"] + run["size"])}
             texts.append("".join(p for i, p in enumerate(parts) if i not in drop))
             removed.append(len(drop))
             runs.append(sum(i - 1 not in drop for i in drop))

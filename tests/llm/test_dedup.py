@@ -116,6 +116,29 @@ def test_sentence_spans_odd_input(odd, empty):
     assert sentence_spans.drop_repeated_spans(odd).count() == odd.count()
 
 
+def test_sentence_spans_find_passages_of_short_sentences(spark, docs, plain):
+    rng = random.Random(8)
+    four = lambda: " ".join("".join(rng.choice("qrstuv") for _ in range(5)) for _ in range(4))
+    passage = "".join(four() + ".\n" for _ in range(13))
+    rows = [(i, f"Own start of {i} and its words.\n{passage}Own end of {i} with a few words of its own.") for i in range(3)]
+    got = {r.doc_id: (r.text, r.n_removed, r.n_spans) for r in sentence_spans.drop_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"), lengthen=True).collect()}
+    assert got == {i: (x if i == 0 else x.replace(passage, ""), 13 if i else 0, 1 if i else 0) for i, x in rows}
+
+    # Every run of two sentences or more and 12 words or more, all lengths up to 25 sentences.
+    seen, gone, parts = {}, defaultdict(set), {d: sentence_spans.sentences(t or "") for d, t in plain.items()}
+    for d in sorted(parts):
+        words = [tuple(x.lower().split()) for x in parts[d]]
+        for i in range(len(words)):
+            for j in range(i + 2, min(len(words), i + 25) + 1):
+                if sum(map(len, words[i:j])) >= 12:
+                    key = tuple(words[i:j])
+                    if key in seen:
+                        gone[d] |= set(range(i, j))
+                    seen.setdefault(key, d)
+    got = {r.doc_id: (r.text or "", r.n_removed) for r in sentence_spans.drop_repeated_spans(docs, lengthen=True).collect()}
+    assert got == {d: ("".join(x for i, x in enumerate(p) if i not in gone[d]), len(gone[d])) for d, p in parts.items()}
+
+
 def shingle_set(text, k):
     words = (text or "").encode().lower().split()
     if not words:
