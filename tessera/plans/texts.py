@@ -111,7 +111,7 @@ def capture_verdicts(t: Tables) -> DataFrame:
 def _patches(t: Tables) -> DataFrame:
     """One unified diff per order: a hunk whose lines are its lineitems."""
     mark = F.when(F.col("l_returnflag") == "A", "+").when(F.col("l_returnflag") == "R", "-").otherwise(" ")
-    rows = t.lineitem.where("l_orderkey <= 3000").select("l_orderkey", "l_linenumber", F.concat(mark, F.lit("part "), F.col("l_partkey").cast("string")).alias("x"))
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", F.concat(mark, F.lit("part "), F.col("l_partkey").cast("string")).alias("x"))
     body = rows.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "x"))), lambda r: r["x"]), "\n").alias("b"))
     k = F.col("l_orderkey").cast("string")
     head = F.concat(F.lit("diff --git a/src/o"), k, F.lit(".txt b/src/o"), k, F.lit(".txt\n--- a/x\n+++ b/x\n@@ -10,0 +20,0 @@\n"))
@@ -123,7 +123,7 @@ WITH r AS (SELECT l_orderkey AS diff_id, l_returnflag AS f, 'part ' || l_partkey
 SELECT diff_id, cast(n + 3 AS INTEGER) AS diff_line, text, coalesce(CASE WHEN f <> 'R' THEN cast(20 + coalesce(sum(CASE WHEN f <> 'R' THEN 1 ELSE 0 END) OVER (PARTITION BY diff_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) END, -1) AS new_line,
   coalesce(CASE WHEN f <> 'A' THEN cast(10 + coalesce(sum(CASE WHEN f <> 'A' THEN 1 ELSE 0 END) OVER (PARTITION BY diff_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) END, -1) AS old_line FROM r""")
 def line_numbering(t: Tables) -> DataFrame:
-    lines = diffs.diff_lines(_patches(t))
+    lines = diffs.diff_lines(_patches(t).where("diff_id <= 3000"))
     return lines.where(F.col("kind").isin("add", "del", "context")).select("diff_id", "diff_line", "text", *[F.coalesce(c, F.lit(-1)).cast("bigint").alias(c) for c in ("new_line", "old_line")])
 
 
