@@ -102,7 +102,7 @@ class Items:
         for at, item in enumerate(self.items):
             for table, (shift, mask) in zip(self.index, self.masks):
                 table[item[4] >> shift & mask].add(at)
-        self.known: dict[bytes, dict[int, tuple[float, int]]] = {}
+        self.known: dict[tuple[int, int, bytes], dict[int, tuple[float, int]]] = {}
 
     def within(self, fingerprint: int) -> set[int]:
         """Every item within the radius, found by equal blocks."""
@@ -113,7 +113,8 @@ class Items:
 
     def judge(self, ids: np.ndarray, k: int, n: int) -> dict[int, tuple[float, int]]:
         """Items that match a window, with similarity and Hamming distance."""
-        key = ids.tobytes()
+        # A window cut short by the end of its document has the same ids for items of several sizes.
+        key = (k, n, ids.tobytes())
         if key in self.known:
             return self.known[key]
         h = shingles(ids, k)

@@ -214,6 +214,15 @@ def test_multi_index_finds_all_within_radius():
             assert any(a >> s & m == b >> s & m for s, m in masks)
 
 
+def test_decontamination_of_documents_shorter_than_the_items(spark):
+    long = [f"w{i}" for i in range(33)]
+    other = long[:5] + [f"v{i}" for i in range(26)]
+    text = " ".join(long[:30])
+    bench = spark.createDataFrame([(1, " ".join(other)), (2, " ".join(long))], "item_id long, text string")
+    found = decontamination.find_hits(spark.createDataFrame([(7, text), (8, text)], "doc_id long, text string"), bench).collect()
+    assert {(r.doc_id, r.item_id, r.start, r.n_words) for r in found} == {(7, 2, 0, 33), (8, 2, 0, 33)}
+
+
 def test_decontamination_odd_input(odd, empty, spark):
     bench = spark.createDataFrame([(1, "A line that many documents share, word for word.")], "item_id long, text string")
     assert decontamination.find_hits(empty, bench).count() == 0
