@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import package_manager, path_risk, purpose, stem
+from tessera.functions.text import import_specifiers, normal_path, package_manager, path_risk, purpose, stem, strip_comments
 
 from . import graph, relational
 from .verdicts import severity_fold
@@ -17,11 +17,38 @@ EVIDENCE = ["repository", "package", "directory", "name", "import", "direct-impo
 CONFIDENCE = "case evidence_rank when 5 then 'high' when 4 then 'high' when 3 then 'medium' when 2 then 'low' when 1 then 'low' else 'fallback' end"
 
 
-def map_tests(changes: DataFrame, tests: DataFrame, imports: DataFrame, depth: int = 4) -> DataFrame:
+#: Endings tried for a local import, as such and as index files.
+EXTENSIONS = [".ts", ".tsx", ".js", ".jsx", ".mts", ".cts", ".mjs", ".cjs"]
+
+
+def import_graph(files: DataFrame) -> DataFrame:
+    """(src, dst): static imports of files (path, body) that start with a dot, each resolved to the first existing
+    candidate: the path as written, then (with .js, .jsx, .mjs or .cjs first without the ending) the bare path, the
+    path with each ending, and its index files. Other specifiers and unresolved ones make no edge."""
+    asked = files.select(F.col("path").alias("src"), F.explode(import_specifiers(strip_comments(F.col("body")))).alias("specifier")).where(F.col("specifier").startswith("."))
+    base = normal_path(F.concat_ws("/", F.regexp_extract("src", "^(.*)/[^/]*$", 1), "specifier"))
+    asked = asked.select("src", base.alias("base")).where("base is not null").distinct()
+    bare = F.regexp_replace("base", r"\.[^./]*$", "")
+    first = F.when(F.col("base").rlike(r"(?i)\.(js|jsx|mjs|cjs)$"), F.array(bare, "base")).otherwise(F.array("base", bare))
+    ends = F.array(F.lit(""), *map(F.lit, EXTENSIONS), *(F.lit(f"/index{x}") for x in EXTENSIONS))
+    tries = F.concat(F.array("base"), F.flatten(F.transform(first, lambda b: F.transform(ends, lambda e: F.concat(b, e)))))
+    found = relational.first_candidate(asked, F.array_distinct(tries), files, "path")
+    return found.where("hit is not null").select("src", F.col("hit").alias("dst")).distinct()
+
+
+def package_roots(paths: DataFrame, packages: DataFrame) -> DataFrame:
+    """paths (path) with root: the deepest of packages (root) above each path, . where there is none."""
+    roots = packages.select("root").where("root <> '.'").distinct()
+    owned = relational.nearest_ancestor(paths.select("path").distinct(), "path", roots.withColumn("_own", F.col("root")).withColumnRenamed("root", "_dir"), "_dir", "_own")
+    return owned.select("path", F.coalesce("owner", F.lit(".")).alias("root"))
+
+
+def map_tests(changes: DataFrame, tests: DataFrame, imports: DataFrame, depth: int = 4, packages: DataFrame | None = None) -> DataFrame:
     """(test, confidence, evidence, evidence_rank, n_changes, changes): tests for changed paths.
 
     Imports come from a reverse traversal of the changes; name, directory and package matches are three
-    equi-joins instead of a theta join; without any candidate all tests are returned as a fallback.
+    equi-joins instead of a theta join; without any candidate all tests are returned as a fallback. packages (root)
+    are the directories with a manifest, in which directories match too; without them no package is matched.
     """
     edges = imports.select("src", "dst", F.concat_ws(">", "src", "dst").alias("id"), F.lit("IMPORTS").alias("type"))
     reached = graph.traverse(edges, changes.select(F.col("path").alias("node")), graph.BACKWARD, depth)
@@ -33,6 +60,11 @@ def map_tests(changes: DataFrame, tests: DataFrame, imports: DataFrame, depth: i
     names = key(changes, stem(F.col("path")), "change").join(key(tests, stem(F.col("path")), "test"), "_k").select("test", "change", F.lit(3).alias("rank"))
     dirs = key(changes, folder("path"), "change").join(key(tests, folder("path"), "test"), "_k").select("test", "change", F.lit(2).alias("rank"))
     found = by_import.unionByName(names).unionByName(dirs)
+    if packages is not None:
+        inner = F.when(F.col("root") == ".", F.col("path")).otherwise(F.expr("substring(path, length(root) + 2)"))
+        own, other = (package_roots(x, packages).select("root", folder(inner).alias("_k"), F.col("path").alias(n)) for x, n in ((changes, "change"), (tests, "test")))
+        inside = F.when(F.col("a._k") == F.col("b._k"), F.when(F.col("a._k") != "", 2).otherwise(1)).otherwise(1)
+        found = found.unionByName(own.alias("a").join(other.alias("b"), "root").select("test", "change", inside.alias("rank")))
     out = found.groupBy("test").agg(F.max("rank").alias("evidence_rank"), F.array_sort(F.collect_set("change")).alias("changes"))
     if not out.limit(1).count():
         out = tests.select(F.col("path").alias("test"), F.lit(0).alias("evidence_rank"), F.array().cast("array<string>").alias("changes"))

@@ -195,15 +195,21 @@ def prefix_alias(t: Tables) -> DataFrame:
 
 @query("J22 J35 G13 A18 A19 R20 F5 G11")
 def plan_tests(t: Tables) -> DataFrame:
-    """Tests for changed sources by import path, name and directory, ranked."""
-    slug = F.regexp_replace("p_name", " ", "_")
-    sources = t.part.select(F.concat(F.lit("src/"), slug, F.lit("/part_"), F.col("p_partkey").cast("string"), F.lit(".js")).alias("path"), "p_partkey", slug.alias("s"))
-    tests = sources.where("p_partkey % 3 = 0").select(F.concat(F.lit("test/"), F.col("s"), F.lit("/part_"), F.col("p_partkey").cast("string"), F.lit(".test.js")).alias("path"))
-    deps = sources.select(F.col("p_partkey").alias("k"), "path")
-    imports = deps.alias("a").join(deps.withColumn("k", F.col("k") + 1).alias("b"), "k").select(F.col("a.path").alias("src"), F.col("b.path").alias("dst"))
-    own = sources.where("p_partkey % 3 = 0").select(F.concat(F.lit("test/"), F.col("s"), F.lit("/part_"), F.col("p_partkey").cast("string"), F.lit(".test.js")).alias("src"), F.col("path").alias("dst"))
+    """Tests for changed sources by import path, name, directory and package, ranked; each name is a package."""
+    slug, k = F.regexp_replace("p_name", " ", "_"), F.col("p_partkey")
+    root, brand = F.concat(F.lit("packages/"), slug), F.regexp_replace("p_brand", "#", "_")
+    place = lambda side, end: F.concat("root", F.lit(f"/{side}/"), "s", F.lit("/part_"), k.cast("string"), F.lit(end))
+    parts = t.part.select("p_partkey", brand.alias("s"), root.alias("root"))
+    sources = parts.select("p_partkey", place("src", ".js").alias("path"), "s", "root")
+    # Each source imports that of the part before, each test its own source.
+    up = F.lit("../../../../")
+    before = sources.select((k + 1).alias("p_partkey"), F.concat(up, F.regexp_replace("path", r"\.js$", "")).alias("asked"))
+    source_files = sources.join(before, "p_partkey", "left").select("path", F.coalesce(F.concat(F.lit("import x from '"), "asked", F.lit("';\n")), F.lit("")).alias("body"))
+    test_files = parts.where("p_partkey % 3 = 0").select(place("test", ".test.js").alias("path"), F.concat(F.lit("const x = require('"), up, place("src", ".js"), F.lit("');\n")).alias("body"))
+    imports = project.import_graph(source_files.unionByName(test_files))
+    tests, packages = test_files.select("path"), parts.select("root").distinct()
     changes = sources.where("p_partkey % 97 = 0").select("path")
-    out = project.map_tests(changes, tests, imports.unionByName(own), depth=3)
+    out = project.map_tests(changes, tests, imports, depth=3, packages=packages)
     return out.select("test", "confidence", "evidence", "n_changes", F.array_join("changes", ",").alias("changes"))
 
 

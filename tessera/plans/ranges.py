@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import structured
 from tessera.operators import intervals, ordered, packs
 from tessera.sources.files import envelope
 
@@ -151,6 +152,15 @@ def evidence_interning(t: Tables) -> DataFrame:
     return ordered.dense_tokens(words, "token", "ev-")
 
 
+@query("R25")
+def evidence_rewrite(t: Tables) -> DataFrame:
+    """A nested document per benchmark item, whose words are evidence tokens, with ids in their place."""
+    words = F.split(F.lower("text"), " ")
+    claim = F.struct(F.col("item_id").alias("claim"), words.alias("evidence"))
+    nested = F.struct(F.slice(words, 1, 3).alias("evidence"), F.array(claim).alias("claims"))
+    return t.benchmark.select("item_id", structured.evidence_rewritten(F.to_json(nested)).alias("doc"))
+
+
 @query("S19 A14 L13 R11", "SELECT 'ok' AS status, true AS complete, count(*) AS n, cast(sum(strlen('{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}')) AS BIGINT) AS bytes FROM region")
 def result_envelope(t: Tables) -> DataFrame:
     return envelope(t.region, 10_000)

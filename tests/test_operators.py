@@ -237,6 +237,13 @@ def test_pointers_and_json(spark):
     assert [r[0] for r in frame.select(structured.canonical_json("j")).collect()] == ['{"a":2,"b":1}', None, None, None]
 
 
+def test_evidence_arrays_hold_ids(spark):
+    doc = '{"a":[{"evidence":["t:z","t:a","t:z",3]},{"b":{"evidence":["t:m"]}}],"evidence":"kept","c":{"evidence":[]}}'
+    want = '{"a":[{"evidence":["ev-000001","ev-000003"]},{"b":{"evidence":["ev-000002"]}}],"evidence":"kept","c":{"evidence":[]}}'
+    frame = spark.createDataFrame([(doc,), ("x",), (None,)], "j string")
+    assert [r[0] for r in frame.select(structured.evidence_rewritten("j")).collect()] == [want, None, None]
+
+
 def test_text_functions(spark):
     frame = spark.createDataFrame([("token=abc123 x", "a/./b//../c", "../up", "src/user.test.ts", "\x1b[31mred\x1b[0m\r\nend")], "t string, p string, u string, f string, a string")
     got = frame.select(text.redact(F.col("t")), text.normal_path(F.col("p")), text.normal_path(F.col("u")), text.stem(F.col("f")), text.strip_ansi(F.col("a")), text.file_kind(F.col("f"))).first()
@@ -255,6 +262,24 @@ def test_project_plans(spark):
     assert rows(plan["minimum"], "test") == [("test/q.test.js",)] and plan["release"].count() == 3
 
 
+def test_tests_of_the_same_package(spark):
+    table = lambda data, ddl: spark.createDataFrame(data, ddl)
+    changes = table([("packages/a/src/x.js",), ("packages/c/src/u/y.js",), ("tool.js",)], "path string")
+    tests = table([(p,) for p in ("packages/a/spec/other.test.js", "packages/a/b/spec/deep.test.js", "packages/c/test/u/z.test.js", "packages/d/spec/no.test.js", "spec/top.test.js")], "path string")
+    packages, none = table([("packages/a",), ("packages/a/b",), ("packages/c",), ("packages/d",)], "root string"), table([], "src string, dst string")
+    got = rows(project.map_tests(changes, tests, none, packages=packages), "test", "evidence", "confidence")
+    assert got == [("packages/a/spec/other.test.js", "package", "low"), ("packages/c/test/u/z.test.js", "directory", "low"), ("spec/top.test.js", "package", "low")]
+
+
+def test_import_graph_resolves_specifiers(spark):
+    files = {
+        "a/x.js": "import y from './y';\nimport z from '../z.js';\nconst l = require('lib');\n// import n from './n'\n",
+        "a/y/index.ts": "export * from '../x.js'", "z.ts": "const a = require('./a/x');\nimport q from './missing'", "z.js": "", "a/n.js": "import u from '../../up'",
+    }
+    got = rows(project.import_graph(spark.createDataFrame(list(files.items()), "path string, body string")), "src", "dst")
+    assert got == [("a/x.js", "a/y/index.ts"), ("a/x.js", "z.js"), ("a/y/index.ts", "a/x.js"), ("z.ts", "a/x.js")]
+
+
 def test_manifests(spark):
     table = lambda data, ddl: spark.createDataFrame(data, ddl)
     m = table([("p", '{"packageManager":"pnpm@8.0.0","scripts":{"build":"tsc","t":"vitest"},"devDependencies":{"vitest":"1"}}'), ("q", "{}")], "path string, body string")
