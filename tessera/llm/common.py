@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -37,6 +39,44 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Tables that a worker keeps from task to task, by name. A task that asks for another one drops these first.
+_KEPT: dict[str, Any] = {}
+
+
+def free_worker() -> None:
+    """Drop what this worker keeps and give free memory back to the system."""
+    _KEPT.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def kept(name: str, make: Callable[[], Any]) -> Any:
+    """What `make` gives, kept in this worker while its tasks ask for the same name."""
+    if name not in _KEPT:
+        free_worker()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def tidy(task: Callable[[Iterator], Iterator], keeps: bool = False) -> Callable[[Iterator], Iterator]:
+    """The task, freeing the worker's memory when it ends, and first of all what earlier tasks kept there unless it
+    keeps tables itself."""
+
+    def run(batches: Iterator) -> Iterator:
+        if _KEPT and not keeps:
+            free_worker()
+        try:
+            yield from task(batches)
+        finally:
+            if not keeps:
+                free_worker()
+
+    return run
+
+
 def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
     """The batch cut so that each piece has few rows and few bytes of text."""
     column = batch.column(batch.schema.get_field_index(text))
@@ -62,6 +102,7 @@ def arrow_map(
     outputs: T.StructType,
     keep: Iterable[str] = (),
     text: str = "text",
+    keeps: bool = False,
 ) -> DataFrame:
     """df with the columns `keep` passed through untouched and those of `function` added, row by row."""
     keep = list(keep)
@@ -75,7 +116,7 @@ def arrow_map(
                 arrays = [batch.column(batch.schema.get_field_index(c)) for c in keep]
                 yield pa.RecordBatch.from_arrays(arrays + [made[n] for n in names], names=keep + names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run, keeps), schema)
 
 
 def arrow_flat(
@@ -83,6 +124,7 @@ def arrow_flat(
     function: Callable[[pa.RecordBatch], dict[str, pa.Array]],
     outputs: T.StructType,
     text: str = "text",
+    keeps: bool = False,
 ) -> DataFrame:
     """Rows made freely from each slice of df."""
     names = [f.name for f in outputs]
@@ -93,7 +135,7 @@ def arrow_flat(
                 made = function(batch)
                 yield pa.RecordBatch.from_arrays([made[n] for n in names], names=names)
 
-    return df.mapInArrow(run, outputs)
+    return df.mapInArrow(tidy(run, keeps), outputs)
 
 
 def without(df: DataFrame, names: Iterable[str]) -> list[str]:
@@ -106,35 +148,57 @@ def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(id, component) for every id in edges (a, b): component is the smallest id reachable.
+#: A key with over one HEAVY-th of all rows is joined by broadcast; at most HEAVY keys can have so many.
+HEAVY = 1000
+
+
+def hot_join(rows: DataFrame, small: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """rows joined (inner) with `small`, which has one row a key and the key's number of rows in `count`.
 
-    Alternating large-star and small-star steps, each a pre-aggregated minimum and one join; every round is
-    staged, and the loop ends when a round changes nothing. The number of rounds grows with the logarithm of
-    the longest chain.
+    total bounds the sum of the counts, so at most HEAVY keys hold more than a HEAVY-th of it each. These are
+    broadcast, and their rows are joined where they lie; all others are dealt by key. Both sides are read more than
+    once, so what is dear to compute should be staged.
     """
-    spark = edges.sparkSession
-    pairs = stage(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc"
-    )
+    heavy = small.where(F.col(count) > total // HEAVY)
+    lightly = small.where(F.col(count) <= total // HEAVY)
+    hot = rows.join(F.broadcast(heavy), keys)
+    rest = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(lightly, keys)
+    return rest.unionByName(hot)
+
+
+def components(edges: DataFrame, max_rounds: int = 60, known: DataFrame | None = None) -> DataFrame:
+    """(id, component) for every id in edges (a, b) and in known: component is the smallest id reachable.
+
+    Alternating large-star and small-star steps, each a pre-aggregated minimum and one join in which the hubs are
+    broadcast (`hot_join`); every round is staged, and the loop ends when a round changes nothing. The number of rounds
+    grows with the logarithm of the longest chain. `known` (id, component) holds the components of edges found before.
+    """
+
+    first = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    if known is not None:
+        first = first.union(known.where("id <> component").select(F.col("id").alias("u"), F.col("component").alias("v")))
+    pairs = stage(first.distinct(), "cc")
+    size = pairs.count()
     for _ in range(max_rounds):
+        if not size:
+            break
         # Large star: neighbours above u point at u's smallest neighbour or u itself.
         both = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        above = pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))
+        large = hot_join(above, low, ["u"], "n", 2 * size).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = stage(large, "cc")
         # Small star: u and its smaller neighbours point at the smallest of them.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(low, "u")
-            .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-            .select("e.u", "e.v")
-            .where("u <> v")
-            .distinct()
-        )
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        # Each pair gives the large star at most one row, so `size` bounds them.
+        near = hot_join(large, low, ["u"], "n", size)
+        small = near.select(F.col("v").alias("u"), F.col("m").alias("v")).union(near.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         new = stage(small, "cc")
-        changed = new.exceptAll(pairs).limit(1).count() + pairs.exceptAll(new).limit(1).count()
-        unstage(pairs)
-        pairs = new
+        held = new.count()
+        changed = held != size or new.join(pairs, ["u", "v"], "left_anti").limit(1).count()
+        for table in (pairs, large):
+            unstage(table)
+        pairs, size = new, held
         if not changed:
             break
     else:

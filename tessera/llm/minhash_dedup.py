@@ -9,15 +9,20 @@ with a chance of about 1e-12.
 
 Links are exact: documents of equal sets form classes, and each candidate pair of classes is confirmed on full
 sets. A bucket first links its members to its most central member (a star). Buckets that still span several
-components then compare members of different components, in two exact parts. Pairs that share a shingle held by
+components then compare members of different components, component against component, in two exact parts. Pairs that share a shingle held by
 2 to `RARE` candidates are found by joining on those shingles, which costs at most RARE rows a shingle. Other
 pairs can only share shingles held by more candidates; with c the smaller number of those, their similarity is
 at most c / (|a| + |b| - c), and bucket mates below the threshold by that bound are not paired. Nothing is
 capped; a pair inside one component needs no look.
 
+Rows of equal sets are one class, named by a 128-bit hash of the set; nothing is keyed by doc_id, which only names
+components in the end. A class, bucket or component of many rows is joined by broadcast (`hot_join`).
+
 Defined results: null, empty and blank texts have an empty set and link with nothing; a text of fewer words
-than a shingle is one shingle; rows that repeat a doc_id belong to one component; rows without a doc_id link
-with nothing and are kept; an empty table gives an empty result.
+than a shingle is one shingle; rows that repeat a doc_id are documents of their own, linked by their texts alone, so
+they may lie in different components; rows without a doc_id link with nothing and are kept; an empty table gives an
+empty result. `keep_one` leaves one row of each component: the one of least doc_id (ties: of least set name, then of
+least text name; equal rows count once).
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, components, prepare, same, stage, text_bytes, unstage
+from .common import arrow_map, components, hot_join, prepare, same, stage, text_bytes, tidy, unstage
 
 T_BINS, ROWS = 120, 3
 #: A shingle held by at most so many candidates is joined on directly.
@@ -48,20 +53,18 @@ def mix(h: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 400_000:
+        if len(self) < 100_000:
             self[word] = h
         return h
 
 
-_WORDS = WordHashes()
-
-
-def shingle_set(text: bytes, k: int) -> np.ndarray:
+def shingle_set(text: bytes, k: int, known: WordHashes | None = None) -> np.ndarray:
     """Sorted distinct 64-bit shingle hashes of a text."""
     words = text.lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    ids = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    look = xxhash.xxh3_64_intdigest if known is None else known.__getitem__
+    ids = np.fromiter(map(look, words), np.uint64, len(words))
     k = min(k, len(ids))
     n = len(ids) - k + 1
     h = ids[:n] * _ODD[0]
@@ -98,20 +101,27 @@ def band_keys(coordinates: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def set_name(items: np.ndarray) -> tuple[int, int]:
+    one, two = np.frombuffer(xxhash.xxh3_128_digest(items.tobytes()), np.int64)
+    return int(one), int(two)
+
+
+def named_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, t1, t2): t1, t2 name the text."""
+    body = F.coalesce("text", F.lit(""))
+    return docs.select("doc_id", "text", F.xxhash64(body).alias("t1"), F.xxhash64(F.lit(1), body).alias("t2"))
+
+
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, s1, s2, bands): s1, s2 name the shingle set (null for an empty one)."""
+    """(doc_id, t1, t2, n_shingles, s1, s2, bands): s1, s2 name the shingle set (null for an empty one)."""
 
     def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        sizes, first, second, bands = [], [], [], []
+        sizes, first, second, bands, known = [], [], [], [], WordHashes()
         for text in text_bytes(batch.column(1)):
-            own = shingle_set(text, k)
+            own = shingle_set(text, k, known)
             sizes.append(len(own))
-            if not len(own):
-                first.append(None), second.append(None), bands.append(None)
-                continue
-            name = np.frombuffer(xxhash.xxh3_128_digest(own.tobytes()), np.int64)
-            first.append(int(name[0])), second.append(int(name[1]))
-            bands.append(band_keys(sketch(own)))
+            one, two = set_name(own) if len(own) else (None, None)
+            first.append(one), second.append(two), bands.append(band_keys(sketch(own)) if len(own) else None)
         return {
             "n_shingles": pa.array(sizes, pa.int64()),
             "s1": pa.array(first, pa.int64()),
@@ -122,19 +132,28 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
     outputs = T.StructType(
         [T.StructField(n, T.LongType()) for n in ("n_shingles", "s1", "s2")] + [T.StructField("bands", T.ArrayType(T.LongType()))]
     )
-    return arrow_map(docs.select("doc_id", "text"), run, outputs, keep=["doc_id"])
+    return arrow_map(named_texts(docs), run, outputs, keep=["doc_id", "t1", "t2"])
 
 
-def candidate_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(rep, n, items) of the documents in ids (rep)."""
-    own = docs.select(F.col("doc_id").alias("rep"), "text").join(ids, "rep", "left_semi")
+def candidate_sets(docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """(rep, n, items): the set of each class (rep, lead, s1, s2), made from the texts of the leading documents."""
+    ids = classes.select(F.col("lead.doc_id").alias("doc_id")).distinct()
+    own = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
 
     def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        sets = [shingle_set(t, k) for t in text_bytes(batch.column(1))]
-        return {"n": pa.array([len(s) for s in sets], pa.int64()), "items": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))}
+        known = WordHashes()
+        sets = [shingle_set(t, k, known) for t in text_bytes(batch.column(1))]
+        names = [set_name(s) for s in sets]
+        return {
+            "s1": pa.array([x[0] for x in names], pa.int64()),
+            "s2": pa.array([x[1] for x in names], pa.int64()),
+            "n": pa.array([len(s) for s in sets], pa.int64()),
+            "items": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
+        }
 
-    outputs = T.StructType([T.StructField("n", T.LongType()), T.StructField("items", T.ArrayType(T.LongType()))])
-    return arrow_map(own, run, outputs, keep=["rep"])
+    outputs = T.StructType([T.StructField(n, T.LongType()) for n in ("s1", "s2", "n")] + [T.StructField("items", T.ArrayType(T.LongType()))])
+    made = arrow_map(own, run, outputs).dropDuplicates(["s1", "s2"])
+    return made.join(classes.select("rep", "s1", "s2"), ["s1", "s2"]).select("rep", "n", "items")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -161,7 +180,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
     schema = T.StructType([T.StructField("a", sets.schema["rep"].dataType), T.StructField("b", sets.schema["rep"].dataType)])
-    return both.select("a", "b", "x", "y").mapInArrow(run, schema)
+    return both.select("a", "b", "x", "y").mapInArrow(tidy(run), schema)
 
 
 def _can_reach(n: str, c: str, m: str, d: str, percent: int) -> Column:
@@ -170,35 +189,52 @@ def _can_reach(n: str, c: str, m: str, d: str, percent: int) -> Column:
     return 100 * both >= percent * (F.col(n) + F.col(m) - both)
 
 
-def _across(rows: DataFrame, key: str, shared: str, percent: int, first_of: str | None = None) -> DataFrame:
-    """Pairs (a, b) of rows of equal key in different components that may reach the threshold.
-
-    With `first_of`, an array of each row's keys, a pair is made only at the least key that both have.
-    """
-    names = ["rep", "n", shared, "comp", *([first_of] if first_of else [])]
+def _across(rows: DataFrame, key: str, shared: str, percent: int) -> DataFrame:
+    """Pairs (a, b) of rows of equal key in different components that may reach the threshold. Keys are held by few."""
+    names = ["rep", "n", shared, "comp"]
     left = rows.select(key, *[F.col(c).alias(f"a_{c}") for c in names])
     right = rows.select(key, *[F.col(c).alias(f"b_{c}") for c in names])
     apart = (F.col("a_rep") < F.col("b_rep")) & (F.col("a_comp") != F.col("b_comp"))
     wanted = apart & _can_reach("a_n", f"a_{shared}", "b_n", f"b_{shared}", percent)
-    if first_of:
-        wanted = wanted & (F.array_min(F.array_intersect(f"a_{first_of}", f"b_{first_of}")) == F.col(key))
     return left.join(right, key).where(wanted).select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
 
 
+def _between(rows: DataFrame, key: str, shared: str, percent: int, every: str) -> DataFrame:
+    """Pairs as those of `_across`, for keys held by many: the components of a key are paired, then the members of each
+    such pair, so members of one component never meet. A pair is made only at the least key in `every` of both."""
+    names = ["rep", "n", shared, every]
+    left = rows.select(key, F.col("comp").alias("a_comp"), *[F.col(c).alias(f"a_{c}") for c in names])
+    right = rows.select(key, F.col("comp").alias("b_comp"), *[F.col(c).alias(f"b_{c}") for c in names])
+    own = rows.select(key, "comp").distinct()
+    both = own.withColumnRenamed("comp", "a_comp").join(own.withColumnRenamed("comp", "b_comp"), key).where("a_comp < b_comp")
+    once = F.array_min(F.array_intersect(f"a_{every}", f"b_{every}")) == F.col(key)
+    wanted = _can_reach("a_n", f"a_{shared}", "b_n", f"b_{shared}", percent) & once
+    met = both.join(left, [key, "a_comp"]).join(right, [key, "b_comp"]).where(wanted)
+    return met.select(F.least("a_rep", "b_rep").alias("a"), F.greatest("a_rep", "b_rep").alias("b"))
+
+
 def link_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, rep) of every document, and (rep, component) of the linked class representatives."""
+    """Documents (doc_id, t1, t2, n_shingles, s1, s2) and classes (s1, s2, rows, lead), staged.
+
+    lead is the first row (doc_id, s1, s2, t1, t2) of the class's whole component.
+    """
     prepare(docs.sparkSession)
     made = stage(sketches(docs, k), "sketch")
-    named = made.where("s1 is not null and doc_id is not null")
-    classes = named.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
-    members = made.select("doc_id", "n_shingles", "s1", "s2").join(classes, ["s1", "s2"], "left").select("doc_id", "n_shingles", "rep")
-    # Bands of one document per class.
-    reps = named.join(classes, ["s1", "s2"]).where("doc_id = rep").select("rep", "bands").dropDuplicates(["rep"])
-    cells = reps.select("rep", F.explode("bands").alias("cell"))
-    shared = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("cell")
-    cells = stage(cells.join(shared, "cell"), "cells")
-
-    sets = stage(candidate_sets(docs, cells.select("rep").distinct(), k).dropDuplicates(["rep"]), "sets")
+    # An id made while the table is written is unique whatever tasks are run again.
+    classes = (
+        made.where("s1 is not null and doc_id is not null")
+        .groupBy("s1", "s2")
+        .agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct("doc_id", "s1", "s2", "t1", "t2")).alias("lead"), F.first("bands").alias("bands"))
+        .withColumn("rep", F.monotonically_increasing_id())
+    )
+    classes = stage(classes, "classes")
+    n_cells = classes.count() * (T_BINS // ROWS)
+    cells = classes.select("rep", F.explode("bands").alias("cell"))
+    shared = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    cells = stage(hot_join(cells, shared, ["cell"], "m", n_cells), "cells")
+
+    near = classes.join(cells.select("rep").distinct(), "rep", "left_semi").select("rep", "s1", "s2", "lead")
+    sets = stage(candidate_sets(docs, near, k), "sets")
     # Shingles by the number of candidates that hold them: alone, a few, or more.
     tokens = sets.select("rep", F.explode("items").alias("item"))
     held = tokens.groupBy("item").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("only")).where(F.col("m") <= RARE)
@@ -212,13 +248,13 @@ def link_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFr
     sizes = sizes.select("rep", "n", (F.col("n") - F.coalesce("u", zero)).alias("c"), (F.col("n") - F.coalesce("u", zero) - F.coalesce("w", zero)).alias("g"))
     sizes = stage(sizes, "sizes")
     able = F.col("c") * 100 >= F.col("n") * percent
-    cells_sized = cells.join(sizes.where(able), "rep").select("cell", "rep", "n", "c", "g")
+    cells_sized = cells.join(sizes.where(able), "rep").select("cell", "m", "rep", "n", "c", "g")
 
     # Star: the bucket's most central member, by its share of sharable shingles.
-    centre = cells_sized.groupBy("cell").agg(F.max(F.struct((F.col("c") / F.col("n")).alias("share"), (-F.col("rep")).alias("id"), "n", "c")).alias("top"))
-    centre = centre.select("cell", (-F.col("top.id")).alias("pivot"), F.col("top.n").alias("pn"), F.col("top.c").alias("pc"))
+    centre = cells_sized.groupBy("cell").agg(F.max("m").alias("m"), F.max(F.struct((F.col("c") / F.col("n")).alias("share"), (-F.col("rep")).alias("id"), "n", "c")).alias("top"))
+    centre = stage(centre.select("cell", "m", (-F.col("top.id")).alias("pivot"), F.col("top.n").alias("pn"), F.col("top.c").alias("pc")), "centre")
     star = (
-        cells_sized.join(centre, "cell")
+        hot_join(cells_sized.drop("m"), centre, ["cell"], "m", n_cells)
         .where((F.col("rep") != F.col("pivot")) & _can_reach("n", "c", "pn", "pc", percent))
         .select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
         .distinct()
@@ -231,28 +267,51 @@ def link_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFr
     comp = sizes.where(able).join(found, sizes["rep"] == found["id"], "left").select("rep", "n", "c", "g", label)
     comp = stage(comp, "labels")
     labelled = cells.join(comp.where(F.col("g") * 100 >= F.col("n") * percent), "rep")
-    mixed = labelled.groupBy("cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("cell")
-    open_cells = stage(labelled.join(mixed, "cell").join(reps, "rep").select("cell", "rep", "n", "g", "comp", "bands"), "open")
-    mates = _across(open_cells, "cell", "g", percent, first_of="bands")
+    mixed = labelled.groupBy("cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi").select("cell", "k")
+    open_cells = hot_join(labelled, mixed, ["cell"], "k", n_cells).join(classes.select("rep", "bands"), "rep")
+    open_cells = stage(open_cells.select("cell", "rep", "n", "g", "comp", "bands"), "open")
+    mates = _between(open_cells, "cell", "g", percent, every="bands")
     sharers = _across(few.join(comp, "rep").select("item", "rep", "n", "c", "comp"), "item", "c", percent)
     rest = mates.union(sharers).distinct()
     more = stage(confirm(rest, sets, percent), "links")
-    joined = links.select("a", "b").union(more.select("a", "b"))
-    final = stage(components(joined), "comp")
-    for table in (cells, sets, held, few, sizes, links, found, comp, open_cells, more):
+    final = stage(components(more, known=found), "comp")
+
+    leads = classes.select("rep", "s1", "s2", "rows", "lead").join(final.withColumnRenamed("id", "rep"), "rep", "left")
+    linked = leads.where("component is not null")
+    first = linked.groupBy("component").agg(F.min("lead").alias("first"), F.count(F.lit(1)).alias("k"))
+    linked = hot_join(linked, first, ["component"], "k", n_cells).select("s1", "s2", "rows", F.col("first").alias("lead"))
+    out = stage(linked.union(leads.where("component is null").select("s1", "s2", "rows", "lead")), "leads")
+    for table in (classes, cells, sets, held, few, sizes, centre, links, found, comp, open_cells, more, final):
         unstage(table)
-    return members, final.select(F.col("id").alias("rep"), "component")
+    return made.drop("bands"), out
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document; kept: the component's smallest doc_id."""
-    members, linked = link_classes(docs, k, percent)
-    out = members.join(linked, "rep", "left")
-    component = F.coalesce("component", "rep", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    made, classes = link_classes(docs, k, percent)
+    alone = F.col("s1").isNull() | F.col("doc_id").isNull()
+    named = made.where(~alone).select("doc_id", "n_shingles", "s1", "s2")
+    linked = hot_join(named, classes.select("s1", "s2", "rows", F.col("lead.doc_id").alias("component_id")), ["s1", "s2"], "rows", classes.count() + made.count())
+    rest = made.where(alone).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = linked.select("doc_id", "n_shingles", "component_id").union(rest)
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs without those that are near copies of a kept one."""
-    gone = near_duplicates(docs, k, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_gone_id")).distinct()
-    return docs.join(gone, same(docs["doc_id"], gone["_gone_id"]), "left_anti")
+    """docs without rows that are near copies of a kept one."""
+    made, classes = link_classes(docs, k, percent)
+    row = ["doc_id", "t1", "t2"]
+    named = made.where("s1 is not null and doc_id is not null").select(*row, "s1", "s2")
+    placed = hot_join(named, classes, ["s1", "s2"], "rows", made.count())
+    leading = (F.col("doc_id") == F.col("lead.doc_id")) & (F.col("t1") == F.col("lead.t1")) & (F.col("t2") == F.col("lead.t2"))
+    gone = placed.where(~leading).select(*[F.col(c).alias(f"_gone_{c}") for c in row]).distinct()
+    body = F.coalesce(docs["text"], F.lit(""))
+    hit = (docs["doc_id"] == gone["_gone_doc_id"]) & (F.xxhash64(body) == gone["_gone_t1"]) & (F.xxhash64(F.lit(1), body) == gone["_gone_t2"])
+    left = docs.join(gone, hit, "left_anti")
+    # Equal rows lead together; where there are any, one of each stays.
+    twice = named.groupBy(*row).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*[F.col(c).alias(f"_gone_{c}") for c in row])
+    if not twice.limit(1).count():
+        return left
+    twice = stage(twice, "twice")
+    hit = (left["doc_id"] == twice["_gone_doc_id"]) & (F.xxhash64(left["text"]) == twice["_gone_t1"]) & (F.xxhash64(F.lit(1), left["text"]) == twice["_gone_t2"])
+    return left.join(twice, hit, "left_anti").unionByName(left.join(twice, hit, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -181,10 +181,77 @@ def test_minhash_equals_brute_force(spark):
     assert len({c for _, c in want.values()}) < 200
 
 
+def near_rows(rows, k):
+    """The first row (doc_id, text) of each row's component by brute force over rows; null ids and empty sets alone."""
+    sets = [shingle_set(t, k) for _, t in rows]
+    up = list(range(len(rows)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and None not in (rows[i][0], rows[j][0]) and 100 * both >= 80 * len(sets[i] | sets[j]):
+                up[find(i)] = find(j)
+    groups = defaultdict(list)
+    for i in range(len(rows)):
+        groups[find(i)].append(i)
+    return [[rows[j] for j in groups[find(i)]] for i in range(len(rows))]
+
+
 def test_minhash_odd_input(odd, empty):
     assert minhash_dedup.near_duplicates(empty).count() == 0
-    assert minhash_dedup.near_duplicates(odd).count() == odd.count()
-    assert minhash_dedup.keep_one(odd).where("doc_id is null").count() == 1
+    rows = [(r.doc_id, r.text) for r in odd.collect()]
+    groups = near_rows(rows, 5)
+    want = Counter((d, len(shingle_set(t, 5)), min((x for x, _ in g if x is not None), default=None)) for (d, t), g in zip(rows, groups))
+    got = minhash_dedup.near_duplicates(odd).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+    assert all(r.kept == (r.doc_id is None or r.doc_id == r.component_id) for r in got)
+    kept = minhash_dedup.keep_one(odd)
+    assert kept.columns == odd.columns
+    texts = [(r.doc_id, r.text) for r in kept.collect()]
+    grouped = {(d, t): g for (d, t), g in zip(rows, groups) if shingle_set(t, 5) and d is not None}
+    apart = [x for x in texts if x in grouped]
+    assert sorted(min(d for d, _ in grouped[x]) for x in apart) == sorted(x[0] for x in apart) and len({id(grouped[x]) for x in apart}) == len(apart)
+    assert len(apart) == len({id(g) for g in grouped.values()}) or len(apart) == len({min(map(str, g)) for g in grouped.values()})
+    assert Counter(x for x in texts if x not in grouped) == Counter(x for x in rows if x not in grouped)
+
+
+def test_minhash_rows_of_one_doc_id_are_documents_of_their_own(spark):
+    rng = random.Random(14)
+    body = lambda: [str(rng.randint(0, 10**6)) for _ in range(60)]
+    a, z, y = body(), body(), body()
+    near = lambda w: " ".join([*w[:59], "changed"])
+    a_, z_, y_ = (" ".join(w) for w in (a, z, y))
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = minhash_dedup.keep_one(frame([(1, a_), (2, a_), (2, z_), (3, y_)])).collect()
+    assert {tuple(r) for r in left} == {(1, a_), (2, z_), (3, y_)} and len(left) == 3
+    rows = [(1, a_), (1, z_), (5, near(a)), (6, near(z)), (1, a_)]
+    assert {(r.doc_id, r.component_id) for r in minhash_dedup.near_duplicates(frame(rows)).collect()} == {(1, 1), (5, 1), (6, 1)}
+    left = minhash_dedup.keep_one(frame(rows)).collect()
+    assert {tuple(r) for r in left} == {(1, a_), (1, z_)} and len(left) == 2
+    assert {r.doc_id for r in minhash_dedup.keep_one(frame([(7, a_), (9, near(a)), (None, a_), (8, z_)])).collect()} == {7, 8, None}
+
+
+def test_minhash_does_not_depend_on_what_counts_as_rare_or_heavy(spark, monkeypatch):
+    from tessera.llm import common
+
+    rng = random.Random(19)
+    rows = []
+    for i in range(60):
+        words = [f"s{j}" for j in range(40)] + [f"r{i % 12}-{j}" for j in range(60)]
+        for _ in range(rng.randint(0, 8)):
+            words[rng.randrange(100)] = str(rng.randint(0, 99))
+        rows.append((i, " ".join(words)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = {d: c for d, (_, c) in brute_near(dict(rows)).items()}
+    for rare, heavy in ((1, 1000), (2, 10**9)):
+        monkeypatch.setattr(minhash_dedup, "RARE", rare)
+        monkeypatch.setattr(common, "HEAVY", heavy)
+        assert {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(frame, k=4).collect()} == want
 
 
 def test_sketch_estimates_similarity():
