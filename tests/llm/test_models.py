@@ -195,23 +195,96 @@ def test_decontamination_equals_brute_force(spark, docs, plain):
     want = brute_hits(texts, items)
     for block in (20_000, 4):
         got = decontamination.find_hits(frame, bench, block_items=block).collect()
-        # Weights follow the block's items, so blocks agree on hits of whole items here.
         assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
     assert len(want) >= 12
     left = {r.doc_id for r in decontamination.decontaminate(frame, bench).collect()}
     assert left == set(texts) - {d for d, _ in want}
 
 
-def test_multi_index_finds_all_within_radius():
+def test_multi_index_finds_all_within_radius_and_little_else():
     rng = random.Random(2)
-    for radius in (3, 24):
-        masks = decontamination.block_masks(radius)
-        for _ in range(200):
-            a = rng.getrandbits(64)
-            b = a
-            for bit in rng.sample(range(64), radius):
+    bits = decontamination.BITS
+    for radius, blocks in ((3, 4), (26, 9), (20, 11)):
+        items = [rng.getrandbits(bits) for _ in range(2000)]
+        index = decontamination.MultiIndex(items, radius, blocks)
+        passed = 0
+        for _ in range(60):
+            at = rng.randrange(len(items))
+            b = items[at]
+            for bit in rng.sample(range(bits), radius):
                 b ^= 1 << bit
-            assert any(a >> s & m == b >> s & m for s, m in masks)
+            assert at in index.within(b)
+            assert sorted(index.within(b)) == [i for i, x in enumerate(items) if (x ^ b).bit_count() <= radius]
+            passed += len(index.near(rng.getrandbits(bits)))
+        assert passed / (60 * len(items)) < 0.1
+
+
+def test_rolled_fingerprints_are_those_of_each_window():
+    rng = np.random.default_rng(5)
+    h = rng.integers(0, 2**63, 5000, dtype=np.uint64)
+    starts = np.array([0, 1, 2, 900, 901, 2500, 4960])
+    got = decontamination.window_fingerprints(h, 40, starts)
+    assert got == [decontamination.simhash(h[s : s + 40]) for s in starts]
+    for s, f in zip(starts, got):
+        total = decontamination.signs(h[s : s + 40]).sum(axis=0)
+        assert [f >> j & 1 for j in range(decontamination.BITS)] == [int(x > 0) for x in total]
+
+
+def test_simhash_candidates_recall_windows_of_similarity_from_the_threshold(spark):
+    """1,500 items, each planted once with edits that leave a similarity of 0.8 to 0.92: recall against brute force."""
+    rng = random.Random(77)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    items, texts, pairs = {}, {}, []
+    for i in range(1500):
+        words = [word() for _ in range(rng.choice([60, 70, 80]))]
+        items[i] = " ".join(words)
+        changed = list(words)
+        # One changed word in the middle spoils five shingles, one at the end only one.
+        changed[rng.choice([0, -1, 30])] = word()
+        if rng.random() < 0.5:
+            changed[-2] = word()
+        own = {tuple(words[j : j + 5]) for j in range(len(words) - 4)}
+        new = {tuple(changed[j : j + 5]) for j in range(len(words) - 4)}
+        if len(own & new) >= 0.8 * len(own | new) + 0.01:
+            pairs.append((i, i))
+        texts[i] = " ".join([word() for _ in range(20)] + changed + [word() for _ in range(20)])
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    found = {(r.doc_id, r.item_id) for r in decontamination.find_hits(frame, spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()}
+    assert len(pairs) > 1000 and len(set(pairs) & found) >= 0.95 * len(pairs)
+
+
+def test_decontamination_does_not_depend_on_the_blocks(spark):
+    """400 items that share a beginning, against 400 edited documents: the same hits however items are divided."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    head = [word() for _ in range(12)]
+    items, texts = {}, {}
+    for i in range(400):
+        words = head + [word() for _ in range(28)]
+        items[i] = " ".join(words)
+        for _ in range(rng.choice([1, 1, 2])):
+            words[rng.choice([0, 3, 11, 20, 38, 39])] = word()
+        texts[i] = " ".join(words)
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    want = brute_hits({d: texts[d] for d in range(0, 400, 4)}, items)
+    results = []
+    for block in (20_000, 100):
+        rows = decontamination.find_hits(frame, bench, block_items=block).collect()
+        results.append({(r.doc_id, r.item_id): (r.start, r.n_words, round(r.similarity, 9), r.distance) for r in rows})
+        found = {x for x in results[-1] if x[0] % 4 == 0}
+        assert found <= want and len(found) >= 0.9 * len(want)
+    assert results[0] == results[1] and len(results[0]) > 100
+
+
+def test_decontamination_judges_rows_without_an_id_or_of_one_id_apart(spark):
+    leak = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(None, leak), (None, "clean words only here"), (3, "clean too and more of it"), (4, leak), (4, "clean of id four"), (5, None), (6, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"_leak": F.lit("clash"), "item_id": F.lit("clash")})
+    bench = spark.createDataFrame([(1, leak), (None, "clean words only here"), (1, leak)], "item_id long, text string")
+    left = decontamination.decontaminate(frame, bench)
+    assert left.columns == frame.columns
+    assert sorted(map(str, ((r.doc_id, r.text) for r in left.collect()))) == sorted(map(str, (rows[i] for i in (1, 2, 4, 5, 6))))
 
 
 def test_decontamination_of_documents_shorter_than_the_items(spark):
@@ -227,7 +300,11 @@ def test_decontamination_odd_input(odd, empty, spark):
     bench = spark.createDataFrame([(1, "A line that many documents share, word for word.")], "item_id long, text string")
     assert decontamination.find_hits(empty, bench).count() == 0
     assert decontamination.find_hits(odd, bench.where("item_id < 0")).count() == 0
-    assert decontamination.find_hits(odd, bench).count() > 0
+    items = {1: "A line that many documents share, word for word."}
+    rows = odd.select("doc_id", "text").collect()
+    want = {rows[i].doc_id for i, _ in brute_hits({i: r.text for i, r in enumerate(rows)}, items)}
+    assert {r.doc_id for r in decontamination.find_hits(odd, bench).collect()} == want and len(want) > 5
+    assert decontamination.decontaminate(odd, bench).count() == sum(r.doc_id not in want for r in rows)
 
 
 def test_word_bpe_equals_the_tokenizer(plain):
