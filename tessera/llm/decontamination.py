@@ -2,9 +2,9 @@
 
 Words are runs of letters, digits and _ in lower case; shingles are five words (all words of a shorter item). For every
 benchmark item of n words, every window of n words of a document is a query (the whole document, if it is shorter). A
-window whose shingles cannot weigh enough for any item is passed over, which loses nothing: similarity t needs at least
-the share t of the window's weight in shingles of the benchmark, and running sums give that share for all windows at
-once. All others are fingerprinted: a `BITS`-bit SimHash of the shingle multiset, rolled along the document. A
+window whose shingles cannot weigh enough for any item of its size is passed over, which loses nothing: similarity t
+needs at least the share t of the window's weight in shingles of such items, and running sums give that share for all
+windows at once. All others are fingerprinted: a `BITS`-bit SimHash of the shingle multiset, rolled along the document. A
 multi-index cuts fingerprints into `blocks` blocks; fingerprints within `radius` agree in one block up to
 radius // blocks bits, so looking up every such neighbour of each block finds all items within the radius, and about
 6 % of the others. The exact weighted Jaccard similarity of the two shingle multisets decides. A shingle weighs
@@ -30,7 +30,7 @@ import re
 import uuid
 from collections import Counter, defaultdict
 from functools import reduce
-from itertools import combinations
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -61,10 +61,9 @@ def shingles(ids: np.ndarray, k: int) -> np.ndarray:
     return mix(reduce(np.add, (ids[j : j + n] * _ODD[j] for j in range(k))) + np.uint64(k))
 
 
-def word_ids(text: str, known: dict[str, int]) -> np.ndarray:
-    """64-bit hashes of the words of a text; `known` only saves hashing the benchmark's words again."""
-    words = WORD.findall(text.lower())
-    return np.fromiter((known.get(w) or xxhash.xxh3_64_intdigest(w.encode()) for w in words), np.uint64, len(words))
+def word_ids(words: list[str]) -> np.ndarray:
+    """64-bit hashes of words."""
+    return np.fromiter((xxhash.xxh3_64_intdigest(w.encode()) for w in words), np.uint64, len(words))
 
 
 def signs(hashes: np.ndarray) -> np.ndarray:
@@ -137,7 +136,7 @@ class Items:
         self.weight: dict[int, float] = {}
         fingerprints, sizes = [], set()
         for name, text in items:
-            ids = word_ids(text, self.word_id)
+            ids = word_ids(WORD.findall(text.lower()))
             if not len(ids):
                 continue
             k = min(SHINGLE, len(ids))
@@ -151,19 +150,22 @@ class Items:
         self.sizes = sorted(sizes)
         self.keys = np.sort(np.fromiter(self.weight, np.uint64, len(self.weight)))
         self.values = np.array([self.weight[x] for x in self.keys.tolist()])
+        # The sizes of the items that hold each shingle: those of keys[i] are own_sizes[first[i] : first[i + 1]].
+        place = {x: i for i, x in enumerate(self.keys.tolist())}
+        number = {n: i for i, (_, n) in enumerate(self.sizes)}
+        pairs = np.unique(np.array([(place[x], number[n]) for _, n, own, _ in self.items for x in own], np.int64).reshape(-1, 2), axis=0)
+        self.first, self.own_sizes = np.searchsorted(pairs[:, 0], np.arange(len(self.keys) + 1)), pairs[:, 1]
         self.seen = np.zeros(1 << 20, bool)
         self.seen[(self.keys >> np.uint64(44)).astype(np.int64)] = True
         self.index = MultiIndex(fingerprints, radius, blocks)
         self.known: dict[tuple[int, bytes], list] = {}
 
-    def known_weight(self, h: np.ndarray) -> np.ndarray:
-        """The weight of each shingle, 0 where no item of the block holds it."""
-        out = np.zeros(len(h))
+    def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(positions in h, places among keys) of the shingles that some item of the block holds."""
         maybe = np.flatnonzero(self.seen[(h >> np.uint64(44)).astype(np.int64)])
-        if len(maybe):
-            place = np.minimum(np.searchsorted(self.keys, h[maybe]), len(self.keys) - 1)
-            out[maybe] = np.where(self.keys[place] == h[maybe], self.values[place], 0.0)
-        return out
+        place = np.minimum(np.searchsorted(self.keys, h[maybe]), max(0, len(self.keys) - 1))
+        right = self.keys[place] == h[maybe] if len(maybe) else np.zeros(0, bool)
+        return maybe[right], place[right]
 
     def judge(self, h: np.ndarray, n: int, fingerprint: int) -> list[tuple[int, int, float, float, list[int]]]:
         """(item, distance, shared weight, weight of both known here, shingles unknown here) of a window's matches."""
@@ -188,30 +190,42 @@ class Items:
 
     def hits(self, text: str) -> list[tuple]:
         """(item id, first word, words, distance, shared weight, known weight, unknown shingles) of a text's windows."""
-        ids = word_ids(text, self.word_id)
+        words = WORD.findall(text.lower())
         out: list[tuple] = []
-        sums: dict[int, tuple] = {}
-        for k, n in self.sizes:
-            if len(ids) < k:
+        made: dict[int, tuple] = {}
+        # Words that no item has are 0 at first: their shingles are no item's.
+        ids = np.fromiter(map(self.word_id.get, words, repeat(0)), np.uint64, len(words))
+        found = {k: self.look_up(shingles(ids, k)) for k in {k for k, _ in self.sizes}}
+        if not any(len(at) for at, _ in found.values()):
+            return out
+        ids = word_ids(words)
+        for k, (at, place) in found.items():
+            if not len(at):
+                continue
+            h = shingles(ids, k)
+            # Running sums of the least weight that shingles can have.
+            low = np.full(len(h), self.least)
+            low[at] = self.values[place]
+            counts = self.first[place + 1] - self.first[place]
+            number = self.own_sizes[np.repeat(self.first[place] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())]
+            made[k] = h, np.concatenate([[0.0], np.cumsum(low)]), np.repeat(at, counts), np.repeat(self.values[place], counts), number
+        for i, (k, n) in enumerate(self.sizes):
+            if k not in made:
                 continue
-            if k not in sums:
-                h = shingles(ids, k)
-                own = self.known_weight(h)
-                some = own > 0
-                if some.any():
-                    # Running sums of the known weight and of the least weight of the rest.
-                    sums[k] = h, np.concatenate([[0.0], np.cumsum(own)]), np.concatenate([[0], np.cumsum(~some)])
-                else:
-                    sums[k] = None, None, None
-            h, known, rest = sums[k]
-            if h is None:
+            h, low, at, value, number = made[k]
+            mine = number == i
+            if not mine.any():
                 continue
+            # A window of n words needs its share of weight in shingles of items of n words.
+            own = np.zeros(len(h))
+            own[at[mine]] = value[mine]
+            own = np.concatenate([[0.0], np.cumsum(own)])
             size = min(n, len(ids)) - k + 1
-            weight, foreign = known[size:] - known[:-size], rest[size:] - rest[:-size]
-            starts = np.flatnonzero((weight > 0) & (weight >= self.threshold * (weight + self.least * foreign) - 1e-6))
+            weight = own[size:] - own[:-size]
+            starts = np.flatnonzero((weight > 0) & (weight >= self.threshold * (low[size:] - low[:-size]) - 1e-6))
             for start, fingerprint in zip(starts.tolist(), window_fingerprints(h, size, starts)):
-                for at, *found in self.judge(h[start : start + size], n, fingerprint):
-                    out.append((self.items[at][0], start, n, *found))
+                for item, *match in self.judge(h[start : start + size], n, fingerprint):
+                    out.append((self.items[item][0], start, n, *match))
         return out
 
 
@@ -219,7 +233,7 @@ def item_counts(items: DataFrame) -> DataFrame:
     """(h, held): shingles by the number of items that hold them, over the whole benchmark."""
 
     def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        own = [word_ids(t, {}) for t in batch.column(0).to_pylist()]
+        own = [word_ids(WORD.findall(t.lower())) for t in batch.column(0).to_pylist()]
         made = [np.unique(shingles(w, min(SHINGLE, len(w)))).view(np.int64) for w in own if len(w)]
         return {"h": pa.array(np.concatenate([np.zeros(0, np.int64), *made]))}
 
