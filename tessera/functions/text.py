@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import json
+import re
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Patterns of credentials in logs, replaced in this order.
 SECRETS = (
     (r"(?i)(authorization:\s*(?:bearer|basic)\s+)[^\s\"']+", "$1[REDACTED]"),
-    (r"(?i)\b((?:api[_-]?key|token|secret|password|passwd|pwd)\s*[=:]\s*)[^\s,;\"']+", "$1[REDACTED]"),
+    (r"(?i)([?&](?:x-amz-signature|x-amz-credential|x-goog-signature|signature|sig|access_token)=)[^\s&#\"']+", "$1[REDACTED]"),
+    (r"(?i)\b((?:api[_-]?key|token|secret|password|passwd|pwd)[\"']?\s*[=:]\s*)(?:\"[^\"]*\"|'[^']*')", "$1[REDACTED]"),
+    (r"(?i)\b((?:api[_-]?key|token|secret|password|passwd|pwd)\s*[=:]\s*)[^\s,;\"'\[]+", "$1[REDACTED]"),
+    (r"\b(?:sk-[A-Za-z0-9_-]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{30,}|github_pat_[A-Za-z0-9_]{20,})", "[REDACTED]"),
     (r"\bgh[pousr]_[A-Za-z0-9]{20,}\b", "[REDACTED]"),
     (r"\bAKIA[0-9A-Z]{16}\b", "[REDACTED]"),
     (r"(?i)([a-z][a-z0-9+.-]*://[^\s:/@]+:)[^\s@/]+@", "$1[REDACTED]@"),
@@ -103,3 +112,47 @@ def path_risk(path: Column) -> Column:
         F.when(low.rlike(r"(^|/)(auth|security|payment|migrations?)(/|\.)"), "critical").when(low.rlike(r"(^|/)(package\.json|.*lock.*|dockerfile|\.github/)"), "high")
         .when(low.rlike(r"\.(md|txt)$"), "low").otherwise("medium")
     )
+
+
+@F.pandas_udf(T.StringType())
+def normal_form(text: pd.Series) -> pd.Series:
+    """Text with composed accents (NFC)."""
+    return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
+
+
+def json_valid(text: Column) -> Column:
+    """Whether a text is one JSON value; null where there is no text."""
+    return F.when(text.isNotNull(), F.try_parse_json(text).isNotNull())
+
+
+def json_type(text: Column) -> Column:
+    """object, array, text, integer, real, true, false or null; no type for text that is not JSON."""
+    value = F.try_parse_json(text)
+    kind = F.lower(F.schema_of_variant(value))
+    return (
+        F.when(value.isNull(), F.lit(None)).when(kind.startswith("object"), "object").when(kind.startswith("array"), "array").when(kind == "string", "text")
+        .when(kind == "boolean", F.trim(text)).when(kind.isin("bigint", "decimal(20,0)"), "integer").when(kind == "void", "null").otherwise("real")
+    )
+
+
+#: Tokens of a script as far as imports need them: strings, templates, comments, names and single signs.
+SCRIPT = re.compile(r"""(?P<skip>//[^\n]*|/\*.*?(?:\*/|\Z)|\s+)|(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`)|(?P<name>[A-Za-z_$][\w$]*)|(?P<sign>.)""", re.S)
+
+
+def imported(code: str | None) -> list[str]:
+    """Specifiers of static and dynamic imports, re-exports and require calls in order, by tokens."""
+    tokens = [(m.lastgroup, m.group(0)) for m in SCRIPT.finditer(code or "") if m.lastgroup != "skip"]
+    out: list[str] = []
+    for i, (kind, value) in enumerate(tokens):
+        if kind != "string" or (value[0] == "`" and "${" in value):
+            continue
+        before = [t for _, t in tokens[max(0, i - 3) : i]]
+        called = before[-1:] == ["("] and before[-2:-1] in (["require"], ["import"]) and before[-3:-2] != ["."]
+        if (called or before[-1:] in (["from"], ["import"])) and value[1:-1] not in out:
+            out.append(value[1:-1])
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def import_tokens(code: pd.Series) -> pd.Series:
+    return pd.Series([imported(t) for t in code], dtype=object)

@@ -1,7 +1,7 @@
 """Graph queries over node and edge DataFrames: bounded traversal, closure, paths, adjacency, explanations.
 
 Traversals are frontier loops: each level is one join of the frontier with the edges and one anti join against
-what is already visited; levels are staged, so lineage stays flat and a lost executor costs one level only.
+what is already visited; levels beyond the second are staged, so lineage stays flat and a lost executor costs one level.
 """
 
 from __future__ import annotations
@@ -44,7 +44,9 @@ def traverse(
         F.col("node").alias("seed"), "node", F.lit(0).alias("distance"), F.array("node").alias("path"),
         F.array().cast("array<string>").alias("relations"), F.lit(None).cast("string").alias("via"),
     ).distinct()
-    frontier = stage(start, "frontier")
+    # Two levels are one plan; deeper searches cut lineage at every level and stop at an empty one.
+    lazy = depth is not None and depth <= 2
+    frontier = start if lazy else stage(start, "frontier")
     levels = [frontier]
     visited = frontier.select("seed", "node")
     for level in range(1, (depth if depth is not None else max_rounds) + 1):
@@ -54,8 +56,9 @@ def traverse(
         )
         fresh = found.join(visited, ["seed", "node"], "left_anti")
         best = fresh.groupBy("seed", "node").agg(F.min_by(F.struct("distance", "path", "relations", "via"), F.struct("path", "via")).alias("b"))
-        new = stage(best.select("seed", "node", "b.distance", "b.path", "b.relations", "b.via"), "frontier")
-        if not new.limit(1).count():
+        new = best.select("seed", "node", "b.distance", "b.path", "b.relations", "b.via")
+        new = new if lazy else stage(new, "frontier")
+        if not lazy and not new.limit(1).count():
             unstage(new)
             break
         levels.append(new)

@@ -65,3 +65,11 @@ def clamp(start: Column, end: Column, last: Column) -> tuple[Column, Column, Col
     """A requested range cut to [1, last], and whether it was cut."""
     low, high = F.greatest(start, F.lit(1)), F.least(end, last)
     return low, high, (low != start) | (high != end)
+
+
+def rebased(found: DataFrame, host: str) -> DataFrame:
+    """found (offset, start, end, and the host text) with host_start, host_end and host_line: ranges of an embedded part
+    that begins at `offset` of its host, in the host's offsets and lines."""
+    start, end = F.col("offset") + F.col("start"), F.col("offset") + F.col("end")
+    line = F.size(F.split(F.substring(F.col(host), F.lit(1), start), "\n", -1))
+    return found.withColumns({"host_start": start, "host_end": end, "host_line": line})

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.staging import stage
+
 UP_TO = (Window.unboundedPreceding, 0)
 BEFORE = (Window.unboundedPreceding, -1)
 
@@ -74,9 +76,20 @@ def shadowed(candidates: DataFrame, group: Sequence[str], order: Sequence[str],
 
 
 def dense_tokens(tokens: DataFrame, column: str, prefix: str, width: int = 6) -> DataFrame:
-    """Distinct tokens with dense ids in token order (for the bounded token lists of one document)."""
-    place = F.row_number().over(Window.partitionBy().orderBy(column))
-    return tokens.select(column).distinct().withColumn("token_id", F.concat(F.lit(prefix), F.lpad(place.cast("string"), width, "0")))
+    """Distinct tokens with dense ids in token order.
+
+    Tokens are numbered inside range partitions and moved by the counts of the partitions before, so no task sorts all.
+    """
+    spark = tokens.sparkSession
+    parts = tokens.select(column).distinct().repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), column)
+    parts = stage(parts.withColumn("_p", F.spark_partition_id()), "tokens")
+    total, offsets = 0, [(-1, 0)]
+    for p, n in sorted((r[0], r[1]) for r in parts.groupBy("_p").count().collect()):
+        offsets.append((p, total))
+        total += n
+    first = spark.createDataFrame(offsets, "_p int, _o long")  # one row a partition
+    place = F.row_number().over(Window.partitionBy("_p").orderBy(column)) + F.col("_o")
+    return parts.join(F.broadcast(first), "_p").select(column, F.concat(F.lit(prefix), F.lpad(place.cast("string"), width, "0")).alias("token_id"))
 
 
 def top_per_group(rows: DataFrame, by: Sequence[str], order: Sequence[Column | str], n: int) -> DataFrame:

@@ -84,11 +84,11 @@ def test_tiers(plan: DataFrame, weak: int = 2) -> dict[str, DataFrame]:
 def frameworks(manifests: DataFrame, configs: DataFrame, imports: DataFrame, known: DataFrame) -> DataFrame:
     """(path, framework, signals): frameworks by dependency, script command, config file and import."""
     deps = manifests.select("path", F.explode(F.from_json("body", "devDependencies map<string,string>")["devDependencies"]).alias("name", "version"))
-    by_dep = deps.join(F.broadcast(known), F.col("name") == F.col("package")).select("path", "framework", F.lit("dependency").alias("signal"))
+    by_dep = deps.join(known, F.col("name") == F.col("package")).select("path", "framework", F.lit("dependency").alias("signal"))
     scripts = manifests.select("path", F.explode(F.from_json("body", "scripts map<string,string>")["scripts"]).alias("script", "command"))
-    by_script = scripts.join(F.broadcast(known), F.expr("command rlike concat('\\\\b', package, '\\\\b')")).select("path", "framework", F.lit("script").alias("signal"))
-    by_config = configs.join(F.broadcast(known), F.expr("file rlike concat('^', package, '\\\\.config\\\\.')")).select("path", "framework", F.lit("config").alias("signal"))
-    by_import = imports.join(F.broadcast(known), F.col("specifier") == F.col("package")).select("path", "framework", F.lit("import").alias("signal"))
+    by_script = scripts.join(known, F.expr("command rlike concat('\\\\b', package, '\\\\b')")).select("path", "framework", F.lit("script").alias("signal"))
+    by_config = configs.join(known, F.expr("file rlike concat('^', package, '\\\\.config\\\\.')")).select("path", "framework", F.lit("config").alias("signal"))
+    by_import = imports.join(known, F.col("specifier") == F.col("package")).select("path", "framework", F.lit("import").alias("signal"))
     found = by_dep.unionByName(by_script).unionByName(by_config).unionByName(by_import)
     return found.groupBy("path", "framework").agg(F.array_sort(F.collect_set("signal")).alias("signals"))
 
@@ -127,12 +127,12 @@ def workspace_members(dirs: DataFrame, includes: list[str], excludes: list[str])
 
 
 def change_risk(changes: DataFrame, imports: DataFrame) -> DataFrame:
-    """(path, consumers, risk): by path, raised to high where many modules depend on it."""
+    """changes (path and more) with consumers and risk: by path, raised to high where many modules depend on it."""
     consumers = imports.groupBy(F.col("dst").alias("path")).agg(F.count_distinct("src").alias("_n"))
     joined = changes.join(consumers, "path", "left").withColumn("consumers", F.coalesce("_n", F.lit(0).cast("bigint")))
     own = path_risk(F.col("path"))
     risk = F.when(own.isin("critical", "high"), own).when(F.col("consumers") >= 10, "high").otherwise(own)
-    return joined.select("path", "consumers", risk.alias("risk"))
+    return joined.select(*changes.columns, "consumers", risk.alias("risk"))
 
 
 def entrypoints(exports: DataFrame, files: DataFrame) -> DataFrame:

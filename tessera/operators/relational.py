@@ -143,7 +143,7 @@ def in_subtree(path: Column, root: str) -> Column:
 
 def layered_rules(paths: DataFrame, rules: DataFrame) -> DataFrame:
     """paths (path) with `ignored`: the verdict of the last matching rule (pattern, ignored, rule_order)."""
-    matched = paths.join(F.broadcast(rules), F.expr("path rlike pattern"), "left")
+    matched = paths.join(rules, F.expr("path rlike pattern"), "left")
     return matched.groupBy("path").agg(F.coalesce(F.max_by("ignored", "rule_order"), F.lit(False)).alias("ignored"))
 
 
@@ -160,3 +160,69 @@ def glob_to_regex(pattern: str) -> str:
             out += "[^/]*" if c == "*" else "[^/]" if c == "?" else "\\" + c if c in r"\.+^$()[]{}|" else c
             i += 1
     return f"^{out}$"
+
+
+def exactly_one(asked: DataFrame, rows: DataFrame, on: Sequence[str], value: str) -> DataFrame:
+    """asked with state (missing, unique or ambiguous) and the value of the only row that a composite key names."""
+    found = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"), F.min(value).alias("_one"))
+    joined = asked.join(found, list(on), "left")
+    state = F.when(F.col("_n").isNull(), "missing").when(F.col("_n") == 1, "unique").otherwise("ambiguous")
+    return joined.select(*asked.columns, state.alias("state"), F.when(F.col("_n") == 1, F.col("_one")).alias(value))
+
+
+def single_action(resolutions: DataFrame, methods: DataFrame, actions: DataFrame) -> DataFrame:
+    """resolutions (method) with place, state and action: the method's place must have exactly one action."""
+    only = actions.groupBy("place").agg(F.count(F.lit(1)).alias("_n"), F.min("action").alias("_one"))
+    joined = resolutions.join(methods, "method").join(only, "place", "left")
+    state = F.when(F.col("_n").isNull(), "no-action").when(F.col("_n") == 1, "resolved").otherwise("ambiguous-action")
+    return joined.withColumns({"state": state, "action": F.when(F.col("_n") == 1, F.col("_one"))}).drop("_n", "_one")
+
+
+def attempts_left(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """(key, attempts, exhausted): attempts of each task against the most that are allowed."""
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("attempts")).withColumn("exhausted", F.col("attempts") >= most)
+
+
+def pinned_mismatch(plans: DataFrame, pinned: DataFrame, on: Sequence[str], source: str, pin: str) -> DataFrame:
+    """Plans whose source is not the one pinned for them."""
+    return plans.join(pinned, list(on)).where(~F.col(source).eqNullSafe(F.col(pin)))
+
+
+def prefix_alias(rows: DataFrame, name: str, aliases: DataFrame, prefix: str, separator: str) -> DataFrame:
+    """rows with each alias that equals the name or is followed in it by the separator, and the rest of the name.
+
+    Every prefix that ends before a separator is a key of its own, so this is one equi-join.
+    """
+    parts = F.split(F.col(name), "\\Q" + separator + "\\E", -1)
+    cut = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(F.array_join(F.slice(parts, 1, n), separator).alias("k"), F.array_join(F.slice(parts, n + 1, F.size(parts)), separator).alias("rest")))
+    keyed = rows.withColumn("_cut", F.explode(cut)).select(*rows.columns, F.col("_cut.k").alias(prefix), F.col("_cut.rest").alias("rest"))
+    return keyed.join(aliases.select(prefix).distinct(), prefix)
+
+
+def optimistic_update(state: DataFrame, updates: DataFrame, key: str, value: str) -> tuple[DataFrame, DataFrame]:
+    """(state after, refused): updates (key, expected, new) take effect where `expected` is the row's version.
+
+    Of several updates of one version the least new value wins; the others are refused, as are those of unknown keys.
+    """
+    joined = updates.join(state.select(key, "version"), key, "left")
+    fits = joined.where(F.col("expected") == F.col("version"))
+    chosen = fits.groupBy(key).agg(F.min("new").alias("_new"))
+    after = state.join(chosen, key, "left").withColumns({value: F.coalesce("_new", value), "version": F.col("version") + F.when(F.col("_new").isNotNull(), 1).otherwise(0)}).drop("_new")
+    judged = joined.join(chosen, key, "left")
+    reason = F.when(F.col("version").isNull(), "unknown").when(F.col("expected") != F.col("version"), "stale").when(F.col("new") != F.col("_new"), "lost")
+    return after, judged.withColumn("reason", reason).where("reason is not null").select(key, "expected", "new", "reason")
+
+
+def lease_states(grants: DataFrame, beats: DataFrame, key: str, now: Column, most: int) -> DataFrame:
+    """(key, token, holder, state): the newest grant of each lease; expired if its last heartbeat (of that token) or the
+    grant itself is more than `most` seconds before `now`."""
+    newest = grants.groupBy(key).agg(F.max(F.struct("token", "holder", "at")).alias("g")).select(key, "g.*")
+    last = beats.groupBy(key, "token").agg(F.max("at").alias("_beat"))
+    joined = newest.join(last, [key, "token"], "left").withColumn("seen", F.greatest("at", "_beat"))
+    return joined.select(key, "token", "holder", F.when(now - F.col("seen") > most, "expired").otherwise("held").alias("state"))
+
+
+def fenced(writes: DataFrame, grants: DataFrame, key: str) -> DataFrame:
+    """Writes whose fencing token is older than the newest granted: they must be refused."""
+    top = grants.groupBy(key).agg(F.max("token").alias("_top"))
+    return writes.join(top, key).where(F.col("token") < F.col("_top")).drop("_top")

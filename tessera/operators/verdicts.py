@@ -82,3 +82,9 @@ def status_merge(kinds: DataFrame, key: str, order: str, kind: str) -> DataFrame
 def attempt_numbers(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """rows with `number`: 1, 2, … per key in the given order."""
     return rows.withColumn("number", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+
+
+def checked_sum(rows: DataFrame, by: Sequence[str], counter: str, most: int) -> DataFrame:
+    """(by, total, overflow): sums of counters, and whether they exceed their bound (or a long)."""
+    total = F.sum(F.col(counter).cast("decimal(38,0)"))
+    return rows.groupBy(*by).agg(total.alias("_t")).select(*by, F.col("_t").try_cast("bigint").alias("total"), (F.col("_t") > most).alias("overflow"))

@@ -1,6 +1,6 @@
 """Registered queries and their DuckDB counterparts."""
 
-from . import evidence, graphs, packages, ranges, texts, workflow
+from . import evidence, facts, graphs, operations, packages, ranges, texts, workflow
 from .registry import COVERS, ORACLE, QUERIES
 
-__all__ = ["COVERS", "ORACLE", "QUERIES", "evidence", "graphs", "packages", "ranges", "texts", "workflow"]
+__all__ = ["COVERS", "ORACLE", "QUERIES", "evidence", "facts", "graphs", "operations", "packages", "ranges", "texts", "workflow"]

@@ -55,13 +55,13 @@ def use_edges(t: Tables) -> DataFrame:
 
 
 @query("G2 A26", """
-WITH p AS (SELECT DISTINCT 'p:' || l_partkey AS part, 'o:' || l_orderkey AS ord, l_orderkey FROM lineitem WHERE l_partkey <= 5),
+WITH p AS (SELECT DISTINCT 'p:' || l_partkey AS part, 'o:' || l_orderkey AS ord, l_orderkey FROM lineitem WHERE l_partkey % 50 = 0),
 l2 AS (SELECT part, 'c:' || o_custkey AS node, min([part, ord, 'c:' || o_custkey]) AS path FROM p JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2)
-SELECT part AS seed, part AS node, 0 AS distance, part AS path FROM (SELECT DISTINCT part FROM p UNION SELECT 'p:' || p_partkey FROM part WHERE p_partkey <= 5)
+SELECT part AS seed, part AS node, 0 AS distance, part AS path FROM (SELECT DISTINCT part FROM p UNION SELECT 'p:' || p_partkey FROM part WHERE p_partkey % 50 = 0)
 UNION ALL SELECT part, ord, 1, part || '>' || ord FROM p UNION ALL SELECT part, node, 2, array_to_string(path, '>') FROM l2""")
 def impact_paths(t: Tables) -> DataFrame:
-    """Orders and customers behind five parts with the least shortest path."""
-    seeds = t.part.where("p_partkey <= 5").select(name("p", "p_partkey").alias("node"))
+    """Orders and customers behind every fiftieth part (the seeds) with the least shortest path."""
+    seeds = t.part.where("p_partkey % 50 = 0").select(name("p", "p_partkey").alias("node"))
     out = graph.traverse(use_edges(t), seeds, graph.BACKWARD, 2)
     return out.select("seed", "node", "distance", F.array_join("path", ">").alias("path"))
 
@@ -92,12 +92,12 @@ def degrees(t: Tables) -> DataFrame:
     return graph.degrees(place_edges(t))
 
 
-@query("G5 J32", """
+@query("G5", """
 SELECT 'o:' || o_orderkey AS seed, 'r:' || n_regionkey AS node, 3 AS distance, 'o:' || o_orderkey || '>c:' || o_custkey || '>n:' || c_nationkey || '>r:' || n_regionkey AS path
-FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE o_orderkey <= 200""")
+FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE o_orderkey % 50 = 0""")
 def shortest_path_per_pair(t: Tables) -> DataFrame:
     edges = place_edges(t).unionByName(link(t.orders, name("o", "o_orderkey"), name("c", "o_custkey"), "PLACED_BY"))
-    sources = t.orders.where("o_orderkey <= 200").select(name("o", "o_orderkey").alias("node"))
+    sources = t.orders.where("o_orderkey % 50 = 0").select(name("o", "o_orderkey").alias("node"))
     targets = t.region.select(name("r", "r_regionkey").alias("node"))
     return graph.shortest_paths(edges, sources, targets, 3).select("seed", "node", "distance", F.array_join("path", ">").alias("path"))
 
@@ -139,20 +139,20 @@ def dangling_edges(t: Tables) -> DataFrame:
     return graph.dangling(edges, nodes).select("id", "node", "end")
 
 
-@query("F12", "SELECT 25::BIGINT AS matches, 'ambiguous' AS state, NULL::VARCHAR AS node")
+@query("F12", "SELECT count(*) AS matches, CASE count(*) WHEN 0 THEN 'missing' WHEN 1 THEN 'unique' ELSE 'ambiguous' END AS state, CASE WHEN count(*) = 1 THEN min('n:' || n_nationkey) END AS node FROM nation")
 def ambiguous_selector(t: Tables) -> DataFrame:
     return graph.select_node(place_nodes(t), F.col("kind") == "nation")
 
 
 @query("G7", """
-WITH RECURSIVE inc AS (SELECT p_partkey AS f, 0 AS pos, (p_partkey * 2) % 33 AS target FROM part WHERE p_partkey BETWEEN 1 AND 32 UNION ALL SELECT p_partkey, 1, (p_partkey * 3 + 1) % 33 FROM part WHERE p_partkey BETWEEN 1 AND 32),
+WITH RECURSIVE inc AS (SELECT p_partkey AS f, 0 AS pos, (p_partkey * 2) % 33 AS target FROM part UNION ALL SELECT p_partkey, 1, (p_partkey * 3 + 1) % 33 FROM part),
 x AS (SELECT 1::BIGINT AS f, [1::BIGINT] AS path, '' AS k, false AS cyc, 0 AS d UNION ALL
   SELECT inc.target, list_append(x.path, inc.target), x.k || inc.pos, list_contains(x.path, inc.target), d + 1 FROM x JOIN inc ON inc.f = x.f WHERE NOT x.cyc AND x.d < 6)
 SELECT cast(f AS VARCHAR) AS file, k AS order_key, CASE WHEN cyc THEN 'cycle' ELSE 'open' END AS state FROM x""")
 def include_expansion(t: Tables) -> DataFrame:
     """Ordered include expansion with cycles, six levels deep."""
     k = F.col("p_partkey")
-    base = t.part.where("p_partkey between 1 and 32")
+    base = t.part
     inc = base.select(k.cast("string").alias("file"), F.lit(0).alias("pos"), ((k * 2) % 33).cast("string").alias("target"))
     inc = inc.unionAll(base.select(k.cast("string").alias("file"), F.lit(1).alias("pos"), ((k * 3 + 1) % 33).cast("string").alias("target")))
     return graph.include_order(inc, "1", 6).select("file", F.array_join(F.transform("order_key", lambda x: x.cast("string")), "").alias("order_key"), "state")
@@ -175,22 +175,20 @@ def nearest_ancestor(t: Tables) -> DataFrame:
 
 
 @query("J34 J29", """
-SELECT p_partkey, coalesce((SELECT p_name FROM part q WHERE q.p_name = p.p_name || '.js' LIMIT 1), (SELECT min(q.p_name) FROM part q WHERE q.p_name = replace(p.p_name, 'small', 'red')), NULL) AS hit FROM part p WHERE p_partkey <= 300""")
+
+WITH q AS (SELECT DISTINCT p_name AS name FROM part) SELECT p_partkey, coalesce(a.name, b.name) AS hit FROM part LEFT JOIN q a ON a.name = p_name || '.js' LEFT JOIN q b ON b.name = replace(p_name, 'small', 'red')""")
 def first_candidate_lookup(t: Tables) -> DataFrame:
     """Local lookups with fallbacks: the first candidate that exists."""
     tries = F.array(F.concat("p_name", F.lit(".js")), F.regexp_replace("p_name", "small", "red"))
-    rows = t.part.where("p_partkey <= 300").select("p_partkey", "p_name")
+    rows = t.part.select("p_partkey", "p_name")
     return relational.first_candidate(rows, tries, t.part, "p_name").select("p_partkey", "hit")
 
 
-@query("J33 J31", "SELECT p.p_partkey, b.b AS prefix FROM part p JOIN (SELECT DISTINCT p_brand AS b FROM part WHERE p_brand IN ('Brand#1', 'Brand#2')) b ON p.p_brand = b.b OR starts_with(p.p_brand, b.b || '0')")
+@query("J33", "SELECT p.p_partkey, b.b AS prefix FROM part p JOIN (SELECT DISTINCT p_brand AS b FROM part WHERE p_brand IN ('Brand#1', 'Brand#2')) b ON p.p_brand = b.b OR starts_with(p.p_brand, b.b || '0')")
 def prefix_alias(t: Tables) -> DataFrame:
-    """Alias prefixes matched exactly or before a separator (here 0), as two equi-joins."""
-    alias = t.part.where("p_brand in ('Brand#1', 'Brand#2')").select(F.col("p_brand").alias("prefix")).distinct()
-    parts = t.part.select("p_partkey", "p_brand")
-    exact = parts.join(alias, F.col("p_brand") == F.col("prefix"))
-    cut = parts.withColumn("_head", F.regexp_extract("p_brand", "^(Brand#[12])0", 1)).where("_head <> ''")
-    return exact.select("p_partkey", "prefix").union(cut.join(alias, F.col("_head") == F.col("prefix")).select("p_partkey", "prefix"))
+    """Alias prefixes matched exactly or before a separator (here 0)."""
+    alias = t.part.where("p_brand in ('Brand#1', 'Brand#2')").select(F.col("p_brand").alias("prefix"))
+    return relational.prefix_alias(t.part.select("p_partkey", "p_brand"), "p_brand", alias, "prefix", "0").select("p_partkey", "prefix")
 
 
 @query("J22 J35 G13 A18 A19 R20 F5 G11")

@@ -42,7 +42,7 @@ def page_links(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.explode(markup.references(F.col("html"))).alias("target")).groupBy("page_id", "target").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("S21 S22", r"""
+@query("S13", r"""
 WITH s AS (SELECT page_id, regexp_extract_all(html, '\btrack\(([0-9]+)\)', 1) AS calls, regexp_extract_all(html, '([a-z]+)\{margin', 1) AS rules FROM pages)
 SELECT page_id, array_to_string(calls, ',') AS calls, array_to_string(rules, ',') AS rules FROM s""")
 def script_and_style_facts(t: Tables) -> DataFrame:
@@ -50,29 +50,29 @@ def script_and_style_facts(t: Tables) -> DataFrame:
     return t.pages.select("page_id", get(r"\btrack\(([0-9]+)\)").alias("calls"), get(r"([a-z]+)\{margin").alias("rules"))
 
 
-@query("S13 X33")
+@query("S13 X33", r"""
+SELECT page_id AS doc_id, 'paragraph-without-bold' AS rule, len(regexp_extract_all(html, '<p>')) - len(regexp_extract_all(html, '<p><b>')) AS n FROM pages WHERE len(regexp_extract_all(html, '<p>')) > len(regexp_extract_all(html, '<p><b>'))
+UNION ALL SELECT page_id, 'item-outside-list', 0 FROM pages WHERE html NOT LIKE '%<ul>%' AND html LIKE '%<li>%'
+UNION ALL SELECT page_id, 'list-without-item', 1 FROM pages WHERE html LIKE '%<ul></ul>%'""")
 def markup_policy(t: Tables) -> DataFrame:
-    """Lists without a direct item and items outside a list, by a tree of each page."""
+    """Lists without a direct item, items outside a list and plain paragraphs, counted by a tree of each page."""
     nodes = markup.elements(t.pages, "page_id", "html")
-    empty = markup.missing_children(nodes, "ul", "li").select("doc_id", "node", "line", F.lit("list-without-item").alias("rule"))
-    stray = markup.misplaced_children(nodes, "li", ["ul", "ol", "menu"]).select("doc_id", "node", "line", F.lit("item-outside-list").alias("rule"))
-    return empty.unionByName(stray)
+    found = markup.missing_children(nodes, "ul", "li").select("doc_id", F.lit("list-without-item").alias("rule"))
+    found = found.unionByName(markup.misplaced_children(nodes, "li", ["ul", "ol", "menu"]).select("doc_id", F.lit("item-outside-list").alias("rule")))
+    found = found.unionByName(markup.missing_children(nodes, "p", "b").select("doc_id", F.lit("paragraph-without-bold").alias("rule")))
+    return found.groupBy("doc_id", "rule").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("S13 S14")
+@query("S13", r"""
+WITH e AS (SELECT unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)[ >/]', 1)) AS tag FROM pages) SELECT tag, count(*) AS n, count(*) FILTER (tag <> 'html') AS n_nested FROM e GROUP BY tag""")
 def element_counts(t: Tables) -> DataFrame:
-    """Elements per tag and depth of nesting one level up."""
+    """Elements per tag, and how many lie inside another."""
     nodes = markup.elements(t.pages, "page_id", "html")
     return nodes.groupBy("tag").agg(F.count(F.lit(1)).alias("n"), F.count("parent").alias("n_nested"))
 
 
-@query("X32")
-def unbalanced_delimiters(t: Tables) -> DataFrame:
-    rows = t.documents.select("doc_id", F.explode(markup.unbalanced_delimiters("text")).alias("d"))
-    return rows.select("doc_id", "d.delimiter", "d.offset")
-
-
-@query("X18 S23 X19")
+@query("X18 S23", """
+SELECT 'orders_' || o_orderstatus AS table_name, count(*) AS n FROM orders GROUP BY 1 UNION ALL SELECT 'customer_' || (o_custkey % 10), count(*) FROM orders GROUP BY 1 UNION ALL SELECT 'audit', count(*) FROM orders""")
 def sql_table_refs(t: Tables) -> DataFrame:
     """Tables named in SQL scripts made of the orders: statements are split, parsed and counted."""
     script = F.concat(F.lit("WITH x AS (SELECT * FROM orders_"), F.col("o_orderstatus"), F.lit(") SELECT * FROM x JOIN customer_"), (F.col("o_custkey") % 10).cast("string"), F.lit(" c ON 1=1; DELETE FROM audit -- FROM nothing\n;"))
@@ -80,7 +80,12 @@ def sql_table_refs(t: Tables) -> DataFrame:
     return statements.select(F.explode(sqltext.sql_tables("s")).alias("table_name")).groupBy("table_name").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("S11 S12 U8 W2 W3 L11")
+@query("S11 U8 W2 W3 L11", """
+WITH l AS (SELECT cast(user_id % 20 AS VARCHAR) AS artifact, cast(event_id AS INTEGER) AS seq, event_type AS k, 'src/f' || (event_id % 7) || '.ts' AS f, event_id AS n FROM events),
+m AS (SELECT *, last_value(CASE WHEN k = 'signup' THEN f END IGNORE NULLS) OVER w AS lint, last_value(CASE WHEN k = 'purchase' THEN f END IGNORE NULLS) OVER w AS fail FROM l WINDOW w AS (PARTITION BY artifact ORDER BY seq ROWS UNBOUNDED PRECEDING))
+SELECT artifact, seq, 'compiler' AS producer, 'error' AS severity, 'compile' AS phase, 'TS2304' AS code, f AS file, cast(n AS INTEGER) AS line, 3 AS col, 'Cannot find name.' AS message FROM m WHERE k = 'error'
+UNION ALL SELECT artifact, seq, 'lint', 'warning', 'lint', 'no-unused', lint, cast(n AS INTEGER), 5, 'Unused value' FROM m WHERE k = 'click' AND lint IS NOT NULL
+UNION ALL SELECT artifact, seq, 'test', 'error', 'test', NULL, fail, NULL, NULL, 'case ' || n FROM m WHERE k = 'view'""")
 def log_diagnostics(t: Tables) -> DataFrame:
     """Compiler, lint and test lines made of the events, read back as diagnostics."""
     f = F.concat(F.lit("src/f"), (F.col("event_id") % 7).cast("string"), F.lit(".ts"))
@@ -94,7 +99,9 @@ def log_diagnostics(t: Tables) -> DataFrame:
     return logs.diagnostics(lines)
 
 
-@query("S8 A8")
+@query("S8 A8", """
+WITH u AS (SELECT user_id, count(*) FILTER (value <= 50) AS p, count(*) FILTER (value > 50) AS f FROM events GROUP BY 1)
+SELECT cast(user_id AS VARCHAR) AS artifact, CASE WHEN user_id % 5 = 0 THEN 'broken_frame' WHEN user_id % 3 = 0 THEN 'count_mismatch' ELSE 'complete' END AS state, p AS passed, CASE WHEN user_id % 3 = 0 THEN f - 1 ELSE f END AS failed FROM u""")
 def capture_verdicts(t: Tables) -> DataFrame:
     """Framed JSONL captures, one per user: header, cases, summary, end."""
     case = F.concat(F.lit('{"type":"case","status":"'), F.when(F.col("value") > 50, "fail").otherwise("pass"), F.lit('"}'))
@@ -119,15 +126,20 @@ def _patches(t: Tables) -> DataFrame:
 
 
 @query("S10 W9 R44 F7", """
-WITH r AS (SELECT l_orderkey AS diff_id, l_returnflag AS f, 'part ' || l_partkey AS text, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, CASE l_returnflag WHEN 'A' THEN '+' WHEN 'R' THEN '-' ELSE ' ' END || 'part ' || l_partkey) AS n FROM lineitem WHERE l_orderkey <= 3000)
+WITH r AS (SELECT l_orderkey AS diff_id, l_returnflag AS f, 'part ' || l_partkey AS text, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, CASE l_returnflag WHEN 'A' THEN '+' WHEN 'R' THEN '-' ELSE ' ' END || 'part ' || l_partkey) AS n FROM lineitem)
 SELECT diff_id, cast(n + 3 AS INTEGER) AS diff_line, text, coalesce(CASE WHEN f <> 'R' THEN cast(20 + coalesce(sum(CASE WHEN f <> 'R' THEN 1 ELSE 0 END) OVER (PARTITION BY diff_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) END, -1) AS new_line,
   coalesce(CASE WHEN f <> 'A' THEN cast(10 + coalesce(sum(CASE WHEN f <> 'A' THEN 1 ELSE 0 END) OVER (PARTITION BY diff_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) END, -1) AS old_line FROM r""")
 def line_numbering(t: Tables) -> DataFrame:
-    lines = diffs.diff_lines(_patches(t).where("diff_id <= 3000"))
+    lines = diffs.diff_lines(_patches(t))
     return lines.where(F.col("kind").isin("add", "del", "context")).select("diff_id", "diff_line", "text", *[F.coalesce(c, F.lit(-1)).cast("bigint").alias(c) for c in ("new_line", "old_line")])
 
 
-@query("J23 F3 F7 R49 A25")
+@query("J23 F3 F7 R49 A25", """
+WITH l AS (SELECT l_orderkey AS diff_id, 'src/o' || l_orderkey || '.txt' AS file, l_returnflag AS f, 'part ' || l_partkey AS text, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, CASE l_returnflag WHEN 'A' THEN '+' WHEN 'R' THEN '-' ELSE ' ' END || 'part ' || l_partkey) AS n FROM lineitem),
+m AS (SELECT *, 20 + count(*) FILTER (f <> 'R') OVER (PARTITION BY diff_id ORDER BY n ROWS UNBOUNDED PRECEDING) - 1 AS line FROM l),
+x AS (SELECT DISTINCT diff_id, file, 'lucky' AS rule, 'error' AS severity, line FROM m WHERE f = 'A' AND contains(text, 'part 77') UNION ALL SELECT DISTINCT diff_id, file, 'many', 'warning', line FROM m WHERE f = 'A' AND contains(text, 'part 1')
+  UNION ALL SELECT diff_id, file, 'too-many-lines', 'warning', NULL FROM m WHERE f = 'A' GROUP BY diff_id, file HAVING count(*) > 3 UNION ALL SELECT DISTINCT diff_id, file, 'protected-path', 'error', NULL FROM m WHERE file = 'src/o1.txt')
+SELECT diff_id, file, rule, severity, line, rule = 'many' AND file = 'src/o2.txt' AS excepted FROM x""")
 def patch_policy(t: Tables) -> DataFrame:
     """Protected paths, content needles and size limits over the diffs, exceptions applied."""
     spark = t.spark
@@ -138,7 +150,10 @@ def patch_policy(t: Tables) -> DataFrame:
     return diffs.policy_findings(lines, protected, needles, exceptions, 3)
 
 
-@query("R44 J37")
+@query("R44 J37", """
+WITH l AS (SELECT l_orderkey AS diff_id, 'src/o' || l_orderkey || '.txt' AS file, l_returnflag AS f, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, CASE l_returnflag WHEN 'A' THEN '+' WHEN 'R' THEN '-' ELSE ' ' END || 'part ' || l_partkey) AS n FROM lineitem),
+m AS (SELECT diff_id, file, f, 20 + count(*) FILTER (f <> 'R') OVER (PARTITION BY diff_id ORDER BY n ROWS UNBOUNDED PRECEDING) - 1 AS line FROM l),
+g AS (SELECT *, line - row_number() OVER (PARTITION BY diff_id, file ORDER BY line) AS run FROM m WHERE f = 'A') SELECT diff_id, file, min(line) AS "start", max(line) AS "end" FROM g GROUP BY diff_id, file, run""")
 def changed_ranges(t: Tables) -> DataFrame:
     return diffs.changed_ranges(diffs.diff_lines(_patches(t)))
 
@@ -192,21 +207,23 @@ def ignore_layers(t: Tables) -> DataFrame:
     return relational.layered_rules(url_paths(t).select("path").distinct(), rules)
 
 
-@query("F19 F20 X29 S2", PATHS + r"""
+@query("F20", PATHS + r"""
 SELECT page_id, CASE WHEN path LIKE '%/1%' THEN 'test' WHEN path LIKE '%/2%' THEN 'doc' ELSE 'asset' END AS kind FROM u""")
 def file_classes(t: Tables) -> DataFrame:
     kind = F.when(F.col("path").contains("/1"), "test").when(F.col("path").contains("/2"), "doc").otherwise("asset")
     return url_paths(t).select("page_id", kind.alias("kind"))
 
 
-@query("F20 F19 X29 X24 X22 X23")
+@query("X24 X22 X23", """
+SELECT p_partkey, 'part_' || p_partkey AS stem, CASE p_partkey % 5 WHEN 0 THEN 'test' WHEN 1 THEN 'lint' WHEN 2 THEN 'build' WHEN 3 THEN 'test' ELSE 'other' END AS purpose, CASE WHEN p_size % 2 = 0 THEN 'pnpm' ELSE '' END AS manager, CASE WHEN p_size % 2 = 0 THEN '8.' || p_size || '.0' ELSE '' END AS version FROM part""")
 def path_functions(t: Tables) -> DataFrame:
-    """Kinds, risks, stems and purposes of file paths made of the parts."""
+    """Stems of test paths, purposes of scripts and manager declarations made of the parts."""
     k = F.col("p_partkey")
-    path = F.concat(F.element_at(F.array(*map(F.lit, ["src/auth/", "docs/", "test/", "", "lib/"])), (k % 5 + 1).cast("int")), F.regexp_replace("p_name", " ", "_"), F.element_at(F.array(*map(F.lit, [".js", ".md", ".test.js", ".pem"])), (k % 4 + 1).cast("int")))
-    rows = t.part.select("p_partkey", path.alias("path"))
-    c = F.col("path")
-    return rows.select("p_partkey", "path", text.file_kind(c).alias("kind"), text.path_risk(c).alias("risk"), text.stem(c).alias("stem"), text.secret_like(c).alias("secret"), text.purpose(text.stem(c), c).alias("purpose"))
+    pick = lambda *values: F.element_at(F.array(*map(F.lit, values)), (k % 5 + 1).cast("int"))
+    path = F.concat(F.lit("a/b/part_"), k.cast("string"), pick(".test.js", "_test.py", "-spec.ts", ".js", ".spec.tsx"))
+    manager = text.package_manager(F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("pnpm@8."), F.col("p_size").cast("string"), F.lit(".0+sha"))).otherwise("none"))
+    rows = t.part.select("p_partkey", text.stem(path).alias("stem"), text.purpose(pick("test:unit", "format", "bundle", "x", "y"), pick("", "", "", "npx vitest run", "node y.js")).alias("purpose"), manager.alias("m"))
+    return rows.select("p_partkey", "stem", "purpose", F.col("m.name").alias("manager"), F.col("m.version").alias("version"))
 
 
 @query("X11", "SELECT page_id, list_reduce(list_prepend('', list_filter(string_split(regexp_replace(url, '^https?:', ''), '/'), lambda x: x <> '' AND x <> '.')), lambda a, b: CASE WHEN a = '' THEN b ELSE a || '/' || b END) AS path FROM pages")
@@ -214,7 +231,8 @@ def normal_paths(t: Tables) -> DataFrame:
     return t.pages.select("page_id", text.normal_path(F.regexp_replace("url", "^https?:", "")).alias("path"))
 
 
-@query("X15 X16 X17")
+@query("X15 X16", """
+SELECT specifier, count(*) AS n FROM (SELECT './' || replace(p_name, ' ', '-') AS specifier FROM part UNION ALL SELECT 'lib/' || replace(p_name, ' ', '-') FROM part) GROUP BY 1""")
 def import_facts(t: Tables) -> DataFrame:
     """Import specifiers of scripts made of the parts, comments left out."""
     n = F.regexp_replace("p_name", " ", "-")
@@ -223,7 +241,10 @@ def import_facts(t: Tables) -> DataFrame:
     return rows.groupBy("specifier").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("X20 X21")
+@query("X20", """
+WITH v AS (SELECT p_partkey, p_size % 4 AS a, p_partkey % 7 AS b, p_partkey % 3 AS c FROM part)
+SELECT p_partkey, a || '.' || b || '.' || c AS version, CASE p_partkey % 5 WHEN 0 THEN '^1.2.0' WHEN 1 THEN '~2.1' WHEN 2 THEN '>=1 <3' WHEN 3 THEN '0.x || 3.0.0' ELSE 'bad range here!' END AS wanted,
+  CASE p_partkey % 5 WHEN 0 THEN a = 1 AND b >= 2 WHEN 1 THEN a = 2 AND b = 1 WHEN 2 THEN a IN (1, 2) WHEN 3 THEN a = 0 OR (a = 3 AND b = 0 AND c = 0) END AS ok FROM v""")
 def semver_ranges(t: Tables) -> DataFrame:
     """Versions made of the line numbers against ranges."""
     v = F.concat_ws(".", (F.col("p_size") % 4).cast("string"), (F.col("p_partkey") % 7).cast("string"), (F.col("p_partkey") % 3).cast("string"))
@@ -231,7 +252,8 @@ def semver_ranges(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", v.alias("version"), wanted.alias("wanted")).withColumn("ok", structured.semver_satisfies("version", "wanted"))
 
 
-@query("X7 X9 X12 X31")
+@query("X7 X9 X12 X31", """
+SELECT event_id, '{"a":[1,2],"b":' || replace(props, ' ', '') || '}' AS canonical, json_extract_string(props, '$.k') AS k, 'a/' || event_id AS rel, 'a|''b,c''|f(d,e)' AS parts FROM events""")
 def structured_scalars(t: Tables) -> DataFrame:
     """Canonical JSON, pointers, relative paths and quoted lists over the event payloads."""
     rows = t.events.select("event_id", F.concat(F.lit('{"b":'), "props", F.lit(',"a":[1,2]}')).alias("doc"))
@@ -248,7 +270,9 @@ def content_ids(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.sha2(body, 256).alias("ident"))
 
 
-@query("S4 S25 R14 R56 R57")
+@query("S25 R14 R56", """
+SELECT 'packages/p' || s_suppkey AS path, x.script, x.purpose, CASE WHEN s_suppkey % 2 = 0 THEN 'pnpm run ' ELSE 'npm run ' END || x.script AS invocation FROM supplier, LATERAL (
+  SELECT 'test:unit' AS script, 'test' AS purpose UNION ALL SELECT 'build', 'build' UNION ALL SELECT 'x', 'lint') x""")
 def manifest_commands(t: Tables) -> DataFrame:
     """Scripts of package manifests made of the suppliers, with purpose and invocation."""
     k = F.col("s_suppkey")
@@ -258,7 +282,13 @@ def manifest_commands(t: Tables) -> DataFrame:
     return project.commands(manifests, managers.select("path", "manager"))
 
 
-@query("J21 U4 U5 U6 R41 R42 R43 A13")
+@query("J21 U5 U6 R41 R42 R43 A13", """
+WITH a AS (SELECT p_brand, max(p_size) AS mx, min(p_size) AS mn, list_sort(list(DISTINCT p_type)) AS e FROM part WHERE p_partkey % 2 = 0 GROUP BY 1),
+b AS (SELECT p_brand, max(p_size) AS mx, min(p_size) AS mn, list_sort(list(DISTINCT p_type)) AS e FROM part WHERE p_partkey % 2 = 1 GROUP BY 1),
+f AS (SELECT coalesce(a.p_brand, b.p_brand) AS pointer, a.e AS ae, b.e AS be, a.mx AS amx, b.mx AS bmx, a.mn AS amn, b.mn AS bmn FROM a FULL JOIN b ON a.p_brand = b.p_brand)
+SELECT pointer, 'enum' AS keyword, CASE WHEN be IS NULL THEN 'compatible' WHEN ae IS NULL THEN 'breaking' WHEN len(list_filter(ae, lambda x: NOT list_contains(be, x))) > 0 THEN 'breaking' ELSE 'compatible' END AS finding FROM f WHERE ae IS DISTINCT FROM be
+UNION ALL SELECT pointer, 'maximum', CASE WHEN bmx IS NULL THEN 'compatible' WHEN amx IS NULL OR bmx < amx THEN 'breaking' ELSE 'compatible' END FROM f WHERE amx IS DISTINCT FROM bmx
+UNION ALL SELECT pointer, 'minimum', CASE WHEN bmn IS NULL THEN 'compatible' WHEN amn IS NULL OR bmn > amn THEN 'breaking' ELSE 'compatible' END FROM f WHERE amn IS DISTINCT FROM bmn""")
 def schema_compare(t: Tables) -> DataFrame:
     """Two flattened schemas per brand (types and size bounds of even and odd parts) compared."""
     def side(cond: str) -> DataFrame:

@@ -343,7 +343,7 @@ def follow_events(t: Tables) -> DataFrame:
     """The log as a file-source stream, run to its end."""
     schema = t.events.schema
     keep = lambda s: s.where(F.col("event_type").isin("error", "signup")).select("event_id", "user_id", "event_type")
-    return replay_table(t.spark, t.sf_dir, schema, keep, "follow", "events.parquet")
+    return replay_table(t.spark, f"{t.sf_dir}/events.parquet", schema, keep, "follow")
 
 
 @query("R52", """

@@ -58,14 +58,14 @@ def changed_ranges(lines: DataFrame) -> DataFrame:
 
 def policy_findings(lines: DataFrame, protected: DataFrame, needles: DataFrame, exceptions: DataFrame, most_added: int) -> DataFrame:
     """Findings of a patch policy with `excepted`: protected paths (selector), content needles (rule, needle,
-    severity) on added lines, and files over a line limit; exceptions are (rule, selector). The rule tables are
-    user policies of a few rows and are broadcast."""
+    severity) on added lines, and files over a line limit; exceptions are (rule, selector). The planner
+    decides from their sizes whether rule tables are broadcast."""
     files = file_summary(lines)
     touched = files.select("diff_id", "file", F.explode(F.array_distinct(F.array("file", "old_file"))).alias("path"))
-    guarded = touched.join(F.broadcast(protected), selector_match(F.col("path"), F.col("selector"))).select("diff_id", "file", F.lit("protected-path").alias("rule"), F.lit("error").alias("severity"), F.lit(None).cast("int").alias("line")).distinct()
-    content = lines.where(F.col("kind") == "add").join(F.broadcast(needles), F.col("text").contains(F.col("needle"))).select("diff_id", "file", "rule", "severity", F.col("new_line").alias("line"))
+    guarded = touched.join(protected, selector_match(F.col("path"), F.col("selector"))).select("diff_id", "file", F.lit("protected-path").alias("rule"), F.lit("error").alias("severity"), F.lit(None).cast("int").alias("line")).distinct()
+    content = lines.where(F.col("kind") == "add").join(needles, F.col("text").contains(F.col("needle"))).select("diff_id", "file", "rule", "severity", F.col("new_line").alias("line"))
     large = files.where(F.col("added") > most_added).select("diff_id", "file", F.lit("too-many-lines").alias("rule"), F.lit("warning").alias("severity"), F.lit(None).cast("int").alias("line"))
     found = guarded.unionByName(content).unionByName(large)
     waived = exceptions.select(F.col("rule").alias("_rule"), F.col("selector").alias("_sel"))
-    joined = found.join(F.broadcast(waived), (F.col("rule") == F.col("_rule")) & selector_match(F.col("file"), F.col("_sel")), "left")
+    joined = found.join(waived, (F.col("rule") == F.col("_rule")) & selector_match(F.col("file"), F.col("_sel")), "left")
     return joined.groupBy("diff_id", "file", "rule", "severity", "line").agg(F.bool_or(F.col("_rule").isNotNull()).alias("excepted"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -90,3 +92,28 @@ def envelope(rows: DataFrame, max_bytes: int) -> DataFrame:
 def json_lines(rows: DataFrame, target: str) -> None:
     """NDJSON sink: one object a line."""
     rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).write.mode("overwrite").text(target)
+
+
+def atomic_json(rows: DataFrame, target: str) -> None:
+    """JSON cache that readers see whole or not at all: written beside the target, then renamed over it."""
+    spark = rows.sparkSession
+    aside = f"{target}.{uuid.uuid4().hex}"
+    rows.write.json(aside)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    old, new = jvm.org.apache.hadoop.fs.Path(target), jvm.org.apache.hadoop.fs.Path(aside)
+    system = old.getFileSystem(conf)
+    system.delete(old, True)
+    if not system.rename(new, old):
+        raise OSError(f"{aside} could not be renamed to {target}")
+
+
+def fitting_scopes(rows: DataFrame, scope: str, columns: list[str], max_bytes: int) -> DataFrame:
+    """rows of the scopes kept when whole scopes are dropped from the end (in name order) until the JSON fits.
+
+    Only one row a scope, its bytes, is ordered; scopes are few beside rows.
+    """
+    size = F.octet_length(F.to_json(F.struct(*columns)))
+    sizes = rows.groupBy(scope).agg(F.sum(size).alias("_bytes"))
+    upto = Window.partitionBy().orderBy(scope).rowsBetween(Window.unboundedPreceding, 0)
+    kept = sizes.withColumn("_sum", F.sum("_bytes").over(upto)).where(F.col("_sum") <= max_bytes).select(scope)
+    return rows.join(kept, scope, "left_semi")

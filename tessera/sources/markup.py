@@ -18,7 +18,7 @@ CLOSED_BY = {
     "li": {"li"}, "p": {"p", "div", "ul", "ol", "table", "h1", "h2", "h3", "section", "article", "nav"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"},
     "tr": {"tr", "tbody", "tfoot"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option", "optgroup"},
 }
-ELEMENTS = "doc_id bigint, node int, parent int, tag string, line int, attributes map<string,string>"
+ELEMENTS = "doc_id bigint, node int, parent int, tag string, line int, attributes map<string,string>, form int"
 
 
 class _Tree(HTMLParser):
@@ -31,7 +31,8 @@ class _Tree(HTMLParser):
         if self.stack and tag in CLOSED_BY.get(self.stack[-1][1], ()):
             self.stack.pop()
         number = len(self.rows)
-        self.rows.append((number, self.stack[-1][0] if self.stack else None, tag, self.getpos()[0], {k: v or "" for k, v in attrs}))
+        form = next((n for n, t in reversed(self.stack) if t == "form"), None)
+        self.rows.append((number, self.stack[-1][0] if self.stack else None, tag, self.getpos()[0], {k: v or "" for k, v in attrs}, form))
         if tag not in VOID:
             self.stack.append((number, tag))
 
@@ -43,7 +44,8 @@ class _Tree(HTMLParser):
 
 
 def elements(pages: DataFrame, ident: str, html: str) -> DataFrame:
-    """Element rows (doc_id, node, parent, tag, line, attributes) of each document, by a stack machine."""
+    """Element rows (doc_id, node, parent, tag, line, attributes, form) of each document, by a stack machine; form is the
+    innermost form around the element."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -53,8 +55,8 @@ def elements(pages: DataFrame, ident: str, html: str) -> DataFrame:
                 tree.feed(text or "")
                 tree.close()
                 rows.extend((doc, *r) for r in tree.rows)
-            out = pd.DataFrame(rows, columns=["doc_id", "node", "parent", "tag", "line", "attributes"])
-            out["parent"] = out["parent"].astype("Int32")
+            out = pd.DataFrame(rows, columns=["doc_id", "node", "parent", "tag", "line", "attributes", "form"])
+            out[["parent", "form"]] = out[["parent", "form"]].astype("Int32")
             yield out
 
     return pages.select(F.col(ident).cast("bigint").alias("i"), F.col(html).alias("h")).mapInPandas(run, ELEMENTS)
@@ -136,3 +138,34 @@ def unclosed_tags(text: str) -> list[str]:
         else:
             bad.append((m.start(), "/" + name))
     return [n for _, n in sorted(bad + stack)]
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def unclosed_tag_names(html: pd.Series) -> pd.Series:
+    return pd.Series([unclosed_tags(t) for t in html], dtype=object)
+
+
+#: Where the target of each kind of page part stands.
+PARTS = [("a", "link", "href"), ("script", "script", "src"), ("link", "style", "href"), ("img", "image", "src"), ("iframe", "frame", "src")]
+
+
+def page_parts(nodes: DataFrame) -> DataFrame:
+    """(doc_id, node, kind, target, fields, method) of links, scripts, style sheets, images, frames and forms.
+
+    A form's fields are the names of the controls below it at any depth, in order; a control belongs to the innermost
+    form around it. Elements without a target are left out, forms are not.
+    """
+    kind, target = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for tag, label, attribute in PARTS:
+        hit = F.col("tag") == tag
+        if tag == "link":
+            hit = hit & F.lower(F.coalesce(F.col("attributes")["rel"], F.lit(""))).contains("stylesheet")
+        kind, target = F.when(hit, label).otherwise(kind), F.when(hit, F.col("attributes")[attribute]).otherwise(target)
+    plain = nodes.select("doc_id", "node", kind.alias("kind"), target.alias("target"), F.lit("").alias("fields"), F.lit(None).cast("string").alias("method")).where("kind is not null and target is not null")
+    method = F.upper(F.coalesce(F.col("attributes")["method"], F.lit("GET")))
+    forms = nodes.where("tag = 'form'").select("doc_id", "node", F.coalesce(F.col("attributes")["action"], F.lit("")).alias("target"), method.alias("method"))
+    controls = nodes.where(F.col("tag").isin("input", "select", "textarea", "button") & F.col("attributes")["name"].isNotNull())
+    own = controls.where("form is not null").groupBy("doc_id", F.col("form").alias("node")).agg(F.array_sort(F.collect_list(F.struct(F.col("node").alias("at"), F.col("attributes")["name"].alias("name")))).alias("c"))
+    fields = F.coalesce(F.array_join(F.transform("c", lambda x: x["name"]), ","), F.lit(""))
+    made = forms.join(own, ["doc_id", "node"], "left").select("doc_id", "node", F.lit("form").alias("kind"), "target", fields.alias("fields"), "method")
+    return plain.unionByName(made)

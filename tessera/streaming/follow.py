@@ -66,10 +66,17 @@ def request_conflicts(requests: DataFrame, key: str, digest: str) -> DataFrame:
     return duplicates(requests.select(key, digest).distinct(), [key])
 
 
-def replay_table(spark: SparkSession, source: str, schema, transform, label: str, files: str = "*.parquet") -> DataFrame:
-    """Run a stream over what the folder holds now, to its end, and return the sink's rows."""
+def replay_table(spark: SparkSession, table: str, schema, transform, label: str) -> DataFrame:
+    """Run a stream over what a Parquet table (a folder of parts, or one file) holds now, to its end, and return the
+    sink's rows."""
     run = f"{shared_dir(spark)}/tessera-stream-{label}-{uuid.uuid4().hex}"
-    out = transform(follow(spark, source, schema, files=files))
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        stream = follow(spark, table, schema, files_per_batch=1000)
+    else:
+        # A file source reads folders: the table's own file is picked out of its folder.
+        stream = follow(spark, path.getParent().toString(), schema, files=path.getName())
+    out = transform(stream)
     query = out.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{run}/checkpoint").trigger(availableNow=True).start(f"{run}/rows")
     query.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{run}/rows")

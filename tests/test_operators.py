@@ -338,3 +338,65 @@ def test_write_effects_and_shadowing(spark):
     assert got == [(1, "unresolved", None), (10, "consumes", 3), (2, "produces", None), (3, "overrides", 2)]
     c = spark.createDataFrame([("d", 1, ""), ("d", 2, "x"), ("d", 3, "y")], "dir string, n int, body string")
     assert rows(ordered.shadowed(c, ["dir"], ["n"], F.col("body") == ""), "n", "state") == [(1, "empty"), (2, "selected"), (3, "shadowed")]
+
+
+def test_stream_reads_a_table_of_many_parts(spark, tmp_path):
+    from tessera.plans import QUERIES
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    want = events.where("event_type in ('error', 'signup')").count()
+    assert QUERIES["follow_events"](spark, str(tmp_path)).count() == want == QUERIES["follow_events"](spark, "/root/testdata/sf0.001").count()
+
+
+def test_redaction_cases():
+    import re
+
+    from tessera.functions.text import SECRETS
+
+    def redact(line):
+        for pattern, replacement in SECRETS:
+            line = re.sub(pattern, replacement.replace("$1", r"\1"), line)
+        return line
+
+    assert redact("PASSWORD = 'a b\nc' x") == "PASSWORD = [REDACTED] x"
+    assert redact('{"api_key": "abc def"}') == '{"api_key": [REDACTED]}'
+    assert redact("https://h/x?sig=ab12&x=1") == "https://h/x?sig=[REDACTED]&x=1"
+    assert redact("xoxb-123456789012-abc and github_pat_" + "a1" * 15) == "[REDACTED] and [REDACTED]"
+    assert redact("secret: one, two") == "secret: [REDACTED], two"
+    assert redact("a skiing tokenizer: fine") == "a skiing tokenizer: fine"
+
+
+def test_cfml_scan_knows_comments_strings_and_blocks():
+    from tessera.sources.cfml import scan
+
+    source = """<!--- <cfset a = b()> --->
+<cfif isDefined('x(') and y()>don't call(1) #a.b#</cfif>
+<cfscript>/* f( */ if (g("h(")) { function k() {} }
+</cfscript>m()"""
+    assert scan(source) == [
+        ("tag", "cfif", 2), ("call", "isDefined", 2), ("call", "y", 2), ("variable", "a.b", 2), ("call", "g", 3), ("function", "k", 3),
+    ]
+    assert scan("") == [] and scan("<cfoutput>#x#") == [("tag", "cfoutput", 1), ("variable", "x", 1)]
+
+
+def test_import_tokens_are_no_strings():
+    from tessera.functions.text import imported
+
+    assert imported("import a from 'b'; import 'c'; export { d } from \"e\"; const f = require('g'); h.require('i'); 'from' + 'j'; import(`k`); import(`${l}`)") == ["b", "c", "e", "g", "k"]
+    assert imported(None) == [] and imported("// import 'x'\n/* from 'y' */ const s = \"import z from 'w'\"") == []
+
+
+def test_updates_leases_and_fences(spark):
+    from tessera.operators import relational
+
+    state = spark.createDataFrame([(1, "a", 3), (2, "b", 1)], "k long, v string, version int")
+    updates = spark.createDataFrame([(1, 3, "x"), (1, 3, "y"), (2, 5, "z"), (9, 1, "q")], "k long, expected int, new string")
+    after, refused = relational.optimistic_update(state, updates, "k", "v")
+    assert {tuple(r) for r in after.select("k", "v", "version").collect()} == {(1, "x", 4), (2, "b", 1)}
+    assert {(r.k, r.new, r.reason) for r in refused.collect()} == {(1, "y", "lost"), (2, "z", "stale"), (9, "q", "unknown")}
+    grants = spark.createDataFrame([(1, 1, "a", 10), (1, 2, "b", 20), (2, 1, "c", 5)], "k long, token long, holder string, at long")
+    beats = spark.createDataFrame([(1, 1, 99), (1, 2, 40), (2, 1, 6)], "k long, token long, at long")
+    assert {tuple(r) for r in relational.lease_states(grants, beats, "k", F.lit(50), 15).collect()} == {(1, 2, "b", "held"), (2, 1, "c", "expired")}
+    writes = spark.createDataFrame([(1, 1), (1, 2), (2, 1)], "k long, token long")
+    assert {tuple(r) for r in relational.fenced(writes, grants, "k").collect()} == {(1, 1)}
