@@ -1,35 +1,38 @@
 """Language identification by string kernels.
 
 A text is the set of its character n-grams (lengths 1 to 3, lower case), hashed to a fixed number of bits: the
-blended-spectrum presence kernel counts common n-grams and is normalised by the set sizes. Landmarks of each
-language give a Nystroem map of the kernel, a one-versus-rest ridge regression is fitted on it in closed form,
-and texts are scored batch by batch as matrix products.
-
-Only a bounded sample is used for learning (`per_lang` texts of each language, `landmarks` of them as
-landmarks). Defined results: a null text or one without a letter is `und` with score 0; without training rows
-every text is `und`; rows that repeat a doc_id are scored one by one; operator columns replace input columns of
-the same name.
+blended-spectrum presence kernel counts common n-grams and is normalised by the set sizes. A text of more than `WINDOW`
+characters is the mean of the vectors of its windows, since the bits of a very long text would nearly all be set; all of
+it is read. Landmarks of each language give a Nystroem map of the kernel, a one-versus-rest ridge regression is fitted
+on it in closed form, and texts are scored batch by batch as matrix products.
+
+Bounds: every language of the training rows is learned, from at most `per_lang` texts (one row of a doc_id: the least
+text), of which landmarks // languages, at least one, are its landmarks. Texts stay in the tasks; the driver gets a
+vector of 2^BITS numbers for each landmark and the kernel values of the sample. Defined results: a null text or one
+without a letter is `und` with score 0; without training rows every text is `und`; rows that repeat a doc_id are scored
+one by one; ties go to the first language by name; operator columns replace input columns of the same name.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, prepare, without
-from .sampling import bounded_sample, fold, sample_texts
+from .common import arrow_map, prepare, stage, unstage, without
+from .sampling import bounded_sample, fold, sampled_rows
 
-#: Hashed n-gram space and texts of one matrix product.
-BITS, BATCH = 15, 64
+#: Hashed n-gram space, texts of one matrix product, and characters of a window.
+BITS, BATCH, WINDOW = 15, 64, 1 << 14
 
 
-def presence(text: str, row: np.ndarray) -> bool:
-    """Set row at the hashed n-grams of text; False if the text has no letter."""
-    low = text.lower()
-    code = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
+def presence(text: str, row: np.ndarray) -> None:
+    """Set row at the hashed n-grams of a lower-case text."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     shift = np.uint32(32 - BITS)
     for n in (1, 2, 3):
         if len(code) < n:
@@ -39,72 +42,132 @@ def presence(text: str, row: np.ndarray) -> bool:
             h = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA77) + code[k : len(code) - n + 1 + k] * np.uint32(0xC2B2AE3D)
         h = (h ^ (h >> np.uint32(13))) * np.uint32(0x27D4EB2F + 2 * n)
         row[h >> shift] = 1
-    return any(map(str.isalpha, low))
-
-
-def kernel(rows: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
-    """Normalised presence kernel between texts and landmarks (columns already divided by their norms)."""
-    size = np.sqrt(np.maximum(rows.sum(axis=1, dtype=np.float64), 1))
-    return (rows @ landmarks) / size[:, None].astype(np.float32)
 
 
-def fit_arrays(texts: list[str], langs: list[str], landmarks: int, ridge: float = 1e-3) -> dict | None:
+def windows(text: str) -> list[str]:
+    """The text in lower case, cut so that no n-gram is lost."""
+    low = text.lower()
+    return [low[a : a + WINDOW + 2] for a in range(0, max(1, len(low) - 2), WINDOW)]
+
+
+def blocks(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(text of each row, its part of the text, normalised presence rows) in blocks of at most BATCH rows.
+
+    Texts without a letter have no row. The rows of a block are valid until the next one.
+    """
+    rows = np.zeros((BATCH, 1 << BITS), np.float32)
+    held: list[tuple[int, float]] = []
+
+    def block() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        part = rows[: len(held)]
+        part /= np.sqrt(np.maximum(part.sum(axis=1, keepdims=True, dtype=np.float64), 1)).astype(np.float32)
+        return np.array([h[0] for h in held]), np.array([h[1] for h in held]), part
+
+    for i, text in enumerate(texts):
+        if not text or not any(map(str.isalpha, text)):
+            continue
+        parts = windows(text)
+        for part in parts:
+            presence(part, rows[len(held)])
+            held.append((i, 1 / len(parts)))
+            if len(held) == BATCH:
+                yield block()
+                rows[:] = 0
+                held.clear()
+    if held:
+        yield block()
+
+
+def vectors(texts: list[str | None]) -> np.ndarray:
+    """The kernel's vector of each text."""
+    out = np.zeros((len(texts), 1 << BITS), np.float32)
+    for at, share, rows in blocks(texts):
+        for i, s, row in zip(at, share, rows):
+            out[i] += np.float32(s) * row
+    return out
+
+
+def kernel(texts: list[str | None], landmarks: np.ndarray) -> np.ndarray:
+    """Kernel of each text with each landmark (a column)."""
+    out = np.zeros((len(texts), landmarks.shape[1]))
+    for at, share, rows in blocks(texts):
+        np.add.at(out, at, share[:, None] * (rows @ landmarks))
+    return out
+
+
+def ridge(k: np.ndarray, langs: list[str], land: np.ndarray, penalty: float = 1e-3) -> dict:
+    """The model from kernel values of training texts and the landmarks' vectors (columns)."""
     names = sorted(set(langs))
-    if not names:
-        return None
-    by = {n: [i for i, x in enumerate(langs) if x == n] for n in names}
-    share = max(1, landmarks // len(names))
-    marks = [i for n in names for i in by[n][:share]]
-    land = np.zeros((len(marks), 1 << BITS), np.float32)
-    for r, i in enumerate(marks):
-        presence(texts[i], land[r])
-    land = (land / np.sqrt(np.maximum(land.sum(axis=1, keepdims=True), 1))).T.copy()
-    gram = land.T @ land
-    value, vector = np.linalg.eigh(gram.astype(np.float64))
+    value, vector = np.linalg.eigh((land.T @ land).astype(np.float64))
     inverse_root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-6))) @ vector.T
-    k = np.zeros((len(texts), len(marks)))
-    for at in range(0, len(texts), BATCH):
-        rows = np.zeros((min(BATCH, len(texts) - at), 1 << BITS), np.float32)
-        for r in range(len(rows)):
-            presence(texts[at + r], rows[r])
-        k[at : at + len(rows)] = kernel(rows, land)
-    phi = np.concatenate([k @ inverse_root, np.ones((len(texts), 1))], axis=1)
+    phi = np.concatenate([k @ inverse_root, np.ones((len(k), 1))], axis=1)
     target = np.array([[1.0 if x == n else -1.0 for n in names] for x in langs])
-    weight = np.array([1 / len(by[x]) for x in langs])[:, None]
-    weight *= len(texts) / weight.sum()
-    left = phi.T @ (phi * weight) + ridge * len(texts) * np.eye(phi.shape[1])
+    weight = np.array([1 / langs.count(n) for n in names])[[names.index(x) for x in langs]][:, None]
+    weight *= len(langs) / weight.sum()
+    left = phi.T @ (phi * weight) + penalty * len(langs) * np.eye(phi.shape[1])
     w = np.linalg.solve(left, phi.T @ (target * weight))
     return {"names": names, "land": land, "map": inverse_root @ w[:-1], "bias": w[-1]}
 
 
+def with_kernel(spark: SparkSession, rows: DataFrame, land: np.ndarray) -> DataFrame:
+    """rows with k, their kernel values with the landmarks."""
+    shared = spark.sparkContext.broadcast(land)  # 2^BITS numbers a landmark
+
+    def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        return {"k": pa.array(list(kernel(batch.column(batch.schema.get_field_index("text")).to_pylist(), shared.value)), pa.list_(pa.float64()))}
+
+    return arrow_map(rows, run, T.StructType([T.StructField("k", T.ArrayType(T.DoubleType()))]), keep=[c for c in rows.columns if c != "text"])
+
+
 def fit(docs: DataFrame, per_lang: int = 500, landmarks: int = 96, parts: int = 3, held: int = 1) -> dict | None:
     """Learn from at most per_lang texts of each language outside the held-out fold."""
+    spark = docs.sparkSession
     use = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & (fold("doc_id", parts) != held))
-    rows = sample_texts(docs, bounded_sample(use, "doc_id", "lang", per_lang))
-    rows = [r for r in rows if any(map(str.isalpha, r[2]))]
-    return fit_arrays([r[2] for r in rows], [r[1] for r in rows], landmarks)
+    sample = bounded_sample(use, "doc_id", "lang", per_lang)
+    if not sample:
+        return None
+    rows = sampled_rows(docs.where(F.col("text").rlike(r"\p{L}")), sample).withColumnRenamed("_stratum", "lang")
+    rows = stage(rows, "language-rows")
+
+    def vector(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        return {"v": pa.array([v.tobytes() for v in vectors(batch.column(1).to_pylist())], pa.binary())}
+
+    langs = max(1, len({lang for _, lang in sample}))
+    # The landmarks of a language are the first of its texts, in the order of the sample.
+    order = {key: i for i, (key, _) in reversed(list(enumerate(sample)))}
+    by: dict = {}
+    for r in sorted(rows.select("doc_id", "lang").collect(), key=lambda r: order[r[0]]):
+        by.setdefault(r[1], []).append(r[0])
+    marks = [x for n in sorted(by) for x in by[n][: max(1, landmarks // langs)]]
+    if not marks:
+        return None
+    chosen = rows.where(F.col("doc_id").isin(marks)).select("doc_id", "text")
+    found = arrow_map(chosen, vector, T.StructType([T.StructField("v", T.BinaryType())]), keep=["doc_id"]).collect()
+    land = np.stack([np.frombuffer(r[1], np.float32) for r in sorted(found)]).T.copy()
+    land /= np.maximum(np.sqrt((land * land).sum(axis=0)), 1e-9)
+    seen = sorted(with_kernel(spark, rows.select("doc_id", "lang", "text"), land).collect())
+    unstage(rows)
+    seen = [r for r in seen if any(r[2])]
+    return ridge(np.array([r[2] for r in seen]), [r[1] for r in seen], land) if seen else None
 
 
 def predict(docs: DataFrame, model: dict | None) -> DataFrame:
     """docs with lang_pred and score."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # at most landmarks x 2^BITS numbers
+    shared = spark.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         m = shared.value
         texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
         names, scores = ["und"] * len(texts), np.zeros(len(texts))
-        rows = np.zeros((BATCH, 1 << BITS), np.float32)
-        for at in range(0, len(texts), BATCH) if m else ():
-            part = texts[at : at + BATCH]
-            rows[: len(part)] = 0
-            ok = [bool(t) and presence(t, rows[r]) for r, t in enumerate(part)]
-            margin = kernel(rows[: len(part)], m["land"]) @ m["map"] + m["bias"]
+        if m:
+            margin = kernel(texts, m["land"]) @ m["map"] + m["bias"]
             p = np.exp(4 * (margin - margin.max(axis=1, keepdims=True)))
             p /= p.sum(axis=1, keepdims=True)
-            for r in np.flatnonzero(ok):
-                best = int(p[r].argmax())
-                names[at + r], scores[at + r] = m["names"][best], p[r, best]
+            for r, text in enumerate(texts):
+                if text and any(map(str.isalpha, text)):
+                    best = int(p[r].argmax())
+                    names[r], scores[r] = m["names"][best], p[r, best]
         return {"lang_pred": pa.array(names, pa.string()), "score": pa.array(scores)}
 
     outputs = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])

@@ -11,34 +11,28 @@ def fold(column: str, parts: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % parts
 
 
-def bounded_sample(rows: DataFrame, key: str, stratum: str, per_stratum: int, strata: int = 64) -> list[tuple]:
-    """(key, stratum) of at most per_stratum rows of each stratum, at most `strata` strata, on the driver.
+def bounded_sample(rows: DataFrame, key: str, stratum: str, per_stratum: int, seed: int = 17) -> list[tuple]:
+    """(key, stratum) of at most per_stratum keys of every stratum, on the driver; a key counts once in a stratum.
 
-    Rows are taken in the order of a hash of the key, so the sample depends on the ids alone. A first count
-    turns the bound into a hash threshold, and only rows under it travel.
+    Keys are taken in the order of a hash, so the sample depends on the ids alone. A first count turns the bound into a
+    hash threshold for each stratum, and only rows under it travel.
     """
-    rows = rows.where(F.col(key).isNotNull() & F.col(stratum).isNotNull())
-    counts = rows.groupBy(stratum).count().orderBy(F.desc("count"), stratum).limit(strata).collect()
-    if not counts:
-        return []
-    place = F.pmod(F.xxhash64(F.lit(17), F.col(key)), F.lit(1 << 30)) / float(1 << 30)
-    under = F.lit(False)
-    for row in counts:
-        under = under | ((F.col(stratum) == F.lit(row[0])) & (place < min(1.0, 1.3 * per_stratum / row[1] + 0.0)))
-    found = rows.where(under).select(key, stratum, place.alias("_place")).collect()
+    rows = rows.where(F.col(key).isNotNull() & F.col(stratum).isNotNull()).select(key, stratum).distinct()
+    counts = rows.groupBy(stratum).count().select(stratum, F.least(F.lit(1.0), 1.3 * per_stratum / F.col("count")).alias("_most"))
+    place = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30)) / float(1 << 30)
+    found = rows.withColumn("_place", place).join(counts, stratum).where("_place < _most").select(key, stratum, "_place").collect()
     by: dict = {}
     for row in sorted(found, key=lambda r: (r[2], r[0])):
         by.setdefault(row[1], []).append((row[0], row[1]))
     return [x for name in sorted(by, key=str) for x in by[name][:per_stratum]]
 
 
-def sample_texts(docs: DataFrame, sample: list[tuple], key: str = "doc_id") -> list[tuple]:
-    """(key, stratum, text) for the sampled ids; the id list is bounded, so it may be broadcast."""
-    if not sample:
-        return []
-    spark = docs.sparkSession
+def sampled_rows(docs: DataFrame, sample: list[tuple], key: str = "doc_id") -> DataFrame:
+    """(key, _stratum, text) of the sampled ids, one row an id: that of the least text. The id list is bounded, so it
+    is broadcast."""
     field = docs.schema[key].dataType.simpleString()
     stratum = "bigint" if isinstance(sample[0][1], int) else "string"
-    ids = spark.createDataFrame(sample, f"`{key}` {field}, _stratum {stratum}").dropDuplicates([key])
-    got = docs.select(key, "text").join(F.broadcast(ids), key).select(key, "_stratum", "text").collect()
-    return sorted(((r[0], r[1], r[2] or "") for r in got), key=lambda r: (r[0], r[2]))
+    first = {x[0]: x for x in reversed(sample)}  # an id of several strata counts in its first one
+    ids = docs.sparkSession.createDataFrame(list(first.values()), f"`{key}` {field}, _stratum {stratum}")
+    got = docs.select(key, "text").join(F.broadcast(ids), key)
+    return got.groupBy(key, "_stratum").agg(F.min("text").alias("text"))

@@ -93,12 +93,96 @@ def test_language_id_on_held_out_rows(spark):
     assert right > 0.97
 
 
+def grams(text):
+    """Hashed n-grams of a text by definition: a set of places among 2^15."""
+    mask, low, out = (1 << 32) - 1, text.lower(), set()
+    for n in (1, 2, 3):
+        for i in range(len(low) - n + 1):
+            h = ord(low[i]) * 0x9E3779B1 & mask
+            for k in range(1, n):
+                h = ((h ^ h >> 15) * 0x85EBCA77 + ord(low[i + k]) * 0xC2B2AE3D) & mask
+            h = (h ^ h >> 13) * (0x27D4EB2F + 2 * n) & mask
+            out.add(h >> 17)
+    return out
+
+
+def dense_vector(text):
+    """The mean of the normalised presence vectors of a text's windows."""
+    size, low = language_id.WINDOW, text.lower()
+    out = np.zeros(1 << 15)
+    parts = [low[a : a + size + 2] for a in range(0, max(1, len(low) - 2), size)]
+    for part in parts:
+        own = np.array(sorted(grams(part)), int)
+        if not len(own):
+            continue
+        out[own] += 1 / np.sqrt(len(own)) / len(parts)
+    return out
+
+
+def test_language_id_equals_a_dense_kernel_ridge_regression(spark):
+    """Kernel ridge regression with Nystroem features, written out with dense vectors and a normal equation."""
+    rng = random.Random(23)
+    alphabets = {"aa": "abcdefgh", "bb": "efghijkl", "cc": "ijklmnop"}
+    text = lambda a, n: " ".join("".join(rng.choice(a) for _ in range(rng.randint(2, 6))) for _ in range(n))
+    rows = [(i, text(alphabets[x], rng.choice([1, 3, 20])), x) for i, x in enumerate(rng.choices(sorted(alphabets), k=120))]
+    rows += [(500, text("abcdefgh", 9000), "aa"), (501, "", "aa"), (502, "1234", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    learn = [r for r in rows if r[2] and zlib.crc32(str(r[0]).encode()) % 3 != 1 and any(map(str.isalpha, r[1]))]
+    model = language_id.fit(frame, landmarks=12)
+    v = {r[0]: dense_vector(r[1]) for r in rows}
+    land = np.array([x / np.linalg.norm(x) for x in model["land"].T])
+    # The landmarks are training texts, four of each language.
+    near = [max(learn, key=lambda r: v[r[0]] @ x / np.linalg.norm(v[r[0]])) for x in land]
+    assert all(v[r[0]] @ x / np.linalg.norm(v[r[0]]) > 0.9999 for r, x in zip(near, land)) and sorted(r[2] for r in near) == ["aa"] * 4 + ["bb"] * 4 + ["cc"] * 4
+    value, vector = np.linalg.eigh(land @ land.T)
+    root = vector / np.sqrt(np.maximum(value, 1e-6)) @ vector.T
+    phi = np.array([[*(land @ v[r[0]] @ root), 1.0] for r in learn])
+    names = sorted(alphabets)
+    y = np.array([[1.0 if r[2] == n else -1.0 for n in names] for r in learn])
+    weight = np.array([1 / sum(q[2] == r[2] for q in learn) for r in learn])
+    weight *= len(learn) / weight.sum()
+    w = np.linalg.solve(phi.T @ np.diag(weight) @ phi + 1e-3 * len(learn) * np.eye(phi.shape[1]), phi.T @ np.diag(weight) @ y)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.predict(frame, model).collect()}
+    for d, t, _ in rows:
+        if not any(map(str.isalpha, t)):
+            assert got[d] == ("und", 0.0)
+            continue
+        margin = np.array([*(land @ v[d] @ root), 1.0]) @ w
+        p = np.exp(4 * (margin - margin.max()))
+        p /= p.sum()
+        assert abs(got[d][1] - p.max()) < 1e-3 and (got[d][0] == names[int(p.argmax())] or np.sort(p)[-2] > p.max() - 1e-3)
+
+
+def test_language_id_learns_every_language(spark):
+    rng = random.Random(29)
+    rows = []
+    for k in range(70):
+        letters = [chr(0x4E00 + 40 * k + j) for j in range(40)]
+        rows += [(k * 20 + i, "".join(rng.choice(letters) for _ in range(60)), f"l{k:02d}") for i in range(20)]
+    out = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    truth = {r[0]: r[2] for r in rows}
+    assert len({r.lang_pred for r in out}) == 70
+    assert sum(r.lang_pred == truth[r.doc_id] for r in out if r.held_out) > 0.97 * sum(r.held_out for r in out)
+
+
+def test_language_id_tells_very_long_texts_apart(spark):
+    rng = random.Random(31)
+    words = {x: ["".join(rng.choice(a) for _ in range(rng.randint(2, 7))) for _ in range(4000)] for x, a in (("aa", "abcdefghijklmnopqr"), ("bb", "cdefghijklmnopqrst"))}
+    rows = [(i, " ".join(rng.choices(words[x], k=30)), x) for i, x in enumerate(rng.choices(["aa", "bb"], k=200))]
+    rows += [(1000 + i, " ".join(rng.choices(words[x], k=100_000)), x) for i, x in enumerate(["aa", "bb"])]
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert (got[1000], got[1001]) == ("aa", "bb")
+
+
 def test_language_id_odd_input(odd, empty, docs):
     assert language_id.identify(empty).count() == 0
     got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(docs).collect()}
     assert got[500] == ("und", 0.0) and got[501] == ("und", 0.0) and got[502] == ("und", 0.0)
     assert {v[0] for v in got.values()} <= {"und", "en", "fr"} and all(0 <= v[1] <= 1 for v in got.values())
-    assert language_id.identify(odd).count() == odd.count()
+    out = language_id.identify(odd)
+    # Repeated rows change neither the sample nor the scores; operator columns replace the clashing ones.
+    assert all(r.lang_pred == got[r.doc_id][0] and abs(r.score - got[r.doc_id][1]) < 1e-4 for r in out.where("doc_id is not null").collect())
+    assert out.count() == odd.count() and out.where("doc_id is null and (held_out or lang_pred is null)").count() == 0
 
 
 def toxic_rows(n, seed):
@@ -135,11 +219,16 @@ def test_toxicity_never_reads_held_out_labels(spark):
     assert a == b
 
 
-def test_toxicity_odd_input(odd, empty, spark):
+def test_toxicity_odd_input(odd, docs, empty, spark):
     labels = spark.createDataFrame([(0, 0), (3, None)], "doc_id long, toxic int")
     assert toxicity.toxicity(empty, labels).count() == 0
     out = toxicity.toxicity(odd, labels)
     assert out.count() == odd.count() and out.where("score is null or score < 0 or score > 1").count() == 0
+    want = {r.doc_id: (round(r.score, 9), r.predicted) for r in toxicity.toxicity(docs, labels).collect()}
+    assert {r.doc_id: (round(r.score, 9), r.predicted) for r in out.where("doc_id is not null").collect()} == want
+    # Without labels the lexicon decides.
+    rows = spark.createDataFrame([(1, "what an idiot"), (2, "a fine day"), (3, None), (4, "")], "doc_id long, text string")
+    assert {r.doc_id: r.predicted for r in toxicity.toxicity(rows, labels.where("toxic > 5")).collect()} == {1: 1, 2: 0, 3: 0, 4: 0}
 
 
 def test_label_model_finds_poor_voters():
@@ -149,10 +238,69 @@ def test_label_model_finds_poor_voters():
     noise = rng.choice([-1, 1], 2000)
     vote = np.stack([good, noise, noise, noise, np.where(rng.random(2000) < 0.85, 2 * y - 1, 1 - 2 * y)], axis=1).astype(np.int8)
     gold = np.where(np.arange(2000) < 200, y, -1)
-    posterior = toxicity.label_model(vote, gold, 0.5)
+    posterior = toxicity.label_model(vote, np.full(2000, 0.5), gold)
     assert ((posterior > 0.5) == y)[200:].mean() > 0.85
 
 
+def test_label_model_learns_from_votes_without_gold():
+    """Three fair voters and two copies of a poor one: accuracies and the copy are found from unlabelled votes."""
+    rng = np.random.default_rng(4)
+    y = (rng.random(4000) < 0.4).astype(int)
+    cast = lambda right: np.where(rng.random(4000) < right, 2 * y - 1, 1 - 2 * y)
+    poor = cast(0.6)
+    vote = np.stack([cast(0.85), cast(0.8), cast(0.9), poor, np.where(rng.random(4000) < 0.97, poor, -poor)], axis=1).astype(np.int8)
+    none = np.full(4000, -1)
+    posterior = toxicity.label_model(vote, np.full(4000, 0.4), none)
+    assert ((posterior > 0.5) == y).mean() > 0.92
+    # A few wrong gold labels name no posterior: rows are judged by their votes.
+    gold = none.copy()
+    gold[:100] = y[:100]
+    gold[:5] = 1 - y[:5]
+    again = toxicity.label_model(vote, np.full(4000, 0.4), gold)
+    assert ((again > 0.5) == (posterior > 0.5)).mean() > 0.97
+    sure = [i for i in range(5) if len(set(vote[i, :3])) == 1]
+    assert all((again[i] > 0.5) != (gold[i] == 1) for i in sure if (vote[i, 0] > 0) == (y[i] == 1))
+
+
+def test_posteriors_equal_enumeration():
+    """The forest model's posterior against sums over both labels of the joint probability, table by table."""
+    rng = np.random.default_rng(6)
+    vote = rng.choice([-1, 0, 1], (50, 5))
+    parent = [-1, 0, 1, 1, -1]
+    tables = toxicity.vote_tables(vote, parent, rng.random(50))
+    assert np.allclose(np.exp(tables).sum(axis=3), 1)
+    prior = rng.uniform(0.1, 0.9, 50)
+    got = toxicity.posteriors(vote, parent, tables, prior)
+    for row, p, g in zip(vote, prior, got):
+        joint = [1 - p, p]
+        for label in (0, 1):
+            for j, x in enumerate(row):
+                above = row[parent[j]] if parent[j] >= 0 else 0
+                joint[label] *= float(np.exp(tables[j, label, above + 1, x + 1]))
+        assert abs(g - joint[1] / sum(joint)) < 1e-9
+
+
+def test_forest_takes_the_strongest_correlations():
+    rng = np.random.default_rng(8)
+    y = rng.random(5000) < 0.5
+    a, b = rng.choice([-1, 0, 1], 5000), rng.choice([-1, 1], 5000)
+    vote = np.stack([a, np.where(rng.random(5000) < 0.9, a, 0), b, np.where(rng.random(5000) < 0.8, b, -b), np.where(y, 1, -1)], axis=1)
+    onehot = np.stack([vote == v for v in (-1, 0, 1)], axis=2).astype(np.float32)
+    strength = toxicity.correlations(onehot, y.astype(float))
+    # Mutual information by definition, one pair.
+    want = 0.0
+    for label in (False, True):
+        own = vote[y == label]
+        for u in (-1, 0, 1):
+            for v in (-1, 0, 1):
+                p = ((own[:, 0] == u) & (own[:, 1] == v)).mean()
+                if p:
+                    want += (y == label).mean() * p * np.log(p / (own[:, 0] == u).mean() / (own[:, 1] == v).mean())
+    assert abs(strength[0, 1] - want) < 1e-3
+    parent = toxicity.strongest_forest(strength, 15 / 5000)
+    assert {frozenset((i, p)) for i, p in enumerate(parent) if p >= 0} == {frozenset((0, 1)), frozenset((2, 3))}
+
+
 def brute_hits(texts, items, threshold=0.8):
     """All windows of each item's size, weighted shingle similarity, by definition."""
     import math
