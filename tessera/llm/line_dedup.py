@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_flat, arrow_map, prepare, same, stage, text_bytes, unstage, without
+from .common import arrow_flat, arrow_map, hot_join, prepare, same, stage, text_bytes, unstage, without
 
 KEY = ["h1", "h2"]
 
@@ -121,10 +121,11 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     store = LineRuns(spark, fanout)
     for k in range(len(cuts) + 1):
         store.add(lines.where(F.col("batch") == k).drop("batch"))
-    repeated = store.index().where(F.col("n_docs") >= min_docs).select(*KEY, "owner")
+    repeated = stage(store.index().where(F.col("n_docs") >= min_docs).select(*KEY, "n_docs", "owner"), "repeated")
+    for run in store.runs():
+        unstage(run)
     gone = (
-        lines.select(*KEY, "doc_id")
-        .join(repeated, KEY)
+        hot_join(lines.select(*KEY, "doc_id"), repeated, KEY, "n_docs", lines.count())
         .where(~same(F.col("doc_id"), F.col("owner")))
         .groupBy("doc_id")
         .agg(F.collect_set(F.struct(*KEY)).alias("gone"))

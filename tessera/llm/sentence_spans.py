@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_flat, arrow_map, prepare, same, without
+from .common import arrow_flat, arrow_map, hot_join, prepare, same, stage, without
 
 CUT = re.compile(r"[.!?]+[\"')\]]*\s+|\s*\n\s*")
 KEY = ["h1", "h2"]
@@ -104,12 +104,13 @@ def document_spans(docs: DataFrame, span: int, min_words: int, lengthen: bool =
 def drop_repeated_spans(docs: DataFrame, span: int = 2, min_words: int = 12, lengthen: bool = False) -> DataFrame:
     """docs with repeated sentences gone from text, and n_sentences, n_removed, n_spans."""
     prepare(docs.sparkSession)
-    spans = document_spans(docs, span, min_words, lengthen)
+    spans = stage(document_spans(docs, span, min_words, lengthen), "runs")
     # A null doc_id comes first: min() skips nulls, so their number is counted too.
     first = spans.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"), F.count("doc_id").alias("numbered"))
-    first = first.where("n > 1").select(*KEY, F.when(F.col("numbered") == F.col("n"), F.col("low")).alias("first"))
+    first = first.where("n > 1").select(*KEY, "n", F.when(F.col("numbered") == F.col("n"), F.col("low")).alias("first"))
+    first = stage(first, "first-runs")
     later = (
-        spans.join(first, KEY)
+        hot_join(spans, first, KEY, "n", spans.count())
         .where(F.col("again") | ~same(F.col("doc_id"), F.col("first")))
         .groupBy("doc_id")
         .agg(F.collect_set(F.struct("pos", "size")).alias("_gone"))

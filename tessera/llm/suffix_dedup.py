@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_flat, arrow_map, free_shuffles, prepare, same, stage, text_bytes, unstage, without
+from .common import arrow_flat, arrow_map, free_shuffles, hot_join, prepare, same, stage, text_bytes, tidy, unstage, without
 
 LENGTH, GRAM = 200, 64
 LEFT = LENGTH - GRAM
@@ -280,19 +280,20 @@ def named_texts(docs: DataFrame) -> DataFrame:
 
 
 def text_anchors(docs: DataFrame) -> DataFrame:
-    """(h, t1, pos) of every anchor of every document."""
+    """(h, t1, t2, pos) of every anchor of every document."""
 
     def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        made = anchors(text_bytes(batch.column(1)))
+        made = anchors(text_bytes(batch.column(2)))
         counts = [len(m[0]) for m in made]
         rows = np.repeat(np.arange(len(made)), counts)
         return {
             "h": pa.array(np.concatenate([m[1] for m in made]).view(np.int64) if made else np.zeros(0, np.int64)),
             "t1": batch.column(0).take(pa.array(rows)),
+            "t2": batch.column(1).take(pa.array(rows)),
             "pos": pa.array(np.concatenate([m[0] for m in made]) if made else np.zeros(0, np.int64), pa.int64()),
         }
 
-    return arrow_flat(docs.select("t1", "text"), run, T.StructType(longs("h", "t1", "pos")))
+    return arrow_flat(docs.select("t1", "t2", "text"), run, T.StructType(longs("h", "t1", "t2", "pos")))
 
 
 def repeated_spans(named: DataFrame, hot: int = 50_000) -> DataFrame:
@@ -307,14 +308,16 @@ def repeated_spans(named: DataFrame, hot: int = 50_000) -> DataFrame:
     # Copies of a text share all anchors, so counting rows finds every gram that occurs twice.
     found = stage(text_anchors(named.where(F.col("n_bytes") >= LENGTH)), "anchors")
     twice = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    marked = found.join(twice, "h").select("t1", F.struct("pos", "h", (F.col("n") > hot).alias("hot")).alias("at"))
-    wanted = stage(marked.groupBy("t1").agg(F.collect_set("at").alias("at")), "wanted")
+    twice = stage(twice, "grams")
+    marked = hot_join(found, twice, ["h"], "n", found.count()).select("t1", "t2", F.struct("pos", "h", (F.col("n") > hot).alias("hot")).alias("at"))
+    wanted = stage(marked.groupBy("t1", "t2").agg(F.collect_set("at").alias("at")), "wanted")
     unstage(found)
+    unstage(twice)
     del found, twice, marked
     free_shuffles(spark)
 
     lead = classes.select(F.col("t1").alias("_k1"), F.col("t2").alias("_k2"), "lead", "copies")
-    lead = lead.join(wanted, lead["_k1"] == wanted["t1"]).select("_k1", "_k2", "lead", "copies", "at")
+    lead = lead.join(wanted, (lead["_k1"] == wanted["t1"]) & (lead["_k2"] == wanted["t2"])).select("_k1", "_k2", "lead", "copies", "at")
     texts = (
         named.select("doc_id", "t1", "t2", "text")
         .join(lead, (F.col("t1") == F.col("_k1")) & (F.col("t2") == F.col("_k2")) & same(F.col("doc_id"), F.col("lead")))
@@ -379,7 +382,7 @@ def repeated_spans(named: DataFrame, hot: int = 50_000) -> DataFrame:
     span = T.StructType(longs("t1", "t2", "start", "end"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     calm = around.where(~F.col("hot")).select("t1", "t2", "multi", "h", "pos", "body")
-    sorted_spans = calm.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(sort_groups, span)
+    sorted_spans = calm.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(tidy(sort_groups), span)
     out = [sorted_spans]
     if around.where("hot").limit(1).count():
         out.append(hot_spans(around.where("hot")))
