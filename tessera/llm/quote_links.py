@@ -51,20 +51,25 @@ def parsed_lines(text: Column) -> Column:
     return F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), one)
 
 
-def passages(lines: Column) -> Column:
-    """array<struct<level, body>>: runs of one level, cut at blank lines."""
-    last = F.size(lines) - 1
+def run_starts(lines: Column) -> Column:
+    """Places of the lines that begin a passage: runs of one level, cut at blank lines."""
     at = lambda i: F.get(lines, i)
     blank = lambda i: F.trim(at(i)["body"]) == ""
-    starts = F.filter(
-        F.sequence(F.lit(0), last),
+    return F.filter(
+        F.sequence(F.lit(0), F.size(lines) - 1),
         lambda i: ~blank(i) & ((i == 0) | (at(i)["level"] != at(i - 1)["level"]) | F.coalesce(blank(i - 1), F.lit(True))),
     )
 
+
+def passages(lines: str, starts: str) -> Column:
+    """array<struct<level, body>> from columns of lines and run starts. The starts must be a column: written as an
+    expression they would be found anew for each passage."""
+
     def run(start: Column, k: Column) -> Column:
-        stop = F.coalesce(F.get(starts, k + 1), F.size(lines))
-        own = F.filter(F.slice(lines, start + 1, stop - start), lambda x: (x["level"] == at(start)["level"]) & (F.trim(x["body"]) != ""))
-        return F.struct(at(start)["level"].alias("level"), F.array_join(F.transform(own, lambda x: x["body"]), "\n").alias("body"))
+        stop = F.coalesce(F.get(F.col(starts), k + 1), F.size(lines))
+        level = F.get(F.col(lines), start)["level"]
+        own = F.filter(F.slice(lines, start + 1, stop - start), lambda x: (x["level"] == level) & (F.trim(x["body"]) != ""))
+        return F.struct(level.alias("level"), F.array_join(F.transform(own, lambda x: x["body"]), "\n").alias("body"))
 
     return F.transform(starts, run)
 
@@ -88,8 +93,8 @@ def latest_before(rows: DataFrame, keys: list[str], turn: str, known: Column, bl
 
 def quote_units(messages: DataFrame, min_chars: int) -> DataFrame:
     """(conv_id, turn, level, part, line, h1, h2): hashed passages (line -1) and their lines."""
-    lined = messages.select("conv_id", "turn", parsed_lines(F.col("text")).alias("_lines"))
-    part = lined.select("conv_id", "turn", F.posexplode(passages(F.col("_lines"))).alias("part", "p"))
+    lined = messages.select("conv_id", "turn", parsed_lines(F.col("text")).alias("_lines")).withColumn("_starts", run_starts(F.col("_lines")))
+    part = lined.select("conv_id", "turn", F.posexplode(passages("_lines", "_starts")).alias("part", "p"))
     lines = F.transform(F.split("p.body", "\n", -1), lambda x, i: F.struct(i.cast("int").alias("line"), x.alias("body")))
     units = F.concat(F.array(F.struct(F.lit(-1).alias("line"), F.col("p.body").alias("body"))), F.when(F.size(lines) > 1, lines).otherwise(F.array().cast("array<struct<line:int,body:string>>")))
     rows = part.select("conv_id", "turn", F.col("p.level").alias("level"), "part", F.explode(units).alias("u"))
@@ -119,8 +124,8 @@ def reply_order(messages: DataFrame, min_chars: int = 8, block: int = 1024, max_
     """messages with text free of quotes and n_quotes, n_linked, parent_turn, branch_depth, reply_path."""
     made = ["text", "n_quotes", "n_linked", "parent_turn", "branch_depth", "reply_path"]
     own_text = F.array_join(F.transform(F.filter("_lines", lambda x: x["level"] == 0), lambda x: x["body"]), "\n")
-    quoted = F.size(F.filter("_passages", lambda x: x["level"] > 0)).cast("long")
-    carried = without(messages, [*made, "_lines", "_passages", "_conv", "_turn"])
+    quoted = F.size(F.filter("_starts", lambda i: F.get(F.col("_lines"), i)["level"] > 0)).cast("long")
+    carried = without(messages, [*made, "_lines", "_starts", "_conv", "_turn"])
 
     links = quote_links(messages, min_chars, block)
     linked = links.where("original_turn is not null").groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n_linked"))
@@ -163,7 +168,7 @@ def reply_order(messages: DataFrame, min_chars: int = 8, block: int = 1024, max_
         (F.size(F.coalesce("path", F.array().cast("array<bigint>"))) / 2).cast("long").alias("branch_depth"),
         F.concat(F.coalesce("path", F.array().cast("array<bigint>")), F.array("turn")).alias("reply_path"),
     )
-    base = messages.select(*carried, parsed_lines(F.col("text")).alias("_lines")).withColumn("_passages", passages(F.col("_lines")))
+    base = messages.select(*carried, parsed_lines(F.col("text")).alias("_lines")).withColumn("_starts", run_starts(F.col("_lines")))
     base = base.select(*carried, F.trim(own_text, F.lit("\n")).alias("text"), quoted.alias("n_quotes"))
     out = base.join(placed, (F.col("conv_id") == F.col("_conv")) & (F.col("turn") == F.col("_turn")), "left")
     return out.select(
