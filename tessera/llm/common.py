@@ -53,6 +53,12 @@ def free_worker() -> None:
         trim(0)
 
 
+def drop_kept() -> None:
+    """Free the worker if it keeps anything."""
+    if _KEPT:
+        free_worker()
+
+
 def kept(name: str, make: Callable[[], Any]) -> Any:
     """What `make` gives, kept in this worker while its tasks ask for the same name."""
     if name not in _KEPT:
@@ -66,8 +72,8 @@ def tidy(task: Callable[[Iterator], Iterator], keeps: bool = False) -> Callable[
     keeps tables itself."""
 
     def run(batches: Iterator) -> Iterator:
-        if _KEPT and not keeps:
-            free_worker()
+        if not keeps:
+            drop_kept()
         try:
             yield from task(batches)
         finally:

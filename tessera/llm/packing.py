@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -23,28 +22,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, prepare
+from .common import arrow_map, drop_kept, kept, prepare
 from .wordbpe import encoder
 
 END_ID = 1
 
 
-@lru_cache(maxsize=4)
-def _encoder(path: str):
-    return encoder(path)
-
-
 def tokenize(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """(doc_id, n, ids): ids as little-endian unsigned 16-bit numbers, the end id last."""
 
     def encode(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        run = _encoder(tokenizer_path)
+        run = kept("wordbpe " + tokenizer_path, lambda: encoder(tokenizer_path))
         end = np.uint16(END_ID).tobytes()
         ids = [run(t or "") + end for t in batch.column(1).to_pylist()]
         return {"n": pa.array([len(x) // 2 for x in ids], pa.int64()), "ids": pa.array(ids, pa.binary())}
 
     outputs = T.StructType([T.StructField("n", T.LongType()), T.StructField("ids", T.BinaryType())])
-    return arrow_map(docs.select("doc_id", "text"), encode, outputs, keep=["doc_id"])
+    return arrow_map(docs.select("doc_id", "text"), encode, outputs, keep=["doc_id"], keeps=True)
 
 
 def cost(n: int, scale: float) -> float:
@@ -102,7 +96,8 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048, scale: float
     spread = F.xxhash64(F.lit(7), "doc_id")
     dealt = tokenize(docs, tokenizer_path).withColumn("grp", F.pmod(spread, F.lit(groups)))
 
-    def pack_group(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def pack_group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        drop_kept()  # the encoder's tables are not needed any more
         order = sorted(range(len(pdf)), key=lambda i: (pd.isna(pdf["doc_id"].iat[i]), pdf["doc_id"].iat[i], pdf["ids"].iat[i]))
         ids = [pdf["ids"].iat[i] for i in order]
         names = [pdf["doc_id"].iat[i] for i in order]
@@ -122,4 +117,6 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048, scale: float
         + [T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]
         + [T.StructField("cost", T.DoubleType()), T.StructField("ids", T.BinaryType())]
     )
-    return dealt.select("grp", "doc_id", "ids").groupBy("grp").applyInPandas(pack_group, schema)
+    # One partition holds a few groups, whatever the session's number of shuffle partitions.
+    dealt = dealt.select("grp", "doc_id", "ids").repartition(max(1, min(groups, 100_000)), "grp")
+    return dealt.groupBy("grp").applyInPandas(pack_group, schema)

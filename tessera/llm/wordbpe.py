@@ -21,7 +21,7 @@ from tokenizers import Tokenizer
 PLAIN = re.compile(r"[!-;=-~¡¨-¯´-¸¿-įĲ-ňŊ-ž]+")
 LONGEST = 80
 #: Entries kept of the chunks and words met first: past this, memory latency costs more than merging anew.
-TABLE = 500_000
+TABLE = 300_000
 #: Separators that Python's split and the tokenizer's \s treat differently.
 ODD = re.compile("[\x1c-\x1f]")
 #: Ids are stored in the machine's order, which is little-endian on every Spark platform in use.
