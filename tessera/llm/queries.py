@@ -49,6 +49,11 @@ def op5_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_embedding.neighbours(load(spark, sf_dir, "documents"))
 
 
+def edit_near_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second half of operator 5: banding of the sampled bits and verification."""
+    return edit_embedding.near_documents(load(spark, sf_dir, "documents"))
+
+
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(load(spark, sf_dir, "documents"), k=4, percent=80)
 
@@ -77,6 +82,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op10_toxicity": op10_toxicity,
     "op9_packing": op9_packing,
+    "edit_near_documents": edit_near_documents,
 }
 
 ORACLE: dict[str, str] = {}

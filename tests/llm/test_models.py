@@ -81,9 +81,88 @@ def test_near_documents_link_small_edits(spark):
     assert got == {i: i for i in range(12)} | {100 + i: i for i in range(12)} | {200: 0}
 
 
-def test_edit_embedding_odd_input(odd, empty):
+def slow_fingerprint(text):
+    """The walk and its sampled bits written out step by step, from the shared random numbers alone."""
+    moves = np.random.default_rng(20240229).integers(0, 2, (256, 4096), dtype=np.uint8)
+    moves[:, -1] = 1
+    shown = np.random.default_rng(77).integers(0, 2, (256, 64), dtype=np.uint8)
+    mask = (1 << 64) - 1
+    j, out = 0, []
+    for c in text:
+        k = (ord(c) ^ ((ord(c) >> 8) * 151 & 0xFFFFFFFF)) & 255
+        while True:
+            out.append(int(shown[k, j % 64]))
+            j += 1
+            if moves[k, (j - 1) % 4096]:
+                break
+
+    def priority(p):
+        h = (p + 1) * 0x9E3779B97F4A7C15 & mask
+        h = (h ^ h >> 29) * 0xBF58476D1CE4E5B9 & mask
+        return h ^ h >> 32
+
+    size = 512
+    while size < j:
+        size *= 2
+    places = sorted(sorted(range(size), key=lambda p: (priority(p), p))[:512])
+    bits = [out[p] if p < j else 0 for p in places]
+    return f"{j:08x}" + bytes(sum(b << (7 - i) for i, b in enumerate(bits[a : a + 8])) for a in range(0, 512, 8)).hex()
+
+
+def test_fingerprints_equal_a_walk_step_by_step(docs, plain):
+    got = {r.doc_id: r.fingerprint for r in edit_embedding.fingerprints(docs).collect()}
+    for d, t in plain.items():
+        if len(t or "") < 5000:
+            assert got[d] == slow_fingerprint(t or ""), d
+
+
+def test_near_documents_recall_and_equal_texts(spark):
+    """20,000 equal texts and 3,000 distinct short ones beside 200 pairs of one or two edits in 100 characters."""
+    rng = random.Random(41)
+    make = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    rows = [(i, "the same words in every row of this group, long enough for an edit or two") for i in range(20_000)]
+    rows += [(30_000 + i, make(rng.randint(5, 45))) for i in range(3000)]
+    pairs = []
+    for i in range(200):
+        body = make(rng.choice([150, 400, 1200]))
+        other = list(body)
+        for _ in range(len(body) // 100):
+            at = rng.randrange(len(other))
+            other[at : at + 1] = rng.choice([[], ["x"], ["y", other[at]]])
+        rows += [(50_000 + 2 * i, body), (50_001 + 2 * i, "".join(other))]
+        pairs.append((50_000 + 2 * i, 50_001 + 2 * i))
+    got = {r.doc_id: r.component for r in edit_embedding.near_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert len(got) == len(rows) and {got[i] for i in range(20_000)} == {0}
+    assert sum(got[a] == got[b] for a, b in pairs) >= 0.95 * len(pairs)
+    assert all(got[d] in (d, d - 1) for d in got if d >= 50_000)
+    first: dict = {}
+    for d, t in rows:
+        first.setdefault(t, d)
+    assert all(got[d] == first[t] for d, t in rows if 30_000 <= d < 50_000)
+
+
+def test_near_documents_odd_input(odd, empty):
+    assert edit_embedding.near_documents(empty).count() == 0
+    rows = [(r.doc_id, r.text or "") for r in odd.collect()]
+    got = edit_embedding.near_documents(odd).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(d) for d, _ in rows)
+    links: dict = {}
+    for d, t in rows:
+        if d is not None:
+            links.setdefault(t, set()).add(d)
+    component = {}
+    for r in got:
+        assert component.setdefault(r.doc_id, r.component) == r.component and (r.component is None) == (r.doc_id is None)
+    assert all(len({component[d] for d in held}) == 1 for held in links.values())
+    assert all(component[d] <= d for d in component if d is not None)
+
+
+def test_edit_embedding_odd_input(odd, docs, empty):
     assert edit_embedding.neighbours(empty).count() == 0
-    assert edit_embedding.neighbours(odd).count() == odd.count()
+    got = edit_embedding.neighbours(odd).collect()
+    assert len(got) == odd.count()
+    alone = {r.doc_id: r.fingerprint for r in edit_embedding.fingerprints(docs).collect()}
+    assert all(r.fingerprint == alone[r.doc_id if r.doc_id is not None else 15] for r in got)
 
 
 def test_language_id_on_held_out_rows(spark):
