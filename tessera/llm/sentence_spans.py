@@ -11,8 +11,9 @@ at least span sentences and min_words words is covered by such runs inside it, s
 short its sentences are. Without it only runs of exactly `span` sentences are hashed.
 
 Defined results: null and empty texts have no sentence; a text with fewer sentences than a span, or fewer words
-than min_words, loses nothing; rows that repeat a doc_id count as the same document at the same places, so each keeps
-its first runs; rows without a doc_id come before all others; operator columns replace input columns of the
+than min_words, loses nothing; rows that repeat a doc_id hold their runs first together, so each keeps those that no
+lower doc_id has (a run twice in one row goes at its second place); rows without a doc_id come before all others and are
+such rows to each other; operator columns replace input columns of the
 same name; an empty table gives an empty result.
 """
 
@@ -24,7 +25,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +33,12 @@ from .common import arrow_flat, arrow_map, hot_join, prepare, same, stage, witho
 
 CUT = re.compile(r"[.!?]+[\"')\]]*\s+|\s*\n\s*")
 KEY = ["h1", "h2"]
+#: What a row is known by: its id and the name of its text.
+ROW = ["doc_id", "t1", "t2"]
+
+
+def text_name() -> list[Column]:
+    return [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2")]
 
 
 def sentences(text: str) -> list[str]:
@@ -78,11 +85,12 @@ def span_hashes(parts: list[str], span: int, min_words: int, lengthen: bool = Fa
 
 
 def document_spans(docs: DataFrame, span: int, min_words: int, lengthen: bool = False) -> DataFrame:
-    """(h1, h2, doc_id, pos, size, again): every run; again: the document holds it at an earlier place too."""
+    """(h1, h2, doc_id, t1, t2, pos, size, again): every run; t1, t2 name the text; again: it holds the run at an earlier
+    place too."""
 
     def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         rows, places, counts, found, again = [], [], [], [], []
-        for i, text in enumerate(batch.column(1).to_pylist()):
+        for i, text in enumerate(batch.column(3).to_pylist()):
             seen: set[bytes] = set()
             for pos, size, key in span_hashes(sentences(text), span, min_words, lengthen) if text else ():
                 rows.append(i), places.append(pos), counts.append(size), found.append(key), again.append(key in seen)
@@ -91,14 +99,14 @@ def document_spans(docs: DataFrame, span: int, min_words: int, lengthen: bool =
         return {
             "h1": pa.array(pair[:, 0]),
             "h2": pa.array(pair[:, 1]),
-            "doc_id": batch.column(0).take(pa.array(rows, pa.int64())),
+            **{n: batch.column(k).take(pa.array(rows, pa.int64())) for k, n in enumerate(ROW)},
             "pos": pa.array(places, pa.int32()),
             "size": pa.array(counts, pa.int32()),
             "again": pa.array(again, pa.bool_()),
         }
 
-    outputs = T.StructType([T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), docs.schema["doc_id"], T.StructField("pos", T.IntegerType()), T.StructField("size", T.IntegerType()), T.StructField("again", T.BooleanType())])
-    return arrow_flat(docs.select("doc_id", "text"), run, outputs)
+    outputs = T.StructType([T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), docs.schema["doc_id"], T.StructField("t1", T.LongType()), T.StructField("t2", T.LongType()), T.StructField("pos", T.IntegerType()), T.StructField("size", T.IntegerType()), T.StructField("again", T.BooleanType())])
+    return arrow_flat(docs.select("doc_id", *text_name(), "text"), run, outputs)
 
 
 def drop_repeated_spans(docs: DataFrame, span: int = 2, min_words: int = 12, lengthen: bool = False) -> DataFrame:
@@ -112,13 +120,15 @@ def drop_repeated_spans(docs: DataFrame, span: int = 2, min_words: int = 12, len
     later = (
         hot_join(spans, first, KEY, "n", spans.count())
         .where(F.col("again") | ~same(F.col("doc_id"), F.col("first")))
-        .groupBy("doc_id")
+        .groupBy(*ROW)
         .agg(F.collect_set(F.struct("pos", "size")).alias("_gone"))
-        .select(F.col("doc_id").alias("_gone_id"), "_gone")
+        .select(*[F.col(c).alias(f"_gone_{c}") for c in ROW], "_gone")
     )
     made = ["text", "n_sentences", "n_removed", "n_spans"]
-    carried = without(docs, [*made, "_gone_id", "_gone"])
-    joined = docs.select(*carried, "text").join(later, same(F.col("doc_id"), F.col("_gone_id")), "left")
+    carried = without(docs, [*made, "_gone", *[f"_gone_{c}" for c in ROW]])
+    one, two = text_name()
+    hit = same(F.col("doc_id"), F.col("_gone_doc_id")) & (one == F.col("_gone_t1")) & (two == F.col("_gone_t2"))
+    joined = docs.select(*carried, "text").join(later, hit, "left")
 
     def cut(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         texts, counts, removed, runs = [], [], [], []

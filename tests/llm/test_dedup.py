@@ -37,10 +37,30 @@ def test_line_dedup_equals_brute_force(docs, plain):
     assert sum(v[1] for v in want.values()) > 5
 
 
-def test_line_dedup_odd_input(odd, empty):
+def rows_with_other_texts(spark, odd):
+    """The odd rows, and rows of known ids (and none) that hold other texts."""
+    more = [(0, "Another text of document zero.\n  A LINE that many documents share, word for word.  "), (None, "A line that many documents share, word for word.\nand words of its own"), (0, None)]
+    out = odd.unionByName(spark.createDataFrame(more, "doc_id long, text string"), allowMissingColumns=True)
+    return out, [(r.doc_id, r.text) for r in out.collect()]
+
+
+def test_line_dedup_odd_input(spark, odd, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
-    out = line_dedup.dedup_lines(odd)
-    assert out.count() == odd.count() and out.schema["n_lines"].dataType.simpleString() == "bigint"
+    frame, rows = rows_with_other_texts(spark, odd)
+    key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)})
+    held = defaultdict(list)
+    for d, t in rows:
+        for k in {key(x) for x in (t or "").split("\n")}:
+            if len(k) >= 20:
+                held[k].append(d)
+    want = Counter()
+    for d, t in rows:
+        lines = (t or "").split("\n")
+        gone = [len(held[key(x)]) >= 3 and max((i for i in held[key(x)] if i is not None), default=None) != d if key(x) in held else False for x in lines]
+        want[(d, len(lines), sum(gone), "\n".join(x for x, g in zip(lines, gone) if not g))] += 1
+    got = line_dedup.dedup_lines(frame)
+    assert Counter((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got.collect()) == want
+    assert got.schema["n_lines"].dataType.simpleString() == "bigint" and got.columns.count("n_lines") == 1
 
 
 def brute_suffix(plain, length=200):
@@ -66,9 +86,13 @@ def test_suffix_dedup_equals_brute_force(docs, plain):
     assert sum(v[1] for v in want.values()) > 5000
 
 
-def test_suffix_dedup_odd_input(odd, empty):
+def test_suffix_dedup_odd_input(spark, odd, empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
-    assert suffix_dedup.remove_repeats(odd).count() == odd.count()
+    frame, rows = rows_with_other_texts(spark, odd)
+    brute = brute_suffix(dict(enumerate(t for _, t in rows)))
+    want = Counter((rows[i][0], *v) for i, v in brute.items())
+    got = suffix_dedup.remove_repeats(frame).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
+    assert Counter(tuple(r) for r in got) == want
 
 
 def test_deep_shallow_order_sorts():
@@ -111,9 +135,26 @@ def test_sentence_spans_equal_brute_force(docs, plain):
     assert got == {d: (t, len(gone[d])) for d, t in want.items()} and sum(map(len, gone.values())) > 10
 
 
-def test_sentence_spans_odd_input(odd, empty):
+def test_sentence_spans_odd_input(spark, odd, empty):
     assert sentence_spans.drop_repeated_spans(empty).count() == 0
-    assert sentence_spans.drop_repeated_spans(odd).count() == odd.count()
+    frame, rows = rows_with_other_texts(spark, odd)
+    parts = [sentence_spans.sentences(t or "") for _, t in rows]
+    runs = [(r, i, str([x.lower().split() for x in p[i : i + 2]])) for r, p in enumerate(parts) for i in range(len(p) - 1) if sum(len(x.split()) for x in p[i : i + 2]) >= 12]
+    held = defaultdict(list)
+    for r, i, key in runs:
+        held[key].append((r, i))
+    want = Counter()
+    for r, (d, t) in enumerate(rows):
+        gone = set()
+        for q, i, key in runs:
+            if q == r and len(held[key]) > 1:
+                ids = [rows[x][0] for x, _ in held[key]]
+                first = None if None in ids else min(ids)
+                if d != first or any(x == r and j < i for x, j in held[key]):
+                    gone |= {i, i + 1}
+        want[(d, "".join(x for i, x in enumerate(parts[r]) if i not in gone), len(gone))] += 1
+    got = sentence_spans.drop_repeated_spans(frame).collect()
+    assert Counter((r.doc_id, r.text or "", r.n_removed) for r in got) == want
 
 
 def test_sentence_spans_find_passages_of_short_sentences(spark, docs, plain):
