@@ -156,3 +156,8 @@ def imported(code: str | None) -> list[str]:
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def import_tokens(code: pd.Series) -> pd.Series:
     return pd.Series([imported(t) for t in code], dtype=object)
+
+
+def pattern_probe(sample: Column, pattern: str) -> tuple[Column, Column]:
+    """Whether a pattern fits a sample as a whole, and whether it fits a part of it."""
+    return sample.rlike(f"^(?:{pattern})$"), sample.rlike(pattern)

@@ -399,3 +399,21 @@ def scopes_that_fit(t: Tables) -> DataFrame:
     """Whole scopes dropped from the end until the output fits its byte bound."""
     rows = t.part.groupBy("p_brand").agg(F.min("p_partkey").alias("p_partkey"), F.min("p_name").alias("p_name"))
     return files.fitting_scopes(rows, "p_brand", ["p_partkey", "p_name"], 500).select("p_brand", F.lit(True).alias("kept")).withColumnRenamed("p_brand", "scope")
+
+
+@query("X21", """
+SELECT p_partkey, p_brand = 'Brand#1' AS whole, contains(p_brand, 'Brand#1') AS part, regexp_full_match(p_name, '[a-m]+ [a-z]+') AS name FROM part""")
+def pattern_probes(t: Tables) -> DataFrame:
+    """Samples against patterns, as a whole and in part."""
+    whole, part = text.pattern_probe(F.col("p_brand"), "Brand#1")
+    return t.part.select("p_partkey", whole.alias("whole"), part.alias("part"), text.pattern_probe(F.col("p_name"), "[a-m]+ [a-z]+")[0].alias("name"))
+
+
+@query("R20", """
+SELECT 'test/t' || s_suppkey || '.test.js' AS test, 'fallback' AS confidence, 'repository' AS evidence FROM supplier""")
+def fallback_plan(t: Tables) -> DataFrame:
+    """A change that no test is related to: every test of the repository is the plan."""
+    tests = t.supplier.select(F.concat(F.lit("test/t"), s("s_suppkey"), F.lit(".test.js")).alias("path"))
+    changes = t.region.select(F.concat(F.lit("lib/r"), s("r_regionkey"), F.lit(".js")).alias("path"))
+    imports = t.spark.createDataFrame([], "src string, dst string")
+    return project.map_tests(changes, tests, imports).select("test", "confidence", "evidence")

@@ -191,7 +191,11 @@ def prefix_alias(t: Tables) -> DataFrame:
     return relational.prefix_alias(t.part.select("p_partkey", "p_brand"), "p_brand", alias, "prefix", "0").select("p_partkey", "prefix")
 
 
-@query("J22 J35 G13 A18 A19 R20 F5 G11")
+@query("J22 J35 G13 A18 A19 F5 G11", """
+WITH p AS (SELECT p_partkey AS k, replace(p_name, ' ', '_') AS slug, replace(p_brand, '#', '_') AS s FROM part),
+t AS (SELECT *, 'packages/' || slug || '/test/' || s || '/part_' || k || '.test.js' AS test FROM p WHERE k % 3 = 0), c AS (SELECT *, 'packages/' || slug || '/src/' || s || '/part_' || k || '.js' AS change FROM p WHERE k % 97 = 0),
+x AS (SELECT test, change, CASE WHEN t.k = c.k THEN 5 WHEN t.k - c.k IN (1, 2) THEN 4 WHEN t.slug = c.slug AND t.s = c.s THEN 2 ELSE 1 END AS r FROM t JOIN c ON t.slug = c.slug UNION ALL SELECT test, change, CASE WHEN t.k = c.k THEN 5 ELSE 4 END FROM t JOIN c ON t.k - c.k = 0 OR t.k - c.k = 1 OR t.k - c.k = 2)
+SELECT test, CASE WHEN max(r) >= 4 THEN 'high' ELSE 'low' END AS confidence, ['repository', 'package', 'directory', 'name', 'import', 'direct-import'][max(r) + 1] AS evidence, cast(count(DISTINCT change) AS INTEGER) AS n_changes, string_agg(DISTINCT change, ',' ORDER BY change) AS changes FROM x GROUP BY test""")
 def plan_tests(t: Tables) -> DataFrame:
     """Tests for changed sources by import path, name, directory and package, ranked; each name is a package."""
     slug, k = F.regexp_replace("p_name", " ", "_"), F.col("p_partkey")
