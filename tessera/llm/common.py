@@ -158,17 +158,18 @@ def same(a: Column, b: Column) -> Column:
 HEAVY = 1000
 
 
-def hot_join(rows: DataFrame, small: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+def hot_join(rows: DataFrame, small: DataFrame, keys: list[str], count: str, total: int, parts: int | None = None) -> DataFrame:
     """rows joined (inner) with `small`, which has one row a key and the key's number of rows in `count`.
 
     total bounds the sum of the counts, so at most HEAVY keys hold more than a HEAVY-th of it each. These are
     broadcast, and their rows are joined where they lie; all others are dealt by key. Both sides are read more than
-    once, so what is dear to compute should be staged.
+    once, so what is dear to compute should be staged. With `parts` the light rows are dealt to so many partitions.
     """
     heavy = small.where(F.col(count) > total // HEAVY)
     lightly = small.where(F.col(count) <= total // HEAVY)
     hot = rows.join(F.broadcast(heavy), keys)
-    rest = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(lightly, keys)
+    rest = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti")
+    rest = (rest.repartition(parts, *keys) if parts else rest).join(lightly, keys)
     return rest.unionByName(hot)
 
 
@@ -176,35 +177,41 @@ def components(edges: DataFrame, max_rounds: int = 60, known: DataFrame | None =
     """(id, component) for every id in edges (a, b) and in known: component is the smallest id reachable.
 
     Alternating large-star and small-star steps, each a pre-aggregated minimum and one join in which the hubs are
-    broadcast (`hot_join`); every round is staged, and the loop ends when a round changes nothing. The number of rounds
-    grows with the logarithm of the longest chain. `known` (id, component) holds the components of edges found before.
+    broadcast (`hot_join`). Every step is dealt by node to partitions of some 100,000 pairs and staged; the loop ends when
+    a round changes nothing, by a count and two 64-bit sums over the pairs. The number of rounds grows with the logarithm
+    of the longest chain. `known` (id, component) holds the components of edges found before.
     """
 
+    def settled(rows: DataFrame, parts: int) -> DataFrame:
+        return stage(rows.where("u <> v").repartition(parts, "u").distinct(), "cc")
+
+    def signature(rows: DataFrame) -> tuple:
+        return tuple(rows.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64(F.lit(1), "v", "u"))).first())
+
     first = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     if known is not None:
         first = first.union(known.where("id <> component").select(F.col("id").alias("u"), F.col("component").alias("v")))
     pairs = stage(first.distinct(), "cc")
-    size = pairs.count()
+    before = signature(pairs)
     for _ in range(max_rounds):
+        size = before[0]
         if not size:
             break
+        parts = min(20_000, 1 + size // 100_000)
         # Large star: neighbours above u point at u's smallest neighbour or u itself.
-        both = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
         above = pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))
-        large = hot_join(above, low, ["u"], "n", 2 * size).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = stage(large, "cc")
-        # Small star: u and its smaller neighbours point at the smallest of them.
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-        # Each pair gives the large star at most one row, so `size` bounds them.
-        near = hot_join(large, low, ["u"], "n", size)
-        small = near.select(F.col("v").alias("u"), F.col("m").alias("v")).union(near.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        new = stage(small, "cc")
-        held = new.count()
-        changed = held != size or new.join(pairs, ["u", "v"], "left_anti").limit(1).count()
+        both = pairs.select("u", "v").union(above).repartition(parts, "u")
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = settled(hot_join(above, low, ["u"], "n", 2 * size, parts).select(F.col("v").alias("u"), F.col("m").alias("v")), parts)
+        # Small star: u and its smaller neighbours point at the smallest of them. Each pair gave the large star one row at
+        # most, so `size` bounds them.
+        low = large.repartition(parts, "u").groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        near = hot_join(large, low, ["u"], "n", size, parts)
+        new = settled(near.select(F.col("v").alias("u"), F.col("m").alias("v")).union(near.select("u", F.col("m").alias("v"))), parts)
+        after = signature(new)
         for table in (pairs, large):
             unstage(table)
-        pairs, size = new, held
+        pairs, changed, before = new, after != before, after
         if not changed:
             break
     else:
