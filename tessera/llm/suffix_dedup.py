@@ -383,23 +383,26 @@ def repeated_spans(named: DataFrame, hot: int = 50_000) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     calm = around.where(~F.col("hot")).select("t1", "t2", "multi", "h", "pos", "body")
     sorted_spans = calm.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(tidy(sort_groups), span)
-    out = [sorted_spans]
+    out, used = [sorted_spans], [classes, around]
     if around.where("hot").limit(1).count():
-        out.append(hot_spans(around.where("hot")))
+        spans, staged = hot_spans(around.where("hot"))
+        out.append(spans)
+        used += staged
     whole = classes.where("copies > 1").select("t1", "t2", F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end"))
     result = whole
     for part in out:
         result = result.union(part)
     result = stage(result, "spans")
     del sorted_spans, out, calm
-    for table in (classes, around):
+    for table in used:
         unstage(table)
     free_shuffles(spark)
     return result
 
 
-def hot_spans(around: DataFrame) -> DataFrame:
-    """Spans of anchors with very many members: count every string around the anchor, join the counts back."""
+def hot_spans(around: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Spans of anchors with very many members: count every string around the anchor, join the counts back. With the
+    staged tables that the spans are read from."""
 
     def strings(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         rows, starts, names = [], [], []
@@ -414,8 +417,11 @@ def hot_spans(around: DataFrame) -> DataFrame:
 
     fields = [*longs("t1", "t2"), T.StructField("multi", T.BooleanType()), *longs("start", "w1", "w2")]
     places = arrow_flat(around.select("t1", "t2", "multi", "pos", "first", "starts", "body"), strings, T.StructType(fields), text="body")
-    counts = places.groupBy("w1", "w2").agg(F.sum(F.when(F.col("multi"), 2).otherwise(1)).alias("n")).where("n > 1").select("w1", "w2")
-    return places.where(~F.col("multi")).join(counts, ["w1", "w2"]).select("t1", "t2", "start", (F.col("start") + LENGTH).alias("end"))
+    places = stage(places, "strings")
+    counts = places.groupBy("w1", "w2").agg(F.sum(F.when(F.col("multi"), 2).otherwise(1)).alias("n"), F.count(F.lit(1)).alias("k"))
+    counts = stage(counts.where("n > 1").select("w1", "w2", "k"), "string-counts")
+    found = hot_join(places.where(~F.col("multi")), counts, ["w1", "w2"], "k", places.count())
+    return found.select("t1", "t2", "start", (F.col("start") + LENGTH).alias("end")), [places, counts]
 
 
 def remove_repeats(docs: DataFrame, hot: int = 50_000) -> DataFrame:
