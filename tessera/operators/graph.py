@@ -183,32 +183,3 @@ def include_order(includes: DataFrame, root: str, max_depth: int = 12) -> DataFr
             break
         out = out.unionByName(level)
     return out
-
-
-def query(operation: str, nodes: DataFrame, edges: DataFrame, unresolved: DataFrame | None = None, node: str | None = None, types: Iterable[str] | None = None, depth: int = 12) -> DataFrame:
-    """Dispatch of the thirteen graph operations by name; presets choose direction and edge types."""
-    presets = {
-        "callers": (BACKWARD, ("CALLS", "FETCHES", "SUBMITS")), "callees": (FORWARD, ("CALLS", "FETCHES", "SUBMITS", "INVOKES")),
-        "includes": (FORWARD, ("INCLUDES",)), "included-by": (BACKWARD, ("INCLUDES",)),
-        "tables": (FORWARD, ("READS",)), "routes": (FORWARD, ("ROUTES",)), "scope-flow": (FORWARD, ("SETS", "USES")),
-    }
-    if operation == "stats":
-        return edges.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
-    if operation == "unresolved":
-        if unresolved is None:
-            raise ValueError("unresolved rows are needed")
-        return unresolved if node is None else unresolved.where(F.col("source_node") == node)
-    if operation == "explain-edge":
-        return explain(edges, nodes)
-    if operation == "related":
-        return related(edges, node, types)
-    seeds = nodes.where(F.col("id") == node).select(F.col("id").alias("node"))
-    if operation == "impact-evidence":
-        return traverse(edges, seeds, BACKWARD, depth, types)
-    if operation == "trace":
-        return traverse(edges, seeds, FORWARD, depth, types)
-    if operation in presets:
-        direction, own = presets[operation]
-        kinds = [t for t in own if types is None or t in set(types)]
-        return traverse(edges, seeds, direction, 1 if operation in ("callers", "callees") else depth, kinds)
-    raise ValueError(f"unknown operation {operation}")

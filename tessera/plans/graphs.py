@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import graph, project, relational
+from tessera.operators import graph, graph_query, project, relational
 
 from .registry import Tables, query
 
@@ -72,14 +72,14 @@ def closure(t: Tables) -> DataFrame:
     return graph.closure(place_edges(t), seeds)
 
 
-@query("J38 G3 G4", EDGES + """SELECT dst AS other, type, 'out' AS direction FROM e WHERE src = 'n:3' UNION ALL SELECT src, type, 'in' FROM e WHERE dst = 'n:3'""")
+@query("J38 G3", EDGES + """SELECT dst AS other, type, 'out' AS direction FROM e WHERE src = 'n:3' UNION ALL SELECT src, type, 'in' FROM e WHERE dst = 'n:3'""")
 def one_hop_related(t: Tables) -> DataFrame:
-    return graph.query("related", place_nodes(t), place_edges(t), node="n:3").select("other", "type", "direction")
+    return graph.related(place_edges(t), "n:3").select("other", "type", "direction")
 
 
 @query("G4 A15", EDGES + "SELECT type, count(*) AS n FROM e GROUP BY type")
 def graph_stats(t: Tables) -> DataFrame:
-    return graph.query("stats", place_nodes(t), place_edges(t))
+    return graph_query.graph_query("stats", place_nodes(t), place_edges(t)).results
 
 
 @query("G9 A16", EDGES + "SELECT dst AS node, string_agg(src, ',' ORDER BY src) AS neighbours FROM e GROUP BY dst")
@@ -121,7 +121,7 @@ def capped_traversal(t: Tables) -> DataFrame:
 SELECT 'n:' || n_nationkey || '>r:' || n_regionkey || '>IN_REGION' AS id, n_name || ' in_region ' || r_name AS text FROM nation JOIN region ON n_regionkey = r_regionkey""")
 def explain_edges(t: Tables) -> DataFrame:
     edges = link(t.nation, name("n", "n_nationkey"), name("r", "n_regionkey"), "IN_REGION")
-    return graph.query("explain-edge", place_nodes(t), edges)
+    return graph.explain(edges, place_nodes(t))
 
 
 @query("G10 R51 A14", "SELECT 'p:' || l_partkey AS id, count(DISTINCT l_suppkey) AS n_evidence FROM lineitem WHERE l_quantity > 45 GROUP BY 1")
