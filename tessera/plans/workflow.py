@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import relational, sets, verdicts
 from tessera.streaming.follow import Cursor, page, replay_table, start
 from tessera.streaming.follow import request_conflicts as repeated_requests
+from tessera.streaming.stateful import leases, requests
 
 from .registry import Tables, query
 
@@ -346,6 +349,33 @@ def follow_events(t: Tables) -> DataFrame:
     return replay_table(t.spark, f"{t.sf_dir}/events.parquet", schema, keep, "follow")
 
 
+@query("T5 T7", """
+SELECT user_id || '/' || event_type AS key, event_id AS request, CASE WHEN event_id = first(event_id) OVER w THEN 'accepted' WHEN props = first(props) OVER w THEN 'replay' ELSE 'conflict' END AS state, first(event_id) OVER w AS first
+FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)""")
+def request_states(t: Tables) -> DataFrame:
+    """Each event as a request of its user and type: accepted, repeated or in conflict, by a stream that keeps the first."""
+    key = F.concat_ws("/", F.col("user_id").cast("string"), "event_type")
+    keyed = lambda s: s.select(key.alias("key"), F.col("event_id").alias("request"), F.col("props").alias("digest"), F.col("ts").alias("at"))
+    return replay_table(t.spark, f"{t.sf_dir}/events.parquet", t.events.schema, lambda s: requests(keyed(s), "1 hour", timedelta(days=36500)), "requests")
+
+
+@query("T1 T8", """
+WITH r AS (SELECT user_id::VARCHAR AS key, event_id AS request, CASE WHEN event_type = 'signup' THEN 'grant' ELSE 'write' END AS kind, event_id * 7919 % 13 AS token, epoch_ms(ts) AS tm FROM events WHERE event_type IN ('signup', 'purchase')),
+x AS (SELECT *, max(CASE WHEN kind = 'grant' THEN token END) OVER (PARTITION BY key ORDER BY tm, request ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM r),
+y AS (SELECT *, kind = 'grant' AND (top IS NULL OR token >= top) AS good FROM x),
+z AS (SELECT *, max(CASE WHEN good THEN tm END) OVER (PARTITION BY key ORDER BY tm, request) + 7200000 AS until FROM y),
+done AS (SELECT key, max(CASE WHEN good THEN token END) AS token, max(CASE WHEN good THEN tm END) + 7200000 AS until FROM z GROUP BY key)
+SELECT key, request, token, CASE WHEN token < top THEN 'fenced' WHEN kind = 'grant' THEN CASE WHEN token = top THEN 'held' ELSE 'granted' END WHEN top IS NULL OR token <> top THEN 'unknown' WHEN tm > until THEN 'late' ELSE 'held' END AS state FROM z
+UNION ALL SELECT key, NULL, token, 'expired' FROM done WHERE until <= (SELECT max(tm) FROM r) - 3600000""")
+def lease_stream(t: Tables) -> DataFrame:
+    """Sign-ups as grants of two hours, purchases as writes, tokens from the event id: what a stream with timers tells."""
+    kind = F.when(F.col("event_type") == "signup", "grant").otherwise("write")
+    keyed = lambda s: s.where("event_type in ('signup', 'purchase')").select(
+        F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("request"), kind.alias("kind"), (F.col("event_id") * 7919 % 13).alias("token"), F.col("ts").alias("at")
+    )
+    return replay_table(t.spark, f"{t.sf_dir}/events.parquet", t.events.schema, lambda s: leases(keyed(s), "1 hour", timedelta(hours=2)), "leases")
+
+
 @query("R52", """
 SELECT o_orderkey, NOT coalesce((SELECT bool_or(l_linestatus <> 'F') FROM lineitem l WHERE l.l_orderkey = o.o_orderkey), false) AS admitted FROM orders o WHERE o_orderstatus = 'O'""")
 def task_admission(t: Tables) -> DataFrame:
