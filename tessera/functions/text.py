@@ -11,15 +11,25 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Patterns of credentials in logs, replaced in this order.
+#: Names of credentials; a dash may also be an underscore or missing.
+SECRET_NAMES = (
+    "api-key apikey access-key access-token refresh-token client-secret private-key secret-access-key secret-key session-token id-token oauth-token"
+    " token password passwd pwd secret database-url db-url signed-url"
+).split()
+_NAME = rf"(?<![A-Za-z0-9])(?:{'|'.join(n.replace('-', '[-_]?') for n in SECRET_NAMES)})(?![A-Za-z0-9])"
+#: A quoted value goes on over lines and, without an end, to the end of the text; escapes do not end it.
+_QUOTED = r"""(?:"(?:\\[\s\S]|[^"\\])*+(?:"|\\?\Z)|'(?:\\[\s\S]|[^'\\])*+(?:'|\\?\Z))"""
+_UNHIDDEN = r"""(?!["']?\[REDACTED\])"""
+#: Patterns of credentials in text, replaced in this order.
 SECRETS = (
-    (r"(?i)(authorization:\s*(?:bearer|basic)\s+)[^\s\"']+", "$1[REDACTED]"),
+    (rf"""(?i)(?<![A-Za-z0-9])(["']?authorization(?![A-Za-z0-9])["']?\s*[:=]\s*(["'])[A-Za-z][A-Za-z0-9_-]*\s+)(?!\[REDACTED\])(?:\\[\s\S]|(?!\2)[^\\])*+(?:\2|\\?\Z)""", "$1[REDACTED]$2"),
+    (r"""(?i)(?<![A-Za-z0-9])(["']?authorization(?![A-Za-z0-9])["']?\s*[:=]\s*[A-Za-z][A-Za-z0-9_-]*\s+)(?!\[REDACTED\])[^\s,;}\]"']+""", "$1[REDACTED]"),
     (r"(?i)([?&](?:x-amz-signature|x-amz-credential|x-goog-signature|signature|sig|access_token)=)[^\s&#\"']+", "$1[REDACTED]"),
-    (r"(?i)\b((?:api[_-]?key|token|secret|password|passwd|pwd)[\"']?\s*[=:]\s*)(?:\"[^\"]*\"|'[^']*')", "$1[REDACTED]"),
-    (r"(?i)\b((?:api[_-]?key|token|secret|password|passwd|pwd)\s*[=:]\s*)[^\s,;\"'\[]+", "$1[REDACTED]"),
-    (r"\b(?:sk-[A-Za-z0-9_-]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{30,}|github_pat_[A-Za-z0-9_]{20,})", "[REDACTED]"),
-    (r"\bgh[pousr]_[A-Za-z0-9]{20,}\b", "[REDACTED]"),
-    (r"\bAKIA[0-9A-Z]{16}\b", "[REDACTED]"),
+    (rf"""(?i)((["'])[^'"\r\n]*?{_NAME}[^'"\r\n]*?\2\s*[:=]\s*){_UNHIDDEN}(?:{_QUOTED}|[^\s,;}}\]]+)""", "$1[REDACTED]"),
+    (rf"""(?i)((["']?){_NAME}\2\s*[:=]\s*){_UNHIDDEN}(?:{_QUOTED}|[^\s,;}}\]]+)""", "$1[REDACTED]"),
+    (r"\b(?:sk-[A-Za-z0-9_-]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{8,}|github_pat_[A-Za-z0-9_]{8,})", "[REDACTED]"),
+    (r"\bgh[pousr]_[A-Za-z0-9_-]{8,}\b", "[REDACTED]"),
+    (r"\bAKIA[0-9A-Za-z_-]{8,}\b", "[REDACTED]"),
     (r"(?i)([a-z][a-z0-9+.-]*://[^\s:/@]+:)[^\s@/]+@", "$1[REDACTED]@"),
     (r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----", "[REDACTED]"),
 )
@@ -135,21 +145,93 @@ def json_type(text: Column) -> Column:
     )
 
 
-#: Tokens of a script as far as imports need them: strings, templates, comments, names and single signs.
-SCRIPT = re.compile(r"""(?P<skip>//[^\n]*|/\*.*?(?:\*/|\Z)|\s+)|(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`)|(?P<name>[A-Za-z_$][\w$]*)|(?P<sign>.)""", re.S)
+#: Tokens of a script as far as imports need them. A string keeps to its line; a regular expression is tried only where
+#: a value may begin.
+SCRIPT = re.compile(
+    r"""(?P<skip>//[^\r\n]*+|/\*(?s:.*?)(?:\*/|\Z)|\s++)|(?P<string>"(?:[^"\\\r\n]++|\\(?s:.))*+(?:"|(?=[\r\n])|\Z)|'(?:[^'\\\r\n]++|\\(?s:.))*+(?:'|(?=[\r\n])|\Z))"""
+    r"""|(?P<number>[0-9][\w.]*+)|(?P<name>[A-Za-z_$][\w$]*+)|(?P<sign>(?s:.))"""
+)
+REGEX = re.compile(r"/(?:[^/\\\[\r\n]++|\\.|\[(?:[^\]\\\r\n]++|\\.)*+\]?)*+/?[A-Za-z]*+")
+TEMPLATE = re.compile(r"(?:[^`\\$]++|\\(?s:.)|\$(?!\{))*+(?P<stop>`|\$\{|\Z)")
+#: Words after which a value begins, and words whose brackets hold a condition before a statement.
+BEFORE_VALUE = frozenset("return throw case delete void typeof new yield await else do in of instanceof".split())
+CONDITIONS = frozenset("if while for with switch catch".split())
+
+
+def script_tokens(code: str) -> list[tuple[str, str]]:
+    """(kind, value) of a script: name, sign, string (only literals without odd escapes), opaque for any other value.
+
+    Braces inside a template's ${ } are counted on a stack, so templates nest; a slash begins a regular expression
+    unless it follows a value.
+    """
+    out: list[tuple[str, str]] = []
+    # Depth of braces in each open template; whether each open bracket holds a condition.
+    templates: list[int] = []
+    brackets: list[bool] = []
+    at, value_next = 0, True
+
+    def template(at: int) -> int:
+        m = TEMPLATE.match(code, at)
+        if m["stop"] == "${":
+            templates.append(0)
+            out.append(("opaque", ""))
+        else:
+            out.append(("string", code[at : m.start("stop")]) if code[at - 1] == "`" and "\\" not in m[0] else ("opaque", ""))
+        return m.end()
+
+    while at < len(code):
+        m = SCRIPT.match(code, at)
+        kind, text = m.lastgroup, m[0]
+        if kind == "sign" and text == "`":
+            at = template(m.end())
+            value_next = bool(out and code[at - 2 : at] == "${")
+            continue
+        if kind == "sign" and text == "/" and value_next:
+            at, value_next = REGEX.match(code, at).end(), False
+            out.append(("opaque", ""))
+            continue
+        at = m.end()
+        if kind == "skip":
+            continue
+        if kind == "string":
+            body = text[1:-1]
+            odd = len(text) < 2 or text[-1] != text[0] or re.search(r'''\\[^\\"'/]''', body)
+            out.append(("opaque", "") if odd else ("string", re.sub(r"\\(.)", r"\1", body)))
+            value_next = False
+        elif kind == "number":
+            out.append(("opaque", ""))
+            value_next = False
+        elif kind == "name":
+            value_next = text in BEFORE_VALUE and out[-1:] != [("sign", ".")]
+            out.append(("name", text))
+        elif text == "}" and templates and not templates[-1]:
+            templates.pop()
+            at = template(at)
+            value_next = code[at - 2 : at] == "${"
+        else:
+            if templates:
+                templates[-1] += (text == "{") - (text == "}")
+            after = False
+            if text == "(":
+                brackets.append(out[-1:] and out[-1][0] == "name" and out[-1][1] in CONDITIONS and out[-2:-1] != [("sign", ".")])
+            elif text == ")":
+                after = bool(brackets and brackets.pop())
+            value_next = after or text not in (")", "]", "}", ".")
+            out.append(("sign", text))
+    return out
 
 
 def imported(code: str | None) -> list[str]:
     """Specifiers of static and dynamic imports, re-exports and require calls in order, by tokens."""
-    tokens = [(m.lastgroup, m.group(0)) for m in SCRIPT.finditer(code or "") if m.lastgroup != "skip"]
+    tokens = script_tokens(code or "")
     out: list[str] = []
     for i, (kind, value) in enumerate(tokens):
-        if kind != "string" or (value[0] == "`" and "${" in value):
+        if kind != "string":
             continue
         before = [t for _, t in tokens[max(0, i - 3) : i]]
         called = before[-1:] == ["("] and before[-2:-1] in (["require"], ["import"]) and before[-3:-2] != ["."]
-        if (called or before[-1:] in (["from"], ["import"])) and value[1:-1] not in out:
-            out.append(value[1:-1])
+        if (called or before[-1:] in (["from"], ["import"])) and value not in out:
+            out.append(value)
     return out
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-COMPILER = r"^(.+?)\((\d+),(\d+)\):\s+(error|warning)\s+(TS\d+):\s+(.*)$"
+#: The location before a compiler's message may be missing.
+COMPILER = r"^(?:(.+?)\((\d+),(\d+)\):\s+|\s*)(error|warning)\s+(TS\d+):\s*(.+)$"
 COLON = r"^(.+?):(\d+):(\d+)\s*[-:]?\s*(error|warning|info)\b:?\s*(.*)$"
 FAIL = r"^\s*FAIL\s+(\S+)"
 LOCATION = r"\(?([^\s()]+):(\d+):(\d+)\)?\s*$"
@@ -15,8 +16,8 @@ COLUMNS = ["artifact", "seq", "producer", "severity", "phase", "code", "file", "
 
 
 def compiler_rows(lines: DataFrame) -> DataFrame:
-    """Diagnostics of compiler lines file(line,col): severity CODE: message."""
-    g = lambda i: F.regexp_extract("line", COMPILER, i)
+    """Diagnostics of compiler lines file(line,col): severity CODE: message, or without a place: severity CODE: message."""
+    g = lambda i: F.nullif(F.regexp_extract("line", COMPILER, i), F.lit(""))
     hit = lines.where(F.col("line").rlike(COMPILER))
     return hit.select("artifact", "seq", F.lit("compiler").alias("producer"), g(4).alias("severity"), F.lit("compile").alias("phase"), g(5).alias("code"), g(1).alias("file"), g(2).cast("int").alias("line_no"), g(3).cast("int").alias("col"), g(6).alias("message")).withColumnRenamed("line_no", "line")
 

@@ -354,7 +354,7 @@ def test_redaction_cases():
 
     def redact(line):
         for pattern, replacement in SECRETS:
-            line = re.sub(pattern, replacement.replace("$1", r"\1"), line)
+            line = re.sub(pattern, re.sub(r"\$(\d)", r"\\\1", replacement), line)
         return line
 
     assert redact("PASSWORD = 'a b\nc' x") == "PASSWORD = [REDACTED] x"
