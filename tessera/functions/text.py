@@ -103,6 +103,18 @@ def package_manager(declaration: Column) -> Column:
     return F.struct(F.regexp_extract(declaration, r"^([a-z]+)@", 1).alias("name"), F.regexp_extract(declaration, r"@([0-9][^+]*)", 1).alias("version"))
 
 
+VERSION = r"^[vV=]?(\d{1,18})(?:\.(\d{1,18}))?(?:\.(\d{1,18}))?(?:-([0-9A-Za-z.-]+))?(?:\+[0-9A-Za-z.-]+)?$"
+
+
+def version_key(version: Column) -> Column:
+    """A text that sorts as versions do: numbers by value, a prerelease before its release, its numeric parts before
+    names, and fewer parts first. Null for what is no version."""
+    part = lambda i: F.lpad(F.coalesce(F.nullif(F.regexp_extract(version, VERSION, i), F.lit("")), F.lit("0")), 18, "0")
+    pre = F.regexp_extract(version, VERSION, 4)
+    named = F.array_join(F.transform(F.split(pre, r"\."), lambda x: F.when(x.rlike(r"^\d+$"), F.concat(F.lit("0"), F.lpad(x, 18, "0"))).otherwise(F.concat(F.lit("1"), x))), " ")
+    return F.when(version.rlike(VERSION), F.concat_ws(".", part(1), part(2), part(3), F.when(pre == "", "~").otherwise(named)))
+
+
 def file_kind(path: Column) -> Column:
     low = F.lower(path)
     return (

@@ -9,20 +9,20 @@ from pyspark.sql import functions as F
 
 from tessera.staging import stage
 
+from . import scans
+
 UP_TO = (Window.unboundedPreceding, 0)
 BEFORE = (Window.unboundedPreceding, -1)
 
 
 def forward_fill(rows: DataFrame, by: Sequence[str], order: Sequence[str], column: str, out: str) -> DataFrame:
-    """The last non-null value at or before each row."""
-    over = Window.partitionBy(*by).orderBy(*order).rowsBetween(*UP_TO)
-    return rows.withColumn(out, F.last(column, ignorenulls=True).over(over))
+    """The last non-null value at or before each row; a key that holds most rows is scanned in parts."""
+    return scans.filled_forward(rows, by, order, F.col(column), out)
 
 
 def last_before(rows: DataFrame, by: Sequence[str], order: Sequence[str], value: Column, out: str) -> DataFrame:
     """The last non-null value strictly before each row."""
-    over = Window.partitionBy(*by).orderBy(*order).rowsBetween(*BEFORE)
-    return rows.withColumn(out, F.last(value, ignorenulls=True).over(over))
+    return scans.filled_forward(rows, by, order, value, out, strictly=True)
 
 
 def next_boundary(rows: DataFrame, by: Sequence[str], order: Sequence[str], column: str, out: str, default) -> DataFrame:
@@ -31,13 +31,21 @@ def next_boundary(rows: DataFrame, by: Sequence[str], order: Sequence[str], colu
 
 
 def between_boundaries(rows: DataFrame, by: Sequence[str], order: Sequence[str], opens: Column, value: Column, out: str) -> DataFrame:
-    """For each opening row the first value in the rows up to the next opening, else the last value before it."""
-    ordered = Window.partitionBy(*by).orderBy(*order)
-    marked = rows.withColumn("_segment", F.sum(F.when(opens, 1).otherwise(0)).over(ordered.rowsBetween(*UP_TO)))
-    marked = marked.withColumn("_earlier", F.last(value, ignorenulls=True).over(ordered.rowsBetween(*BEFORE)))
-    inside = Window.partitionBy(*by, "_segment").orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
-    marked = marked.withColumn("_later", F.first(F.when(~opens, value), ignorenulls=True).over(inside))
-    return marked.where(opens).withColumn(out, F.coalesce("_later", "_earlier")).drop("_segment", "_earlier", "_later")
+    """For each opening row the first value in the rows up to the next opening, else the last value before it.
+
+    Openings are numbered and values carried by scans in parts; a segment's first value is an aggregate.
+    """
+    starts = F.coalesce(opens, F.lit(False))
+    marked = rows.withColumns({"_opens": starts, "_own": value})
+    marked = scans.running_total(marked, by, order, F.when(F.col("_opens"), 1).otherwise(0), "_segment")
+    marked = scans.filled_forward(marked, by, order, F.col("_own"), "_earlier", strictly=True)
+    first = marked.where(~F.col("_opens") & F.col("_own").isNotNull()).groupBy(*by, "_segment").agg(F.min_by("_own", F.struct(*order)).alias("_later"))
+    own = [F.col(f"r.{c}") for c in rows.columns]
+    same = F.col("r._segment") == F.col("t._segment")
+    for c in by:
+        same = same & F.col(f"r.{c}").eqNullSafe(F.col(f"t.{c}"))
+    joined = marked.where("_opens").alias("r").join(first.alias("t"), same, "left")
+    return joined.select(*own, F.coalesce("t._later", "r._earlier").alias(out))
 
 
 def nth_occurrence(rows: DataFrame, name: str, order: Sequence[str], n: int) -> DataFrame:
@@ -58,9 +66,8 @@ def write_effects(events: DataFrame, by: Sequence[str], order: Sequence[str], ki
 
 
 def running_cut(rows: DataFrame, by: Sequence[str], order: Sequence[str], size: str, budget: int) -> DataFrame:
-    """Rows of each group up to a running size budget."""
-    total = F.sum(size).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(*UP_TO))
-    return rows.withColumn("running", total).where(F.col("running") <= budget)
+    """Rows of each group, or of the whole table, up to a running size budget."""
+    return scans.running_total(rows, by, order, F.col(size), "running").where(F.col("running") <= budget)
 
 
 def first_wins(rows: DataFrame, key: Sequence[str], order: Sequence[Column | str]) -> DataFrame:

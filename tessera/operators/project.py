@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import import_specifiers, normal_path, package_manager, path_risk, purpose, stem, strip_comments
@@ -46,8 +46,8 @@ def package_roots(paths: DataFrame, packages: DataFrame) -> DataFrame:
 def map_tests(changes: DataFrame, tests: DataFrame, imports: DataFrame, depth: int = 4, packages: DataFrame | None = None) -> DataFrame:
     """(test, confidence, evidence, evidence_rank, n_changes, changes): tests for changed paths.
 
-    Imports come from a reverse traversal of the changes; name, directory and package matches are three
-    equi-joins instead of a theta join; without any candidate all tests are returned as a fallback. packages (root)
+    Imports come from a reverse traversal of the changes; name, directory and package matches are equi-joins with the
+    gathered changes of each key, so changes and tests of one key never meet pair by pair; without any candidate all tests are returned as a fallback. packages (root)
     are the directories with a manifest, in which directories match too; without them no package is matched.
     """
     edges = imports.select("src", "dst", F.concat_ws(">", "src", "dst").alias("id"), F.lit("IMPORTS").alias("type"))
@@ -56,16 +56,24 @@ def map_tests(changes: DataFrame, tests: DataFrame, imports: DataFrame, depth: i
         F.col("node").alias("test"), F.col("seed").alias("change"), F.when(F.col("distance") == 1, 5).otherwise(4).alias("rank")
     )
     folder = lambda c: F.regexp_replace(F.regexp_extract(c, "^(.*)/[^/]*$", 1), "^(src|lib|test|tests)/?", "")
-    key = lambda df, expr, label: df.select(expr.alias("_k"), F.col("path").alias(label)).where("_k <> ''")
-    names = key(changes, stem(F.col("path")), "change").join(key(tests, stem(F.col("path")), "test"), "_k").select("test", "change", F.lit(3).alias("rank"))
-    dirs = key(changes, folder("path"), "change").join(key(tests, folder("path"), "test"), "_k").select("test", "change", F.lit(2).alias("rank"))
-    found = by_import.unionByName(names).unionByName(dirs)
+
+    def tier(a: DataFrame, b: DataFrame, on: list[str], rank: int) -> DataFrame:
+        """One row for each test: the changes of its key, gathered once a key."""
+        gathered = a.groupBy(*on).agg(F.collect_set("path").alias("changes"))
+        return b.join(gathered, on).select(F.col("path").alias("test"), "changes", F.lit(rank).alias("rank"))
+
+    def keyed(rows: DataFrame, key: Column) -> DataFrame:
+        return rows.select(key.alias("_k"), "path").where("_k <> ''")
+
+    found = by_import.groupBy("test").agg(F.collect_set("change").alias("changes"), F.max("rank").alias("rank"))
+    for key, rank in ((stem(F.col("path")), 3), (folder("path"), 2)):
+        found = found.unionByName(tier(keyed(changes, key), keyed(tests, key), ["_k"], rank))
     if packages is not None:
         inner = F.when(F.col("root") == ".", F.col("path")).otherwise(F.expr("substring(path, length(root) + 2)"))
-        own, other = (package_roots(x, packages).select("root", folder(inner).alias("_k"), F.col("path").alias(n)) for x, n in ((changes, "change"), (tests, "test")))
-        inside = F.when(F.col("a._k") == F.col("b._k"), F.when(F.col("a._k") != "", 2).otherwise(1)).otherwise(1)
-        found = found.unionByName(own.alias("a").join(other.alias("b"), "root").select("test", "change", inside.alias("rank")))
-    out = found.groupBy("test").agg(F.max("rank").alias("evidence_rank"), F.array_sort(F.collect_set("change")).alias("changes"))
+        own, other = (package_roots(x, packages).select("root", folder(inner).alias("_k"), "path") for x in (changes, tests))
+        found = found.unionByName(tier(own, other, ["root"], 1)).unionByName(tier(own.where("_k <> ''"), other.where("_k <> ''"), ["root", "_k"], 2))
+    # At most one row for each test and tier is left to be put together.
+    out = found.groupBy("test").agg(F.max("rank").alias("evidence_rank"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("changes")))).alias("changes"))
     if not out.limit(1).count():
         out = tests.select(F.col("path").alias("test"), F.lit(0).alias("evidence_rank"), F.array().cast("array<string>").alias("changes"))
     label = F.get(F.array(*map(F.lit, EVIDENCE)), F.col("evidence_rank"))
@@ -73,6 +81,40 @@ def map_tests(changes: DataFrame, tests: DataFrame, imports: DataFrame, depth: i
     return out.orderBy(F.desc("evidence_rank"), "test")
 
 
+#: Files that tell what is meant to be done, and how far it is.
+GOALS = r"(?i)(^|/)(GOAL|ROADMAP|TASK|PROGRESS|EPIC)(\.md)?$"
+PROGRESS = r"(?i)(^|/)(PROGRESS|TASK)(\.md)?$"
+
+
+def project_query(nodes: DataFrame, edges: DataFrame, command: str, path: str | None = None, changed: DataFrame | None = None) -> DataFrame:
+    """Nodes (id, path, kind, plane) that a project command asks for.
+
+    evidence, tests-for, impact and context start from the nodes at or under `path` (all without one); impact and
+    tests-for follow edges (src, dst, type) of types tests and imports backwards, as far as they go.
+    """
+    if path:
+        under = path.rstrip("/") + "/"
+        seeds = nodes.where((F.col("path") == path) | F.col("path").startswith(under))
+    else:
+        seeds = nodes
+    if command == "context":
+        return seeds
+    if command == "evidence":
+        return seeds.where("plane = 'evidence' or kind = 'test'")
+    if command in ("impact", "tests-for"):
+        edges = edges.select("src", "dst", "type", F.lit(None).cast("string").alias("id"))
+        reached = graph.closure(edges, seeds.select(F.col("id").alias("node")), graph.BACKWARD, ["tests", "imports"])
+        hit = nodes.join(reached.select(F.col("node").alias("id")), "id", "left_semi")
+        return hit if command == "impact" else hit.where("kind = 'test'")
+    if command == "changed":
+        return nodes.limit(0) if changed is None else nodes.join(changed.select("path").distinct(), "path", "left_semi")
+    if command in ("goals", "progress"):
+        return nodes.where(F.col("path").rlike(GOALS if command == "goals" else PROGRESS))
+    if command == "path-to-done":
+        return nodes.where("kind = 'test'")
+    raise ValueError(f"unknown command {command}")
+
+
 def test_tiers(plan: DataFrame, weak: int = 2) -> dict[str, DataFrame]:
     """minimum: all equally strongest tests (one where they are weak); recommended: medium and up; release: all."""
     best = plan.agg(F.max("evidence_rank")).first()[0]

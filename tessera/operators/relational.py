@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.text import version_key
+
 
 def unsupported(rows: DataFrame, support: DataFrame, on: Sequence[str]) -> DataFrame:
     """Rows that no supporting row backs on the given columns (null-safe)."""
@@ -170,12 +172,46 @@ def exactly_one(asked: DataFrame, rows: DataFrame, on: Sequence[str], value: str
     return joined.select(*asked.columns, state.alias("state"), F.when(F.col("_n") == 1, F.col("_one")).alias(value))
 
 
-def single_action(resolutions: DataFrame, methods: DataFrame, actions: DataFrame) -> DataFrame:
-    """resolutions (method) with place, state and action: the method's place must have exactly one action."""
-    only = actions.groupBy("place").agg(F.count(F.lit(1)).alias("_n"), F.min("action").alias("_one"))
-    joined = resolutions.join(methods, "method").join(only, "place", "left")
-    state = F.when(F.col("_n").isNull(), "no-action").when(F.col("_n") == 1, "resolved").otherwise("ambiguous-action")
-    return joined.withColumns({"state": state, "action": F.when(F.col("_n") == 1, F.col("_one"))}).drop("_n", "_one")
+def single_action(calls: DataFrame, facts: DataFrame, actions: DataFrame) -> DataFrame:
+    """calls (method) with state and action: the method must be a METHOD among facts (id, kind, file) and have exactly one
+    of actions (action, method, file, query_ids), in its own file, all of whose distinct ids are QUERY facts of that file.
+
+    The universal check explodes the ids of single actions, joins them with the facts and compares two counts. No call is
+    lost: the first condition that fails names its state.
+    """
+    methods = facts.where("kind = 'METHOD'").select(F.col("id").alias("method"), F.col("file").alias("_file"))
+    own = actions.groupBy("method").agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct("action", "file", "query_ids")).alias("_a")).join(methods, "method")
+    single = own.where("_n = 1").select("method", "_file", F.explode(F.array_distinct("_a.query_ids")).alias("id"))
+    queries = facts.where("kind = 'QUERY'").select("id", F.col("file").alias("_at"))
+    fits = F.count_if(F.coalesce(F.col("_at") == F.col("_file"), F.lit(False)))
+    judged = single.join(queries, "id", "left").groupBy("method").agg(F.count(F.lit(1)).alias("_ids"), fits.alias("_fit"))
+    known = methods.join(own.drop("_file"), "method", "left").join(judged, "method", "left")
+    state = (
+        F.when(F.col("_file").isNull(), "unknown-method").when(F.col("_n").isNull(), "no-action").when(F.col("_n") > 1, "ambiguous-action")
+        .when(~F.col("_a.file").eqNullSafe(F.col("_file")), "other-file").when(F.col("_ids").isNull(), "no-query").when(F.col("_fit") < F.col("_ids"), "foreign-query").otherwise("resolved")
+    )
+    joined = calls.join(known, "method", "left").withColumn("state", state)
+    return joined.select(*calls.columns, "state", F.when(F.col("state") == "resolved", F.col("_a.action")).alias("action"))
+
+
+def gated(evidence: DataFrame, gates: DataFrame) -> DataFrame:
+    """evidence (format, version) with gate: the state of the gate (format, lowest, below, state) whose versions, from
+    lowest on and below the other end (null: open), hold the row's; too_old or too_new outside all of a format's gates.
+
+    Versions are compared by a key that sorts as they do, so the gates are data: one join on format, then ranges.
+    """
+    key = lambda c: version_key(F.col(c))
+    asked = evidence.withColumn("_key", key("version"))
+    ends = gates.select(F.col("format").alias("_format"), key("lowest").alias("_low"), key("below").alias("_high"), F.col("state").alias("_state"))
+    span = ends.groupBy("_format").agg(F.min("_low").alias("_least"), F.collect_list(F.struct("_low", "_high", "_state")).alias("_gates"))
+    # A format has few gates; they travel as one row and are searched in place.
+    first = F.filter("_gates", lambda g: (g["_low"].isNull() | (F.col("_key") >= g["_low"])) & (g["_high"].isNull() | (F.col("_key") < g["_high"])))
+    joined = asked.join(span, F.col("format") == F.col("_format"), "left")
+    gate = (
+        F.when(F.col("_format").isNull(), "unknown_format").when(F.col("_key").isNull(), "bad_version")
+        .otherwise(F.coalesce(F.get(F.transform(first, lambda g: g["_state"]), F.lit(0)), F.when(F.col("_key") < F.col("_least"), "too_old").otherwise("too_new")))
+    )
+    return joined.select(*evidence.columns, gate.alias("gate"))
 
 
 def attempts_left(rows: DataFrame, key: str, most: int) -> DataFrame:

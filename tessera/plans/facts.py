@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,14 +21,14 @@ def s(column: str) -> Column:
 
 
 @query("S1 S4", """
-SELECT 'region=' || n_regionkey AS dir, 'doc' AS kind, count(*) + 1 AS lines, cast(sum(strlen(n_name) + 1) AS BIGINT) AS bytes, 64 AS digest_chars FROM nation GROUP BY n_regionkey""")
+SELECT 'nation=' || c_nationkey AS dir, 'doc' AS kind, count(*) + 1 AS lines, cast(sum(strlen(c_name) + 1) AS BIGINT) AS bytes, 64 AS digest_chars FROM customer GROUP BY c_nationkey""")
 def walked_files(t: Tables) -> DataFrame:
-    """Text files written per region, walked back as file nodes with bytes, lines, digest and kind."""
-    root = f"{shared_dir(t.spark)}/tessera-walk-{t.spark.sparkContext.applicationId}"
-    rows = t.nation.select(F.col("n_regionkey").alias("region"), F.col("n_name").alias("value")).repartition("region")
-    rows.write.mode("overwrite").partitionBy("region").text(root)
-    found = files.file_nodes(files.discover(t.spark, root, include=r"\.txt$"))
-    return found.select(F.regexp_extract("path", "(region=[0-9]+)/", 1).alias("dir"), "kind", F.col("lines").cast("bigint").alias("lines"), "bytes", F.length("digest").alias("digest_chars"))
+    """Text files of the customers of each nation, walked back as file nodes with bytes, lines, digest and kind."""
+    root = f"{shared_dir(t.spark)}/tessera-walk-{uuid.uuid4().hex}"
+    rows = t.customer.select(F.col("c_nationkey").alias("nation"), F.col("c_name").alias("value")).repartition("nation")
+    rows.write.partitionBy("nation").text(root)
+    found = files.file_nodes(files.discover(t.spark, root, include=r"\.txt$"), root)
+    return found.select(F.regexp_extract("path", "(nation=[0-9]+)/", 1).alias("dir"), "kind", F.col("lines").cast("bigint").alias("lines"), "bytes", F.length("digest").alias("digest_chars"))
 
 
 @query("S12", """
@@ -260,15 +262,26 @@ def exactly_one(t: Tables) -> DataFrame:
 
 
 @query("J32", """
-WITH r AS (SELECT o_orderkey, o_custkey FROM orders), m AS (SELECT c_custkey, c_nationkey FROM customer), a AS (SELECT s_nationkey, count(*) AS n, min(s_suppkey) AS one FROM supplier GROUP BY 1)
-SELECT o_orderkey, CASE WHEN n = 1 THEN 'resolved' WHEN n > 1 THEN 'ambiguous-action' ELSE 'no-action' END AS state, CASE WHEN n = 1 THEN one END AS action
-FROM r JOIN m ON c_custkey = o_custkey LEFT JOIN a ON s_nationkey = c_nationkey""")
+WITH x AS (
+  SELECT o_orderkey, c_custkey AS c, CASE WHEN o_orderkey % 7 = 0 OR c_custkey IS NULL OR c_acctbal < 0 THEN 'unknown-method' WHEN c_custkey % 3 = 2 THEN 'no-action' WHEN c_custkey % 3 = 0 THEN 'ambiguous-action'
+    WHEN c_custkey % 5 = 0 THEN 'other-file' WHEN c_custkey % 11 = 0 THEN 'no-query' WHEN c_custkey % 2 = 1 THEN 'foreign-query' ELSE 'resolved' END AS state
+  FROM orders LEFT JOIN customer ON c_custkey = o_custkey)
+SELECT o_orderkey, state, CASE WHEN state = 'resolved' THEN 'a' || c END AS action FROM x""")
 def single_action(t: Tables) -> DataFrame:
-    """Resolution to method to its only action: order, its customer's nation, and the one supplier there."""
-    resolutions = t.orders.select("o_orderkey", F.col("o_custkey").alias("method"))
-    methods = t.customer.select(F.col("c_custkey").alias("method"), F.col("c_nationkey").alias("place"))
-    actions = t.supplier.select(F.col("s_nationkey").alias("place"), F.col("s_suppkey").alias("action"))
-    return relational.single_action(resolutions, methods, actions).select("o_orderkey", "state", "action")
+    """Calls of customers as methods: each needs one action, in the method's file, whose queries all lie there (a nation is
+    a file). Every seventh call names no method; customers in debt are no methods."""
+    c, n = F.col("c_custkey"), F.col("c_nationkey")
+    file = lambda x: F.concat(F.lit("f"), x.cast("string"))
+    calls = t.orders.select("o_orderkey", F.when(F.col("o_orderkey") % 7 == 0, "none").otherwise(F.concat(F.lit("m"), s("o_custkey"))).alias("method"))
+    facts = t.customer.select(F.concat(F.lit("m"), s("c_custkey")).alias("id"), F.when(F.col("c_acctbal") < 0, "FIELD").otherwise("METHOD").alias("kind"), file(n).alias("file"))
+    facts = facts.unionByName(t.part.select(F.concat(F.lit("q"), s("p_partkey")).alias("id"), F.lit("QUERY").alias("kind"), file(F.col("p_partkey") % 25).alias("file")))
+    queries = F.transform(F.array(n + 25, n + 50 + c % 2, n + 25), lambda k: F.concat(F.lit("q"), k.cast("string")))
+    action = t.customer.where("c_custkey % 3 <> 2").select(
+        F.concat(F.lit("a"), s("c_custkey")).alias("action"), F.concat(F.lit("m"), s("c_custkey")).alias("method"),
+        F.when(c % 5 == 0, "f99").otherwise(file(n)).alias("file"), F.when(c % 11 == 0, F.array().cast("array<string>")).otherwise(queries).alias("query_ids"),
+    )
+    second = action.where(F.expr("cast(substring(action, 2) as long) % 3 = 0")).withColumn("action", F.concat("action", F.lit("b")))
+    return relational.single_action(calls, facts, action.unionByName(second)).select("o_orderkey", "state", "action")
 
 
 @query("A32", """
@@ -340,11 +353,11 @@ def fenced_writes(t: Tables) -> DataFrame:
     return relational.fenced(writes, grants, "user_id").select("event_id")
 
 
-@query("S18", "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1")
+@query("S18", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1")
 def cached_counts(t: Tables) -> DataFrame:
     """Rows written to a cache file that appears whole or not at all, and read back."""
-    path = f"{shared_dir(t.spark)}/tessera-cache-{t.spark.sparkContext.applicationId}.json"
-    rows = t.nation.groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("n"))
+    path = f"{shared_dir(t.spark)}/tessera-cache-{uuid.uuid4().hex}.json"
+    rows = t.orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
     files.atomic_json(rows, path)
     return t.spark.read.schema(rows.schema).json(path)
 

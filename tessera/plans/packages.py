@@ -51,11 +51,74 @@ def changed_package_commands(t: Tables) -> DataFrame:
     return relational.supported(commands, changed, ["path"]).select("path", "script")
 
 
-@query("R19", "SELECT event_id, CASE WHEN event_type = 'view' THEN 'accepted' WHEN event_type = 'click' AND value < 50 THEN 'too_old' WHEN event_type = 'click' THEN 'accepted' ELSE 'unknown_format' END AS gate FROM events")
+@query("R19", """
+SELECT event_id, CASE WHEN event_type NOT IN ('view', 'click') THEN 'unknown_format' WHEN event_id % 17 = 0 THEN 'bad_version' WHEN event_type = 'view' THEN 'accepted'
+  WHEN m < 5 OR m = 5 AND event_id % 3 = 0 THEN 'too_old' WHEN m < 10 OR m = 10 AND event_id % 3 = 0 THEN 'deprecated' WHEN m < 12 OR m = 12 AND event_id % 3 = 0 THEN 'accepted' ELSE 'too_new' END AS gate
+FROM (SELECT *, event_id % 20 AS m FROM events)""")
 def evidence_gates(t: Tables) -> DataFrame:
-    """Version gates of outside evidence."""
-    gate = F.when(F.col("event_type") == "view", "accepted").when((F.col("event_type") == "click") & (F.col("value") < 50), "too_old").when(F.col("event_type") == "click", "accepted").otherwise("unknown_format")
-    return t.events.select("event_id", gate.alias("gate"))
+    """Outside evidence (events by type and a version made of the id) against a table of version gates; every third version
+    is a prerelease, which comes before its release."""
+    minor = (F.col("event_id") % 20).cast("string")
+    version = F.when(F.col("event_id") % 17 == 0, "latest").otherwise(F.concat(F.lit("1."), minor, F.when(F.col("event_id") % 3 == 0, ".0-rc.1").otherwise(".0")))
+    gates = [("view", "0.1.0", None, "accepted"), ("click", "1.5.0", "1.10.0", "deprecated"), ("click", "1.10.0", "1.12.0", "accepted")]
+    table = t.spark.createDataFrame(gates, "format string, lowest string, below string, state string")
+    return relational.gated(t.events.select("event_id", F.col("event_type").alias("format"), version.alias("version")), table).select("event_id", "gate")
+
+
+#: Parts are files in directories of their brand; each imports the part before, in chains of ten; every third has a test.
+PROJECT = """WITH RECURSIVE n AS (
+  SELECT 'part:' || p_partkey AS id, 'src/' || replace(p_brand, '#', '_') || '/part_' || p_partkey || '.js' AS path, 'source' AS kind, 'code' AS plane FROM part
+  UNION ALL SELECT 'test:' || p_partkey, 'test/part_' || p_partkey || '.test.js', 'test', 'evidence' FROM part WHERE p_partkey % 3 = 0
+  UNION ALL SELECT 'goal:' || p_brand, 'src/' || replace(p_brand, '#', '_') || '/GOAL.md', 'doc', 'intent' FROM (SELECT DISTINCT p_brand FROM part)
+  UNION ALL SELECT 'progress:' || p_brand, 'src/' || replace(p_brand, '#', '_') || '/PROGRESS.md', 'doc', 'intent' FROM (SELECT DISTINCT p_brand FROM part)
+), e AS (
+  SELECT 'part:' || p_partkey AS src, 'part:' || (p_partkey - 1) AS dst, 'imports' AS type FROM part WHERE p_partkey % 10 <> 1
+  UNION ALL SELECT 'test:' || p_partkey, 'part:' || p_partkey, 'tests' FROM part WHERE p_partkey % 3 = 0
+), hit(id) AS (SELECT id FROM n WHERE path = 'src/Brand_1' OR starts_with(path, 'src/Brand_1/') UNION SELECT e.src FROM hit JOIN e ON e.dst = hit.id) """
+
+
+def project_tables(t: Tables) -> tuple[DataFrame, DataFrame]:
+    k, folder = F.col("p_partkey").cast("string"), F.concat(F.lit("src/"), F.regexp_replace("p_brand", "#", "_"))
+    node = lambda rows, id_, path, kind, plane: rows.select(id_.alias("id"), path.alias("path"), F.lit(kind).alias("kind"), F.lit(plane).alias("plane"))
+    tested, brands = t.part.where("p_partkey % 3 = 0"), t.part.select("p_brand").distinct()
+    part, test = F.concat(F.lit("part:"), k), F.concat(F.lit("test:"), k)
+    nodes = node(t.part, part, F.concat(folder, F.lit("/part_"), k, F.lit(".js")), "source", "code")
+    nodes = nodes.unionByName(node(tested, test, F.concat(F.lit("test/part_"), k, F.lit(".test.js")), "test", "evidence"))
+    for name in ("goal", "progress"):
+        nodes = nodes.unionByName(node(brands, F.concat(F.lit(name + ":"), "p_brand"), F.concat(folder, F.lit(f"/{name.upper()}.md")), "doc", "intent"))
+    before = F.concat(F.lit("part:"), (F.col("p_partkey") - 1).cast("string"))
+    edges = t.part.where("p_partkey % 10 <> 1").select(part.alias("src"), before.alias("dst"), F.lit("imports").alias("type"))
+    return nodes, edges.unionByName(tested.select(test.alias("src"), part.alias("dst"), F.lit("tests").alias("type")))
+
+
+def asked_of_project(t: Tables, command: str) -> DataFrame:
+    return project.project_query(*project_tables(t), command, "src/Brand_1").select("id", "path")
+
+
+@query("R28 F14", PROJECT + "SELECT id, path FROM n JOIN hit USING (id)")
+def project_impact(t: Tables) -> DataFrame:
+    """All files that import or test a directory's, however indirectly, and the directory itself."""
+    return asked_of_project(t, "impact")
+
+
+@query("R28", PROJECT + "SELECT id, path FROM n JOIN hit USING (id) WHERE kind = 'test'")
+def project_tests_for(t: Tables) -> DataFrame:
+    return asked_of_project(t, "tests-for")
+
+
+@query("R28", PROJECT + "SELECT id, path FROM n WHERE kind = 'test'")
+def project_path_to_done(t: Tables) -> DataFrame:
+    return asked_of_project(t, "path-to-done")
+
+
+@query("R28", PROJECT + "SELECT id, path FROM n WHERE id LIKE 'goal:%' OR id LIKE 'progress:%'")
+def project_goals(t: Tables) -> DataFrame:
+    return asked_of_project(t, "goals")
+
+
+@query("R28", PROJECT + "SELECT id, path FROM n WHERE id LIKE 'progress:%'")
+def project_progress(t: Tables) -> DataFrame:
+    return asked_of_project(t, "progress")
 
 
 @query("R47", """

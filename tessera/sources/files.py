@@ -9,30 +9,39 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.text import file_kind, secret_like
+from tessera.operators.scans import running_total
 from tessera.staging import stage
 
 
 def discover(spark: SparkSession, root: str, include: str = r".*", ignore: str = r"(^|/)(\.git|node_modules|dist)/", max_files: int = 100_000, max_bytes: int = 1 << 40) -> DataFrame:
-    """(path, bytes, content, kind, skipped): files under root; skipped names the rule that leaves a file out.
+    """(path, bytes, kind, skipped): files under root; skipped names the rule that leaves a file out.
 
-    The byte cap is a running sum in path order over files that no rule skipped; caps are a stated feature.
+    Only names and lengths are read. The caps count and sum, in path order and by scans in parts, the files that no rule
+    skipped; caps are a stated feature.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = root.rstrip("/").replace("file://", "")
-    path = F.regexp_replace(F.regexp_replace("path", r"^file:/*", "/"), "^" + base.replace(".", r"\.") + "/?", "")
-    files = files.select(path.alias("path"), F.col("length").alias("bytes"), "content")
+    files = _under(spark, root).select("path", F.col("length").alias("bytes"))
     rule = F.when(F.col("path").rlike(ignore), "ignored").when(secret_like(F.col("path")), "secret").when(~F.col("path").rlike(include), "not_included")
     files = files.withColumn("skipped", rule)
-    order = Window.partitionBy(F.col("skipped").isNull()).orderBy("path").rowsBetween(Window.unboundedPreceding, 0)
-    files = files.withColumns({"_n": F.count(F.lit(1)).over(order), "_b": F.sum("bytes").over(order)})
+    taken = F.when(F.col("skipped").isNull(), 1).otherwise(0).cast("long")
+    files = running_total(files, [], ["path"], taken, "_n")
+    files = running_total(files, [], ["path"], taken * F.col("bytes"), "_b")
     capped = F.when(F.col("skipped").isNull() & ((F.col("_n") > max_files) | (F.col("_b") > max_bytes)), "cap").otherwise(F.col("skipped"))
-    return files.select("path", "bytes", "content", file_kind(F.col("path")).alias("kind"), capped.alias("skipped"))
+    return files.select("path", "bytes", file_kind(F.col("path")).alias("kind"), capped.alias("skipped"))
+
+
+def _under(spark: SparkSession, root: str) -> DataFrame:
+    """The files under root with paths relative to it."""
+    base = root.rstrip("/").replace("file://", "")
+    path = F.regexp_replace(F.regexp_replace("path", r"^file:/*", "/"), "^" + base.replace(".", r"\.") + "/?", "")
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).withColumn("path", path)
 
 
-def file_nodes(files: DataFrame) -> DataFrame:
-    """(path, bytes, lines, digest, kind) of discovered files."""
+def file_nodes(files: DataFrame, root: str) -> DataFrame:
+    """(path, bytes, lines, digest, kind) of discovered files. Contents become lines and digest in the task that reads
+    them, so only these are joined."""
     text = F.decode("content", "UTF-8")
-    return files.where("skipped is null").select("path", "bytes", F.size(F.split(text, "\n", -1)).alias("lines"), F.sha2("content", 256).alias("digest"), "kind")
+    read = _under(files.sparkSession, root).select("path", F.size(F.split(text, "\n", -1)).alias("lines"), F.sha2("content", 256).alias("digest"))
+    return files.where("skipped is null").join(read, "path").select("path", "bytes", "lines", "digest", "kind")
 
 
 def fingerprint(snapshot: DataFrame, path: str = "path", digest: str = "digest") -> DataFrame:
@@ -108,12 +117,8 @@ def atomic_json(rows: DataFrame, target: str) -> None:
 
 
 def fitting_scopes(rows: DataFrame, scope: str, columns: list[str], max_bytes: int) -> DataFrame:
-    """rows of the scopes kept when whole scopes are dropped from the end (in name order) until the JSON fits.
-
-    Only one row a scope, its bytes, is ordered; scopes are few beside rows.
-    """
+    """rows of the scopes kept when whole scopes are dropped from the end (in name order) until the JSON fits."""
     size = F.octet_length(F.to_json(F.struct(*columns)))
     sizes = rows.groupBy(scope).agg(F.sum(size).alias("_bytes"))
-    upto = Window.partitionBy().orderBy(scope).rowsBetween(Window.unboundedPreceding, 0)
-    kept = sizes.withColumn("_sum", F.sum("_bytes").over(upto)).where(F.col("_sum") <= max_bytes).select(scope)
+    kept = running_total(sizes, [], [scope], F.col("_bytes"), "_sum").where(F.col("_sum") <= max_bytes).select(scope)
     return rows.join(kept, scope, "left_semi")

@@ -315,11 +315,11 @@ def test_file_snapshot(spark, tmp_path):
     (tmp_path / "node_modules" / "b.js").write_text("y")
     found = files.discover(spark, str(tmp_path))
     assert rows(found, "path", "skipped") == [("key.pem", "secret"), ("node_modules/b.js", "ignored"), ("src/a.js", None)]
-    assert rows(files.file_nodes(found), "path", "lines", "kind") == [("src/a.js", 3, "source")]
-    one = files.fingerprint(files.file_nodes(found)).first()[0]
+    assert rows(files.file_nodes(found, str(tmp_path)), "path", "lines", "kind") == [("src/a.js", 3, "source")]
+    one = files.fingerprint(files.file_nodes(found, str(tmp_path))).first()[0]
     (tmp_path / "src" / "a.js").write_text("changed")
     spark.catalog.clearCache()
-    assert files.fingerprint(files.file_nodes(files.discover(spark, str(tmp_path)))).first()[0] != one
+    assert files.fingerprint(files.file_nodes(files.discover(spark, str(tmp_path)), str(tmp_path))).first()[0] != one
 
 
 def test_event_ids_are_gapless(spark):
@@ -398,3 +398,47 @@ def test_updates_leases_and_fences(spark):
     assert {tuple(r) for r in relational.lease_states(grants, beats, "k", F.lit(50), 15).collect()} == {(1, 2, "b", "held"), (2, 1, "c", "expired")}
     writes = spark.createDataFrame([(1, 1), (1, 2), (2, 1)], "k long, token long")
     assert {tuple(r) for r in relational.fenced(writes, grants, "k").collect()} == {(1, 1)}
+
+
+def test_version_keys_sort_like_versions(spark):
+    from tessera.functions.text import version_key
+
+    ordered = ["0.9", "1.0.0-1", "1.0.0-2", "1.0.0-11", "1.0.0-alpha", "1.0.0-alpha.1", "1.0.0-alpha.beta", "1.0.0-alphabet", "1.0.0-beta-2", "1.0.0", "1.0.1-rc.1+b", "1.0.1", "1.2", "1.10.0", "v2"]
+    got = spark.createDataFrame([(v,) for v in ordered], "v string").select("v", version_key(F.col("v")).alias("k")).collect()
+    assert [r.v for r in sorted(got, key=lambda r: r.k)] == ordered
+    assert spark.createDataFrame([("x",), ("1.2.3.4",), ("",), (None,)], "v string").where(version_key(F.col("v")).isNotNull()).count() == 0
+
+
+def test_single_action_needs_all_queries_in_its_file(spark):
+    from tessera.operators import relational
+
+    facts = [("m1", "METHOD", "a"), ("m2", "METHOD", "a"), ("m3", "METHOD", "a"), ("m4", "METHOD", "b"), ("m5", "METHOD", "b"), ("m6", "METHOD", "b"), ("f", "FIELD", "a"), ("q1", "QUERY", "a"), ("q2", "QUERY", "b"), ("q3", "TABLE", "b")]
+    actions = [("x1", "m1", "a", ["q1", "q1"]), ("x2", "m2", "a", ["q1", "q2"]), ("x3", "m3", "b", ["q1"]), ("x4", "m4", "b", ["q2"]), ("x5", "m4", "b", ["q2"]), ("x6", "m5", "b", []), ("x7", "m6", "b", ["q2", "q3", "q9"]), ("x8", "f", "a", ["q1"])]
+    calls = spark.createDataFrame([(i, m) for i, m in enumerate(["m1", "m1", "m2", "m3", "m4", "m5", "m6", "f", "m9", None])], "i int, method string")
+    out = relational.single_action(calls, spark.createDataFrame(facts, "id string, kind string, file string"), spark.createDataFrame(actions, "action string, method string, file string, query_ids array<string>"))
+    want = [("resolved", "x1"), ("resolved", "x1"), ("foreign-query", None), ("other-file", None), ("ambiguous-action", None), ("no-query", None), ("foreign-query", None), ("unknown-method", None), ("unknown-method", None), ("unknown-method", None)]
+    assert [(r.state, r.action) for r in out.orderBy("i").collect()] == want
+
+
+def test_tests_and_changes_of_one_package_do_not_meet_in_pairs(spark):
+    from tessera.operators import project
+
+    n = 3000
+    changes = spark.range(n).select(F.concat(F.lit("pkg/src/c"), F.col("id").cast("string"), F.lit(".js")).alias("path"))
+    tests = spark.range(n).select(F.concat(F.lit("pkg/spec/t"), F.col("id").cast("string"), F.lit(".test.js")).alias("path"))
+    none = spark.createDataFrame([], "src string, dst string")
+    out = project.map_tests(changes, tests, none, packages=spark.createDataFrame([("pkg",)], "root string"))
+    assert out.select("n_changes", "evidence").distinct().collect() == [(n, "package")] and out.count() == n
+
+
+def test_project_commands(spark):
+    from tessera.operators import project
+
+    nodes = spark.createDataFrame([("a", "src/a.js", "source", "code"), ("b", "src/b.js", "source", "code"), ("x", "srcs/x.js", "source", "code"), ("t", "t/b.test.js", "test", "evidence"), ("g", "docs/TASK", "doc", "intent"), ("n", None, "note", "evidence")], "id string, path string, kind string, plane string")
+    edges = spark.createDataFrame([("b", "a", "imports"), ("t", "b", "tests"), ("a", "t", "imports"), ("x", "b", "mentions")], "src string, dst string, type string")
+    ids = lambda *a, **k: sorted(r.id for r in project.project_query(nodes, edges, *a, **k).collect())
+    assert ids("impact", "src/a.js") == ["a", "b", "t"] and ids("tests-for", "src/") == ["t"] and ids("context", "src") == ["a", "b"]
+    assert ids("evidence") == ["n", "t"] and ids("evidence", "src") == [] and ids("goals") == ["g"] == ids("progress") and ids("path-to-done") == ["t"]
+    assert ids("changed") == [] and ids("changed", changed=nodes.where("id = 'x'").select("path")) == ["x"]
+    with pytest.raises(ValueError):
+        ids("nope")
