@@ -5,8 +5,9 @@ signs and a Hadamard transform; several maps until there are `POOL` coordinates)
 sign vector of the first map scaled to length 1 and f = <x, turned vector> kept beside it as correction factor,
 <x, turned query> / f is an unbiased estimate of the cosine, off by more than EPSILON * sqrt((1 - f*f) / (P - 1)) / f with
 a chance below 1e-4 (and never by more than sqrt(1 - f*f) / f). The query is rounded to 4 bits a coordinate, kept as bit
-planes, so the estimate is a few bit counts; its rounding widens the bound. A pair whose upper bound is below the
-threshold is dropped, any other is computed again in double precision, and only that decides.
+planes, so the estimate is a few bit counts; its rounding widens the bound. Before that, the signs of all maps bound the
+angle: at the threshold more than `most_apart` of them differ with a chance below 1e-6. A pair that either bound puts
+below the threshold is dropped, any other is computed again in double precision, and only that decides.
 
 Which pairs are estimated: vectors of one label fall into cells by bands of code bits. A label of up to `bucket` vectors is
 one cell; for n vectors a band has log2(n / bucket) bits, and there are so many bands that a pair at the threshold misses
@@ -44,7 +45,7 @@ CELL = ["label", "dim", "band", "key"]
 
 
 def padded(dim: int) -> int:
-    return 1 << max(0, (dim - 1).bit_length())
+    return max(64, 1 << (dim - 1).bit_length())
 
 
 @cache
@@ -99,22 +100,28 @@ def encode(vectors: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
-def upper_bounds(x: dict[str, np.ndarray], q: dict[str, np.ndarray], size: int) -> np.ndarray:
-    """Upper confidence bounds of the cosines of the coded vectors x (rows) with the queries q (columns)."""
-    shared = np.zeros((len(x["f"]), len(q["f"])), np.float32)
-    for j in range(PLANES):
+def upper_bounds(x: dict[str, np.ndarray], q: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, size: int) -> np.ndarray:
+    """Upper confidence bounds of the cosines of the coded vectors x[i] with the queries q[j]."""
+    shared = np.zeros(len(i))
+    for k in range(PLANES):
         for w in range(x["code"].shape[1]):
-            shared += np.bitwise_count(x["code"][:, w, None] & q["planes"][None, :, j, w]) * np.float32(1 << j)
+            shared += np.bitwise_count(x["code"][i, w] & q["planes"][j, k, w]) * float(1 << k)
     ones = np.bitwise_count(x["code"]).sum(axis=1, dtype=np.float64)
-    levels = sum((1 << j) * np.bitwise_count(q["planes"][:, j]).sum(axis=1, dtype=np.float64) for j in range(PLANES))
+    levels = sum((1 << k) * np.bitwise_count(q["planes"][:, k]).sum(axis=1, dtype=np.float64) for k in range(PLANES))
     total = size * q["low"] + q["step"] * levels
-    inner = 2 * (q["low"] * ones[:, None] + q["step"] * shared) - total
-    f = x["f"][:, None]
-    spread = np.sqrt(np.maximum(0, 1 - f * f)) * min(1.0, EPSILON / math.sqrt(max(size - 1, 1)))
-    rounding = q["step"] * min(EPSILON / math.sqrt(12), math.sqrt(size) / 2)
+    inner = 2 * (q["low"][j] * ones[i] + q["step"][j] * shared) - total[j]
+    f = x["f"][i]
+    spread = np.sqrt(np.maximum(0, 1 - f * f)) * min(1.0, EPSILON / math.sqrt(size - 1))
+    rounding = q["step"][j] * min(EPSILON / math.sqrt(12), math.sqrt(size) / 2)
     return (inner / math.sqrt(size) + spread + rounding) / f
 
 
+def most_apart(bits: int, threshold: float) -> float:
+    """How many of `bits` signs may differ at the threshold: the mean and five deviations."""
+    share = math.acos(threshold) / math.pi
+    return bits * share + 5 * math.sqrt(bits * share * (1 - share))
+
+
 def bands(n: int, threshold: float, bucket: int, miss: float) -> tuple[int, int]:
     """Bits of a band and number of bands for a label of n vectors."""
     bits = min(60, max(0, math.ceil(math.log2(n / bucket))))
@@ -202,15 +209,24 @@ def arrays(rows: pd.DataFrame) -> dict[str, np.ndarray]:
 
 
 def open_pairs(one: dict[str, np.ndarray], two: dict[str, np.ndarray] | None, size: int, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of places (in one, in two; without two, in one twice) whose upper bound reaches the threshold, tile by tile."""
+    """Pairs of places (in one, in two; without two, in one twice) that no bound rules out, tile by tile."""
     other = one if two is None else two
+    words = one["pool"].shape[1]
+    most = most_apart(64 * words, threshold)
     for top in range(0, len(one["f"]), 512):
-        tile = {k: v[top : top + 512] for k, v in one.items()}
-        hit = upper_bounds(tile, other, size) >= threshold
+        pool = one["pool"][top : top + 512]
+        apart = np.zeros((len(pool), len(other["f"])), np.uint16)
+        for w in range(words):
+            apart += np.bitwise_count(pool[:, w, None] ^ other["pool"][None, :, w])
+        near = apart <= most
         if two is None:
-            hit &= np.arange(len(other["f"])) > np.arange(top, top + len(tile["f"]))[:, None]
-        i, j = np.nonzero(hit)
-        yield i + top, j
+            near &= np.arange(len(other["f"])) > np.arange(top, top + len(pool))[:, None]
+        i, j = np.nonzero(near)
+        i += top
+        for at in range(0, len(i), 1 << 16):
+            u, v = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+            fine = upper_bounds(one, other, u, v, size) >= threshold
+            yield u[fine], v[fine]
 
 
 def exact_links(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:

@@ -24,7 +24,7 @@ from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -82,8 +82,8 @@ def sequence_classes(convs: DataFrame, turns: DataFrame) -> DataFrame:
     return out
 
 
-def joined_ids(members: DataFrame) -> DataFrame:
-    """(cls, ends_sha256): the hash of the sorted, comma-joined conv ids of each class."""
+def joined_ids(members: DataFrame, piece: int = PIECE, share: int = 500_000) -> DataFrame:
+    """(cls, ends_sha256): the hash of the sorted, comma-joined conv ids of each class. A task joins some `share` ids."""
     single = members.where("weight = 1").select("cls", F.sha2(F.col("cls").cast("string").cast("binary"), 256).alias("ends_sha256"))
     several = members.where("weight > 1").select("cls", "conv")
     n = several.count()
@@ -96,7 +96,7 @@ def joined_ids(members: DataFrame) -> DataFrame:
         row = lambda: pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([first], pa.int64()), pa.array([b",".join(held)], pa.binary())], names=["cls", "first", "piece"])
         for batch in batches:
             for cls, conv in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if held and (cls != name or size >= PIECE):
+                if held and (cls != name or size >= piece):
                     yield row()
                     held, size = [], 0
                 if not held:
@@ -121,7 +121,7 @@ def joined_ids(members: DataFrame) -> DataFrame:
         if state is not None:
             yield row()
 
-    parts = 1 + n // 500_000
+    parts = 1 + n // share
     ordered = several.repartitionByRange(parts, "cls", "conv").sortWithinPartitions("cls", "conv")
     cut = ordered.mapInArrow(tidy(pieces), "cls long, first long, piece binary")
     lined = cut.repartition(parts, "cls").sortWithinPartitions("cls", "first")
