@@ -169,30 +169,27 @@ class BlindTrie:
 def deep_shallow_order(strings: list[bytes], depth: int = 0) -> tuple[list[int], list[int]]:
     """Sorted indices of strings that share `depth` bytes, and common prefixes with the predecessor."""
     out: list[int] = []
-
-    def split(rows: list[int], d: int) -> None:
-        if len(rows) == 1:
+    # Parts still to be sorted, the first one last; without a depth they are equal to their end.
+    stack: list[tuple[list[int], int | None]] = [(list(range(len(strings))), 0)]
+    while stack:
+        rows, d = stack.pop()
+        if len(rows) < 2 or d is None:
             out.extend(rows)
-            return
+            continue
         if d == SHALLOW:
             trie = BlindTrie(strings)
             for i in rows:
                 trie.insert(i)
             out.extend(trie.order()[0])
-            return
+            continue
         a = depth + 8 * d
-        pivot = strings[rows[len(rows) // 2]][a : a + 8]
+        # The median of three strings from hashed places, so that no order of the input is a bad one.
+        pivot = sorted(strings[rows[k * 0x9E3779B97F4A7C15 % 0xFFFFFFFFFFFFFFC5 % len(rows)]][a : a + 8] for k in (1, 2, 3))[1]
         less, equal, more = [], [], []
         for i in rows:
             c = strings[i][a : a + 8]
             (less if c < pivot else equal if c == pivot else more).append(i)
-        if less:
-            split(less, d)
-        split(equal, d + 1) if len(pivot) == 8 else out.extend(equal)
-        if more:
-            split(more, d)
-
-    split(list(range(len(strings))), 0)
+        stack += [(more, d), (equal, d + 1 if len(pivot) == 8 else None), (less, d)]
     common = [-1] + [lcp(strings[a], strings[b]) for a, b in zip(out, out[1:])]
     return out, common
 
@@ -258,6 +255,29 @@ def repeats(left: list[bytes], right: list[bytes], need: list[bool]) -> list[lis
     return found
 
 
+def group_spans(held: list[tuple]) -> list[tuple[int, int, int, int]]:
+    """(t1, t2, start, end) of what repeats around the anchors of one hash: rows (t1, t2, multi, h, pos, body).
+
+    The hash only brings rows together. They are told apart by the bytes of their grams, so grams that share a hash do not
+    get between each other's members.
+    """
+    grams: dict[bytes, list[tuple]] = {}
+    for row in held:
+        cut = min(row[4], LEFT)
+        grams.setdefault(row[5][cut : cut + GRAM], []).append(row)
+    out = []
+    for rows in grams.values():
+        if len(rows) < 2 or all(row[2] for row in rows):
+            continue
+        cuts = [min(row[4], LEFT) for row in rows]
+        left = [row[5][:c][::-1] for row, c in zip(rows, cuts)]
+        right = [row[5][c:] for row, c in zip(rows, cuts)]
+        for row, pairs in zip(rows, repeats(left, right, [not row[2] for row in rows])):
+            if pairs and not row[2]:
+                out += [(row[0], row[1], a, b) for a, b in merge([(row[4] - l, row[4] + r) for l, r in pairs])]
+    return out
+
+
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -351,16 +371,9 @@ def repeated_spans(named: DataFrame, hot: int = 50_000) -> DataFrame:
         held: list[tuple] = []
 
         def close() -> None:
-            if len(held) > 1 and not all(row[2] for row in held):
-                cuts = [min(row[4], LEFT) for row in held]
-                left = [row[5][:c][::-1] for row, c in zip(held, cuts)]
-                right = [row[5][c:] for row, c in zip(held, cuts)]
-                need = [not row[2] for row in held]
-                for row, pairs in zip(held, repeats(left, right, need)):
-                    if pairs and not row[2]:
-                        for a, b in merge([(row[4] - l, row[4] + r) for l, r in pairs]):
-                            for column, value in zip(made, (row[0], row[1], a, b)):
-                                column.append(value)
+            for span in group_spans(held):
+                for column, value in zip(made, span):
+                    column.append(value)
             held.clear()
 
         def take() -> pa.RecordBatch:

@@ -95,6 +95,40 @@ def test_suffix_dedup_odd_input(spark, odd, empty):
     assert Counter(tuple(r) for r in got) == want
 
 
+def test_sorting_has_no_bad_order():
+    """Organ-pipe, sorted and equal strings, as many as a group may hold."""
+    up = [b"%08d" % i + b"x" * 20 for i in range(0, 50_000, 2)]
+    for strings in (up + up[::-1], sorted(up + up), up[::-1], [b"same" * 9] * 3000):
+        order, common = suffix_dedup.deep_shallow_order(strings)
+        assert [strings[i] for i in order] == sorted(strings) and len(set(order)) == len(strings)
+        assert common[1] == len(suffix_dedup_lcp(strings[order[0]], strings[order[1]]))
+
+
+def suffix_dedup_lcp(a, b):
+    n = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    return a[:n]
+
+
+def test_grams_that_share_a_hash_keep_apart():
+    """Groups of one hash that hold several grams find what each gram's own group finds."""
+    rng = random.Random(12)
+    word = lambda n: bytes(rng.choice(b"ab") for _ in range(n))
+    rows, want = [], []
+    for g in range(6):
+        gram = word(suffix_dedup.GRAM)
+        own = []
+        for i in range(rng.choice([2, 5, 40])):
+            left, right = b"l%d" % g * 80 + word(rng.randint(0, 9)), b"r%d" % g * 80
+            right = right[: rng.randint(0, 140)] + word(140)
+            body = left[-suffix_dedup.LEFT :] + gram + right[: suffix_dedup.LENGTH - suffix_dedup.GRAM]
+            pos = min(len(left), suffix_dedup.LEFT)
+            own.append((g, i, rng.random() < 0.1, 7, pos, body))
+        rows += own
+        want += suffix_dedup.group_spans(own)
+    rng.shuffle(rows)
+    assert sorted(suffix_dedup.group_spans(rows)) == sorted(want) and want
+
+
 def test_deep_shallow_order_sorts():
     rng = random.Random(1)
     for k in range(60):
