@@ -1,7 +1,8 @@
 """Cost-balanced packing of tokenised documents into fixed-length sequences.
 
 A piece of n tokens costs n + n*n/scale: linear work plus attention inside the piece. Documents are dealt to
-groups by a hash of doc_id. In a group, whole windows of `length` tokens are cut off long documents and stand
+groups by a hash of doc_id, text and the row's place in its input part, so that neither rows without a doc_id nor
+repeated rows meet in one group (a part that is read again has the same rows in the same places). In a group, whole windows of `length` tokens are cut off long documents and stand
 alone; the rests go, dearest first, each to the sequence of lowest cost that still has room, and a rest that
 fits nowhere is cut to fill what room is left. Groups hold about `group_tokens` tokens, whatever the corpus
 size, so memory is bounded and each group leaves less than one sequence of padding.
@@ -28,17 +29,17 @@ from .wordbpe import encoder
 END_ID = 1
 
 
-def tokenize(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """(doc_id, n, ids): ids as little-endian unsigned 16-bit numbers, the end id last."""
+def tokenize(docs: DataFrame, tokenizer_path: str, keep: list[str]) -> DataFrame:
+    """(columns of keep, n, ids) of rows with a text: ids as little-endian unsigned 16-bit numbers, the end id last."""
 
     def encode(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         run = kept("wordbpe " + tokenizer_path, lambda: encoder(tokenizer_path))
         end = np.uint16(END_ID).tobytes()
-        ids = [run(t or "") + end for t in batch.column(1).to_pylist()]
+        ids = [run(t or "") + end for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
         return {"n": pa.array([len(x) // 2 for x in ids], pa.int64()), "ids": pa.array(ids, pa.binary())}
 
     outputs = T.StructType([T.StructField("n", T.LongType()), T.StructField("ids", T.BinaryType())])
-    return arrow_map(docs.select("doc_id", "text"), encode, outputs, keep=["doc_id"], keeps=True)
+    return arrow_map(docs.select(*keep, "text"), encode, outputs, keep=keep, keeps=True)
 
 
 def cost(n: int, scale: float) -> float:
@@ -93,8 +94,8 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048, scale: float
     # A token takes at least about two bytes of text here; only the number of groups follows from this.
     size = docs.select(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("b"), F.count(F.lit(1)).alias("n")).first()
     groups = max(1, int((size.b or 0) / 2.5 / group_tokens))
-    spread = F.xxhash64(F.lit(7), "doc_id")
-    dealt = tokenize(docs, tokenizer_path).withColumn("grp", F.pmod(spread, F.lit(groups)))
+    spread = F.xxhash64(F.lit(7), "doc_id", "text", F.monotonically_increasing_id())
+    dealt = tokenize(docs.select("doc_id", "text").withColumn("grp", F.pmod(spread, F.lit(groups))), tokenizer_path, ["doc_id", "grp"])
 
     def pack_group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         drop_kept()  # the encoder's tables are not needed any more

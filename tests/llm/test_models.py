@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -578,10 +579,48 @@ def test_packing_balances_cost():
     assert max(cost.values()) < 2 * sum(cost.values()) / len(cost)
 
 
+def packed_texts(frame, **options):
+    """The token ids of every packed row, put together again, by doc_id; checks that pieces do not overlap."""
+    rows = packing.pack(frame, tokenizer_path(), **options).collect()
+    pieces, places = {}, set()
+    for r in rows:
+        assert (r.sequence_id, r.offset) not in places and r.ids_crc32 == zlib.crc32(r.ids)
+        places.add((r.sequence_id, r.offset))
+        pieces.setdefault(str(r.doc_id), []).append((r.start, r.length, r.doc_tokens, r.ids))
+    return rows, pieces
+
+
 def test_packing_odd_input(odd, empty):
+    """Each row's ids come out once: rows that repeat an id, rows without one, empty and very long texts."""
     assert packing.pack(empty, tokenizer_path()).count() == 0
-    rows = packing.pack(odd, tokenizer_path()).collect()
-    assert sum(r.start == 0 for r in rows) == odd.count()
+    run = Tokenizer.from_file(tokenizer_path())
+    want = {}
+    for r in odd.select("doc_id", "text").collect():
+        ids = np.array([*run.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4").tobytes()
+        want.setdefault(str(r.doc_id), Counter())[ids] += 1
+    _, pieces = packed_texts(odd)
+    assert pieces.keys() == want.keys()
+    for doc, own in pieces.items():
+        # Pieces of equal rows are interchangeable: as many of each as there are rows of the text.
+        left = Counter(own)
+        for ids, n in want[doc].items():
+            if sum(want[doc].values()) == n:  # one text for this id
+                size = len(ids) // 4
+                assert all(t == size and ids[4 * s : 4 * (s + k)] == part for s, k, t, part in own)
+                covered = Counter(i for s, k, _, _ in own for i in range(s, s + k))
+                assert covered == Counter({i: n for i in range(size)})
+        assert sum(k for _, k, _, _ in left.elements()) == sum(len(i) // 4 * n for i, n in want[doc].items())
+
+
+def test_rows_without_an_id_are_dealt_to_all_groups(spark):
+    frame = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("same words for every row "), (F.col("id") % 3).cast("string")).alias("text")).repartition(4)
+    rows, pieces = packed_texts(frame, group_tokens=10_000)
+    groups = {r.sequence_id >> 32 for r in rows}
+    n = sum(r.length for r in rows)
+    assert sum(r.start == 0 for r in rows) == 20_000 and len(groups) > 10
+    held = Counter(r.sequence_id >> 32 for r in rows)
+    assert max(held.values()) < 2 * len(rows) / len(groups)
+    assert n == sum(r.doc_tokens for r in rows if r.start == 0)
 
 
 @pytest.mark.parametrize("n", [0, 1, 2047, 2048, 2049, 10_000])
