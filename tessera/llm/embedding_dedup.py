@@ -13,8 +13,8 @@ Which pairs are estimated: vectors of one label fall into cells by bands of code
 one cell; for n vectors a band has log2(n / bucket) bits, and there are so many bands that a pair at the threshold misses
 all with a chance of `miss` at most. A cell of more than `BLOCK` vectors is cut into blocks, and every two blocks
 meet in a task; a task hands on counts and a spanning forest of its links, never pairs. The first pass over the
-cells reads codes alone; the vectors themselves are sent only where an estimate left a pair open. A pair counts in the
-first band that both share.
+cells reads codes alone; the vectors themselves are sent only where an estimate left a pair open. A pair is looked at in
+the first band that both share.
 
 Defined results: equal vectors of a label are one class with as many members; vectors that are null, empty, zero or
 hold null or non-finite components, and rows without label or vec_id, link with nothing; vectors of different lengths are not
@@ -40,7 +40,7 @@ from .common import components, hot_join, prepare, stage, tidy, unstage
 #: Bits from which bands are drawn, at least; width of the confidence bounds; bit planes of a query.
 POOL, EPSILON, PLANES = 256, 4.0, 4
 #: Vectors of one side of a block pair; rows of cells that one task call gets on average.
-BLOCK, DEAL = 4096, 20_000
+BLOCK, DEAL = 2048, 20_000
 CELL = ["label", "dim", "band", "key"]
 
 
@@ -208,9 +208,12 @@ def arrays(rows: pd.DataFrame) -> dict[str, np.ndarray]:
     return out | {n: rows[n].to_numpy() for n in ("f", "low", "step", "cls")}
 
 
-def open_pairs(one: dict[str, np.ndarray], two: dict[str, np.ndarray] | None, size: int, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of places (in one, in two; without two, in one twice) that no bound rules out, tile by tile."""
-    other = one if two is None else two
+def open_pairs(
+    one: dict[str, np.ndarray], two: dict[str, np.ndarray] | None, dim: int, threshold: float, band: int = 0, bits: int = 0, count: int = 1
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places (in one, in two; without two, in one twice) that share no earlier band and that no bound rules out,
+    tile by tile."""
+    other, size = one if two is None else two, padded(dim)
     words = one["pool"].shape[1]
     most = most_apart(64 * words, threshold)
     for top in range(0, len(one["f"]), 512):
@@ -225,6 +228,9 @@ def open_pairs(one: dict[str, np.ndarray], two: dict[str, np.ndarray] | None, si
         i += top
         for at in range(0, len(i), 1 << 16):
             u, v = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+            if band:
+                mine = first_band(one["pool"][u], other["pool"][v], dim, bits, count) == band
+                u, v = u[mine], v[mine]
             fine = upper_bounds(one, other, u, v, size) >= threshold
             yield u[fine], v[fine]
 
@@ -251,19 +257,27 @@ def sides(cell: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame | None]:
     return cell[cell["part"] == bi], None if bi == bj else cell[cell["part"] == bj]
 
 
-def estimate_cells(threshold: float):
+def cells_of(rows: pd.DataFrame, threshold: float, bucket: int, miss: float) -> Iterator[tuple]:
+    """(left rows, right rows, left codes, right codes, open pairs) of each block pair; a block that meets itself has no
+    right side."""
+    for _, cell in rows.groupby([*CELL, "bi", "bj"], sort=False):
+        left, right = sides(cell)
+        if right is not None and not (len(left) and len(right)):
+            continue
+        one, two = arrays(left), None if right is None else arrays(right)
+        dim, band = int(cell["dim"].iat[0]), int(cell["band"].iat[0])
+        yield left, right, one, two, open_pairs(one, two, dim, threshold, band, *bands(int(cell["of"].iat[0]), threshold, bucket, miss))
+
+
+def estimate_cells(threshold: float, bucket: int, miss: float):
     """Task function: of the rows of some cells those that are in an open pair."""
     names = [*CELL, "bi", "bj", "part", "cls"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         kept = []
-        for _, cell in pdf.groupby([*CELL, "bi", "bj"], sort=False):
-            left, right = sides(cell)
-            if right is not None and not (len(left) and len(right)):
-                continue
-            one, two, size = arrays(left), None if right is None else arrays(right), padded(int(cell["dim"].iat[0]))
+        for left, right, _, _, pairs in cells_of(pdf, threshold, bucket, miss):
             i_open, j_open = np.zeros(len(left), bool), np.zeros(len(left if right is None else right), bool)
-            for i, j in open_pairs(one, two, size, threshold):
+            for i, j in pairs:
                 i_open[i], j_open[j] = True, True
             kept += [left[i_open | j_open]] if right is None else [left[i_open], right[j_open]]
         return pd.concat(kept)[names] if kept else pdf[names].iloc[:0]
@@ -274,48 +288,41 @@ def estimate_cells(threshold: float):
 LINKS = T.StructType([T.StructField(n, T.LongType()) for n in ("cls", "n", "other")])
 
 
+def roots(size: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest place that each of `size` places reaches by the links (i, j)."""
+    found = np.arange(size)
+    while True:
+        low = np.minimum(found[i], found[j])
+        new = found.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        new = new[new]
+        if (new == found).all():
+            return found
+        found = new
+
+
 def link_cells(threshold: float, bucket: int, miss: float):
     """Task function: (cls, n, other) of each member with links in some cells: vectors linked, and one class of its tree."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for _, cell in pdf.groupby([*CELL, "bi", "bj"], sort=False):
-            left, right = sides(cell)
-            if right is not None and not (len(left) and len(right)):
-                continue
-            dim, band = int(cell["dim"].iat[0]), int(cell["band"].iat[0])
-            bits, count = bands(int(cell["of"].iat[0]), threshold, bucket, miss)
-            one, two = arrays(left), None if right is None else arrays(right)
-            other = one if two is None else two
-            vectors = lambda rows: np.frombuffer(b"".join(rows["vector"]), np.float64).reshape(len(rows), dim)
-            a = vectors(left)
-            b = a if right is None else vectors(right)
-            weights = [left["members"].to_numpy(), (left if right is None else right)["members"].to_numpy()]
-            sums: dict[int, int] = {}
-            root: dict[int, int] = {}
-
-            def find(x: int) -> int:
-                while root.setdefault(x, x) != x:
-                    root[x] = root[root[x]]
-                    x = root[x]
-                return x
-
-            for i, j in open_pairs(one, two, padded(dim), threshold):
-                good = exact_links(a, b, i, j, threshold)
-                i, j = i[good], j[good]
-                if band:
-                    mine = first_band(one["pool"][i], other["pool"][j], dim, bits, count) == band
-                    i, j = i[mine], j[mine]
-                for names, at, w in ((one["cls"], i, weights[1][j]), (other["cls"], j, weights[0][i])):
-                    where, inverse = np.unique(names[at], return_inverse=True)
-                    for c, s in zip(where.tolist(), np.bincount(inverse, w).astype(np.int64).tolist(), strict=True):
-                        sums[c] = sums.get(c, 0) + s
-                for x, y in zip(one["cls"][i].tolist(), other["cls"][j].tolist(), strict=True):
-                    x, y = find(x), find(y)
-                    if x != y:
-                        root[max(x, y)] = min(x, y)
-            out += [(c, n, find(c)) for c, n in sums.items()]
-        return pd.DataFrame(out, columns=LINKS.names).astype("int64")
+        for left, right, one, two, pairs in cells_of(pdf, threshold, bucket, miss):
+            both = left if right is None else pd.concat([left, right])
+            vectors = np.frombuffer(b"".join(both["vector"]), np.float64).reshape(len(both), -1)
+            weights, names = both["members"].to_numpy(), both["cls"].to_numpy()
+            shift = 0 if right is None else len(left)
+            ends = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+            for i, j in pairs:
+                j = j + shift
+                good = exact_links(vectors, vectors, i, j, threshold)
+                ends.append((i[good], j[good]))
+            i, j = (np.concatenate(x) for x in zip(*ends, strict=True))
+            n = np.bincount(i, weights[j], len(both)) + np.bincount(j, weights[i], len(both))
+            held = np.flatnonzero(n)
+            if len(held):
+                out.append(pd.DataFrame({"cls": names[held], "n": n[held].astype(np.int64), "other": names[roots(len(both), i, j)[held]]}))
+        return pd.concat(out) if out else pd.DataFrame({c: np.zeros(0, np.int64) for c in LINKS.names})
 
     return run
 
@@ -351,7 +358,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, bucket: int = 1024
     opened = dealt(met.join(coded_rows.drop("dim", "label"), "cls"), n_cells)
     kinds = {f.name: f for f in met.schema}
     open_schema = T.StructType([kinds[c] for c in [*CELL, "bi", "bj", "part", "cls"]])
-    survivors = stage(opened.groupBy("deal").applyInPandas(estimate_cells(threshold), open_schema), "survivors")
+    survivors = stage(opened.groupBy("deal").applyInPandas(estimate_cells(threshold, bucket, miss), open_schema), "survivors")
 
     whole = codes.drop("keys", "dim").join(about.drop("label"), "cls")
     checked = dealt(survivors.join(whole, "cls"), survivors.count())
