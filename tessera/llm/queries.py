@@ -36,8 +36,7 @@ def tokenizer_path() -> str:
 
 def op1_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quote_links.reply_order(load(spark, sf_dir, "conversations"))
-    path = F.array_join(F.transform("reply_path", lambda x: x.cast("string")), "/")
-    return out.select("conv_id", "turn", "role", "text", "n_quotes", "n_linked", "parent_turn", "branch_depth", path.alias("reply_path"))
+    return out.select("conv_id", "turn", "role", "text", "n_quotes", "n_linked", "parent_turn", "branch_depth", "reply_order")
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

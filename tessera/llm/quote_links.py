@@ -6,15 +6,20 @@ punctuation to one space) and hashed to 128 bits; a quoted passage is looked up
 lines of earlier messages of its conversation, first as a whole and line by line. The latest earlier message
 that holds it is its original. A message replies to the original of most of its outermost quotes (ties: the
 latest), or else to the message before it. Messages are ordered as a reply tree: a message that answers
-something other than the message before it opens a branch, which is placed after the message it answers;
-`reply_path` sorts a conversation into that order. `text` comes out without the quotes.
+something other than the message before it opens a branch, which is placed after the message it answers, before
+what the answered branch goes on with; `reply_order` counts the messages of a conversation in that order, from 1,
+and `branch_depth` tells how many branches a message lies in. `text` comes out without the quotes.
+
+The order is the walk around the tree of branches. A branch is cut into segments behind the messages that others
+answer; segments and branch ends form a linked list whose links follow from a segment and its neighbours alone, and
+the list is ranked by pointer doubling, so a conversation of n messages takes n rows however deep its replies nest.
 
 Looking backwards is a two-level as-of search: turns are cut into blocks, each block is scanned on its own, and
 blocks hand on their largest turn; so a conversation, line or passage that holds most of the table is never in
 one task.
 
-Defined results: a null text is empty; a null role stays; rows without conv_id or turn form no links (path of
-their turn alone); rows that repeat a (conv_id, turn) are all kept and share links; quotes found nowhere count
+Defined results: a null text is empty; a null role stays; rows without conv_id or turn form no links and have no
+order; rows that repeat a (conv_id, turn) are all kept and share links; quotes found nowhere count
 as unlinked; passages under `min_chars` normalised characters are not hashed; columns made here replace input
 columns of the same name; an empty table gives an empty result.
 """
@@ -26,6 +31,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.scans import numbered, running_total
+
 from .common import same, stage, unstage, without
 
 HEAD = r"^[ \t]*((?:>[ \t]*)+)"
@@ -120,14 +127,89 @@ def quote_links(messages: DataFrame, min_chars: int = 8, block: int = 1024) -> D
     )
 
 
-def reply_order(messages: DataFrame, min_chars: int = 8, block: int = 1024, max_depth: int = 40) -> DataFrame:
-    """messages with text free of quotes and n_quotes, n_linked, parent_turn, branch_depth, reply_path."""
-    made = ["text", "n_quotes", "n_linked", "parent_turn", "branch_depth", "reply_path"]
+#: The branch that a conversation begins with.
+ROOT = -(1 << 63)
+
+
+def ranked_list(elements: DataFrame, keys: list[str], weights: list[str], max_rounds: int = 64) -> DataFrame:
+    """(conv_id, keys, weights): each weight summed from an element to the end of its list, by pointer doubling.
+
+    elements has the key columns, next_<key> of the element that follows (null at the end), and the weights. Every element
+    has at most one before it, in each round as at the start, so no join has a hot key.
+    """
+    following = [f"next_{k}" for k in keys]
+    left = stage(elements, "list")
+    for _ in range(max_rounds):
+        if not left.where(F.col(following[0]).isNotNull()).limit(1).count():
+            return left.select("conv_id", *keys, *weights)
+        ahead = left.select("conv_id", *[F.col(k).alias(n) for k, n in zip(keys, following, strict=True)], *[F.col(n).alias(f"_{n}") for n in following], *[F.col(w).alias(f"_{w}") for w in weights])
+        joined = left.join(ahead, ["conv_id", *following], "left")
+        zero = F.lit(0).cast("long")
+        new = joined.select("conv_id", *keys, *[F.col(f"_{n}").alias(n) for n in following], *[(F.col(w) + F.coalesce(f"_{w}", zero)).alias(w) for w in weights])
+        new = stage(new, "list")
+        unstage(left)
+        left = new
+    raise RuntimeError("a list is longer than 2^max_rounds")
+
+
+def branch_order(chain: DataFrame) -> DataFrame:
+    """(conv_id, turn, reply_order, branch_depth) of messages (conv_id, turn, branch, answers).
+
+    branch is the turn that opened the message's branch (ROOT for the first), answers the message that a message which
+    opens a branch answers.
+    """
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    own = ["conv_id", "branch"]
+    starts = stage(chain.where("answers is not null").select("conv_id", "answers", F.col("turn").alias("child")), "starts")
+    first_child = starts.groupBy("conv_id", F.col("answers").alias("turn")).agg(F.min("child").alias("child"))
+    marked = chain.select("conv_id", "turn", "branch").join(first_child, ["conv_id", "turn"], "left")
+    marked = numbered(marked, own, ["turn"], "num")
+    met = F.when(F.col("child").isNotNull(), one).otherwise(zero)
+    marked = running_total(marked, own, ["turn"], met, "_met").withColumn("segment", F.col("_met") - met).drop("_met")
+    marked = stage(marked, "marked")
+    held = marked.groupBy(*own, "segment").agg(F.count(F.lit(1)).alias("size"), F.min("num").alias("first"), F.max("child").alias("child"))
+    held = stage(held, "segments")
+
+    # After a segment comes the first branch that answers its last message, or the end of its own branch.
+    root = F.lit(ROOT).cast("long")
+    opening = (F.col("segment") == 0) & (F.col("branch") != root)
+    segments = held.select(
+        *own, "segment", F.coalesce("child", "branch").alias("next_branch"), F.when(F.col("child").isNotNull(), zero).otherwise(-one).alias("next_segment"),
+        F.col("size").alias("after"), F.when(opening, one).otherwise(zero).alias("deeper"),
+    )
+    # After a branch's end comes the next branch that answers the same message, or what its parent goes on with, or the
+    # parent's end.
+    places = starts.join(marked.select("conv_id", F.col("turn").alias("answers"), F.col("branch").alias("above"), (F.col("segment") + 1).alias("beyond")), ["conv_id", "answers"])
+    placed = stage(numbered(places, ["conv_id", "answers"], ["child"], "_n"), "places")
+    sibling = placed.select("conv_id", "answers", (F.col("_n") - 1).alias("_n"), F.col("child").alias("sibling"))
+    there = held.select("conv_id", F.col("branch").alias("above"), F.col("segment").alias("beyond"), F.lit(True).alias("goes_on"))
+    ends = placed.join(sibling, ["conv_id", "answers", "_n"], "left").join(there, ["conv_id", "above", "beyond"], "left")
+    ends = ends.select(
+        "conv_id", F.col("child").alias("branch"), (-one).alias("segment"), F.coalesce("sibling", "above").alias("next_branch"),
+        F.when(F.col("sibling").isNotNull(), zero).when(F.col("goes_on"), F.col("beyond")).otherwise(-one).alias("next_segment"), zero.alias("after"), (-one).alias("deeper"),
+    )
+    null = F.lit(None).cast("long")
+    roots = chain.select("conv_id").distinct().select("conv_id", root.alias("branch"), (-one).alias("segment"), null.alias("next_branch"), null.alias("next_segment"), zero.alias("after"), zero.alias("deeper"))
+    ranks = ranked_list(segments.unionByName(ends).unionByName(roots), ["branch", "segment"], ["after", "deeper"])
+
+    # Sums to the end turn into counts from the start; depths over the whole list add up to nothing.
+    whole = held.groupBy("conv_id").agg(F.sum("size").alias("_all"))
+    at = held.join(ranks, [*own, "segment"]).join(whole, "conv_id")
+    at = at.select(*own, "segment", (F.col("_all") - F.col("after") - F.col("first") + 1).alias("_before"), (F.when(opening, one).otherwise(zero) - F.col("deeper")).alias("branch_depth"))
+    out = stage(marked.join(at, [*own, "segment"]).select("conv_id", "turn", (F.col("_before") + F.col("num")).alias("reply_order"), "branch_depth"), "ordered")
+    for table in (starts, marked, held, placed):
+        unstage(table)
+    return out
+
+
+def reply_order(messages: DataFrame, min_chars: int = 8, block: int = 1024) -> DataFrame:
+    """messages with text free of quotes and n_quotes, n_linked, parent_turn, branch_depth, reply_order."""
+    made = ["text", "n_quotes", "n_linked", "parent_turn", "branch_depth", "reply_order"]
     own_text = F.array_join(F.transform(F.filter("_lines", lambda x: x["level"] == 0), lambda x: x["body"]), "\n")
     quoted = F.size(F.filter("_starts", lambda i: F.get(F.col("_lines"), i)["level"] > 0)).cast("long")
     carried = without(messages, [*made, "_lines", "_starts", "_conv", "_turn"])
 
-    links = quote_links(messages, min_chars, block)
+    links = stage(quote_links(messages, min_chars, block), "links")
     linked = links.where("original_turn is not null").groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n_linked"))
     outer = links.where("original_turn is not null and level = 1").groupBy("conv_id", "turn", "original_turn").agg(F.count(F.lit(1)).alias("n"))
     target = outer.groupBy("conv_id", "turn").agg(F.max(F.struct("n", "original_turn")).alias("top")).select("conv_id", "turn", F.col("top.original_turn").alias("answers"))
@@ -141,37 +223,18 @@ def reply_order(messages: DataFrame, min_chars: int = 8, block: int = 1024, max_
     )
     # The branch of a message: the latest branch start at or before its turn (0th branch: the conversation).
     opened = latest_before(chain, ["conv_id"], "turn", F.col("answers").isNotNull(), block)
-    opened = opened.withColumn("branch", F.when(F.col("answers").isNotNull(), F.col("turn")).otherwise(F.col("found"))).drop("found")
-    opened = stage(opened, "branches")
-
-    # Paths of branches by pointer doubling: each round joins a branch to the path its parent branch has so far.
-    starts = opened.where("answers is not null").select("conv_id", F.col("turn").alias("branch"), "answers")
-    holder = opened.select("conv_id", F.col("turn").alias("answers"), F.col("branch").alias("above"))
-    paths = starts.join(holder, ["conv_id", "answers"]).select("conv_id", "branch", "above", F.array("answers", "branch").alias("path"))
-    paths = stage(paths, "paths")
-    for _ in range(max_depth):
-        if not paths.where("above is not null").limit(1).count():
-            break
-        upper = paths.select("conv_id", F.col("branch").alias("above"), F.col("above").alias("_next"), F.col("path").alias("_up"))
-        joined = paths.join(upper, ["conv_id", "above"], "left")
-        new = stage(joined.select("conv_id", "branch", F.col("_next").alias("above"), F.concat(F.coalesce("_up", F.array().cast("array<bigint>")), "path").alias("path")), "paths")
-        unstage(paths)
-        paths = new
-    else:
-        raise RuntimeError("branches are nested deeper than 2^max_depth")
-
-    placed = opened.join(paths.select("conv_id", "branch", "path"), ["conv_id", "branch"], "left").select(
-        F.col("conv_id").alias("_conv"),
-        F.col("turn").alias("_turn"),
-        "n_linked",
-        "parent_turn",
-        (F.size(F.coalesce("path", F.array().cast("array<bigint>"))) / 2).cast("long").alias("branch_depth"),
-        F.concat(F.coalesce("path", F.array().cast("array<bigint>")), F.array("turn")).alias("reply_path"),
-    )
+    branch = F.when(F.col("answers").isNotNull(), F.col("turn")).otherwise(F.coalesce("found", F.lit(ROOT).cast("long")))
+    opened = stage(opened.withColumn("branch", branch).drop("found"), "branches")
+
+    # Conversations without a branch are in order as they are.
+    forked = stage(opened.where("answers is not null").select("conv_id").distinct(), "forked")
+    plain = numbered(opened.join(forked, "conv_id", "left_anti").select("conv_id", "turn"), ["conv_id"], ["turn"], "reply_order")
+    order = plain.withColumn("branch_depth", F.lit(0).cast("long"))
+    if forked.limit(1).count():
+        order = order.unionByName(branch_order(opened.join(forked, "conv_id", "left_semi").select("conv_id", "turn", "branch", "answers")))
+    placed = opened.join(order, ["conv_id", "turn"]).select(F.col("conv_id").alias("_conv"), F.col("turn").alias("_turn"), "n_linked", "parent_turn", "branch_depth", "reply_order")
     base = messages.select(*carried, parsed_lines(F.col("text")).alias("_lines")).withColumn("_starts", run_starts(F.col("_lines")))
     base = base.select(*carried, F.trim(own_text, F.lit("\n")).alias("text"), quoted.alias("n_quotes"))
     out = base.join(placed, (F.col("conv_id") == F.col("_conv")) & (F.col("turn") == F.col("_turn")), "left")
-    return out.select(
-        *carried, "text", "n_quotes", F.coalesce("n_linked", F.lit(0).cast("long")).alias("n_linked"), "parent_turn",
-        F.coalesce("branch_depth", F.lit(0).cast("long")).alias("branch_depth"), F.coalesce("reply_path", F.array("turn")).alias("reply_path"),
-    )
+    zero = F.lit(0).cast("long")
+    return out.select(*carried, "text", "n_quotes", F.coalesce("n_linked", zero).alias("n_linked"), "parent_turn", F.coalesce("branch_depth", zero).alias("branch_depth"), "reply_order")

@@ -111,16 +111,65 @@ CHAT = [
 def test_quotes_are_linked_and_ordered(spark):
     frame = spark.createDataFrame(CHAT, "conv_id long, turn long, role string, text string").withColumn("branch_depth", F.lit("clash")).repartition(3)
     for block in (1024, 2, 1):
-        got = {(r.conv_id, r.turn, r.text): (r.n_quotes, r.n_linked, r.parent_turn, r.reply_path) for r in quote_links.reply_order(frame, block=block).collect()}
+        got = {(r.conv_id, r.turn, r.text): (r.n_quotes, r.n_linked, r.parent_turn, r.branch_depth, r.reply_order) for r in quote_links.reply_order(frame, block=block).collect()}
         assert len(got) == len(CHAT)
         own = {k[1]: v for k, v in got.items() if k[0] == 1}
         assert own == {
-            0: (0, 0, None, [0]), 1: (1, 1, 0, [1]), 2: (0, 0, 1, [2]), 3: (2, 2, 1, [1, 3, 3]), 4: (0, 0, 3, [1, 3, 4]),
-            5: (1, 1, 2, [2, 5, 5]), 6: (1, 1, 3, [1, 3, 3, 6, 6]), 7: (1, 0, 6, [1, 3, 3, 6, 7]),
+            0: (0, 0, None, 0, 1), 1: (1, 1, 0, 0, 2), 2: (0, 0, 1, 0, 7), 3: (2, 2, 1, 1, 3), 4: (0, 0, 3, 1, 6),
+            5: (1, 1, 2, 1, 8), 6: (1, 1, 3, 2, 4), 7: (1, 0, 6, 2, 5),
         }
-        assert got[(2, 1, "")] == (1, 0, 0, [1]) and got[(None, 1, "")][:3] == (1, 0, None)
-    order = [r.turn for r in quote_links.reply_order(frame).where("conv_id = 1").orderBy("reply_path").collect()]
-    assert order == [0, 1, 3, 6, 7, 4, 2, 5]
+        assert got[(2, 1, "")] == (1, 0, 0, 0, 2) and got[(None, 1, "")] == (1, 0, None, 0, None)
+
+
+def brute_order(rows):
+    """(order, depth) of messages (conv, turn, answers) by walking the tree; answers opens a branch."""
+    out = {}
+    for conv in {r[0] for r in rows}:
+        own = sorted((t, a) for c, t, a in rows if c == conv)
+        branch, members, opens = None, {None: []}, {}
+        for turn, answers in own:
+            if answers is not None:
+                branch = turn
+                members[branch] = []
+                opens.setdefault(answers, []).append(turn)
+            members[branch].append(turn)
+        todo, place = [(None, 0, 0)], 0
+        while todo:
+            b, k, depth = todo.pop()
+            if k == len(members[b]):
+                continue
+            turn, place = members[b][k], place + 1
+            out[conv, turn] = (place, depth)
+            todo.append((b, k + 1, depth))
+            todo += [(child, 0, depth + 1) for child in sorted(opens.get(turn, []), reverse=True)]
+    return out
+
+
+def ordered(spark, rows):
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, answers long").repartition(3)
+    seen, branch, chain = {}, {}, []
+    for conv, turn, answers in sorted(rows, key=lambda r: r[:2]):
+        branch[conv] = turn if answers is not None else branch.get(conv, quote_links.ROOT)
+        chain.append((conv, turn, branch[conv]))
+    frame = frame.join(spark.createDataFrame(chain, "conv_id long, turn long, branch long"), ["conv_id", "turn"])
+    return {(r.conv_id, r.turn): (r.reply_order, r.branch_depth) for r in quote_links.branch_order(frame).collect()}
+
+
+def test_branches_are_walked_in_order(spark):
+    """Random trees, several answers to one message, and branches that end together."""
+    rng = random.Random(41)
+    rows = []
+    for conv in range(12):
+        turns = sorted(rng.sample(range(200), rng.randint(2, 40)))
+        rows += [(conv, t, rng.choice(turns[: max(1, i - 1)][-rng.choice([1, 3, 40]) :]) if i > 1 and rng.random() < 0.5 else None) for i, t in enumerate(turns)]
+    assert ordered(spark, rows) == brute_order(rows)
+
+
+def test_long_chain_of_branches_takes_rows_in_proportion(spark):
+    """Each message answers the one two before: branches nest half as deep as the conversation is long."""
+    rows = [(1, t, t - 2 if t > 1 else None) for t in range(6000)]
+    got = ordered(spark, rows)
+    assert got == brute_order(rows) and max(d for _, d in got.values()) > 2900
 
 
 def brute_links(rows, min_chars=8):
@@ -198,12 +247,12 @@ def test_quote_links_take_time_in_proportion_to_the_message(spark):
 
 
 def test_quote_links_replace_clashing_columns(spark):
-    names = "n_quotes n_linked parent_turn branch_depth reply_path _lines _starts _conv _turn".split()
+    names = "n_quotes n_linked parent_turn branch_depth reply_order _lines _starts _conv _turn".split()
     frame = spark.createDataFrame(CHAT, "conv_id long, turn long, role string, text string")
     odd = frame.withColumns({n: F.lit("clash") for n in names} | {"level": F.lit("mine"), "h1": F.lit("mine"), "part": F.lit(7)})
-    want = sorted(str(tuple(r)) for r in quote_links.reply_order(frame).select("conv_id", "turn", "role", "text", "n_quotes", "n_linked", "reply_path").collect())
+    want = sorted(str(tuple(r)) for r in quote_links.reply_order(frame).select("conv_id", "turn", "role", "text", "n_quotes", "n_linked", "reply_order").collect())
     out = quote_links.reply_order(odd)
-    assert sorted(str(tuple(r)) for r in out.select("conv_id", "turn", "role", "text", "n_quotes", "n_linked", "reply_path").collect()) == want
+    assert sorted(str(tuple(r)) for r in out.select("conv_id", "turn", "role", "text", "n_quotes", "n_linked", "reply_order").collect()) == want
     assert out.where("level = 'mine' and h1 = 'mine' and part = 7").count() == len(CHAT) and "_lines" not in out.columns
 
 
