@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.staging import stage
+
 
 def cells(start: Column, end: Column, width: int) -> Column:
     """Numbers of the grid cells that a closed range touches."""
@@ -33,14 +35,14 @@ def smallest_container(points: DataFrame, ranges: DataFrame, on: Sequence[str],
 
     Ties go to the smaller start, then the smaller id.
     """
+    own = list(points.columns)
+    # Ids made while the table is written tell equal points apart.
+    points = stage(points.withColumn("_point", F.monotonically_increasing_id()), "points")
     hits = overlap_pairs(points, ranges, on, width)
     inside = hits.where((F.col("r_start") <= F.col("l_start")) & (F.col("l_end") <= F.col("r_end")))
     rank = F.struct((F.col("r_end") - F.col("r_start")).alias("size"), F.col("r_start"), F.col(f"r_{ident}").alias("id"))
-    keys = [f"l_{c}" for c in points.columns]
-    best = inside.groupBy(*keys).agg(F.min(rank).alias("best"))
-    best = best.select(*[F.col(k).alias(f"_b_{k}") for k in keys], F.col("best.id").alias("container"))
-    condition = [points[c].eqNullSafe(best[f"_b_l_{c}"]) for c in points.columns]
-    return points.join(best, condition, "left").select(*[points[c] for c in points.columns], "container")
+    best = inside.groupBy(F.col("l__point").alias("_point")).agg(F.min(rank).alias("best")).select("_point", F.col("best.id").alias("container"))
+    return points.join(best, "_point", "left").select(*own, "container")
 
 
 def parents(symbols: DataFrame, on: Sequence[str], width: int, ident: str) -> DataFrame:

@@ -137,9 +137,9 @@ def median_floor(t: Tables) -> DataFrame:
     return sets.median_floor(t.events, ["event_type"], "value")
 
 
-@query("A23 A24 R23", "SELECT p_brand, CASE WHEN count(DISTINCT p_type) = 1 THEN min(p_type) END AS choice, count(DISTINCT p_type) > 1 AS conflict FROM part WHERE p_size = 7 GROUP BY 1")
+@query("A23 A24 R23", "SELECT p_brand, CASE WHEN count(DISTINCT p_type) = 1 THEN min(p_type) END AS choice, count(DISTINCT p_type) > 1 AS conflict FROM part GROUP BY 1")
 def consensus(t: Tables) -> DataFrame:
-    return sets.consensus(t.part.where("p_size = 7"), ["p_brand"], "p_type")
+    return sets.consensus(t.part, ["p_brand"], "p_type")
 
 
 @query("A17", """
@@ -222,10 +222,10 @@ def threshold_findings(t: Tables) -> DataFrame:
 
 
 @query("U8 U1 U2 U3", """
-WITH a AS (SELECT c_nationkey AS k, c_name AS name FROM customer WHERE c_acctbal > 9000), g AS (SELECT s_nationkey AS k, s_name AS name FROM supplier)
+WITH a AS (SELECT c_nationkey AS k, c_name AS name FROM customer), g AS (SELECT s_nationkey AS k, s_name AS name FROM supplier)
 SELECT k, name FROM a UNION ALL SELECT k, name FROM g WHERE k NOT IN (SELECT k FROM a)""")
 def union_with_fallback(t: Tables) -> DataFrame:
-    a = t.customer.where("c_acctbal > 9000").select(F.col("c_nationkey").alias("k"), F.col("c_name").alias("name"))
+    a = t.customer.select(F.col("c_nationkey").alias("k"), F.col("c_name").alias("name"))
     return sets.fallback(a, t.supplier.select(F.col("s_nationkey").alias("k"), F.col("s_name").alias("name")), ["k"])
 
 

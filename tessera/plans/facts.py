@@ -104,6 +104,46 @@ def cfml_facts(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.explode(cfml.facts(source)).alias("f")).select("p_partkey", "f.kind", "f.name", "f.line")
 
 
+@query("S14", """
+WITH s AS (SELECT p_partkey, p_size % 5 AS k, strlen(p_name) AS n FROM part)
+SELECT p_partkey, 'finding' AS kind, 'UNCLOSED_TAG' AS code, 'cfif' AS tag, n AS start, n + 8 AS stop, n AS open_start FROM s WHERE k = 1
+UNION ALL SELECT p_partkey, 'finding', 'MISMATCHED_CLOSE', 'cfoutput', n + 8, n + 19, n FROM s WHERE k = 1
+UNION ALL SELECT p_partkey, 'finding', 'UNBALANCED_DELIMITER', '(', n + 11, n + 12, NULL FROM s WHERE k = 2
+UNION ALL SELECT p_partkey, 'incomplete', 'UNSUPPORTED_SYNTAX', 'cfnew', n, n + 7, NULL FROM s WHERE k = 3
+UNION ALL SELECT p_partkey, 'finding', 'INVALID_BRANCH', 'cftry', n + 7, n + 15, n FROM s WHERE k = 4""")
+def cfml_findings(t: Tables) -> DataFrame:
+    """What a stack machine over the tags finds wrong in CFML sources made of the parts, with the places."""
+    bodies = ["<cfif a><cfelse></cfif>don't", "<cfif a></cfoutput>", "<cfscript>f(</cfscript>", "<cfnew>", "<cftry></cftry>"]
+    body = F.element_at(F.array(*map(F.lit, bodies)), (F.col("p_size") % 5 + 1).cast("int"))
+    found = cfml.source_findings(t.part.select("p_partkey", F.concat("p_name", body).alias("source")), "p_partkey", "source")
+    return found.withColumnRenamed("end", "stop")
+
+
+@query("S24", """
+SELECT s_suppkey, x.kind, x.name, x.block, x.value, x.start FROM (SELECT *, strlen(s_name) AS n, strlen(s_nationkey::VARCHAR) AS w FROM supplier), LATERAL (
+  SELECT 'tag' AS kind, 'cfoutput' AS name, NULL AS block, NULL AS value, n AS start UNION ALL SELECT 'tag', 'cfmodule', 'cfoutput', 'm' || s_nationkey, n + 10
+  UNION ALL SELECT 'call', 'trim', 'cfoutput', NULL, n + 36 + w UNION ALL SELECT 'region', 'cfoutput', NULL, NULL, n + 10) x""")
+def cfml_attributes(t: Tables) -> DataFrame:
+    """Tags with their attributes, nested blocks and spans of CFML sources made of the suppliers."""
+    source = F.concat(F.lit("<cfoutput><cfmodule name='m"), s("s_nationkey"), F.lit("' size=\"#trim(a)#\"></cfoutput>"))
+    facts = cfml.source_facts(t.supplier.select("s_suppkey", F.concat("s_name", source).alias("source")), "s_suppkey", "source")
+    return facts.select("s_suppkey", "kind", "name", "block", F.col("attributes")["name"].alias("value"), "start")
+
+
+@query("S20 S13", """
+SELECT page_id, 'link' AS kind, target, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS target FROM pages) GROUP BY 1, 3""")
+def page_tree_links(t: Tables) -> DataFrame:
+    """Links, forms, scripts and style sheets of all pages, from a tree of each page."""
+    parts = markup.page_parts(markup.elements(t.pages, "page_id", "html"))
+    return parts.groupBy(F.col("doc_id").alias("page_id"), "kind", "target").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("X32", "SELECT page_id, cast(len(regexp_extract_all(html, '<b>')) - len(regexp_extract_all(html, '</b>')) AS INTEGER) AS unclosed FROM pages")
+def page_unclosed(t: Tables) -> DataFrame:
+    """How many bold passages of each page are opened and not closed."""
+    return t.pages.select("page_id", F.size(F.filter(markup.unclosed_tag_names(F.col("html")), lambda x: x == "b")).alias("unclosed"))
+
+
 @query("X19 S23", """
 SELECT o_orderkey, x.clause, x.start FROM orders, LATERAL (SELECT 'SELECT' AS clause, 0 AS start UNION ALL SELECT 'FROM', 9 UNION ALL SELECT 'WHERE', 19 + strlen(o_orderstatus)) x""")
 def sql_clause_ranges(t: Tables) -> DataFrame:

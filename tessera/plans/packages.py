@@ -16,10 +16,10 @@ from tessera.staging import shared_dir
 from .registry import Tables, query
 
 
-@query("J15", "SELECT l_orderkey, l_linenumber, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity = 50")
+@query("J15", "SELECT l_orderkey, l_linenumber, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey")
 def lookup_join(t: Tables) -> DataFrame:
     """Id lookup; the planner broadcasts the part side only while its measured size is small."""
-    return t.lineitem.where("l_quantity = 50").join(t.part.select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey").select("l_orderkey", "l_linenumber", "p_brand")
+    return t.lineitem.join(t.part.select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey").select("l_orderkey", "l_linenumber", "p_brand")
 
 
 def _manifests(t: Tables) -> DataFrame:
@@ -144,11 +144,11 @@ def entrypoint_states(t: Tables) -> DataFrame:
     return project.entrypoints(exports, here)
 
 
-@query("R59 R9", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(100 + l_linenumber AS INTEGER) AS start, cast(least(100 + l_linenumber + 5, 106) AS INTEGER) AS stop FROM lineitem WHERE l_quantity = 1")
+@query("R59 R9", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(100 + l_linenumber AS INTEGER) AS start, cast(least(100 + l_linenumber + 5, 106) AS INTEGER) AS stop FROM lineitem")
 def rebased_ranges(t: Tables) -> DataFrame:
     """Embedded ranges moved to their host's offsets and cut at its end."""
     start = (F.col("l_linenumber") + 100).cast("int")
-    return t.lineitem.where("l_quantity = 1").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", start.alias("start"), F.least(start + 5, F.lit(106)).alias("stop"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", start.alias("start"), F.least(start + 5, F.lit(106)).alias("stop"))
 
 
 @query("S5 S6 S18", """

@@ -12,32 +12,32 @@ from tessera.sources.files import envelope
 from .registry import Tables, query
 
 @query("J24 R9 R10 F10", """
-WITH s AS (SELECT l_partkey AS p, l_orderkey AS id, min(l_linenumber) AS a, max(l_linenumber) + 2 AS b FROM lineitem GROUP BY 1, 2), q AS (SELECT DISTINCT l_partkey AS p, l_linenumber AS a FROM lineitem WHERE l_quantity > 40)
+WITH s AS (SELECT l_partkey AS p, l_orderkey AS id, min(l_linenumber) AS a, max(l_linenumber) + 2 AS b FROM lineitem GROUP BY 1, 2), q AS (SELECT DISTINCT l_partkey AS p, l_linenumber AS a FROM lineitem)
 SELECT p, a AS start, (SELECT id FROM s WHERE s.p = q.p AND s.a <= q.a AND q.a <= s.b ORDER BY s.b - s.a, s.a, s.id LIMIT 1) AS container FROM q""")
 def smallest_container(t: Tables) -> DataFrame:
     """For a line number of a part the smallest order range that holds it."""
     ranges = t.lineitem.groupBy(F.col("l_partkey").alias("p"), F.col("l_orderkey").alias("id")).agg(F.min("l_linenumber").alias("start"), (F.max("l_linenumber") + 2).alias("end"))
-    points = t.lineitem.where("l_quantity > 40").select(F.col("l_partkey").alias("p"), F.col("l_linenumber").alias("start"), F.col("l_linenumber").alias("end")).distinct()
+    points = t.lineitem.select(F.col("l_partkey").alias("p"), F.col("l_linenumber").alias("start"), F.col("l_linenumber").alias("end")).distinct()
     return intervals.smallest_container(points, ranges, ["p"], 8, "id").select("p", "start", "container")
 
 
-SPANS = """WITH s AS (SELECT c_nationkey AS k, c_custkey AS id, cast(c_custkey % 97 AS INTEGER) AS a, cast(c_custkey % 97 + c_custkey % 13 AS INTEGER) AS b FROM customer WHERE c_mktsegment = 'BUILDING')"""
+SPANS = """WITH s AS (SELECT c_nationkey AS k, c_custkey AS id, cast(c_custkey * 7 % 9973 AS INTEGER) AS a, cast(c_custkey * 7 % 9973 + c_custkey % 130 AS INTEGER) AS b FROM customer)"""
 
 
 def _spans(t: Tables) -> DataFrame:
     c = F.col("c_custkey")
-    return t.customer.where("c_mktsegment = 'BUILDING'").select(F.col("c_nationkey").alias("k"), c.alias("id"), (c % 97).cast("int").alias("start"), (c % 97 + c % 13).cast("int").alias("end"))
+    return t.customer.select(F.col("c_nationkey").alias("k"), c.alias("id"), (c * 7 % 9973).cast("int").alias("start"), (c * 7 % 9973 + c % 130).cast("int").alias("end"))
 
 
 @query("J26 J37", SPANS + " SELECT x.id AS l_id, y.id AS r_id FROM s x JOIN s y ON x.k = y.k AND x.id < y.id AND x.a <= y.b AND y.a <= x.b")
 def overlap_pairs(t: Tables) -> DataFrame:
     s = _spans(t)
-    return intervals.overlap_pairs(s, s, ["k"], 16).where("l_id < r_id").select("l_id", "r_id")
+    return intervals.overlap_pairs(s, s, ["k"], 64).where("l_id < r_id").select("l_id", "r_id")
 
 
 @query("J25 G8 R58", SPANS + " SELECT x.id, coalesce((SELECT y.id FROM s y WHERE y.k = x.k AND y.a <= x.a AND x.b <= y.b AND y.b - y.a > x.b - x.a ORDER BY y.b - y.a, y.a, y.id LIMIT 1), -1) AS parent FROM s x")
 def interval_parents(t: Tables) -> DataFrame:
-    return intervals.parents(_spans(t), ["k"], 16, "id").select("id", F.coalesce("parent", F.lit(-1).cast("bigint")).alias("parent"))
+    return intervals.parents(_spans(t), ["k"], 64, "id").select("id", F.coalesce("parent", F.lit(-1).cast("bigint")).alias("parent"))
 
 
 @query("J27 X25", """
@@ -60,12 +60,12 @@ def rank_keys(t: Tables) -> DataFrame:
 
 
 @query("L9 R17", """
-WITH r AS (SELECT c_nationkey, c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 2 WHEN 'MACHINERY' THEN 1 ELSE 0 END AS s FROM customer WHERE c_acctbal > 9500), m AS (SELECT c_nationkey, max(s) AS s FROM r GROUP BY 1)
+WITH r AS (SELECT c_nationkey, c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 2 WHEN 'MACHINERY' THEN 1 ELSE 0 END AS s FROM customer), m AS (SELECT c_nationkey, max(s) AS s FROM r GROUP BY 1)
 SELECT r.c_nationkey, r.c_custkey FROM r JOIN m ON r.c_nationkey = m.c_nationkey AND r.s = m.s WHERE m.s > 0 OR r.c_custkey = (SELECT min(c_custkey) FROM r q WHERE q.c_nationkey = r.c_nationkey AND q.s = m.s)""")
 def minimum_set(t: Tables) -> DataFrame:
     """All equally strongest rows, or one where the strongest is weak."""
     s = F.when(F.col("c_mktsegment") == "BUILDING", 2).when(F.col("c_mktsegment") == "MACHINERY", 1).otherwise(0)
-    rows = t.customer.where("c_acctbal > 9500").select("c_nationkey", "c_custkey", s.alias("s"))
+    rows = t.customer.select("c_nationkey", "c_custkey", s.alias("s"))
     return ordered.strongest(rows, ["c_nationkey"], "s", "c_custkey", 0).select("c_nationkey", "c_custkey")
 
 
