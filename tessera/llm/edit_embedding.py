@@ -182,11 +182,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return arrow_map(docs.select("doc_id", "text"), run, T.StructType([T.StructField("fingerprint", T.StringType())]), keep=["doc_id"])
 
 
-def with_next(docs: DataFrame, rows_per_range: int = 256, most_ranges: int = 20_000, range_bytes: int = 64 << 20) -> DataFrame:
+def with_next(docs: DataFrame, rows_per_range: int = 256, most_ranges: int = 20_000, range_bytes: int = 1 << 30) -> DataFrame:
     """(range, head, doc_id, text) sorted so that the row after each document (head 0) is its next one.
 
     The ids are cut into ranges at quantiles; each range ends with a copy of the next range's first document
-    (head 1), so no task needs more than its own rows and nothing orders the whole table.
+    (head 1), so no task needs more than its own rows and nothing orders the whole table. A range is sorted with spilling
+    and read as a stream, so it may be large: 100 TB make 100,000 ranges of one GB, one row each on the driver.
     """
     size = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("b")).first()
     ranges = max(1, min(most_ranges, size.n // rows_per_range), (size.b or 0) // range_bytes)
@@ -273,30 +274,62 @@ def neighbours(docs: DataFrame) -> DataFrame:
     return with_next(docs).mapInArrow(tidy(run), outputs)
 
 
+#: Length of the grams that rule unlike texts out, and the number of counters they are hashed to.
+GRAMS, COUNTERS = 8, 1 << 20
+
+
+def gram_counts(text: np.ndarray) -> np.ndarray:
+    """How many grams of a text (code points) fall to each counter."""
+    n = max(0, len(text) - GRAMS + 1)
+    h = np.zeros(n, np.uint64)
+    for j in range(GRAMS):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + text[j : j + n]
+    return np.bincount(((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(44)).astype(np.int64), minlength=COUNTERS)
+
+
+def run_end(x: np.ndarray, y: np.ndarray, i: int, j: int) -> int:
+    """Where in x the common run of x from i and y from j ends."""
+    block = 64
+    while i < len(x) and j < len(y):
+        size = min(block, len(x) - i, len(y) - j)
+        apart = np.flatnonzero(x[i : i + size] != y[j : j + size])
+        if len(apart):
+            return i + int(apart[0])
+        i, j, block = i + size, j + size, min(2 * block, 1 << 20)
+    return i
+
+
 def edit_distance_within(a: str, b: str, most: int) -> bool:
-    """Whether the edit distance is at most `most`: furthest-reaching diagonals, most + 1 rounds."""
-    if abs(len(a) - len(b)) > most:
+    """Whether the edit distance is at most `most`.
+
+    One edit changes at most GRAMS grams on either side, so texts whose gram counts differ by more are apart. The others
+    are walked along furthest-reaching diagonals, all diagonals of a round at once, long common runs block by block.
+    """
+    n, m = len(a), len(b)
+    if abs(n - m) > most:
+        return False
+    x, y = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (a, b))
+    if max(n, m) > 2000 and int(np.abs(gram_counts(x) - gram_counts(y)).sum()) > 2 * GRAMS * most:
         return False
-    reach: dict[int, int] = {}
+    # A closing sign that differs on the two sides ends every run inside the arrays.
+    left, right = np.append(x, np.uint32(0xFFFFFFFF)), np.append(y, np.uint32(0xFFFFFFFE))
+    reach = np.zeros(1, np.int64)
     for d in range(most + 1):
-        new = {}
-        for k in range(-d, d + 1):
-            if d == 0:
-                x = 0
-            else:
-                x = max(reach.get(k - 1, -2) + 1, reach.get(k, -2) + 1, reach.get(k + 1, -2))
-            y = x - k
-            if x < 0 or y < 0 or x > len(a) or y > len(b):
-                if x > len(a) or y > len(b):
-                    continue
-                x = max(x, 0, k)
-                y = x - k
-            while x < len(a) and y < len(b) and a[x] == b[y]:
-                x, y = x + 1, y + 1
-            if x == len(a) and y == len(b):
-                return True
-            new[k] = x
-        reach = new
+        k = np.arange(-d, d + 1)
+        if d:
+            before = np.full(2 * d + 3, -(1 << 40))
+            before[2:-2] = reach
+            reach = np.minimum(np.maximum(np.maximum(before[:-2], before[1:-1]) + 1, before[2:]), np.minimum(n, m + k))
+        going = np.arange(len(k))
+        for _ in range(16):
+            going = going[left[reach[going]] == right[reach[going] - k[going]]]
+            if not len(going):
+                break
+            reach[going] += 1
+        for g in going.tolist():
+            reach[g] = run_end(x, y, int(reach[g]), int(reach[g] - k[g]))
+        if abs(n - m) <= d and reach[n - m + d] == n:
+            return True
     return False
 
 

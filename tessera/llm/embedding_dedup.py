@@ -149,16 +149,21 @@ def band_keys(pool: np.ndarray, dim: int, bits: int, count: int) -> np.ndarray:
     return np.stack([single[:, band_places(pool_bits(dim), b)[:bits]] @ weights for b in range(count)], axis=1)
 
 
-def first_band(a: np.ndarray, b: np.ndarray, dim: int, bits: int, count: int) -> np.ndarray:
-    """The first band in which each row of a and b (packed signs) agrees, `count` where there is none."""
-    apart = a ^ b
-    out = np.full(len(a), count)
-    for band in range(count):
-        mask = np.zeros((1, pool_bits(dim)), np.uint8)
-        mask[0, band_places(pool_bits(dim), band)[:bits]] = 1
-        hit = (out == count) & ((apart & packed(mask)) == 0).all(axis=1)
-        out[hit] = band
-    return out
+@cache
+def band_mask(dim: int, bits: int, band: int) -> np.ndarray:
+    mask = np.zeros((1, pool_bits(dim)), np.uint8)
+    mask[0, band_places(pool_bits(dim), band)[:bits]] = 1
+    return packed(mask)
+
+
+def apart_before(a: np.ndarray, b: np.ndarray, dim: int, bits: int, band: int) -> np.ndarray:
+    """Which rows of a and b (packed signs) agree in none of the bands before `band`."""
+    left = np.arange(len(a))
+    for earlier in range(band):
+        if not len(left):
+            break
+        left = left[((a[left] ^ b[left]) & band_mask(dim, bits, earlier)).any(axis=1)]
+    return left
 
 
 CODES = T.StructType(
@@ -209,7 +214,7 @@ def arrays(rows: pd.DataFrame) -> dict[str, np.ndarray]:
 
 
 def open_pairs(
-    one: dict[str, np.ndarray], two: dict[str, np.ndarray] | None, dim: int, threshold: float, band: int = 0, bits: int = 0, count: int = 1
+    one: dict[str, np.ndarray], two: dict[str, np.ndarray] | None, dim: int, threshold: float, band: int = 0, bits: int = 0
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of places (in one, in two; without two, in one twice) that share no earlier band and that no bound rules out,
     tile by tile."""
@@ -229,7 +234,7 @@ def open_pairs(
         for at in range(0, len(i), 1 << 16):
             u, v = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
             if band:
-                mine = first_band(one["pool"][u], other["pool"][v], dim, bits, count) == band
+                mine = apart_before(one["pool"][u], other["pool"][v], dim, bits, band)
                 u, v = u[mine], v[mine]
             fine = upper_bounds(one, other, u, v, size) >= threshold
             yield u[fine], v[fine]
@@ -266,7 +271,7 @@ def cells_of(rows: pd.DataFrame, threshold: float, bucket: int, miss: float) ->
             continue
         one, two = arrays(left), None if right is None else arrays(right)
         dim, band = int(cell["dim"].iat[0]), int(cell["band"].iat[0])
-        yield left, right, one, two, open_pairs(one, two, dim, threshold, band, *bands(int(cell["of"].iat[0]), threshold, bucket, miss))
+        yield left, right, one, two, open_pairs(one, two, dim, threshold, band, bands(int(cell["of"].iat[0]), threshold, bucket, miss)[0])
 
 
 def estimate_cells(threshold: float, bucket: int, miss: float):

@@ -74,6 +74,48 @@ def test_edit_distance_within():
             assert edit_embedding.edit_distance_within(a, b, most) == (full(a, b) <= most)
 
 
+def test_edit_distance_of_long_texts():
+    """Pairs of two million characters: unlike ones are told by their grams, like ones walked, in seconds."""
+    import time
+
+    rng = np.random.default_rng(9)
+    text = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    one, other = text(2_000_000), text(2_000_000)
+    near = list(one)
+    for at in sorted(rng.integers(0, len(near), 2000).tolist(), reverse=True):
+        near[at : at + 1] = [["x"], [], ["y", near[at]]][at % 3]
+    near = "".join(near)
+    start = time.time()
+    assert not edit_embedding.edit_distance_within(one, other, 40_000)
+    assert edit_embedding.edit_distance_within(one, near, 2000) and not edit_embedding.edit_distance_within(one, near, 1000)
+    assert edit_embedding.edit_distance_within("a" * 300_000, "a" * 299_000, 1000) and not edit_embedding.edit_distance_within("a" * 3000, "b" + "a" * 2990, 9)
+    assert time.time() - start < 60
+
+
+def test_edit_distance_of_middling_texts():
+    """Around the true distance, for texts on both sides of the gram filter."""
+    def full(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    rng = random.Random(28)
+    for size in (40, 300, 2100):
+        for _ in range(2):
+            a = "".join(rng.choice("abcd é") for _ in range(size))
+            b = list(a)
+            for _ in range(rng.randint(0, 12)):
+                at = rng.randrange(len(b))
+                b[at : at + rng.randint(0, 2)] = rng.choice([[], ["x"], ["y", "z"]])
+            b, true = "".join(b), full(a, "".join(b))
+            for most in {0, true - 1, true, true + 3} - {-1}:
+                assert edit_embedding.edit_distance_within(a, b, most) == (true <= most)
+
+
 def test_near_documents_link_small_edits(spark):
     rng = random.Random(10)
     texts = ["".join(rng.choice("abcdefgh ") for _ in range(600)) for _ in range(12)]

@@ -95,9 +95,9 @@ def test_bands_find_pairs_at_the_threshold():
     bits, count = embedding_dedup.bands(1 << 20, 0.93, 1024, 1e-4)
     one, two = embedding_dedup.encode(a), embedding_dedup.encode(b)
     hit = embedding_dedup.band_keys(one["pool"], 64, bits, count) == embedding_dedup.band_keys(two["pool"], 64, bits, count)
-    first = embedding_dedup.first_band(one["pool"], two["pool"], 64, bits, count)
     assert bits == 10 and hit.any(1).mean() > 0.998
-    assert (np.where(hit.any(1), hit.argmax(1), count) == first).all()
+    for band in (0, 1, count // 2):
+        assert embedding_dedup.apart_before(one["pool"], two["pool"], 64, bits, band).tolist() == np.flatnonzero(~hit[:, :band].any(1)).tolist()
 
 
 @pytest.mark.parametrize("dim", [1, 3, 64, 100])
