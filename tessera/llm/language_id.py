@@ -7,8 +7,10 @@ it is read. Landmarks of each language give a Nystroem map of the kernel, a one-
 on it in closed form, and texts are scored batch by batch as matrix products.
 
 Bounds: every language of the training rows is learned, from at most `per_lang` texts (one row of a doc_id: the least
-text), of which landmarks // languages, at least one, are its landmarks. Texts stay in the tasks; the driver gets a
-vector of 2^BITS numbers for each landmark and the kernel values of the sample. Defined results: a null text or one
+text) and from fewer where languages are so many that they would make over `most_rows`. The `landmarks` columns are
+shared: landmarks // languages of each language, or one of each of so many languages that a hash chooses. Texts stay in
+the tasks, which add up the normal equations; the driver gets a vector of 2^BITS numbers for each landmark, landmarks + 1
+sums for each language, and a matrix of (landmarks + 1)^2 for each task. Defined results: a null text or one
 without a letter is `und` with score 0; without training rows every text is `und`; rows that repeat a doc_id are scored
 one by one; ties go to the first language by name; operator columns replace input columns of the same name.
 """
@@ -19,11 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, prepare, stage, unstage, without
+from .common import arrow_map, prepare, stage, tidy, unstage, without
 from .sampling import bounded_sample, fold, sampled_rows
 
 #: Hashed n-gram space, texts of one matrix product, and characters of a window.
@@ -95,20 +98,55 @@ def kernel(texts: list[str | None], landmarks: np.ndarray) -> np.ndarray:
     return out
 
 
-def ridge(k: np.ndarray, langs: list[str], land: np.ndarray, penalty: float = 1e-3) -> dict:
-    """The model from kernel values of training texts and the landmarks' vectors (columns)."""
-    names = sorted(set(langs))
+def ridge(gram: np.ndarray, sums: dict[str, tuple[int, np.ndarray]], land: np.ndarray, penalty: float = 1e-3) -> dict:
+    """The model from the landmarks' vectors (columns) and the sums of the training rows' kernel values with them, a one
+    appended: of each language (rows, sum of values), and `gram`, the sum of outer products over rows, each divided by
+    the rows of its language. Languages weigh alike."""
+    names = sorted(sums)
     value, vector = np.linalg.eigh((land.T @ land).astype(np.float64))
     inverse_root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-6))) @ vector.T
-    phi = np.concatenate([k @ inverse_root, np.ones((len(k), 1))], axis=1)
-    target = np.array([[1.0 if x == n else -1.0 for n in names] for x in langs])
-    weight = np.array([1 / langs.count(n) for n in names])[[names.index(x) for x in langs]][:, None]
-    weight *= len(langs) / weight.sum()
-    left = phi.T @ (phi * weight) + penalty * len(langs) * np.eye(phi.shape[1])
-    w = np.linalg.solve(left, phi.T @ (target * weight))
+    size = land.shape[1] + 1
+    base = np.eye(size)
+    base[:-1, :-1] = inverse_root
+    total = sum(n for n, _ in sums.values())
+    means = np.array([s / n for n, s in (sums[x] for x in names)]) @ base
+    left = base.T @ gram @ base * (total / len(names)) + penalty * total * np.eye(size)
+    # Targets are 1 for a row's own language and -1 for the others.
+    right = (2 * means - means.sum(axis=0)).T * (total / len(names))
+    w = np.linalg.solve(left, right)
     return {"names": names, "land": land, "map": inverse_root @ w[:-1], "bias": w[-1]}
 
 
+def normal_sums(rows: DataFrame) -> tuple[np.ndarray | None, dict[str, tuple[int, np.ndarray]]]:
+    """(gram, sums) of `ridge` from rows (lang, k). Tasks add up whole languages; a row for each language and one matrix
+    for each task reach the driver."""
+    parts = max(1, min(64, rows.count() // 5_000))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[np.ndarray]] = {}
+        for batch in batches:
+            values = batch.column(1).values.to_numpy().reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 0))
+            for lang, row in zip(batch.column(0).to_pylist(), values, strict=True):
+                held.setdefault(lang, []).append(row)
+        if not held:
+            return
+        names, counts, sums, gram = [], [], [], 0
+        for lang in sorted(held):
+            k = np.stack(sorted(held[lang], key=lambda r: r.tobytes()))
+            k = np.concatenate([k, np.ones((len(k), 1))], axis=1)
+            gram = gram + k.T @ k / len(k)
+            names.append(lang), counts.append(len(k)), sums.append(k.sum(axis=0))
+        names.append(None), counts.append(0), sums.append(np.asarray(gram).ravel())
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(counts, pa.int64()), pa.array(sums, pa.list_(pa.float64()))], names=["lang", "n", "s"])
+
+    found = rows.select("lang", "k").repartition(parts, "lang").mapInArrow(tidy(run), "lang string, n long, s array<double>").collect()
+    grams = [np.array(r.s) for r in found if r.lang is None]
+    if not grams:
+        return None, {}
+    size = int(round(len(grams[0]) ** 0.5))
+    return sum(grams).reshape(size, size), {r.lang: (r.n, np.array(r.s)) for r in found if r.lang is not None}
+
+
 def with_kernel(spark: SparkSession, rows: DataFrame, land: np.ndarray) -> DataFrame:
     """rows with k, their kernel values with the landmarks."""
     shared = spark.sparkContext.broadcast(land)  # 2^BITS numbers a landmark
@@ -119,11 +157,14 @@ def with_kernel(spark: SparkSession, rows: DataFrame, land: np.ndarray) -> DataF
     return arrow_map(rows, run, T.StructType([T.StructField("k", T.ArrayType(T.DoubleType()))]), keep=[c for c in rows.columns if c != "text"])
 
 
-def fit(docs: DataFrame, per_lang: int = 500, landmarks: int = 96, parts: int = 3, held: int = 1) -> dict | None:
-    """Learn from at most per_lang texts of each language outside the held-out fold."""
+def fit(docs: DataFrame, per_lang: int = 500, landmarks: int = 96, parts: int = 3, held: int = 1, most_rows: int = 200_000) -> dict | None:
+    """Learn from at most per_lang texts of each language outside the held-out fold, and from fewer of each (one at least)
+    where so many languages would make more than most_rows. Languages share `landmarks` columns, however many there are:
+    where there are more languages than columns, a hash of the name chooses those that give one."""
     spark = docs.sparkSession
     use = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & (fold("doc_id", parts) != held))
-    sample = bounded_sample(use, "doc_id", "lang", per_lang)
+    quota = max(1, min(per_lang, most_rows // max(1, use.select("lang").distinct().count())))
+    sample = bounded_sample(use, "doc_id", "lang", quota)
     if not sample:
         return None
     rows = sampled_rows(docs.where(F.col("text").rlike(r"\p{L}")), sample).withColumnRenamed("_stratum", "lang")
@@ -138,17 +179,18 @@ def fit(docs: DataFrame, per_lang: int = 500, landmarks: int = 96, parts: int =
     by: dict = {}
     for r in sorted(rows.select("doc_id", "lang").collect(), key=lambda r: order[r[0]]):
         by.setdefault(r[1], []).append(r[0])
-    marks = [x for n in sorted(by) for x in by[n][: max(1, landmarks // langs)]]
+    giving = sorted(by) if len(by) <= landmarks else sorted(by, key=lambda n: (xxhash.xxh3_64_intdigest(n), n))[:landmarks]
+    marks = [x for n in giving for x in by[n][: max(1, landmarks // langs)]]
     if not marks:
         return None
     chosen = rows.where(F.col("doc_id").isin(marks)).select("doc_id", "text")
     found = arrow_map(chosen, vector, T.StructType([T.StructField("v", T.BinaryType())]), keep=["doc_id"]).collect()
     land = np.stack([np.frombuffer(r[1], np.float32) for r in sorted(found)]).T.copy()
     land /= np.maximum(np.sqrt((land * land).sum(axis=0)), 1e-9)
-    seen = sorted(with_kernel(spark, rows.select("doc_id", "lang", "text"), land).collect())
-    unstage(rows)
-    seen = [r for r in seen if any(r[2])]
-    return ridge(np.array([r[2] for r in seen]), [r[1] for r in seen], land) if seen else None
+    seen = stage(with_kernel(spark, rows.select("lang", "text"), land).where(F.exists("k", lambda x: x != 0)), "language-kernel")
+    gram, sums = normal_sums(seen)
+    unstage(rows), unstage(seen)
+    return ridge(gram, sums, land) if sums else None
 
 
 def predict(docs: DataFrame, model: dict | None) -> DataFrame:
@@ -160,14 +202,16 @@ def predict(docs: DataFrame, model: dict | None) -> DataFrame:
         m = shared.value
         texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
         names, scores = ["und"] * len(texts), np.zeros(len(texts))
-        if m:
-            margin = kernel(texts, m["land"]) @ m["map"] + m["bias"]
+        # Few rows at a time where there are many languages.
+        step = max(1, 4_000_000 // len(m["names"])) if m else 1
+        for first in range(0, len(texts) if m else 0, step):
+            margin = kernel(texts[first : first + step], m["land"]) @ m["map"] + m["bias"]
             p = np.exp(4 * (margin - margin.max(axis=1, keepdims=True)))
             p /= p.sum(axis=1, keepdims=True)
-            for r, text in enumerate(texts):
+            for r, text in enumerate(texts[first : first + step]):
                 if text and any(map(str.isalpha, text)):
                     best = int(p[r].argmax())
-                    names[r], scores[r] = m["names"][best], p[r, best]
+                    names[first + r], scores[first + r] = m["names"][best], p[r, best]
         return {"lang_pred": pa.array(names, pa.string()), "score": pa.array(scores)}
 
     outputs = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])

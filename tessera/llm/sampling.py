@@ -15,10 +15,10 @@ def bounded_sample(rows: DataFrame, key: str, stratum: str, per_stratum: int, se
     """(key, stratum) of at most per_stratum keys of every stratum, on the driver; a key counts once in a stratum.
 
     Keys are taken in the order of a hash, so the sample depends on the ids alone. A first count turns the bound into a
-    hash threshold for each stratum, and only rows under it travel.
+    hash threshold for each stratum, with so much room that none comes out empty, and only rows under it travel.
     """
     rows = rows.where(F.col(key).isNotNull() & F.col(stratum).isNotNull()).select(key, stratum).distinct()
-    counts = rows.groupBy(stratum).count().select(stratum, F.least(F.lit(1.0), 1.3 * per_stratum / F.col("count")).alias("_most"))
+    counts = rows.groupBy(stratum).count().select(stratum, F.least(F.lit(1.0), max(1.3 * per_stratum, per_stratum + 20.0) / F.col("count")).alias("_most"))
     place = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30)) / float(1 << 30)
     found = rows.withColumn("_place", place).join(counts, stratum).where("_place < _most").select(key, stratum, "_place").collect()
     by: dict = {}

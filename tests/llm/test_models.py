@@ -241,6 +241,19 @@ def dense_vector(text):
     return out
 
 
+def test_many_languages_share_the_landmarks(spark):
+    """Each of 600 languages is learned and told apart by its letters, with no more landmarks than for few."""
+    rng = random.Random(5)
+    letters = [chr(0x4E00 + 30 * i) for i in range(600)]
+    rows = [(6 * i + j, " ".join(x * rng.randint(1, 3) for _ in range(9)), f"l{i:03}") for i, x in enumerate(letters) for j in range(6)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = language_id.fit(frame, landmarks=40, most_rows=1200)
+    taught = {r[2] for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1}
+    assert model["land"].shape[1] == 40 and model["map"].shape == (40, len(taught)) and set(model["names"]) == taught
+    out = language_id.predict(frame, model).collect()
+    assert {r.lang_pred for r in out} <= taught and all(0 <= r.score <= 1 for r in out)
+
+
 def test_language_id_equals_a_dense_kernel_ridge_regression(spark):
     """Kernel ridge regression with Nystroem features, written out with dense vectors and a normal equation."""
     rng = random.Random(23)
