@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.operators import project, relational
+from tessera.operators import intervals, project, relational
 from tessera.sources import files
 from tessera.staging import shared_dir
 
@@ -148,7 +148,8 @@ def entrypoint_states(t: Tables) -> DataFrame:
 def rebased_ranges(t: Tables) -> DataFrame:
     """Embedded ranges moved to their host's offsets and cut at its end."""
     start = (F.col("l_linenumber") + 100).cast("int")
-    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", start.alias("start"), F.least(start + 5, F.lit(106)).alias("stop"))
+    first, last, _ = intervals.clamp(start, start + 5, F.lit(106))
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", first.alias("start"), last.alias("stop"))
 
 
 @query("S5 S6 S18", """

@@ -22,11 +22,12 @@ def regex_extract_rows(t: Tables) -> DataFrame:
     return lines.where(F.col("line").rlike(r"^\S+ \S+ \S+ \S+")).select("doc_id", (F.col("i") + 1).alias("line_no"), F.regexp_extract("line", r"^(\S+)", 1).alias("head"), F.length("line").cast("bigint").alias("n"))
 
 
-@query("X14", r"""
-SELECT page_id, regexp_replace(regexp_replace(url, '(?i)\b((?:page|token|secret)\s*[=:]\s*)[^\s,;&]+', '\1[REDACTED]', 'g'), '[0-9]+', '#', 'g') AS safe FROM pages""")
+@query("X14", "SELECT page_id, 'GET ' || url || '?access_token=[REDACTED]&sig=[REDACTED] \"refresh-token\": [REDACTED], ok' AS safe FROM pages")
 def redact_urls(t: Tables) -> DataFrame:
-    hidden = F.regexp_replace("url", r"(?i)\b((?:page|token|secret)\s*[=:]\s*)[^\s,;&]+", "$1[REDACTED]")
-    return t.pages.select("page_id", F.regexp_replace(hidden, "[0-9]+", "#").alias("safe"))
+    """Log lines of requests for the pages, without the credentials in them."""
+    k = F.col("page_id").cast("string")
+    line = F.concat(F.lit("GET "), "url", F.lit("?access_token="), k, F.lit("&sig=a"), k, F.lit(' "refresh-token": "t '), k, F.lit('", ok'))
+    return t.pages.select("page_id", text.redact(line).alias("safe"))
 
 
 @query("X14 X13")
@@ -208,10 +209,11 @@ def ignore_layers(t: Tables) -> DataFrame:
 
 
 @query("F20", PATHS + r"""
-SELECT page_id, CASE WHEN path LIKE '%/1%' THEN 'test' WHEN path LIKE '%/2%' THEN 'doc' ELSE 'asset' END AS kind FROM u""")
+SELECT page_id, ['test', 'doc', 'manifest', 'source', 'asset'][page_id % 5 + 1] AS kind FROM u""")
 def file_classes(t: Tables) -> DataFrame:
-    kind = F.when(F.col("path").contains("/1"), "test").when(F.col("path").contains("/2"), "doc").otherwise("asset")
-    return url_paths(t).select("page_id", kind.alias("kind"))
+    """Files below the pages' paths by what their names tell."""
+    ends = F.array(*map(F.lit, [".spec.ts", "/readme.md", "/package.json", ".py", ".png"]))
+    return url_paths(t).select("page_id", text.file_kind(F.concat("path", F.element_at(ends, (F.col("page_id") % 5 + 1).cast("int")))).alias("kind"))
 
 
 @query("X24 X22 X23", """

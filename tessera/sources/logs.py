@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.scans import filled_forward, running_total
+
 #: The location before a compiler's message may be missing.
 COMPILER = r"^(?:(.+?)\((\d+),(\d+)\):\s+|\s*)(error|warning)\s+(TS\d+):\s*(.+)$"
 COLON = r"^(.+?):(\d+):(\d+)\s*[-:]?\s*(error|warning|info)\b:?\s*(.*)$"
@@ -32,8 +34,7 @@ def generic_rows(lines: DataFrame) -> DataFrame:
 def lint_rows(lines: DataFrame) -> DataFrame:
     """Lint blocks: a line that is a path, then indented line:col severity message rule lines."""
     path, item = r"^(\S+\.[A-Za-z]+)$", r"^\s+(\d+):(\d+)\s+(error|warning)\s+(.*?)\s{2,}(\S+)$"
-    over = Window.partitionBy("artifact").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    filled = lines.withColumn("file", F.last(F.when(F.col("line").rlike(path), F.regexp_extract("line", path, 1)), ignorenulls=True).over(over))
+    filled = filled_forward(lines, ["artifact"], ["seq"], F.when(F.col("line").rlike(path), F.regexp_extract("line", path, 1)), "file")
     g = lambda i: F.regexp_extract("line", item, i)
     hit = filled.where(F.col("line").rlike(item) & F.col("file").isNotNull())
     return hit.select("artifact", "seq", F.lit("lint").alias("producer"), g(3).alias("severity"), F.lit("lint").alias("phase"), g(5).alias("code"), "file", g(1).cast("int").alias("line_no"), g(2).cast("int").alias("col"), g(4).alias("message")).withColumnRenamed("line_no", "line")
@@ -41,7 +42,6 @@ def lint_rows(lines: DataFrame) -> DataFrame:
 
 def test_rows(lines: DataFrame) -> DataFrame:
     """Failed tests: each message takes the first location before the next message, else the last FAIL file."""
-    ordered = Window.partitionBy("artifact").orderBy("seq")
     marked = lines.withColumns(
         {
             "_m": F.when(F.col("line").rlike(MESSAGE), F.regexp_extract("line", MESSAGE, 1)),
@@ -49,11 +49,10 @@ def test_rows(lines: DataFrame) -> DataFrame:
             "_loc": F.when(F.col("line").rlike(LOCATION), F.struct(*[F.regexp_extract("line", LOCATION, i).alias(n) for i, n in ((1, "f"), (2, "l"), (3, "c"))])),
         }
     )
-    marked = marked.withColumn("_part", F.sum(F.when(F.col("_m").isNotNull(), 1).otherwise(0)).over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
-    marked = marked.withColumn("_lastfail", F.last("_fail", ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
-    inside = Window.partitionBy("artifact", "_part").orderBy("seq").rowsBetween(0, Window.unboundedFollowing)
-    marked = marked.withColumn("_next", F.first("_loc", ignorenulls=True).over(inside))
-    hit = marked.where(F.col("_m").isNotNull())
+    marked = running_total(marked, ["artifact"], ["seq"], F.when(F.col("_m").isNotNull(), 1).otherwise(0), "_part")
+    marked = filled_forward(marked, ["artifact"], ["seq"], F.col("_fail"), "_lastfail")
+    first = marked.where(F.col("_loc").isNotNull()).groupBy("artifact", "_part").agg(F.min_by("_loc", "seq").alias("_next"))
+    hit = marked.where(F.col("_m").isNotNull()).join(first, ["artifact", "_part"], "left")
     return hit.select("artifact", "seq", F.lit("test").alias("producer"), F.lit("error").alias("severity"), F.lit("test").alias("phase"), F.lit(None).cast("string").alias("code"), F.coalesce("_next.f", "_lastfail").alias("file"), F.expr("cast(_next.l as int)").alias("line"), F.expr("cast(_next.c as int)").alias("col"), F.col("_m").alias("message"))
 
 
