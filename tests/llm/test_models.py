@@ -201,11 +201,19 @@ def test_near_documents_odd_input(odd, empty):
 
 
 def test_edit_embedding_odd_input(odd, docs, empty):
+    """Every column by value: rows follow each other by (doc_id, text); rows without an id by text, then the first document."""
     assert edit_embedding.neighbours(empty).count() == 0
-    got = edit_embedding.neighbours(odd).collect()
-    assert len(got) == odd.count()
-    alone = {r.doc_id: r.fingerprint for r in edit_embedding.fingerprints(docs).collect()}
-    assert all(r.fingerprint == alone[r.doc_id if r.doc_id is not None else 15] for r in got)
+    rows = [(r.doc_id, r.text or "") for r in odd.select("doc_id", "text").collect()]
+    named, lost = sorted(r for r in rows if r[0] is not None), sorted((r for r in rows if r[0] is None), key=lambda r: r[1])
+    pairs = list(zip(named, [*named[1:], named[0]])) + list(zip(lost, [*lost[1:], named[0]]))
+    edited = [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for (_, t), (_, n) in pairs]
+    own, after, moved = (edit_embedding.embed_texts(x) for x in ([p[0][1] for p in pairs], [p[1][1] for p in pairs], edited))
+    want = Counter(
+        (str(d), len(t), hashlib.sha256(e.encode()).hexdigest(), edit_embedding.render(*o[:2]), edit_embedding.render(*m[:2]), edit_embedding.likeness(o[:2], m[:2]), edit_embedding.likeness(o[:2], f[:2]))
+        for ((d, t), _), e, o, f, m in zip(pairs, edited, own, after, moved)
+    )
+    got = Counter((str(r.doc_id), r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) for r in edit_embedding.neighbours(odd).collect())
+    assert got == want
 
 
 def test_language_id_on_held_out_rows(spark):
