@@ -274,17 +274,17 @@ def neighbours(docs: DataFrame) -> DataFrame:
     return with_next(docs).mapInArrow(tidy(run), outputs)
 
 
-#: Length of the grams that rule unlike texts out, and the number of counters they are hashed to.
-GRAMS, COUNTERS = 8, 1 << 20
+#: Length of the grams that rule unlike texts out.
+GRAMS = 8
 
 
-def gram_counts(text: np.ndarray) -> np.ndarray:
-    """How many grams of a text (code points) fall to each counter."""
+def gram_counts(text: np.ndarray, bits: int) -> np.ndarray:
+    """How many grams of a text (code points) fall to each of 2^bits counters."""
     n = max(0, len(text) - GRAMS + 1)
     h = np.zeros(n, np.uint64)
     for j in range(GRAMS):
         h = h * np.uint64(0x9E3779B97F4A7C15) + text[j : j + n]
-    return np.bincount(((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(44)).astype(np.int64), minlength=COUNTERS)
+    return np.bincount(((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
 
 
 def run_end(x: np.ndarray, y: np.ndarray, i: int, j: int) -> int:
@@ -309,7 +309,8 @@ def edit_distance_within(a: str, b: str, most: int) -> bool:
     if abs(n - m) > most:
         return False
     x, y = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (a, b))
-    if max(n, m) > 2000 and int(np.abs(gram_counts(x) - gram_counts(y)).sum()) > 2 * GRAMS * most:
+    bits = min(20, (n + m).bit_length())
+    if int(np.abs(gram_counts(x, bits) - gram_counts(y, bits)).sum()) > 2 * GRAMS * most:
         return False
     # A closing sign that differs on the two sides ends every run inside the arrays.
     left, right = np.append(x, np.uint32(0xFFFFFFFF)), np.append(y, np.uint32(0xFFFFFFFE))
@@ -401,7 +402,7 @@ def near_documents(docs: DataFrame, bands: int = 32, distance: float = 0.02) ->
     )
     classes = stage(classes, "classes")
     total = classes.count()
-    cells = classes.select("rep", "n_chars", "cells", F.explode("cells").alias("cell"))
+    cells = classes.select("rep", "n_chars", F.explode("cells").alias("cell"))
     low = cells.groupBy("cell").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
     cells = stage(hot_join(cells, low, ["cell"], "n", total * bands * 2), "cells")
     near = classes.join(cells.select("rep").distinct(), "rep", "left_semi").select("rep", "t1", "t2")
@@ -415,11 +416,13 @@ def near_documents(docs: DataFrame, bands: int = 32, distance: float = 0.02) ->
     links = verified(texts, star.select("a", "b"), distance)
     found = stage(components(links), "comp")
 
-    marked = cells.drop("a", "n").join(found, F.col("rep") == F.col("id"), "left").select("cell", "rep", "n_chars", "cells", F.coalesce("component", "rep").alias("comp"))
+    marked = cells.drop("a", "n").join(found, F.col("rep") == F.col("id"), "left").select("cell", "rep", "n_chars", F.coalesce("component", "rep").alias("comp"))
     sizes = marked.groupBy("cell", "comp").agg(F.count(F.lit(1)).alias("k"))
     largest = sizes.groupBy("cell").agg(F.max(F.struct("k", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"), F.sum("k").alias("k")).where("comps > 1")
     parted = hot_join(marked, largest.select("cell", "k", F.col("top.comp").alias("_top")), ["cell"], "k", total * bands * 2)
-    parted = stage(parted.withColumn("lead", F.col("comp") == F.col("_top")).drop("_top", "k"), "marked")
+    # Only members of open buckets carry all their bands.
+    parted = parted.withColumn("lead", F.col("comp") == F.col("_top")).drop("_top", "k").join(classes.select("rep", "cells"), "rep")
+    parted = stage(parted, "marked")
     left, right = (parted.select("cell", *[F.col(c).alias(f"{side}_{c}") for c in ("rep", "n_chars", "cells", "comp", "lead")]) for side in "ab")
     apart = (F.col("a_comp") != F.col("b_comp")) & (F.col("a_lead") | (F.col("a_rep") < F.col("b_rep")))
     once = F.array_min(F.array_intersect("a_cells", "b_cells")) == F.col("cell")
