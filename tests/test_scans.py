@@ -46,3 +46,12 @@ def test_descending_and_empty(frame):
     got = {r.at: r.n for r in scans.numbered(frame.where("key = 'hot'"), ["key"], [F.col("at").desc()], "n", 20).collect()}
     assert got == {at: 300 - at for at in range(300)}
     assert scans.running_total(frame.limit(0), [], ["at"], F.lit(1), "n", 5).collect() == []
+
+
+def test_results_of_any_name_and_carried_columns(frame):
+    carried = frame.withColumns({"_value": F.col("value"), "_place": F.lit(1), "_before": F.lit("b")})
+    out = scans.running_total(carried, ["key"], ["at"], F.col("value"), "_part", 50)
+    out = scans.filled_forward(out, ["key"], ["at"], F.col("_value"), "_sum", 50)
+    assert set(out.columns) == {"key", "at", "value", "_value", "_place", "_before", "_part", "_sum"}
+    plain = scans.running_total(frame, ["key"], ["at"], F.col("value"), "total").select("at", "total")
+    assert {r.at: r._part for r in out.collect()} == {r.at: r.total for r in plain.collect()}
