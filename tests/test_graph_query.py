@@ -110,3 +110,13 @@ def test_unresolved_filters(spark, chain):
         graph_query("nope", *chain)
     with pytest.raises(TypeError):
         graph_query("callers", *chain, node_id="a", name="A")
+
+
+def test_all_rows_without_a_budget(spark):
+    edges = table(spark, [(f"e{i:05d}", "INCLUDES", f"n{i}", "top") for i in range(1100)])
+    nodes = spark.createDataFrame([("top", "top", "file")], "id string, name string, kind string")
+    whole = graph_query("included-by", nodes, edges, node_id="top", max_results=None)
+    assert (whole.results.count(), whole.truncated, whole.codes) == (1100, False, ())
+    assert graph_query("included-by", nodes, edges, node_id="top").results.count() == 1000
+    with pytest.raises(ValueError):
+        graph_query("trace", nodes, edges, node_id="top", max_results=None)
