@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import structured, text
-from tessera.operators import project, relational
+from tessera.operators import project, relational, scans
 from tessera.sources import diffs, logs, markup, sqltext
 
 from .graphs import PATHS, url_paths
@@ -119,7 +119,8 @@ def capture_verdicts(t: Tables) -> DataFrame:
 def _patches(t: Tables) -> DataFrame:
     """One unified diff per order: a hunk whose lines are its lineitems."""
     mark = F.when(F.col("l_returnflag") == "A", "+").when(F.col("l_returnflag") == "R", "-").otherwise(" ")
-    rows = t.lineitem.select("l_orderkey", "l_linenumber", F.concat(mark, F.lit("part "), F.col("l_partkey").cast("string")).alias("x"))
+    lines = t.lineitem.repartition(scans.tasks_for(t.lineitem, 500_000), "l_orderkey")
+    rows = lines.select("l_orderkey", "l_linenumber", F.concat(mark, F.lit("part "), F.col("l_partkey").cast("string")).alias("x"))
     body = rows.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "x"))), lambda r: r["x"]), "\n").alias("b"))
     k = F.col("l_orderkey").cast("string")
     head = F.concat(F.lit("diff --git a/src/o"), k, F.lit(".txt b/src/o"), k, F.lit(".txt\n--- a/x\n+++ b/x\n@@ -10,0 +20,0 @@\n"))

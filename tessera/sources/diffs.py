@@ -14,30 +14,34 @@ FILE = r"^diff --git a/(.+) b/(.+)$"
 def diff_lines(diffs: DataFrame) -> DataFrame:
     """(diff_id, diff_line, file, old_file, kind, text, new_line, old_line) of every line of (diff_id, text).
 
-    Files and hunks are segments numbered by running sums of their headers; inside a hunk the new line number
-    is the hunk's start plus the context and added lines before.
+    Files and hunks are what the last header before a line tells; inside a hunk the new line number is the hunk's start
+    plus the context and added lines since its header. All of it comes from windows of one order, so lines are sorted once.
     """
     lines = diffs.select("diff_id", F.posexplode(F.split("text", "\n", -1)).alias("diff_line", "line"))
     ordered = Window.partitionBy("diff_id").orderBy("diff_line").rowsBetween(Window.unboundedPreceding, 0)
     is_file, is_hunk = F.col("line").rlike(FILE), F.col("line").rlike(HUNK)
-    lines = lines.withColumns({"_f": F.sum(F.when(is_file, 1).otherwise(0)).over(ordered), "_h": F.sum(F.when(is_hunk | is_file, 1).otherwise(0)).over(ordered)})
-    by_file, by_hunk = Window.partitionBy("diff_id", "_f"), Window.partitionBy("diff_id", "_h")
-    pick = lambda cond, pattern, i: F.max(F.when(cond, F.regexp_extract("line", pattern, i)))
+    part = lambda pattern, i: F.regexp_extract("line", pattern, i)
+    number = lambda cond, i: F.when(cond, part(HUNK, i)).cast("int")
+    last = lambda c: F.last(c, ignorenulls=True).over(ordered)
+    # A file's header ends the hunk before it, so it tells a hunk without numbers.
     lines = lines.withColumns(
         {
-            "file": pick(is_file, FILE, 2).over(by_file), "old_file": pick(is_file, FILE, 1).over(by_file),
-            "_new": pick(is_hunk, HUNK, 3).over(by_hunk).cast("int"), "_old": pick(is_hunk, HUNK, 1).over(by_hunk).cast("int"),
+            "_file": last(F.when(is_file, F.struct(part(FILE, 2).alias("new"), part(FILE, 1).alias("old")))),
+            "_hunk": last(F.when(is_file | is_hunk, F.struct(number(is_hunk, 3).alias("new"), number(is_hunk, 1).alias("old")))),
         }
     )
     head = F.substring("line", 1, 1)
-    kind = F.when(is_file, "file").when(is_hunk, "hunk").when(F.col("_new").isNull(), "meta").when(head == "+", "add").when(head == "-", "del").when(head == " ", "context").otherwise("meta")
+    kind = F.when(is_file, "file").when(is_hunk, "hunk").when(F.col("_hunk.new").isNull(), "meta").when(head == "+", "add").when(head == "-", "del").when(head == " ", "context").otherwise("meta")
     lines = lines.withColumn("kind", kind)
-    inside = by_hunk.orderBy("diff_line").rowsBetween(Window.unboundedPreceding, -1)
-    count = lambda *kinds: F.coalesce(F.sum(F.when(F.col("kind").isin(*kinds), 1).otherwise(0)).over(inside), F.lit(0))
+    count = lambda *kinds: F.sum(F.when(F.col("kind").isin(*kinds), 1).otherwise(0)).over(ordered)
+    lines = lines.withColumns({"_n": count("add", "context"), "_o": count("del", "context")})
+    # What had been counted at the hunk's header.
+    lines = lines.withColumn("_base", last(F.when(F.col("kind").isin("file", "hunk"), F.struct("_n", "_o"))))
     return lines.select(
-        "diff_id", "diff_line", "file", "old_file", "kind", F.when(F.col("kind").isin("add", "del", "context"), F.expr("substring(line, 2)")).otherwise(F.col("line")).alias("text"),
-        F.when(F.col("kind").isin("add", "context"), F.col("_new") + count("add", "context")).alias("new_line"),
-        F.when(F.col("kind").isin("del", "context"), F.col("_old") + count("del", "context")).alias("old_line"),
+        "diff_id", "diff_line", F.col("_file.new").alias("file"), F.col("_file.old").alias("old_file"), "kind",
+        F.when(F.col("kind").isin("add", "del", "context"), F.expr("substring(line, 2)")).otherwise(F.col("line")).alias("text"),
+        F.when(F.col("kind").isin("add", "context"), F.col("_hunk.new") + F.col("_n") - F.col("_base._n") - 1).alias("new_line"),
+        F.when(F.col("kind").isin("del", "context"), F.col("_hunk.old") + F.col("_o") - F.col("_base._o") - 1).alias("old_line"),
     )
 
 
