@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.relational import selector_match
+from tessera.staging import stage
 
 HUNK = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
 FILE = r"^diff --git a/(.+) b/(.+)$"
@@ -63,8 +64,10 @@ def changed_ranges(lines: DataFrame) -> DataFrame:
 def policy_findings(lines: DataFrame, protected: DataFrame, needles: DataFrame, exceptions: DataFrame, most_added: int) -> DataFrame:
     """Findings of a patch policy with `excepted`: protected paths (selector), content needles (rule, needle,
     severity) on added lines, and files over a line limit; exceptions are (rule, selector). The planner
-    decides from their sizes whether rule tables are broadcast."""
-    files = file_summary(lines)
+    decides from their sizes whether rule tables are broadcast. Lines are numbered once and staged, as the rules read
+    them more than once."""
+    lines = stage(lines.select("diff_id", "file", "old_file", "kind", "text", "new_line"), "lines")
+    files = stage(file_summary(lines), "files")
     touched = files.select("diff_id", "file", F.explode(F.array_distinct(F.array("file", "old_file"))).alias("path"))
     guarded = touched.join(protected, selector_match(F.col("path"), F.col("selector"))).select("diff_id", "file", F.lit("protected-path").alias("rule"), F.lit("error").alias("severity"), F.lit(None).cast("int").alias("line")).distinct()
     content = lines.where(F.col("kind") == "add").join(needles, F.col("text").contains(F.col("needle"))).select("diff_id", "file", "rule", "severity", F.col("new_line").alias("line"))

@@ -13,3 +13,12 @@ def test_lines_are_sorted_once(spark):
     plan = lines._jdf.queryExecution().executedPlan().toString()
     plan = plan.split("== Initial Plan ==")[-1]
     assert (plan.count("Sort ["), plan.count("Exchange hashpartitioning")) == (1, 1)
+
+
+def test_policy_numbers_lines_once(spark):
+    rows = spark.createDataFrame([("d", "@@ -1 +5 @@\n+secret one"), ("e", "diff --git a/x b/y\n@@ -1 +5 @@\n+secret")], "diff_id string, text string")
+    none = spark.createDataFrame([], "rule string, selector string")
+    needles = spark.createDataFrame([("leak", "secret", "error")], "rule string, needle string, severity string")
+    found = diffs.policy_findings(diffs.diff_lines(rows), none.select("selector"), needles, none, 3)
+    assert sorted(map(tuple, found.collect())) == [("d", None, "leak", "error", 5, False), ("e", "y", "leak", "error", 5, False)]
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
