@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import structured
-from tessera.operators import intervals, ordered, packs
+from tessera.operators import intervals, ordered, packs, scans
 from tessera.sources.files import envelope
 
 from .registry import Tables, query
@@ -16,8 +16,10 @@ WITH s AS (SELECT l_partkey AS p, l_orderkey AS id, min(l_linenumber) AS a, max(
 SELECT p, a AS start, (SELECT id FROM s WHERE s.p = q.p AND s.a <= q.a AND q.a <= s.b ORDER BY s.b - s.a, s.a, s.id LIMIT 1) AS container FROM q""")
 def smallest_container(t: Tables) -> DataFrame:
     """For a line number of a part the smallest order range that holds it."""
-    ranges = t.lineitem.groupBy(F.col("l_partkey").alias("p"), F.col("l_orderkey").alias("id")).agg(F.min("l_linenumber").alias("start"), (F.max("l_linenumber") + 2).alias("end"))
-    points = t.lineitem.select(F.col("l_partkey").alias("p"), F.col("l_linenumber").alias("start"), F.col("l_linenumber").alias("end")).distinct()
+    lines = t.lineitem.select("l_partkey", "l_orderkey", "l_linenumber")
+    lines = lines.repartition(scans.tasks_for(lines, 500_000), "l_partkey")
+    ranges = lines.groupBy(F.col("l_partkey").alias("p"), F.col("l_orderkey").alias("id")).agg(F.min("l_linenumber").alias("start"), (F.max("l_linenumber") + 2).alias("end"))
+    points = lines.select(F.col("l_partkey").alias("p"), F.col("l_linenumber").alias("start"), F.col("l_linenumber").alias("end")).distinct()
     return intervals.smallest_container(points, ranges, ["p"], 8, "id").select("p", "start", "container")
 
 
