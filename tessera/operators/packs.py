@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -45,10 +47,23 @@ def pack_items(items: list[dict], budget: int) -> list[tuple]:
 
 def greedy_pack(items: DataFrame, budget: int) -> DataFrame:
     """items (pack, id, mandatory, priority, sha256, bytes, locators) with their fate; a pack is one request's
-    candidates and is bounded by the requester."""
+    candidates and is bounded by the requester.
+
+    Packs are dealt to tasks and read in order as a stream, one held at a time, so small packs cost no call each."""
+    columns = ["pack", "id", "place", "state", "reason", "used"]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [(pdf["pack"].iat[0], *r) for r in pack_items(pdf.to_dict("records"), budget)]
-        return pd.DataFrame(rows, columns=["pack", "id", "place", "state", "reason", "used"])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pack, held = None, []
+        for batch in batches:
+            made = []
+            for item in batch.to_dict("records"):
+                if held and item["pack"] != pack:
+                    made.extend((pack, *r) for r in pack_items(held, budget))
+                    held = []
+                pack = item["pack"]
+                held.append(item)
+            yield pd.DataFrame(made, columns=columns)
+        if held:
+            yield pd.DataFrame([(pack, *r) for r in pack_items(held, budget)], columns=columns)
 
-    return items.groupBy("pack").applyInPandas(run, SCHEMA)
+    return items.repartition("pack").sortWithinPartitions("pack").mapInPandas(run, SCHEMA)
