@@ -18,6 +18,8 @@ CLOSED_BY = {
     "li": {"li"}, "p": {"p", "div", "ul", "ol", "table", "h1", "h2", "h3", "section", "article", "nav"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"},
     "tr": {"tr", "tbody", "tfoot"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option", "optgroup"},
 }
+#: Pages that a worker reads at a time, and rows of elements from which on it hands them out.
+PAGES, ROWS = 200, 10_000
 ELEMENTS = "doc_id bigint, node int, parent int, tag string, line int, attributes map<string,string>, form int"
 
 
@@ -47,6 +49,11 @@ def elements(pages: DataFrame, ident: str, html: str) -> DataFrame:
     """Element rows (doc_id, node, parent, tag, line, attributes, form) of each document, by a stack machine; form is the
     innermost form around the element."""
 
+    def table(rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=["doc_id", "node", "parent", "tag", "line", "attributes", "form"])
+        out[["parent", "form"]] = out[["parent", "form"]].astype("Int32")
+        return out
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
@@ -55,10 +62,13 @@ def elements(pages: DataFrame, ident: str, html: str) -> DataFrame:
                 tree.feed(text or "")
                 tree.close()
                 rows.extend((doc, *r) for r in tree.rows)
-            out = pd.DataFrame(rows, columns=["doc_id", "node", "parent", "tag", "line", "attributes", "form"])
-            out[["parent", "form"]] = out[["parent", "form"]].astype("Int32")
-            yield out
+                if len(rows) >= ROWS:
+                    yield table(rows)
+                    rows = []
+            yield table(rows)
 
+    # A worker holds a few hundred pages at a time, whatever a task reads.
+    pages.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(PAGES))
     return pages.select(F.col(ident).cast("bigint").alias("i"), F.col(html).alias("h")).mapInPandas(run, ELEMENTS)
 
 
