@@ -39,7 +39,7 @@ def overlap_pairs(left: DataFrame, right: DataFrame, on: Sequence[str], width: i
     tasks = int(min(20_000, max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * met // most)))
     cut = sizes.where("_pieces > 1").select(*keys, "_pieces")
     pieces = F.coalesce("_pieces", F.lit(1))
-    a = a.join(cut, keys, "left").withColumn("_piece", F.floor(F.rand(7) * pieces).cast("int")).drop("_pieces")
+    a = a.join(cut, keys, "left").withColumn("_piece", F.pmod(F.xxhash64(*[f"l_{c}" for c in left.columns]), pieces).cast("int")).drop("_pieces")
     b = b.join(cut, keys, "left").withColumn("_piece", F.explode(F.sequence(F.lit(0), pieces - 1))).drop("_pieces")
     keys = [*keys, "_piece"]
     joined = a.repartition(tasks, *keys).join(b.repartition(tasks, *keys), keys)
