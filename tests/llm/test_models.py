@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -690,3 +691,47 @@ def test_rows_without_an_id_are_dealt_to_all_groups(spark):
 def test_single_document_lengths(n):
     pieces = packing.pack_lengths([n], 2048, 2048.0)
     assert sum(p[2] for p in pieces) == n and all(0 < p[2] <= 2048 for p in pieces)
+
+
+def test_near_documents_unlike_texts_make_no_rows(spark, monkeypatch):
+    """Unlike texts of like lengths share no buckets by chance, and crowded buckets give out only pairs that may be near."""
+    rng = random.Random(77)
+    make = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    rows = [(i, make(rng.randint(1000, 1019))) for i in range(3000)]
+    cells = [c for i in rows for c in set(cells_of(i[1]))]
+    assert len(cells) - len(set(cells)) < 300  # bands of 16 sampled bits met 21,799 times here
+    # Near copies of one text that are too far from one another to link, but for a few pairs.
+    monkeypatch.setattr(edit_embedding, "PIECE", 50)
+    base, rows = make(800), []
+    for i in range(300):
+        words = list(base)
+        for _ in range(40):
+            words[rng.randrange(800)] = rng.choice("ABCDEFGH")
+        rows.append((2 * i, "".join(words)))
+        if i % 10 == 0:
+            rows.append((2 * i + 1, "".join(words[:400] + ["x"] + words[400:])))
+    asked = []
+    verify = edit_embedding.verified
+    monkeypatch.setattr(edit_embedding, "verified", lambda texts, pairs, distance: asked.append(pairs.count()) or verify(texts, pairs, distance))
+    got = {r.doc_id: r.component for r in edit_embedding.near_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: d - d % 2 for d, _ in rows}
+    assert sum(asked) < 1000, asked
+
+
+def cells_of(text):
+    end, _, own, steps = edit_embedding.embed_texts([text])[0]
+    return edit_embedding.bands_of(end, own, steps, 32, 0.02)
+
+
+def test_sketches_never_rule_out_near_texts():
+    rng = random.Random(78)
+    for size in (60, 400, 3000):
+        a = "".join(rng.choice("abc é日") for _ in range(size))
+        for edits in (1, size // 50):
+            b = list(a)
+            for _ in range(edits):
+                at = rng.randrange(len(b))
+                b[at : at + 1] = rng.choice([[], ["x"], ["y", b[at]]])
+            x, y = (edit_embedding.sketched(pa.array([edit_embedding.sketch(t)], pa.binary())) for t in (a, "".join(b)))
+            assert edit_embedding.sketches_allow(x, y, np.array([edits])).all()
+            assert set(edit_embedding.length_groups(size, 0.02)) & set(edit_embedding.length_groups(len(b), 0.02))
