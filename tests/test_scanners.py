@@ -124,3 +124,15 @@ def test_redaction_of_names_schemes_and_open_quotes(spark):
         assert line == want
     frame = spark.createDataFrame(list(REDACTED.items()), "text string, want string")
     assert [(r.got, r.want) for r in frame.select(redact(frame.text).alias("got"), "want").collect() if r.got != r.want] == []
+
+
+def test_sources_of_one_partition_are_dealt_and_come_in_batches(spark):
+    """One small file may hold many sources: several tasks read them, and hand out rows of many sources at a time."""
+    rows = [(i, "<cfif a>" * (i % 4) + "<cfnew>") for i in range(3000)] + [(None, "<cfnew>"), (5000, None)]
+    sources = spark.createDataFrame(rows, "k long, source string").coalesce(1)
+    found = cfml.source_findings(sources, "k", "source")
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    want = sorted(((k, *r) for k, text in rows for r in cfml.check(text or "")), key=str)
+    assert sorted((tuple(r) for r in found.collect()), key=str) == want
+    facts = cfml.source_facts(sources.where("k < 50"), "k", "source").collect()
+    assert sorted((r.k, r.kind, r.name, r.start) for r in facts) == sorted((k, f.kind, f.name, f.start) for k, text in rows[:50] for f in cfml.facts_of(text))
