@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import import_specifiers, normal_path, package_manager, path_risk, purpose, stem, strip_comments
+from tessera.staging import stage
 
 from . import graph, relational
 from .verdicts import severity_fold
@@ -31,9 +32,16 @@ def import_graph(files: DataFrame) -> DataFrame:
     bare = F.regexp_replace("base", r"\.[^./]*$", "")
     first = F.when(F.col("base").rlike(r"(?i)\.(js|jsx|mjs|cjs)$"), F.array(bare, "base")).otherwise(F.array("base", bare))
     ends = F.array(F.lit(""), *map(F.lit, EXTENSIONS), *(F.lit(f"/index{x}") for x in EXTENSIONS))
-    tries = F.concat(F.array("base"), F.flatten(F.transform(first, lambda b: F.transform(ends, lambda e: F.concat(b, e)))))
-    found = relational.first_candidate(asked, F.array_distinct(tries), files, "path")
-    return found.where("hit is not null").select("src", F.col("hit").alias("dst")).distinct()
+    tries = F.array_distinct(F.concat(F.array("base"), F.flatten(F.transform(first, lambda b: F.transform(ends, lambda e: F.concat(b, e))))))
+    # A candidate is one of two names with an ending: files meet them under the names that they have without theirs, so that
+    # two rows of an import travel instead of one for each candidate.
+    ending = "(?:" + "|".join(x.replace(".", r"\.") for x in EXTENSIONS) + ")$"
+    names = F.array_distinct(F.array("path", F.regexp_replace("path", ending, ""), F.regexp_replace("path", "/index" + ending, "")))
+    known = files.select("path", F.explode(names).alias("_name"))
+    met = asked.withColumn("_name", F.explode(F.array_distinct(F.array("base", bare)))).join(known, "_name")
+    place = met.select("src", "base", F.array_position(tries, F.col("path")).alias("_place")).where("_place > 0")
+    best = place.groupBy("src", "base").agg(F.min("_place").alias("_place"))
+    return best.select("src", F.get(tries, F.col("_place").cast("int") - 1).alias("dst")).distinct()
 
 
 def package_roots(paths: DataFrame, packages: DataFrame) -> DataFrame:
@@ -50,6 +58,8 @@ def map_tests(changes: DataFrame, tests: DataFrame, imports: DataFrame, depth: i
     gathered changes of each key, so changes and tests of one key never meet pair by pair; without any candidate all tests are returned as a fallback. packages (root)
     are the directories with a manifest, in which directories match too; without them no package is matched.
     """
+    # Every level of the traversal reads the imports.
+    imports = stage(imports.select("src", "dst"), "imports")
     edges = imports.select("src", "dst", F.concat_ws(">", "src", "dst").alias("id"), F.lit("IMPORTS").alias("type"))
     reached = graph.traverse(edges, changes.select(F.col("path").alias("node")), graph.BACKWARD, depth)
     by_import = reached.where("distance > 0").join(tests.select(F.col("path").alias("node")), "node", "left_semi").select(
@@ -74,7 +84,7 @@ def map_tests(changes: DataFrame, tests: DataFrame, imports: DataFrame, depth: i
         found = found.unionByName(tier(own, other, ["root"], 1)).unionByName(tier(own.where("_k <> ''"), other.where("_k <> ''"), ["root", "_k"], 2))
     # At most one row for each test and tier is left to be put together.
     out = found.groupBy("test").agg(F.max("rank").alias("evidence_rank"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("changes")))).alias("changes"))
-    if not out.limit(1).count():
+    if not found.limit(1).count():
         out = tests.select(F.col("path").alias("test"), F.lit(0).alias("evidence_rank"), F.array().cast("array<string>").alias("changes"))
     label = F.get(F.array(*map(F.lit, EVIDENCE)), F.col("evidence_rank"))
     out = out.select("test", F.expr(CONFIDENCE).alias("confidence"), label.alias("evidence"), "evidence_rank", F.size("changes").alias("n_changes"), "changes")

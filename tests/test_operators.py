@@ -442,3 +442,29 @@ def test_project_commands(spark):
     assert ids("changed") == [] and ids("changed", changed=nodes.where("id = 'x'").select("path")) == ["x"]
     with pytest.raises(ValueError):
         ids("nope")
+
+
+def test_imports_resolve_to_the_first_candidate_and_are_read_once(spark, monkeypatch):
+    """Against a list of candidates tried one by one; a traversal of several levels does not resolve them again."""
+    names = ["a/x.ts", "a/x.js", "a/x", "a/y/index.tsx", "a/y.mjs", "a/z/index.js", "a/z.js/index.ts", "a/w.js.ts", "a/v.JS", "a/u.css", "a/index.ts", "a/u.css.cjs", "a/t.ts/index.ts"]
+    asked = ["./x", "./x.js", "./x.ts", "./y", "./y.mjs", "./z", "./z.js", "./w.js", "./v.JS", "./v", "./u.css", "./u", ".", "./t", "./t.ts", "./none", "pkg", "../../up"]
+    body = "".join(f"import q from '{x}';\n" for x in asked)
+    files = spark.createDataFrame([(n, "") for n in names] + [("a/main.ts", body)], "path string, body string")
+    want, have = set(), {*names, "a/main.ts"}
+    for x in asked:
+        base = {".": "a"}.get(x, "a/" + x[2:]) if x.startswith(".") and not x.startswith("..") else None
+        if base is None:
+            continue
+        cut = base.rsplit("/", 1)
+        bare = "/".join([*cut[:-1], cut[-1].rsplit(".", 1)[0]]) if "." in cut[-1] else base
+        pair = [bare, base] if base.lower().rsplit(".", 1)[-1] in ("js", "jsx", "mjs", "cjs") and bare != base else [base, bare]
+        tries = [base] + [b + e for b in pair for e in ["", *project.EXTENSIONS, *(f"/index{e}" for e in project.EXTENSIONS)]]
+        want |= {("a/main.ts", t) for t in tries if t in have and t == next(c for c in tries if c in have)}
+    imports = project.import_graph(files)
+    assert {tuple(r) for r in imports.collect()} == want and len(want) >= 8
+    staged, put = [], project.stage
+    monkeypatch.setattr(project, "stage", lambda df, label: staged.append(label) or put(df, label))
+    tests = spark.createDataFrame([("a/main.ts",)], "path string")
+    changes = spark.createDataFrame([("a/u.css",)], "path string")
+    got = project.map_tests(changes, tests, imports, depth=3).collect()
+    assert [(r.test, r.evidence) for r in got] == [("a/main.ts", "direct-import")] and staged == ["imports"]
