@@ -54,6 +54,34 @@ def test_requests_over_three_files(run):
     assert run(fourth, REQUESTS, follow) == sorted(want, key=str)
 
 
+def test_request_keys_share_buckets(run, spark, tmp_path):
+    """Thousands of keys take no more state rows, timers and calls than there are buckets."""
+    rows = [(f"k{i % 5000}", i, "x" if i < 5000 else "xy"[i % 2], at(i / 5000)) for i in range(15_000)]
+    out = run(rows, REQUESTS, lambda s: stateful.requests(s, "10 minutes", dt.timedelta(hours=1)))
+    tell = lambda i: "accepted" if i < 5000 else "conflict" if i % 2 else "replay"
+    assert out == sorted(((f"k{i % 5000}", i, tell(i), i % 5000) for i in range(15_000)), key=str)
+    store = spark.read.format("statestore").load(str(tmp_path / "check"))
+    assert store.count() <= 2048
+
+
+def test_keys_of_one_bucket_are_forgotten_one_by_one(run):
+    follow = lambda s: stateful.requests(s, "10 minutes", dt.timedelta(hours=1), buckets=1)
+    first = [("a", 1, "x", at(0)), ("b", 2, "x", at(30)), (None, 3, "x", at(30)), (None, 4, "x", at(31)), ("d", 2**60 + 1, None, at(30)), ("d", 5, None, at(40))]
+    want = [("a", 1, "accepted", 1), ("b", 2, "accepted", 2), (None, 3, "accepted", 3), (None, 4, "replay", 3), ("d", 2**60 + 1, "accepted", 2**60 + 1), ("d", 5, "replay", 2**60 + 1)]
+    assert run(first, REQUESTS, follow) == sorted(want, key=str)
+    # Watermark 75 minutes when this file is done: a was due at 60 and is forgotten, b at 90 is not.
+    second = [("e", 6, "x", at(85))]
+    want += [("e", 6, "accepted", 6)]
+    assert run(second, REQUESTS, follow) == sorted(want, key=str)
+    third = [("a", 7, "y", at(86)), ("b", 8, "y", at(86)), ("e", 9, "y", at(160))]
+    want += [("a", 7, "accepted", 7), ("b", 8, "conflict", 2), ("e", 9, "conflict", 6)]
+    assert run(third, REQUESTS, follow) == sorted(want, key=str)
+    # Watermark 150 minutes: a and b, due at 146, are forgotten and e is not.
+    fourth = [("a", 10, "z", at(151)), ("b", 11, "y", at(151)), ("e", 12, "x", at(151)), ("d", 13, "q", at(240))]
+    want += [("a", 10, "accepted", 10), ("b", 11, "accepted", 11), ("e", 12, "replay", 6), ("d", 13, "accepted", 13)]
+    assert run(fourth, REQUESTS, follow) == sorted(want, key=str)
+
+
 LEASES = "key string, request long, kind string, token long, at timestamp"
 
 
