@@ -55,3 +55,8 @@ def test_results_of_any_name_and_carried_columns(frame):
     assert set(out.columns) == {"key", "at", "value", "_value", "_place", "_before", "_part", "_sum"}
     plain = scans.running_total(frame, ["key"], ["at"], F.col("value"), "total").select("at", "total")
     assert {r.at: r._part for r in out.collect()} == {r.at: r.total for r in plain.collect()}
+
+
+def test_tasks_stay_few_enough_to_stream(spark):
+    """Over 200 tasks a shuffle holds in memory what a task reads, so there are more only where tasks would grow large."""
+    assert [scans.tasks_for(spark.range(n), 2) for n in (2, 300, 1000, 4000, 4001, 10_000)] == [4, 150, 200, 200, 201, 500]
