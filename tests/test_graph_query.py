@@ -1,10 +1,13 @@
 """Bounded graph queries against a queue walked by hand."""
 
 import random
+from types import SimpleNamespace
 
+import duckdb
 import pytest
 
 from tessera.operators.graph_query import BOTH, INCOMING, OUTGOING, bounded_search, graph_query
+from tessera.plans import ORACLE, operations
 
 
 def by_queue(edges, start, direction, max_results, max_depth, max_visited):
@@ -120,3 +123,17 @@ def test_all_rows_without_a_budget(spark):
     assert graph_query("included-by", nodes, edges, node_id="top").results.count() == 1000
     with pytest.raises(ValueError):
         graph_query("trace", nodes, edges, node_id="top", max_results=None)
+
+
+def test_included_by_is_whole_in_query_and_sql(spark):
+    """The registered query and its SQL on a region of 1,100 nations."""
+    con = duckdb.connect()
+    con.sql("CREATE TABLE region AS SELECT i AS r_regionkey, 'REGION_' || i AS r_name FROM range(5) t(i)")
+    con.sql("CREATE TABLE nation AS SELECT i AS n_nationkey, 'NATION_' || i AS n_name, CASE WHEN i < 1100 THEN 1 ELSE 2 END AS n_regionkey FROM range(1110) t(i)")
+    con.sql("CREATE TABLE customer AS SELECT i AS c_custkey, 'C' || i AS c_name, i AS c_nationkey, 'MACHINERY' AS c_mktsegment FROM range(20) t(i)")
+    con.sql("CREATE TABLE supplier AS SELECT i AS s_suppkey, 'S' || i AS s_name, i AS s_nationkey FROM range(20) t(i)")
+    read = {n: con.sql(f"SELECT * FROM {n}") for n in ("region", "nation", "customer", "supplier")}
+    found = operations.graph_included_by(SimpleNamespace(**{n: spark.createDataFrame(r.fetchall(), r.columns) for n, r in read.items()}))
+    want = {(f"{a}>r:1>INCLUDES", "INCLUDES", a, "incoming", False, "") for a in ["r:0", *(f"n:{i}" for i in range(1100))]}
+    for rows in (found.collect(), con.sql(ORACLE["graph_included_by"]).fetchall()):
+        assert len(rows) == len(want) and {tuple(r) for r in rows} == want
